@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import fingerprints, sharding, simhash
 from .common import table
 
 
@@ -17,7 +17,40 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    found = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.encoded(F.col("sketch")).alias("fingerprint"),
+        fingerprints.encoded(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.jaccard(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.jaccard(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        fingerprints.containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"),
+    )
+
+
+def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose counts are at most one apart, uniformly shuffled."""
+    dealt = sharding.shards(table(spark, sf_dir, "documents"), 24)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(body) + 8).cast("bigint").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("__shard").cast("int").alias("shard"),
+        F.col("__slot").cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_threshold_sketch": op1_threshold_sketch,
+    "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
 
