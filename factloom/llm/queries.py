@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, sharding, simhash
+from . import fingerprints, packing, sharding, simhash
 from .common import table
 
 
+def op2_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of all documents and its place in a sequence of 1024 tokens at most."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -50,6 +56,7 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_sketch": op1_threshold_sketch,
+    "op2_linear_grouping_packing": op2_linear_grouping_packing,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
