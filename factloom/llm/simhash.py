@@ -20,6 +20,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Members of a key that one task may compare; keys with more are dealt to cells of two chunks each.
 HOT_KEY = 4096
 CHUNK = 1024
+#: Pairs that a task compares at once.
+MOST_PAIRS = 1 << 19
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -123,14 +125,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     few = (pairs > 0) & (pairs <= 256)
     found = []
     picked = np.flatnonzero(few)
-    for at in range(0, len(picked), 1 << 16):
-        own = picked[at : at + (1 << 16)]
+    steps = np.searchsorted(np.cumsum(pairs[picked]), np.arange(1, pairs[picked].sum() // MOST_PAIRS + 2) * MOST_PAIRS) if len(picked) else []
+    for own in np.split(picked, steps):
         count = pairs[own]
         run = np.repeat(own, count)
         k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
         a, b = fp[start[run] + k // n_right[run]], fp[start[run] + n_left[run] + k % n_right[run]]
         hit = (a != b) & (np.bitwise_count(a ^ b) <= MAX_BITS)
-        found.append(np.stack((a[hit], b[hit]), 1))
+        found.append(np.unique(np.sort(np.stack((a[hit], b[hit]), 1), axis=1), axis=0))
     for r in np.flatnonzero(pairs > 256).tolist():
         middle = start[r] + n_left[r]
         found.append(np.array(_forest(fp[start[r] : middle], fp[middle : start[r] + size[r]]), np.uint64).reshape(-1, 2))
