@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, sharding, simhash
+from . import fingerprints, packing, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,20 @@ def op2_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the fixed patterns' spans, and all spans."""
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a classifier that never saw the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,6 +71,8 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_sketch": op1_threshold_sketch,
     "op2_linear_grouping_packing": op2_linear_grouping_packing,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
