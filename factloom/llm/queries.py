@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, secrets, sharding, simhash, toxicity
+from . import embeddings, fingerprints, packing, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -53,6 +53,12 @@ def op1_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9 or more."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose counts are at most one apart, uniformly shuffled."""
     dealt = sharding.shards(table(spark, sf_dir, "documents"), 24)
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_sketch": op1_threshold_sketch,
     "op2_linear_grouping_packing": op2_linear_grouping_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op6_embedding_neardup": op6_embedding_neardup,
     "op7_toxicity": op7_toxicity,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
