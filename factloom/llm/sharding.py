@@ -65,14 +65,15 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 16) -> DataFrame:
+def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 14, max_cells: int = 6144) -> DataFrame:
     """docs with columns __shard (0 to n_shards - 1) and __slot (gapless from 0 in each shard): a uniformly
     random arrangement in which shard sizes differ by one at most.
 
     A first pass counts the rows of each input partition. Each shard is parted into cells of cell_rows rows
     at most. The counts from partitions to cells are drawn from the exact law; each partition deals its rows
     in random order to fill its row of the matrix, rows move once, to their cell, and each cell is permuted.
-    A cell is one unit of work, so no task holds a shard. docs must have stable partitions, as a scan or a
+    A cell is one unit of work, so no task holds a shard; beyond max_cells cells they grow instead (a row of the
+    matrix costs cells * log(partitions) draws) and are sorted with spilling. docs must have stable partitions, as a scan or a
     written table has: a task whose partition changed between the passes raises and nothing is misdealt.
 
     Every row counts, with null or equal values too; equal texts are dealt like any others. An empty table
@@ -87,6 +88,7 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int =
         sizes[r["p"]] = r["count"]
     total = sum(sizes)
     per_shard = even(total, n_shards)
+    cell_rows = max(cell_rows, -(-total // max(1, max_cells - n_shards)))
     room = [(s, c) for s, n in enumerate(per_shard) for c in even(n, -(-n // cell_rows) or 1)]
     starts = []
     for i, (s, _) in enumerate(room):
