@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, packing, secrets, sharding, simhash, toxicity
+from . import embeddings, fingerprints, packing, repair, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -59,6 +59,12 @@ def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to grammar-compressed files in ascending doc_id order and read back."""
+    found = repair.encode_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose counts are at most one apart, uniformly shuffled."""
     dealt = sharding.shards(table(spark, sf_dir, "documents"), 24)
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_toxicity": op7_toxicity,
+    "op8_repair_token_files": op8_repair_token_files,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
