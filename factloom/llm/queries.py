@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, packing, repair, secrets, sharding, simhash, toxicity
+from . import embeddings, fingerprints, packing, repair, secrets, sentencepiece_fst, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op2_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number and digest of its ids, digest of the decoded text."""
+    found = sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_ids", "ids_crc32", "decoded_sha256", "restored")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the fixed patterns' spans, and all spans."""
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
@@ -65,6 +71,12 @@ def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and pre-tokens of every document under the byte-level vocabulary."""
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "n_pretokens")
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose counts are at most one apart, uniformly shuffled."""
     dealt = sharding.shards(table(spark, sf_dir, "documents"), 24)
@@ -83,10 +95,12 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_sketch": op1_threshold_sketch,
     "op2_linear_grouping_packing": op2_linear_grouping_packing,
+    "op3_sentencepiece_fst": op3_sentencepiece_fst,
     "op4_secret_scan": op4_secret_scan,
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_toxicity": op7_toxicity,
     "op8_repair_token_files": op8_repair_token_files,
+    "op9_trie_token_counts": op9_trie_token_counts,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
