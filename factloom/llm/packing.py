@@ -198,12 +198,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         seen = np.zeros(capacity + 1, np.int64)
+        encoder = tokens.ColumnEncoder(path)
         narrow = np.uint16 if tokens.tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
                 out: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(batch.column("id").to_pylist(), tokens.encode((t.as_py() for t in batch.column("__text")), path), strict=True):
+                for doc_id, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("__text")), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     n = len(ids)
                     start, k = 0, 0

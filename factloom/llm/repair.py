@@ -190,6 +190,7 @@ def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = max(tokens.tokenizer(path).get_vocab_size(), end_id + 1)
+        encoder = tokens.ColumnEncoder(path)
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         n, number, open_bucket = 0, 0, None
@@ -202,7 +203,7 @@ def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_i
             return out
 
         for batch in batches:
-            encoded = tokens.encode((t.as_py() for t in batch.column("text")), path)
+            encoded = encoder.encode(batch.column("text"))
             for bucket, doc_id, got in zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), encoded, strict=True):
                 if bucket != open_bucket:
                     if ids:

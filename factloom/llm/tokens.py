@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
@@ -64,3 +66,132 @@ def encode(texts: Iterable[str | None], path: str | None = None) -> Iterator[np.
             yield from flush()
             waiting, counts, size = [], [], 0
     yield from flush()
+
+
+#: Byte classes of the byte-level pattern: letter, digit, space, other white space, anything else, not decided here.
+LETTER, DIGIT, SPACE, BLANK, OTHER, ODD = range(6)
+#: Distinct pre-tokens whose ids a worker remembers; a cache alone, emptied when full.
+REMEMBERED = 500_000
+#: Bytes of text that are cut into pre-tokens at once.
+COLUMN_BYTES = 1 << 22
+
+
+def _classes() -> np.ndarray:
+    """Of ASCII, and of U+00C0 to U+027F (two bytes led by C3 to C9), which are letters but for two signs. A text
+    with any other character goes to the library as it is."""
+    of = np.full(256, ODD, np.uint8)
+    of[:0x80] = OTHER
+    of[0x1C:0x20] = ODD
+    for a, b in (("A", "Z"), ("a", "z")):
+        of[ord(a) : ord(b) + 1] = LETTER
+    of[ord("0") : ord("9") + 1] = DIGIT
+    of[0x20], of[9:14] = SPACE, BLANK
+    of[0x80:0xC0], of[0xC3:0xCA] = LETTER, LETTER
+    return of
+
+
+CLASSES = _classes()
+_ONE, _TWO = b"stmd", (b"re", b"ve", b"ll")
+
+
+def pretoken_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Offsets at which the byte-level pattern's matches begin in the texts that `rows` (their offsets, and the end)
+    part data into; a text that must go to the library, with odd characters or "<|", is one match."""
+    n = len(data)
+    kind = CLASSES[data]
+    opens = np.zeros(n + 1, bool)
+    opens[rows] = True
+    opens = opens[:n]
+    blank = (kind == SPACE) | (kind == BLANK)
+    changed = np.ones(n, bool)
+    changed[1:] = kind[1:] != kind[:-1]
+    after_blank = np.zeros(n, bool)
+    after_blank[1:] = blank[:-1]
+    # a run of one class begins a match; so does the last blank before another character, which a space goes with
+    start = opens | (changed & ~after_blank)
+    enters = np.flatnonzero(~blank & after_blank & ~opens)
+    start[enters - 1] = True
+    start[enters[kind[enters - 1] == BLANK]] = True
+    marks = np.flatnonzero((data == 0x27) & start)
+    marks = marks[marks + 1 < n]
+    marks = marks[~opens[marks + 1]]
+    short = marks[np.isin(data[marks + 1], np.frombuffer(_ONE, np.uint8))]
+    start[short + 1] = False
+    start[short[short + 2 < n] + 2] = True
+    pairs = marks[marks + 2 < n]
+    pairs = pairs[~opens[pairs + 2]]
+    long = pairs[np.logical_or.reduce([(data[pairs + 1] == a) & (data[pairs + 2] == b) for a, b in _TWO])]
+    start[long + 1] = False
+    start[long[long + 3 < n] + 3] = True
+    odd = kind == ODD
+    odd[:-1] |= ((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))) | ((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    if odd.any():
+        for r in np.unique(np.searchsorted(rows, np.flatnonzero(odd), side="right") - 1).tolist():
+            start[rows[r] + 1 : rows[r + 1]] = False
+    return np.flatnonzero(start)
+
+
+@functools.lru_cache(maxsize=4)
+def _plain_byte_level(path: str) -> bool:
+    """Whether the file's pre-tokenizer is the byte-level pattern alone, so that matches encode independently."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre = t.get("pre_tokenizer") or {}
+    specials = {a["content"] for a in t.get("added_tokens", [])}
+    return not t.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(s.startswith("<|") for s in specials)
+
+
+class ColumnEncoder:
+    """Ids of Arrow text columns: the library encodes each distinct pre-token once, and rows are put together."""
+
+    def __init__(self, path: str | None = None):
+        self.path = path or default_path()
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.known.clear()
+            for i, ids in zip(missing, encode((words[i].decode("utf-8", "surrogatepass") for i in missing), self.path), strict=True):
+                found[i] = ids.tobytes()
+                if len(words[i]) <= 64:
+                    self.known[words[i]] = found[i]
+        return found
+
+    def _part(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = pretoken_starts(data, rows)
+        edges = np.append(starts, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        which = words.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        each = size[which]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        out = flat[np.repeat(first[which] - ends[:-1], each) + np.arange(ends[-1])]
+        return out, ends[np.searchsorted(starts, rows)]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """uint32 ids of each row, as encode() gives them."""
+        if not _plain_byte_level(self.path):
+            yield from encode((t.as_py() for t in column), self.path)
+            return
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        if not len(column):
+            return
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        body = column.buffers()[2]
+        data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(column):
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + COLUMN_BYTES, side="right")) - 1)
+            lo, hi = int(offsets[row]), int(offsets[stop])
+            if hi - lo > 4 * COLUMN_BYTES:  # one very long text
+                yield from encode([data[lo:hi].tobytes().decode()], self.path)
+            else:
+                ids, ends = self._part(np.ascontiguousarray(data[lo:hi]), offsets[row : stop + 1] - lo) if hi > lo else (np.zeros(0, np.uint32), np.zeros(stop - row + 1, int))
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield ids[a:b]
+            row = stop
