@@ -26,9 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes that a file of an intermediate table should have, by the planner's estimate, if there are enough for all cores.
+FILE_BYTES, TASKS_A_CORE = 16 << 20, 4
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df in no more partitions than give each core TASKS_A_CORE of them or a file FILE_BYTES, so that a small table
+    is not written as hundreds of tiny files; a large one stays as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)) if size < 1 << 44 else 1 << 30)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends in files that every executor
     sees, so a lost executor costs a re-read, and later readers prune columns."""
     path = f"{shared_dir(df.sparkSession)}/factloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
