@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stands for a null id where rows are put in order: nulls come first ascending, last descending.
-NULL_KEY = -(2**63)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from factloom.sources.tables import materialize, shared_dir, table
 
+__all__ = ["NULL_KEY", "bucket_of", "exclusive_sums", "materialize", "partitions_for", "range_bounds", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.conf.get("factloom.shared.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="factloom-")
-            spark.conf.set("factloom.shared.dir", named)
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends in replicated files,
-    so a lost executor costs a re-read, and later readers prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Stands for a null id where rows are put in order: nulls come first ascending, last descending.
+NULL_KEY = -(2**63)
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:

@@ -83,9 +83,10 @@ def links(classes: DataFrame, n: int, cosine: float = COSINE, seed: int = 11) ->
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        t = pa.Table.from_batches(parts)
         cell, side, of = t.column("cell").to_numpy(), t.column("side").to_numpy(), t.column("table").to_numpy()
         node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
         body, code = t.column("vector").combine_chunks(), t.column("codes").combine_chunks()

@@ -65,7 +65,7 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 14, max_cells: int = 6144) -> DataFrame:
+def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 11, max_cells: int = 6144) -> DataFrame:
     """docs with columns __shard (0 to n_shards - 1) and __slot (gapless from 0 in each shard): a uniformly
     random arrangement in which shard sizes differ by one at most.
 
