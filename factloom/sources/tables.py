@@ -33,7 +33,7 @@ FILE_BYTES, TASKS_A_CORE = 16 << 20, 4
 def compact(df: DataFrame) -> DataFrame:
     """df in no more partitions than give each core TASKS_A_CORE of them or a file FILE_BYTES, so that a small table
     is not written as hundreds of tiny files; a large one stays as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)) if size < 1 << 44 else 1 << 30)
 
 
