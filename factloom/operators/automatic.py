@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import casefold, squeezed
@@ -24,10 +24,13 @@ OFFER_CURRENCIES = ("USD", "EUR", "GBP", "INR")
 MOST_FACTS, MOST_CLAIMS, MOST_NAMES = 60, 250, 12
 
 CLAIM = ["page_key", "grp", "key", "label", "value", "currency", "unit", "billing_period", "encoding", "locator", "excerpt", "pos"]
-_NONE = F.lit(None).cast("string")
 
 
-def _pos(source: int, *parts: str | F.Column) -> F.Column:
+def _none(name: str) -> Column:
+    return F.lit(None).cast("string").alias(name)
+
+
+def _pos(source: int, *parts: str | Column) -> Column:
     """Place of a claim: its source, then up to four numbers within it."""
     own = [F.lit(source), *(F.col(p) if isinstance(p, str) else p for p in parts)]
     own += [F.lit(0)] * (6 - len(own))
@@ -55,7 +58,7 @@ def main_entities(nodes: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def entity_claims(entities: DataFrame) -> DataFrame:
-    def has(*names: str) -> F.Column:
+    def has(*names: str) -> Column:
         return F.arrays_overlap("types", F.array(*map(F.lit, names)))
 
     grp = F.when(has("article", "newsarticle", "blogposting"), "Article").when(has("product", "softwareapplication", "webapplication"), "Product").otherwise("Organization")
@@ -64,24 +67,24 @@ def entity_claims(entities: DataFrame) -> DataFrame:
     place = F.concat(F.col("root_idx").cast("string"), F.lit(","), F.col("child_idx").cast("string"), F.lit(","))
     facts = own.withColumn("f", F.explode(order)).select("*", "f.*").withColumn("value", F.element_at("facts", F.col("key"))).where("value is not null")
     facts = facts.select(
-        "page_key", "grp", "key", "label", "value", _NONE.alias("currency"), _NONE.alias("unit"), _NONE.alias("billing_period"), _NONE.alias("encoding"),
+        "page_key", "grp", "key", "label", "value", _none("currency"), _none("unit"), _none("billing_period"), _none("encoding"),
         F.concat("path", F.lit("::auto-json("), place, "key", F.lit(")")).alias("locator"), F.col("value").alias("excerpt"), _pos(1, "node_id", "root_idx", "child_idx", "key_idx").alias("pos"),
     )
     offers = own.where("grp = 'Product'").withColumn("o", F.explode("offers")).where(F.col("o.price").isNotNull() & F.col("o.currency").isin(*OFFER_CURRENCIES))
     name = F.coalesce("o.name", F.concat(F.lit("Offer "), (F.col("o.idx") + 1).cast("string")))
     offers = offers.select(
-        "page_key", F.concat(F.lit("Offer: "), name).alias("grp"), F.lit("price").alias("key"), F.lit("Listed price").alias("label"), F.col("o.price").alias("value"), F.col("o.currency").alias("currency"), _NONE.alias("unit"),
-        _NONE.alias("billing_period"), F.when(F.col("o.price").contains("."), "decimal-string").otherwise("integer-string").alias("encoding"),
+        "page_key", F.concat(F.lit("Offer: "), name).alias("grp"), F.lit("price").alias("key"), F.lit("Listed price").alias("label"), F.col("o.price").alias("value"), F.col("o.currency").alias("currency"), _none("unit"),
+        _none("billing_period"), F.when(F.col("o.price").contains("."), "decimal-string").otherwise("integer-string").alias("encoding"),
         F.concat("path", F.lit("::auto-offer("), place, F.col("o.idx").cast("string"), F.lit(")")).alias("locator"), F.col("o.price").alias("excerpt"), _pos(1, "node_id", "root_idx", "child_idx", F.col("o.idx") + 4).alias("pos"),
     )
     return facts.unionByName(offers)
 
 
-def _plain(rows: DataFrame, source: int, grp: str, key: str | F.Column, label: str | F.Column) -> DataFrame:
+def _plain(rows: DataFrame, source: int, grp: str, key: str | Column, label: str | Column) -> DataFrame:
     """Claims of rows with node_id, path, value and excerpt."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     return rows.select(
-        "page_key", F.lit(grp).alias("grp"), lit(key).alias("key"), lit(label).alias("label"), "value", _NONE.alias("currency"), _NONE.alias("unit"), _NONE.alias("billing_period"), _NONE.alias("encoding"),
+        "page_key", F.lit(grp).alias("grp"), lit(key).alias("key"), lit(label).alias("label"), "value", _none("currency"), _none("unit"), _none("billing_period"), _none("encoding"),
         F.col("path").alias("locator"), "excerpt", _pos(source, "node_id").alias("pos"),
     )
 
@@ -185,7 +188,7 @@ def facts(claims: DataFrame, captures: DataFrame) -> DataFrame:
     wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("label"), F.lit(i).alias("i")) for i, (k, v) in enumerate(PAGE_LABELS.items())])
     missing = captures.select("page_key", F.explode(wanted).alias("w")).select("page_key", "w.*").join(found.where("grp = 'Page'").select("page_key", "key"), ["page_key", "key"], "left_anti")
     missing = missing.select(
-        "page_key", F.lit("Page").alias("grp"), "key", "label", _NONE.alias("variant"), F.lit("missing").alias("state"), *[_NONE.alias(c) for c in ("value", "currency", "unit", "billing_period", "encoding")],
+        "page_key", F.lit("Page").alias("grp"), "key", "label", _none("variant"), F.lit("missing").alias("state"), *[_none(c) for c in ("value", "currency", "unit", "billing_period", "encoding")],
         F.array().cast(found.schema["evidence"].dataType).alias("evidence"), F.array().cast(found.schema["alternatives"].dataType).alias("alternatives"), _pos(9, "i").alias("pos"),
     )
     every = found.unionByName(missing)
