@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Labelled rows that training uses at most: those of the smallest hashes.
 MAX_LABELLED = 16_000
 FEATURES = 4096
@@ -65,7 +67,7 @@ class Model:
             for raw in raw_words(text):
                 got = known.get(raw)
                 if got is None:
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                     got = known[raw] = tuple(f for f in word_features(raw) if f in weights)
                 if got:
@@ -91,11 +93,10 @@ def _swapped(words: set[str], rng: np.random.Generator) -> set[str] | None:
 
 
 class _Rows:
-    """Binary rows over the chosen features."""
+    """Binary rows over the chosen features, from lists of their numbers."""
 
-    def __init__(self, rows: list[set[str]], ids: dict[str, int]):
-        lists = [[ids[f] for f in sorted(r) if f in ids] for r in rows]
-        self.n, self.m = len(rows), len(ids)
+    def __init__(self, lists: list[list[int]], m: int):
+        self.n, self.m = len(lists), m
         self.at = np.repeat(np.arange(self.n), [len(x) for x in lists])
         self.col = np.array([c for x in lists for c in x], np.int64)
 
@@ -106,36 +107,12 @@ class _Rows:
         return np.bincount(self.col, r[self.at], self.m) if self.n else np.zeros(self.m)
 
 
-def fit(rows: list[tuple[set[str], int]], features: int = FEATURES, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 300, seed: int = 7) -> Model:
-    """Train on (raw words, label). `fairness` weighs the mean squared change of the linear score when the identity
-    terms of a row are swapped; 0 leaves the plain classifier. Without rows, or with one label only, the score
-    is next to 0 (or 1, if all labels are 1)."""
-    y = np.array([label for _, label in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Model(30.0 if len(y) and y[0] else -30.0)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label in rows:
-        seen[label].update(_features(words))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    worth = {}
-    for f in seen[1].keys() | seen[0].keys():
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= LEAST_ROWS:
-            p = (a + b) / len(y)
-            worth[f] = abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) + 1e-9) if p < 1 else 0.0
-    chosen = sorted(worth, key=lambda f: (-worth[f], f))[:features]
-    chosen += [t for t in sorted(_SWAPS) if t in worth and t not in set(chosen)]
-    ids = {f: i for i, f in enumerate(chosen)}
-    rng = np.random.default_rng(seed)
-    own, pairs = [], []
-    for words, _ in rows:
-        other = _swapped(words, rng)
-        if other is not None:
-            own.append(_features(words))
-            pairs.append(_features(other))
-    x, before, after = _Rows([_features(w) for w, _ in rows], ids), _Rows(own, ids), _Rows(pairs, ids)
-    w, bias = np.zeros(len(ids)), float(np.log(n1 / n0))
-    m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
+def optimise(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], m: int, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss plus `fairness` times the mean squared change of the linear score over
+    pairs (a row, the row with its identity terms swapped); fairness 0 leaves the plain classifier."""
+    x, before, after = _Rows(rows, m), _Rows([a for a, _ in pairs], m), _Rows([b for _, b in pairs], m)
+    w, bias = np.zeros(m), float(np.log(y.sum() / (len(y) - y.sum())))
+    first, second = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
         error = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -40, 40))) - y
         grad = x.back(error) / len(y) + ridge * w
@@ -143,10 +120,10 @@ def fit(rows: list[tuple[set[str], int]], features: int = FEATURES, fairness: fl
             gap = before.dot(w) - after.dot(w)
             grad += 2 * fairness * (before.back(gap) - after.back(gap)) / before.n
         g = np.append(grad, error.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model(float(bias), {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-6})
+    return w, float(bias)
 
 
 def fold(id_value: object) -> int:
@@ -157,26 +134,67 @@ def held_out(id_col: str) -> Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == HELD_OUT_FOLD
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on labelled rows outside the held-out fold, max_labelled at most; whole texts, nothing but texts.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, features: int = FEATURES, fairness: float = 1.0, all_folds: bool = False
+) -> Model:
+    """Fit on labelled rows outside the held-out fold (of all folds, if told so), max_labelled at most: those whose
+    ids have the smallest hashes. Whole texts count, and nothing but texts.
 
-    Of the rows only their distinct words come to the driver. Rows whose id or label is null are not used;
-    a document that is labelled twice counts once, as toxic if any label says so.
+    Executors count features by label and number each row's features; the driver gets the `features` that part
+    the labels best, and short lists of numbers. Rows whose id or label is null are not used; a document that is
+    labelled twice counts once, as toxic if any label says so. Without labelled rows, or with one label only, the
+    score is next to 0 (or 1, if all labels are 1).
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col("toxic").alias("__y")).where("__id is not null and __y is not null")
-    known = known.groupBy("__id").agg(F.max("__y").cast("int").alias("__y")).where(~held_out("__id"))
+    known = known.groupBy("__id").agg((F.max("__y") > 0).cast("int").alias("__y"))
+    known = known if all_folds else known.where(~held_out("__id"))
     some = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(some, "__id").select("__id", "__y", "__text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id").select("__id", "__y", "__text")  # max_labelled short rows at most
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [" ".join(sorted(raw_words(t.as_py()))) for t in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array(texts, pa.string())], ["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("__id").cast(pa.string()), b.column("__y"), pa.array(texts, pa.string())], ["id", "y", "words"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for y, w in zip(b.column("y").to_pylist(), b.column("words").to_pylist(), strict=True):
+                    seen[y].update(_features(w.split(" ")))
+                names = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["feature", "ones", "zeros"])
+
+    sample = materialize(rows.mapInArrow(words, "id string, y int, words string").repartition(16), "toxicity")
+    n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or n1 in (0, n):
+        return Model(30.0 if n and n1 else -30.0)
+    both = sample.mapInArrow(counts, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    rate = (F.col("ones") + F.col("zeros")) / n
+    both = both.where(F.col("ones") + F.col("zeros") >= LEAST_ROWS).withColumn("worth", F.abs(F.col("ones") / n1 - F.col("zeros") / (n - n1)) / F.sqrt(rate * (1 - rate) + 1e-9))
+    best = [r[0] for r in both.orderBy(F.desc("worth"), "feature").limit(features).select("feature").collect()]
+    ids = {f: i for i, f in enumerate(dict.fromkeys([*best, *sorted(_SWAPS)]))}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(own: set[str]) -> list[int]:
+            return sorted({ids[f] for f in _features(own) if f in ids})
 
-    kind = rows.schema["__id"].dataType.simpleString()
-    got = rows.mapInArrow(words, f"id {kind}, y int, words string").toArrow()
-    got = got.sort_by("id")
-    return fit([(set(w.split()), 1 if y else 0) for y, w in zip(got.column("y").to_pylist(), got.column("words").to_pylist(), strict=True)])
+        for b in batches:
+            lists, swaps = [], []
+            for key, w in zip(b.column("id").to_pylist(), b.column("words").to_pylist(), strict=True):
+                own = set(w.split(" "))
+                other = _swapped(own, np.random.default_rng([7, zlib.crc32(key.encode())]))
+                lists.append(of(own))
+                swaps.append(None if other is None else of(other))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(lists, kind), pa.array(swaps, kind)], ["id", "y", "own", "swapped"])
+
+    got = sample.mapInArrow(numbered, "id string, y int, own array<int>, swapped array<int>").toArrow().sort_by("id")
+    own, swapped = got.column("own").to_pylist(), got.column("swapped").to_pylist()
+    pairs = [(a, b) for a, b in zip(own, swapped, strict=True) if b is not None]
+    w, bias = optimise(own, got.column("y").to_numpy().astype(float), pairs, len(ids), fairness)
+    return Model(bias, {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-6})
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
