@@ -7,10 +7,11 @@ linear in the page: per-parent counters give ordinals, and texts are cut from on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 VOID = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
 UNSHOWN = {"script", "style", "noscript", "template", "svg", "head"}
 LONGEST = 5_001
+LONGEST_SOURCE = 4_000
 _HIDING = re.compile(r"(?:^|;)(?:display:none|visibility:hidden|opacity:0(?:\.0+)?)(?:!important)?(?:;|$)")
 _SPACE = re.compile(r"\s+")
 
@@ -51,7 +53,7 @@ class _Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None, node_id: int, at: int):
         self.tag, self.attrs, self.parent, self.node_id, self.last_id = tag, attrs, parent, node_id, node_id
         self.counts: dict[str, int] = {}
-        self.children: list[str | None] = []  # strings as they are; None for anything else
+        self.children: list[str | tuple[str, str] | _Node] = []  # strings, (kind, text) of comments and the like, elements
         self.first_piece = self.last_piece = at
         if parent is None:
             self.depth, self.hidden, self.unshown, self.path = 0, False, -1, ""
@@ -83,7 +85,7 @@ class _Tree(HTMLParser):
 
     def _string(self, text: str, kind: str) -> None:
         top = self.stack[-1]
-        top.children.append(text if kind == "text" else None)
+        top.children.append(text if kind == "text" else (kind, text))
         if kind in ("text", "comment") and text.strip():
             self.pieces.append((text.strip(), kind == "comment", top.unshown, top.hidden))
 
@@ -109,12 +111,12 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._flush()
         parent = self.stack[-1]
-        parent.children.append(None)
         kept: dict[str, str] = {}
         for name, value in attrs:
             kept[name] = value if value is not None else ""
         node = _Node(tag, kept, parent, len(self.nodes) + 1, len(self.pieces))
         self.nodes.append(node)
+        parent.children.append(node)
         if tag not in VOID:
             self.stack.append(node)
             self.open[tag] = self.open.get(tag, 0) + 1
@@ -155,6 +157,56 @@ def _text(pieces: list[tuple[str, bool, int, bool]], node: _Node, comments: bool
     return " ".join(out)
 
 
+def _written(node: _Node) -> Iterator[str]:
+    """The element as HTML: attributes quoted, &, < and > escaped but in scripts and styles, void elements closed."""
+    todo: list[str | _Node] = [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            yield at
+            continue
+        attrs = "".join(f" {k}='{_escape(v)}'" if '"' in v and "'" not in v else f' {k}="{_escape(v).replace(chr(34), "&quot;")}"' for k, v in at.attrs.items())
+        if at.tag in VOID:
+            yield f"<{at.tag}{attrs}/>"
+            continue
+        yield f"<{at.tag}{attrs}>"
+        todo.append(f"</{at.tag}>")
+        for child in reversed(at.children):
+            if isinstance(child, str):
+                todo.append(child if at.tag in ("script", "style") else _escape(child))
+            elif isinstance(child, tuple):
+                todo.append(f"<!--{child[1]}-->" if child[0] == "comment" else f"<!{child[1]}>")
+            else:
+                todo.append(child)
+
+
+def _escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def source_of(html: str | None, locator: str | None, longest: int = LONGEST_SOURCE) -> str | None:
+    """The HTML of the node that a locator names (what follows "::" is ignored), cut at `longest` characters."""
+    path = (locator or "").split("::", 1)[0]
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.finish()
+    node = next((n for n in tree.nodes if n.path == path), None)
+    if node is None:
+        return None
+    out, size = [], 0
+    for part in _written(node):
+        out.append(part)
+        size += len(part)
+        if size >= longest:
+            break
+    return "".join(out)[:longest]
+
+
+@F.pandas_udf(T.StringType())
+def source_node(html: pd.Series, locator: pd.Series) -> pd.Series:
+    return pd.Series([source_of(h, loc) for h, loc in zip(html, locator, strict=True)], dtype=object)
+
+
 def parse(page_key: str | None, html: str | None) -> list[tuple]:
     """Rows of NODE for one page; a page that is null or has no element has none."""
     tree = _Tree()
@@ -165,7 +217,7 @@ def parse(page_key: str | None, html: str | None) -> list[tuple]:
         shown = " ".join(_text(tree.pieces, n, False).split())
         rows.append((
             page_key, n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), _text(tree.pieces, n, True)[:LONGEST], shown[:LONGEST],
-            _text(tree.pieces, n, False, True)[:LONGEST], n.children[0] if len(n.children) == 1 else None,
+            _text(tree.pieces, n, False, True)[:LONGEST], n.children[0] if len(n.children) == 1 and isinstance(n.children[0], str) else None,
         ))
     return rows
 

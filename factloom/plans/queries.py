@@ -16,7 +16,8 @@ QUERIES: dict[str, Query] = {
     "crawl_frontier": web.crawl_frontier, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
     "rt_label_scalar": web.rt_label_scalar, "rt_units_currency": web.rt_units_currency, "rt_reconcile_states": web.rt_reconcile_states, "rt_jsonld": web.rt_jsonld, "rt_plan_cards": web.rt_plan_cards,
     "rt_plan_columns": web.rt_plan_columns, "rt_offers": web.rt_offers, "rt_details_dl": web.rt_details_dl, "rt_details_tr": web.rt_details_tr, "rt_hidden": web.rt_hidden, "rt_verify_tampered": web.rt_verify_tampered,
-    "nearest_card": web.nearest_card,
+    "nearest_card": web.nearest_card, "source_nodes": web.source_nodes, "scoped_evidence": web.scoped_evidence, "common_scopes": web.common_scopes,
+    "case_summary": records.case_summary, "refusals": records.refusals, "failure_examples": records.failure_examples, "label_exports": records.label_exports,
     "field_correctness": records.field_correctness, "score_summary": records.score_summary, "score_by_category": records.score_by_category, "rows_correct": records.rows_correct, "bootstrap_ci": records.bootstrap_ci,
     "wrong_accepted": records.wrong_accepted, "conflict_bags": records.conflict_bags, "latency_percentiles": records.latency_percentiles, "agreement": records.agreement, "human_row_errors": records.human_row_errors,
     "supported_values": records.supported_values, "label_rules": records.label_rules, "gate_checks": records.gate_checks,
@@ -115,6 +116,20 @@ ORACLE_SQL: dict[str, str] = {
     "rt_hidden": "SELECT event_id, event_type AS value FROM events WHERE event_id % 6 = 5",
     "rt_verify_tampered": "SELECT c_custkey, c_mktsegment AS value FROM customer WHERE c_custkey % 5 NOT IN (0, 1)",
     "nearest_card": "SELECT s_suppkey, 'html:nth-of-type(1) > body:nth-of-type(1) > section:nth-of-type(1) > div:nth-of-type(1)' AS scope_path FROM supplier",
+    "source_nodes": "SELECT page_id, substr(regexp_extract(html, '<h1>.*?</h1>', 0, 's'), 1, 4000) AS source FROM pages",
+    "scoped_evidence": "SELECT page_id, page_id % 2 = 0 AS evidence_matches FROM pages",
+    "common_scopes": "SELECT page_id, 'article' AS tag FROM pages",
+    "case_summary": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 <> 1 THEN s_suppkey % 40 + 20.0 END AS r, CASE WHEN s_suppkey % 7 <> 0 THEN 96.0 END AS b FROM supplier)
+        SELECT count(*) AS cases, count(*) FILTER (k % 5 = 0) AS failures, count(*) FILTER (k % 4 = 0) AS access_failures, count(*) FILTER (k % 3 = 0) AS reviewed_rows_correct, count(r) AS reviewed_cases,
+        count(*) FILTER (r IS NOT NULL AND b IS NOT NULL) AS paired_cases, round_even(avg(k % 8 * 0.5), 4) AS mean_latency_seconds, round_even(count(*) FILTER (k % 5 = 0) / count(*), 4) AS failure_rate,
+        round_even(count(b) / (6 * count(b)), 4) AS manual_baseline_error_rate, round_even(sum(k % 2) / (6 * count(*)), 4) AS corrected_row_error_rate,
+        CAST(round_even(sum(b - r) / sum(b) FILTER (r IS NOT NULL), 4) AS DOUBLE) AS paired_assisted_time_reduction, CAST(sum(k % 5 + 3) AS BIGINT) AS total_http_requests_started FROM s""",
+    "refusals": """WITH r AS (SELECT s_suppkey AS case_id, concat_ws('|', CASE WHEN s_suppkey % 7 = 0 THEN 'no baseline' END, CASE WHEN s_suppkey % 3 = 1 THEN 'no review' END, CASE WHEN s_suppkey % 6 = 0 THEN 'no code revision' END,
+        CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 4 <> 0 THEN 'one reviewer' END, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 < 1 THEN 'agreement after capture' END) AS reasons FROM supplier) SELECT * FROM r WHERE reasons <> ''""",
+    "failure_examples": f"""WITH {_SCORED}, f AS (SELECT CAST(doc_id % 50 + 1 AS VARCHAR) AS case_id, bool_and(correct) AS ok FROM scored GROUP BY 1),
+        c AS (SELECT CAST(s_suppkey AS VARCHAR) AS case_id, CASE WHEN s_suppkey % 5 = 0 THEN 'TimeoutError' END AS failure FROM supplier)
+        SELECT case_id, failure, CAST(CASE WHEN NOT coalesce(ok, true) THEN 1 ELSE 0 END AS INT) AS wrong FROM c LEFT JOIN f USING (case_id) WHERE failure IS NOT NULL OR NOT coalesce(ok, true)""",
+    "label_exports": "SELECT user_id AS job_id, count(DISTINCT event_type) AS reviewed_fields, count(*) AS sessions FROM events GROUP BY 1",
     "field_correctness": f"WITH {_SCORED} SELECT doc_id, state, expected_state, correct FROM scored",
     "score_summary": f"WITH {_SCORED}, c AS (SELECT {_COUNTS} FROM scored) SELECT *, {_RATIOS} FROM c",
     "score_by_category": f"WITH {_SCORED}, c AS (SELECT category, grouping(category) = 1 AS is_total, {_COUNTS} FROM scored GROUP BY GROUPING SETS ((category), ())) SELECT *, {_RATIOS} FROM c",

@@ -111,6 +111,44 @@ def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.label_violations(rows).select("doc_id", F.array_join("violations", "|").alias("violations"))
 
 
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as measured cases; some measurements are missing by rule."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("case_id"), F.when(k % 2 == 0, "held_out").otherwise("development").alias("split"), F.col("s_name").alias("site"), (k % 8 * 0.5).alias("latency_seconds"), F.when(k % 5 == 0, "TimeoutError").alias("failure"),
+        F.when(k % 4 == 0, F.array(F.lit("ACCESS_DENIED"))).otherwise(F.array().cast("array<string>")).alias("access_failure_codes"), (k % 3 == 0).alias("reviewed_row_correct"), F.when(k % 3 != 1, k % 40 + 20.0).alias("review_seconds"),
+        F.when(k % 7 != 0, F.lit(96.0)).alias("manual_baseline_seconds"), F.when(k % 7 != 0, F.lit(1)).alias("manual_baseline_errors"), F.when(k % 7 != 0, F.lit(6)).alias("manual_baseline_fields"), (k % 2).cast("int").alias("corrected_row_errors"), F.lit(6).alias("corrected_row_fields"),
+        F.lit(4.0).alias("live_elapsed_seconds"), (k % 5).cast("int").alias("http_requests_started"), F.lit(3).alias("preflight_http_requests_started"), F.lit(0).alias("reviewer_verdict_errors"), F.lit(6).alias("reviewer_verdict_fields"), F.lit(30.0).alias("blind_label_seconds"),
+        F.when(k % 6 != 0, "rev").alias("code_revision"), (k % 4 == 0).alias("has_two_reviewers"), F.lit(1).alias("confirmed_at"), (k % 3).cast("int").alias("captured_at"),
+    )
+
+
+def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["cases", "failures", "access_failures", "reviewed_rows_correct", "reviewed_cases", "paired_cases", "mean_latency_seconds", "failure_rate", "manual_baseline_error_rate", "corrected_row_error_rate", "paired_assisted_time_reduction", "total_http_requests_started"]
+    return evaluate.case_summary(_cases(spark, sf_dir)).select(cols)
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that finalising would refuse, with the reasons."""
+    return evaluate.refusals(_cases(spark, sf_dir)).select("case_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+def failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _cases(spark, sf_dir).withColumn("case_id", F.col("case_id").cast("string"))
+    fields = scored_fields(spark, sf_dir).select(F.lit("f").alias("field"), "correct", (F.col("doc_id") % 50 + 1).cast("string").alias("case_id")).groupBy("case_id", "field").agg(F.bool_and("correct").alias("correct"))
+    return evaluate.failure_examples(cases, fields).select("case_id", "failure", F.size("wrong_fields").alias("wrong"))
+
+
+def label_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label envelopes of the review sessions as JSON."""
+    sessions = _sessions(spark, sf_dir)
+    fields = sessions.select("tenant", "job_id", "field_name").distinct().withColumn("state", F.lit("verified"))
+    reviews = sessions.select("tenant", "job_id", "field_name", F.col("event_id").alias("review_id"), F.col("event_id").alias("updated_at"), F.lit("correct").alias("verdict"))
+    pages = sessions.select("tenant", "job_id", F.col("event_id").alias("fetch_seq"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("snapshot_hash")).where("fetch_seq % 100 = 0")
+    out = store.label_export(fields, reviews, sessions, pages)
+    return out.select("job_id", F.get_json_object("envelope", "$.reviewed_fields").cast("bigint").alias("reviewed_fields"), F.coalesce(F.json_array_length(F.get_json_object("envelope", "$.review_sessions")), F.lit(0)).cast("bigint").alias("sessions"))
+
+
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The release gate over suppliers as sites and their parts' lines as fields."""
     split = F.when(F.col("s_suppkey") % 2 == 0, "held_out").otherwise("development").alias("split")

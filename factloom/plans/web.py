@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.dom import nodes
+from factloom.functions.dom import nodes, source_node
 from factloom.functions.urls import canonical_url, tracking_key
 from factloom.operators import automatic, candidates, crawl, plans, reconcile
 from factloom.operators.candidates import Field
@@ -283,3 +283,33 @@ def nearest_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_number().alias("s_suppkey"), F.col("scope_path"))
 
 
+
+
+def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HTML of each page's main heading, found again by its locator."""
+    captures, n = page_nodes(spark, sf_dir)
+    heads = candidates.page_facts(n).where("field = 'main_heading'").select("page_key", "locator")
+    return heads.join(captures.select("page_key", "html"), "page_key").select(_number().alias("page_id"), source_node("html", "locator").alias("source"))
+
+
+def scoped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's list items, as evidence, lie in a cited scope: the nav on even pages, the article on odd ones."""
+    from factloom.operators import evaluate
+
+    captures, n = page_nodes(spark, sf_dir)
+    key = captures.select("page_key", F.col("page_id").alias("case_id"), F.col("url").alias("source_url"), "snapshot_hash", "fetched_at")
+    items = n.where("tag = 'li'").select("page_key", F.col("path").alias("locator")).join(key, "page_key")
+    scopes = n.where("tag in ('nav', 'article')").select("page_key", "tag", F.col("path").alias("scope_locator")).join(key, "page_key").where("(case_id % 2 = 0) = (tag = 'nav')")
+    cols = ["case_id", "source_url", "snapshot_hash", "fetched_at"]
+    found = evaluate.in_scope(items.select(*cols, "locator"), scopes.select(*cols, "scope_locator"), ["case_id"])
+    return found.select(F.col("case_id").alias("page_id"), "evidence_matches")
+
+
+def common_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest node that contains both a page's main heading and its first paragraph."""
+    from factloom.operators import evaluate
+
+    _, n = page_nodes(spark, sf_dir)
+    pair = n.where("tag in ('h1', 'p')").groupBy("page_key").agg(F.min(F.when(F.col("tag") == "h1", F.col("node_id"))).alias("plan_id"), F.min(F.when(F.col("tag") == "p", F.col("node_id"))).alias("value_id"))
+    found = evaluate.common_scopes(pair.withColumn("claim_id", F.lit(0)), n)
+    return found.select(_number().alias("page_id"), F.col("common.tag").alias("tag"))
