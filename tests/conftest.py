@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -6,6 +7,7 @@ from pyspark.sql import SparkSession
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])  # for Python workers
 
 
 @pytest.fixture(scope="session")
