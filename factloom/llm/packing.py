@@ -197,21 +197,21 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId() if task else 0
-        seen = np.zeros(capacity + 1, np.int64)
-        encoder = tokens.ColumnEncoder(path)
+        seen = [0] * (capacity + 1)
+        encoder = tokens.column_encoder(path)
         narrow = np.uint16 if tokens.tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 out: list[list] = [[] for _ in names]
                 for doc_id, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("__text")), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    n = len(ids)
+                    whole_ids = np.append(ids, np.uint32(end_id))
+                    wide, slim = memoryview(whole_ids).cast("B"), memoryview(whole_ids.astype(narrow)).cast("B")
+                    n, size = len(whole_ids), slim.itemsize * len(slim) // len(whole_ids)
                     start, k = 0, 0
                     while start < n:
                         stop = start + ((n - start - 1) % capacity + 1)  # the first takes what is over whole pieces
-                        own = ids[start:stop]
-                        row = (doc_id, k, start, stop - start, zlib.crc32(own.astype("<u4").tobytes()), own.astype(narrow).tobytes(), part, int(seen[stop - start]))
+                        row = (doc_id, k, start, stop - start, zlib.crc32(wide[4 * start : 4 * stop]), bytes(slim[size * start : size * stop]), part, seen[stop - start])
                         seen[stop - start] += 1
                         for values, v in zip(out, row, strict=True):
                             values.append(v)
