@@ -16,11 +16,17 @@ class Lattice:
 
     def __init__(self, ranks: dict, most_pairs: int = 1_000_000):
         self.ranks, self.most_pairs = ranks, most_pairs
-        self._fits: dict = {}
-        lengths: dict = {}
+        self._index = {p: i for i, p in enumerate(ranks)}
+        self._fits: dict[int, bool] = {}
+        # the last three characters say which lengths a last piece can have; the last two, where no piece has those
+        self._lengths: dict = {}
         for p in ranks:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        self._lengths = {tail: sorted(own, reverse=True) for tail, own in lengths.items()}
+            self._lengths.setdefault(p[-3:], set()).add(len(p))
+        shorter = {t: {1, *([2] if t in ranks else [])} for t in {p[k : k + 2] for p in ranks for k in range(len(p) - 1)}}
+        for tail, own in self._lengths.items():
+            own |= shorter.get(tail[-2:], {1}) if len(tail) == 3 else {1}
+        self._shorter = {t: sorted(own, reverse=True) for t, own in shorter.items()}
+        self._lengths = {tail: sorted(own, reverse=True) for tail, own in self._lengths.items()}
 
     def merged(self, text) -> list:
         """Plain byte-pair merging, by rank and from the left; for short texts."""
@@ -36,20 +42,16 @@ class Lattice:
 
     def fits(self, a, b) -> bool:
         """Whether the pair weighs nothing: merging keeps a and b apart and makes both of their text."""
-        known = self._fits.get((a, b))
-        if known is None:
-            if len(self._fits) >= self.most_pairs:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merged(a + b) == [a, b]
-        return known
+        return self.merged(a + b) == [a, b]
 
     def walk(self, words: Iterable) -> Iterator[tuple]:
         """(word, last pieces by end) of each word, in sorted order: the trie of the words, depth first. The list
         is the walk's own and holds the current path: the last piece of every prefix, computed once for all
-        words that share it."""
-        ranks, fits, lengths = self.ranks, self.fits, self._lengths
+        words that share it. A character that is no piece stands alone: nothing merges with it."""
+        index, lengths, shorter, known, single = self._index, self._lengths, self._shorter, self._fits, (1,)
         last: list = [None]
-        before = b"" if isinstance(next(iter(ranks), b""), bytes) else ""
+        numbers: list[int] = [-1]
+        before = b"" if isinstance(next(iter(index), b""), bytes) else ""
         for word in sorted(words):
             n, shared = min(len(word), len(before)), 0
             if word[:n] == before[:n]:
@@ -57,17 +59,34 @@ class Lattice:
             else:
                 while word[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], numbers[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best = None
-                if end > 1:
-                    for size in lengths.get(word[end - 2 : end], ()):
-                        if size <= end:
-                            piece = word[end - size : end]
-                            if piece in ranks and (size == end or fits(last[end - size], piece)):
-                                best = piece
-                                break
-                last.append(best if best is not None else word[end - 1 : end])
+                best, number = word[end - 1 : end], -1
+                sizes = lengths.get(word[end - 3 : end]) if end > 2 else None
+                if sizes is None:
+                    sizes = shorter.get(word[end - 2 : end], single) if end > 1 else single
+                for size in sizes:
+                    if size > end:
+                        continue
+                    piece = word[end - size : end]
+                    i = index.get(piece)
+                    if i is None:
+                        continue
+                    a = numbers[end - size]
+                    if a >= 0 and size < end:
+                        fits = known.get(a << 24 | i)
+                        if fits is None:
+                            if len(known) >= self.most_pairs:
+                                known.clear()
+                            fits = known[a << 24 | i] = self.fits(last[end - size], piece)
+                        if not fits:
+                            continue
+                    best, number = piece, i
+                    break
+                else:
+                    number = index.get(best, -1)
+                last.append(best)
+                numbers.append(number)
             before = word
             yield word, last
 

@@ -13,6 +13,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lattice import Lattice
 
@@ -27,7 +29,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 CHUNK_CHARS = 1 << 21
 
 
@@ -93,7 +95,7 @@ class Transducer:
         self.words = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]") if not any(c in p for p in self.ids for c in "\n\t") else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that span words are not compiled")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _arc(self, piece: str) -> list[int]:
         """Output of an arc: a piece's id, or the ids of its bytes where it is none."""
@@ -105,12 +107,13 @@ class Transducer:
             self.known.clear()
         path, arc = Lattice.path, self._arc
         for word, last in self.lattice.walk(words):
-            self.known[word] = tuple(i for p in path(last, len(word)) for i in arc(p))
+            self.known[word] = array("i", [i for p in path(last, len(word)) for i in arc(p)]).tobytes()
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """int32 ids of each text."""
         waiting: list[list[str]] = []
         size = 0
         for text in texts:
@@ -121,17 +124,17 @@ class Transducer:
                 waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, waiting: list[list[str]]) -> Iterator[list[int]]:
+    def _flush(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
         for words in waiting:
             try:
-                found = [i for w in words for i in self.known[w]]
+                found = b"".join(map(self.known.__getitem__, words))
             except KeyError:
                 self._learn({w for own in waiting for w in own if w not in self.known})
                 missing = {w for w in words if w not in self.known}
                 if missing:
                     self._learn(missing)
-                found = [i for w in words for i in self.known[w]]
-            yield found
+                found = b"".join(map(self.known.__getitem__, words))
+            yield np.frombuffer(found, np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: bytes are gathered to UTF-8 (what is none becomes U+FFFD), marks to spaces, and the
@@ -171,7 +174,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", path: str | None
     """encoded with a column `text`, decoded from the ids; null ids give null."""
     path = path or default_path()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decoded(ids):
         own = transducer(path)
         return ids.map(lambda x: None if x is None else own.decode(x))
@@ -194,8 +197,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts = [t.as_py() for t in b.column("__text")]
                 out = []
                 for text, ids in zip(texts, own.encode(texts), strict=True):
-                    back = own.decode(ids)
-                    out.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
+                    back = own.decode(ids.tolist())
+                    out.append((len(ids), zlib.crc32(ids.astype("<u4")), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names)
 
