@@ -17,9 +17,9 @@ from .common import NULL_KEY, bucket_of, exclusive_sums, materialize, partitions
 
 MAGIC = b"RPG1"
 #: Tokens after which a file is closed.
-FILE_TOKENS = 1 << 20
-ROUNDS = 10
-RULES_A_ROUND = 4096
+FILE_TOKENS = 1 << 21
+ROUNDS = 4
+RULES_A_ROUND = 16384
 LEAST_USES = 6
 _HASH_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,15 +63,20 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, n
         at = _slots(chosen)[::-1]  # of two in one slot the more frequent stays
         table[at], name[at] = chosen[::-1], np.arange(len(chosen))[::-1]
         hits = np.flatnonzero((table[slots] == codes) & inside)
-        opens = np.concatenate(([True], np.diff(hits) > 1))
-        run = np.maximum.accumulate(np.where(opens, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]  # neighbours overlap: every second one of a row
-        used, which = np.unique(name[slots[hits]], return_inverse=True)
-        if not len(hits):
+        places = np.arange(len(hits))
+        opens = np.zeros(len(hits), np.int64)
+        follows = np.flatnonzero(np.diff(hits) > 1) + 1
+        opens[follows] = follows
+        hits = hits[(places - np.maximum.accumulate(opens)) & 1 == 0]  # neighbours overlap: every second one of a row
+        own = name[slots[hits]]
+        used = np.flatnonzero(np.bincount(own, minlength=len(chosen)))
+        if not len(used):
             break
+        order = np.zeros(len(chosen), np.uint64)
+        order[used] = np.arange(free, free + len(used), dtype=np.uint64)
         rules.append(np.stack((chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         starts.append(free)
-        seq[hits] = which.astype(np.uint64) + np.uint64(free)
+        seq[hits] = order[own]
         free += len(used)
         last[hits] |= last[hits + 1]
         keep = np.ones(len(seq), bool)
@@ -190,7 +195,7 @@ def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = max(tokens.tokenizer(path).get_vocab_size(), end_id + 1)
-        encoder = tokens.ColumnEncoder(path)
+        encoder = tokens.column_encoder(path)
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         n, number, open_bucket = 0, 0, None
