@@ -17,7 +17,7 @@ from .common import NULL_KEY, bucket_of, exclusive_sums, materialize, partitions
 
 MAGIC = b"RPG1"
 #: Tokens after which a file is closed.
-FILE_TOKENS = 1 << 21
+FILE_TOKENS = 3 << 19
 ROUNDS = 4
 RULES_A_ROUND = 16384
 LEAST_USES = 6
@@ -25,44 +25,50 @@ _HASH_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Stands where no pair may be: at the end of a document.
+_NO_PAIR = np.uint64(2**64 - 1)
+
+
 def _slots(codes: np.ndarray) -> np.ndarray:
-    return ((codes * _MIX) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+    return ((codes * _MIX) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
 
 
 def _frequent(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The most frequent pairs, RULES_A_ROUND at most, each with LEAST_USES or more occurrences: exact counts, but
     only of pairs whose hash slot is frequent enough to matter."""
     load = np.bincount(slots, minlength=1 << _HASH_BITS)
-    top = np.partition(load, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]
-    some = np.sort(codes[(load >= max(LEAST_USES, top))[slots]])
-    if not len(some):
-        return some
-    first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+    by_load = np.bincount(np.minimum(load, 255), minlength=256)
+    enough = np.flatnonzero(np.cumsum(by_load[::-1]) >= 2 * RULES_A_ROUND)
+    least = max(LEAST_USES, 255 - int(enough[0]) if len(enough) else 0)
+    some = np.sort(codes[(load >= least)[slots]])
+    first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
     uses = np.diff(np.append(first, len(some)))
-    order = np.argsort(-uses, kind="stable")[:RULES_A_ROUND]
-    return some[first[order[uses[order] >= LEAST_USES]]]
+    order = np.argsort(-uses, kind="stable")[: RULES_A_ROUND + 1]
+    chosen = some[first[order[uses[order] >= LEAST_USES]]]
+    return chosen[chosen != _NO_PAIR][:RULES_A_ROUND]
 
 
-def grammar(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(symbols, last, rules, first rule of each round): frequent adjacent pairs become nonterminals from `base` on,
-    round after round; no pair spans the end of a document (`last`)."""
-    seq, last = ids.astype(np.uint64), last.copy()
+def grammar(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(symbols, ends, rules, first rule of each round): frequent adjacent pairs become nonterminals from `base` on,
+    round after round; no pair spans the end of a document (`ends`: places of their last symbols, ascending)."""
+    seq, ends = ids.astype(np.uint64), ends.copy()
     rules: list[np.ndarray] = []
     starts: list[int] = []
     free = base
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        codes = seq[:-1] << np.uint64(32) | seq[1:]
-        inside = ~last[:-1]
+        codes = seq[:-1] << np.uint64(32)
+        codes |= seq[1:]
+        codes[ends[ends < len(codes)]] = _NO_PAIR
         slots = _slots(codes)
-        chosen = _frequent(codes[inside], slots[inside])
+        chosen = _frequent(codes, slots)
         if not len(chosen):
             break
-        table, name = np.full(1 << _HASH_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << _HASH_BITS, np.int64)
+        table, name = np.full(1 << _HASH_BITS, _NO_PAIR - np.uint64(1), np.uint64), np.zeros(1 << _HASH_BITS, np.int64)
         at = _slots(chosen)[::-1]  # of two in one slot the more frequent stays
         table[at], name[at] = chosen[::-1], np.arange(len(chosen))[::-1]
-        hits = np.flatnonzero((table[slots] == codes) & inside)
+        hits = np.flatnonzero(table[slots] == codes)
         places = np.arange(len(hits))
         opens = np.zeros(len(hits), np.int64)
         follows = np.flatnonzero(np.diff(hits) > 1) + 1
@@ -78,11 +84,11 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, n
         starts.append(free)
         seq[hits] = order[own]
         free += len(used)
-        last[hits] |= last[hits + 1]
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq.astype(np.uint32), last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), starts
+        seq = seq[keep]
+        ends = ends - np.searchsorted(hits, ends)  # each pair before an end, or at it, took a symbol away
+    return seq.astype(np.uint32), ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), starts
 
 
 def _expansions(rules: np.ndarray, base: int, starts: list[int]) -> np.ndarray:
@@ -98,11 +104,10 @@ def write_file(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> b
     of three or four bytes."""
     n_tokens = np.array([len(x) for x in ids], np.uint64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    last = np.zeros(len(flat), bool)
-    last[np.cumsum(n_tokens.astype(np.int64))[n_tokens > 0] - 1] = True
+    last = np.cumsum(n_tokens.astype(np.int64))[n_tokens > 0] - 1
     symbols, ends, rules, starts = grammar(flat, last, base)
     stops = np.zeros(len(ids), np.int64)
-    stops[n_tokens > 0] = np.flatnonzero(ends) + 1
+    stops[n_tokens > 0] = ends + 1
     first = np.concatenate(([0], np.maximum.accumulate(stops) if len(stops) else stops)).astype(np.uint64)
     width = 3 if base + len(rules) < 1 << 24 else 4
     body = symbols.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
