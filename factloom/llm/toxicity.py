@@ -17,7 +17,7 @@ from .common import materialize
 
 #: Labelled rows that training uses at most: those of the smallest hashes.
 MAX_LABELLED = 16_000
-FEATURES = 4096
+FEATURES = 1024
 PREFIXES = (4, 5, 6)
 LEAST_ROWS = 4
 THRESHOLD = 0.3
