@@ -62,9 +62,9 @@ def page_fact_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four page facts of every page: extracted, verified against a second parse of the retained bytes, and
     reconciled to a state and value."""
     captures, n = page_nodes(spark, sf_dir)
-    raw = candidates.candidates(n, QUICK)
+    raw = materialize(candidates.candidates(n, QUICK), "candidates")
     again = captures.withColumn("d", decode_html("raw", "content_type")).select("page_key", F.col("d.text").alias("html"))
-    good = reconcile.verified(raw, candidates.candidates(nodes(again), QUICK))
+    good = reconcile.verified(raw, candidates.candidates(materialize(nodes(again), "nodes-again"), QUICK))
     place = {"job_id": F.col("page_key"), "page_seq": F.lit(0)}
     jobs = captures.select(F.col("page_key").alias("job_id"), F.lit(False).alias("blocked"))
     fields = candidates.per_field(jobs, QUICK)
@@ -115,7 +115,8 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def automatic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found and missing facts of every page, with the overview's state."""
     captures, n = page_nodes(spark, sf_dir)
-    facts = materialize(automatic.facts(automatic.all_claims(n, captures), captures), "facts")
+    claims = materialize(automatic.all_claims(n, captures), "claims")
+    facts = materialize(automatic.facts(claims, captures), "facts")
     shown = automatic.overview(facts, captures).select("page_key", F.col("state").alias("overview_state"), F.col("text").alias("overview_text"))
     return facts.join(shown, "page_key").select(_number().alias("page_id"), F.col("fact_idx").cast("int").alias("fact_idx"), "grp", "key", "label", "state", "value", "overview_state", "overview_text")
 
