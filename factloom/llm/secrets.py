@@ -26,6 +26,11 @@ SENSITIVE = re.compile(
 )
 REACH = 96
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+#: What is left of an identifier after its sensitive word, with a name up to '='; and the value that follows in the same run.
+NAME = re.compile(r"[A-Za-z0-9_]*(?:[A-Za-z_.-]*=)?")
+VALUE = re.compile(r"[A-Za-z0-9+/_=.-]*")
+#: An '=' inside a run, not the padding at its end.
+EQUALS = re.compile(r"=+(?=[^=])")
 #: Characters of text on either side that prime the compressor.
 AROUND = 512
 #: Compressed bytes that a character must add.
@@ -70,25 +75,42 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _novel(text: str, base: list[Span], start: int, end: int) -> Span | None:
+    """The run from start to end without its outer marks, if it is a candidate that does not compress."""
+    value = text[start:end].strip(".=-/_")
+    start += text[start:end].find(value)
+    end = start + len(value)
+    if len(value) < 16 or value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return None
+    if any(s.start < end and start < s.end for s in base):
+        return None
+    fresh = marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= NOVEL * len(value)
+    return Span(start, 3, end) if fresh else None
+
+
+def _parts(text: str, base: list[Span], start: int, end: int) -> list[Span]:
+    """The whole run, if it is novel; otherwise what is novel between its '='."""
+    if whole := _novel(text, base, start, end):
+        return [whole]
+    inner = [m.end() for m in EQUALS.finditer(text, start, end)]
+    return [s for a, b in zip([start, *inner], [*inner, end], strict=True) if (s := _novel(text, base, a, b))] if inner else []
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Strings of letters and digits within REACH of a sensitive word that no base span touches and that the
-    dictionary and the text around do not compress."""
+    dictionary and the text around do not compress. What follows the word's identifier in the same run, as in
+    SECRET_KEY=value, is such a string, too."""
     found: list[Span] = []
     done = 0
     for word in SENSITIVE.finditer(text):
+        if word.end() >= done and (end := VALUE.match(text, word.end()).end()) > word.end():
+            found += _parts(text, base, NAME.match(text, word.end()).end(), end)
+            done = end
         for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 256)):
             if m.start() > word.end() + REACH:
                 break
-            value = m[0].strip(".=-/_")
-            start = m.start() + m[0].find(value)
-            end = start + len(value)
             done = max(done, m.end())
-            if len(value) < 16 or value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-                continue
-            if any(s.start < end and start < s.end for s in base):
-                continue
-            if marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= NOVEL * len(value):
-                found.append(Span(start, 3, end))
+            found += _parts(text, base, m.start(), m.end())
     return found
 
 

@@ -133,6 +133,16 @@ def test_novelty_reports_what_does_not_compress():
         assert secrets.scan(clean)[1] == []
 
 
+def test_unquoted_values_are_candidates():
+    key = "wJalr7XUtnFEMIqK7MDENGbPxRfiCYzEXAk9Lq2T"
+    for line in (f"AWS_SECRET_ACCESS_KEY={key}", f"PRIVATE_KEY={key}", f"export SIGNING_KEY={key}", f"access_key={key}", f"client-secret-access-key={key}", f"bearer token: USER_SETTINGS_FILE={key}"):
+        text = f"# settings of the service\n{line}\nDEBUG=1\n"
+        assert key not in secrets.redact(text, secrets.scan(text)[1]), line
+    only = f"x\nPRIVATE_KEY={key}\n"
+    assert [only[s.start : s.end] for s in secrets.scan(only)[1]] == [key]
+    assert secrets.scan("PRIVATE_KEY=your_api_key_here_1234567890 SIGNING_KEY=${SIGNING_KEY_1}")[1] == []
+
+
 def test_secret_scan_of_odd_rows(odd):
     got = secrets.scan_documents(odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r.spans == "" for r in got) and {r.redacted for r in got if r.id == 1} == {None}
