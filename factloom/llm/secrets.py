@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,8 +34,11 @@ VALUE = re.compile(r"[A-Za-z0-9+/_=.-]*")
 EQUALS = re.compile(r"=+(?=[^=])")
 #: Characters of text on either side that prime the compressor.
 AROUND = 512
-#: Compressed bytes that a character must add.
+#: Part that a character must add of the bytes that its alphabet allows.
 NOVEL = 0.8
+#: Kinds of characters, and how many a random string draws from; hexadecimal strings draw from fewer letters.
+CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26))
+HEXADECIMAL = re.compile("[0-9a-f]+|[0-9A-F]+")
 
 #: Text that secrets are measured against: what identifiers and code are usually made of.
 DICTIONARY = (
@@ -66,6 +70,17 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(z.compress((before + candidate + after).encode("utf-8", "surrogatepass"))) - len(z.compress((before + after).encode("utf-8", "surrogatepass")))
 
 
+def least_bytes(value: str) -> float:
+    """Compressed bytes that a novel value must add: NOVEL of its alphabet's entropy where its digits and letters are
+    as mixed as in even draws from that alphabet (each kind half its share or more), NOVEL of a byte a character
+    elsewhere, as in words with a number."""
+    letters = 6 if HEXADECIMAL.fullmatch(value) else 26
+    kinds = [(len(found), min(size, letters)) for pattern, size in CLASSES if (found := pattern.findall(value))]
+    symbols = sum(size for _, size in kinds) + len({c for c in value if not c.isalnum()})
+    mixed = all(n >= int(0.5 * len(value) * size / symbols) for n, size in kinds)
+    return NOVEL * len(value) * (math.log2(symbols) / 8 if mixed else 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """What the patterns match, by start and then by kind; code points, end exclusive."""
     found = [Span(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -84,7 +99,7 @@ def _novel(text: str, base: list[Span], start: int, end: int) -> Span | None:
         return None
     if any(s.start < end and start < s.end for s in base):
         return None
-    fresh = marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= NOVEL * len(value)
+    fresh = marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= least_bytes(value)
     return Span(start, 3, end) if fresh else None
 
 

@@ -143,6 +143,20 @@ def test_unquoted_values_are_candidates():
     assert secrets.scan("PRIVATE_KEY=your_api_key_here_1234567890 SIGNING_KEY=${SIGNING_KEY_1}")[1] == []
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz"])
+def test_small_alphabets_are_novel(letters):
+    rng = np.random.default_rng(4)
+    code = "def load(path, settings):\n    return settings.get(path) or default_settings(path)\n"
+    for n in (40, 64, 128, 300) * 10:
+        key = "".join(rng.choice(list(letters), n))
+        if secrets.HEX.search(key):
+            continue
+        text = f"{code}Bearer token is {key} {code}"
+        assert key not in secrets.redact(text, secrets.scan(text)[1])
+    words = "get_settings_of_default_path_v2"
+    assert secrets.least_bytes(words) == secrets.NOVEL * len(words)
+
+
 def test_secret_scan_of_odd_rows(odd):
     got = secrets.scan_documents(odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r.spans == "" for r in got) and {r.redacted for r in got if r.id == 1} == {None}
