@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -26,6 +28,10 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 REACH = 96
+#: What may stand between the lines or parts of one secret: line ends, quotes and other marks, but no words.
+BETWEEN = re.compile(r"(?:\\[nrt]|[^\w\\]){0,96}")
+#: Bounds of a private key in PEM form; all between them is one secret.
+BOUND = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 #: What is left of an identifier after its sensitive word, with a name up to '='; and the value that follows in the same run.
 NAME = re.compile(r"[A-Za-z0-9_]*(?:[A-Za-z_.-]*=)?")
@@ -90,43 +96,96 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _novel(text: str, base: list[Span], start: int, end: int) -> Span | None:
-    """The run from start to end without its outer marks, if it is a candidate that does not compress."""
+class _Taken:
+    """Spans by start, for finding those that touch a range without going through all."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [s.start for s in self.spans]
+        self.ends = list(itertools.accumulate((s.end for s in self.spans), max))
+
+    def touching(self, start: int, end: int) -> list[Span]:
+        last = bisect.bisect_left(self.starts, end)
+        return [s for s in self.spans[bisect.bisect_right(self.ends, start, hi=last) : last] if s.end > start]
+
+
+def _outside(spans: list[Span], start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a range that spans, by start, leave."""
+    parts = []
+    for s in spans:
+        if s.start > start:
+            parts.append((start, s.start))
+        start = max(start, s.end)
+    return [*parts, (start, end)] if start < end else parts
+
+
+def _novel(text: str, taken: _Taken, start: int, end: int) -> list[Span]:
+    """The run from start to end without its outer marks, if it is a candidate that does not compress. Of a run with
+    an access key or hexadecimal span inside, what that leaves: all if the run has no marks, novel parts otherwise."""
     value = text[start:end].strip(".=-/_")
     start += text[start:end].find(value)
     end = start + len(value)
     if len(value) < 16 or value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-        return None
-    if any(s.start < end and start < s.end for s in base):
-        return None
-    fresh = marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= least_bytes(value)
-    return Span(start, 3, end) if fresh else None
-
-
-def _parts(text: str, base: list[Span], start: int, end: int) -> list[Span]:
+        return []
+    touching = taken.touching(start, end)
+    if any(KINDS[s.rank] in ("assign", "novel") for s in touching):
+        return []
+    rest = _outside(touching, start, end)
+    if touching and not value.isalnum():
+        return [s for a, b in rest for s in _novel(text, taken, a, b)]
+    if rest and marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= least_bytes(value):
+        return [Span(a, 3, b) for a, b in rest]
+    return []
+
+
+def _parts(text: str, taken: _Taken, start: int, end: int) -> list[Span]:
     """The whole run, if it is novel; otherwise what is novel between its '='."""
-    if whole := _novel(text, base, start, end):
-        return [whole]
+    if whole := _novel(text, taken, start, end):
+        return whole
     inner = [m.end() for m in EQUALS.finditer(text, start, end)]
-    return [s for a, b in zip([start, *inner], [*inner, end], strict=True) if (s := _novel(text, base, a, b))] if inner else []
+    return [s for a, b in zip([start, *inner], [*inner, end], strict=True) for s in _novel(text, taken, a, b)] if inner else []
+
+
+def key_spans(text: str, base: list[Span]) -> list[Span]:
+    """Bodies of PEM private keys, from BEGIN to END, outside the base spans."""
+    found: list[Span] = []
+    taken, begin = _Taken(base), None
+    for bound in BOUND.finditer(text):
+        if bound[1] == "BEGIN":
+            begin = bound.end()
+        elif begin is not None:
+            start = BETWEEN.match(text, begin, bound.start()).end()
+            body = text[start : bound.start()].rstrip()
+            value = "".join(CANDIDATE.findall(body))
+            if value and marginal_bytes("", value, "") >= least_bytes(value):
+                found += [Span(a, 3, b) for a, b in _outside(taken.touching(start, start + len(body)), start, start + len(body))]
+            begin = None
+    return found
 
 
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Strings of letters and digits within REACH of a sensitive word that no base span touches and that the
-    dictionary and the text around do not compress. What follows the word's identifier in the same run, as in
-    SECRET_KEY=value, is such a string, too."""
-    found: list[Span] = []
+    dictionary and the text around do not compress, each to its end in the text; and bodies of private keys. What
+    follows the word's identifier in the same run, as in SECRET_KEY=value, is such a string, too. A secret brings
+    the string that adjoins it, as the next line of a key does, within reach."""
+    found = key_spans(text, base)
+    taken = _Taken(base + found)
     done = 0
     for word in SENSITIVE.finditer(text):
-        if word.end() >= done and (end := VALUE.match(text, word.end()).end()) > word.end():
-            found += _parts(text, base, NAME.match(text, word.end()).end(), end)
-            done = end
-        for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 256)):
-            if m.start() > word.end() + REACH:
+        reach, start, end = word.end() + REACH, word.end(), word.end()
+        if word.end() >= done:
+            start, end = NAME.match(text, word.end()).end(), VALUE.match(text, word.end()).end()
+        while True:
+            if start < end:
+                own = _parts(text, taken, start, end)
+                found += own
+                if own or taken.touching(start, end):
+                    reach = max(reach, BETWEEN.match(text, end).end())
+            done = max(done, end)
+            if not (m := CANDIDATE.search(text, done, min(len(text), reach + 16))):
                 break
-            done = max(done, m.end())
-            found += _parts(text, base, m.start(), m.end())
-    return found
+            start, end = m.start(), VALUE.match(text, m.start()).end()
+    return sorted(found)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
