@@ -144,7 +144,7 @@ def label_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
     fields = sessions.select("tenant", "job_id", "field_name").distinct().withColumn("state", F.lit("verified"))
     reviews = sessions.select("tenant", "job_id", "field_name", F.col("event_id").alias("review_id"), F.col("event_id").alias("updated_at"), F.lit("correct").alias("verdict"))
-    pages = sessions.select("tenant", "job_id", F.col("event_id").alias("fetch_seq"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("snapshot_hash")).where("fetch_seq % 100 = 0")
+    pages = sessions.select("tenant", "job_id", F.col("event_id").alias("fetch_seq"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("snapshot_hash"))
     out = store.label_export(fields, reviews, sessions, pages)
     return out.select("job_id", F.get_json_object("envelope", "$.reviewed_fields").cast("bigint").alias("reviewed_fields"), F.coalesce(F.json_array_length(F.get_json_object("envelope", "$.review_sessions")), F.lit(0)).cast("bigint").alias("sessions"))
 

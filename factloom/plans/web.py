@@ -122,11 +122,11 @@ def automatic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that crawls from the pages with an id under 20 attempt: two levels, eight pages at most."""
+    """Pages that a crawl from each page attempts: two levels, eight pages at most."""
     captures, n = page_nodes(spark, sf_dir)
     pages = captures.select("page_key", canonical_url("url").alias("url")).where("url is not null")
     edges = materialize(crawl.links(n, captures).join(pages.withColumnRenamed("url", "source"), "page_key").select(F.col("source").alias("url"), F.col("url").alias("target"), "rank"), "edges")
-    seeds = captures.where("page_id < 20").select(F.col("page_key").alias("job_id"), "url")
+    seeds = captures.select(F.col("page_key").alias("job_id"), "url")
     known = pages.select("url").distinct().withColumn("known", F.lit(True))
     targets = edges.select(F.col("target").alias("url")).union(pages.select("url")).distinct()
     outcomes = targets.join(known, "url", "left").select("url", F.when(F.col("known").isNull(), "HTTP_ERROR").alias("error"))

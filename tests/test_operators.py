@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from factloom.functions.dom import nodes
 from factloom.operators import automatic, candidates, crawl, evaluate, inventory, plans, reconcile, store
 from factloom.operators.candidates import Field
+from factloom.plans import records, web
 from factloom.sources import captures as cap
 from factloom.sources.tables import materialize
 
@@ -198,3 +199,13 @@ def test_approval_is_bound_to_bytes_and_time(spark):
 def test_fetch_outcomes(spark):
     rows = spark.createDataFrame([(403, "text/html", bytearray(b"x")), (500, "text/html", bytearray(b"x")), (200, "text/html", bytearray(1_000_001)), (200, "image/png", bytearray(b"x")), (200, "text/plain; charset=x", bytearray(b"x"))], "status int, kind string, raw binary")
     assert [r.c for r in rows.select(cap.fetch_code(F.col("status"), F.col("kind"), F.col("raw")).alias("c")).collect()] == ["ACCESS_DENIED", "HTTP_ERROR", "TOO_LARGE", "UNSUPPORTED_CONTENT", None]
+
+
+def test_queries_take_whole_tables(spark, sf_dir, monkeypatch):
+    found = web.crawl_frontier(spark, sf_dir).where("depth = 0").select("page_id").distinct().count()
+    assert found == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    captured = []
+    export = records.store.label_export
+    monkeypatch.setattr(records.store, "label_export", lambda fields, reviews, sessions, pages: captured.append(pages.count()) or export(fields, reviews, sessions, pages))
+    records.label_exports(spark, sf_dir)
+    assert captured == [spark.read.parquet(f"{sf_dir}/events.parquet").count()]
