@@ -18,7 +18,6 @@ from .common import NULL_KEY, bucket_of, exclusive_sums, materialize, partitions
 MAGIC = b"RPG1"
 #: Tokens after which a file is closed.
 FILE_TOKENS = 3 << 19
-ROUNDS = 4
 RULES_A_ROUND = 16384
 LEAST_USES = 6
 _HASH_BITS = 20
@@ -40,12 +39,16 @@ def _frequent(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
     by_load = np.bincount(np.minimum(load, 255), minlength=256)
     enough = np.flatnonzero(np.cumsum(by_load[::-1]) >= 2 * RULES_A_ROUND)
     least = max(LEAST_USES, 255 - int(enough[0]) if len(enough) else 0)
-    some = np.sort(codes[(load >= least)[slots]])
-    first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
-    uses = np.diff(np.append(first, len(some)))
-    order = np.argsort(-uses, kind="stable")[: RULES_A_ROUND + 1]
-    chosen = some[first[order[uses[order] >= LEAST_USES]]]
-    return chosen[chosen != _NO_PAIR][:RULES_A_ROUND]
+    while True:
+        some = np.sort(codes[(load >= least)[slots]])
+        first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
+        uses = np.diff(np.append(first, len(some)))
+        order = np.argsort(-uses, kind="stable")[: RULES_A_ROUND + 1]
+        chosen = some[first[order[uses[order] >= LEAST_USES]]]
+        chosen = chosen[chosen != _NO_PAIR][:RULES_A_ROUND]
+        if len(chosen) or least == LEAST_USES:
+            return chosen
+        least = LEAST_USES  # the fullest slots held many rare pairs
 
 
 def grammar(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -55,9 +58,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, n
     rules: list[np.ndarray] = []
     starts: list[int] = []
     free = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         codes = seq[:-1] << np.uint64(32)
         codes |= seq[1:]
         codes[ends[ends < len(codes)]] = _NO_PAIR

@@ -198,6 +198,25 @@ def test_grammar_round_trip_and_random_access():
     assert (r.lengths >= 2).all()
 
 
+def most_used_pair(r):
+    ends = set(r.first[1:].tolist())
+    pairs = Counter(p for k, p in enumerate(zip(r.symbols.tolist(), r.symbols.tolist()[1:], strict=False), 1) if k not in ends and p[0] != p[1])
+    return max(pairs.values(), default=0)
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 900, 4096).astype(np.uint32)
+    docs = [np.concatenate((rng.integers(0, 900, 50), passage, rng.integers(0, 900, k))).astype(np.uint32) for k in range(12)]
+    r = repair.Reader(repair.write_file(list(range(12)), docs, 1000))
+    assert np.array_equal(r.tokens(), np.concatenate(docs)) and all(np.array_equal(r.document(k, 40, 3000), d[40:3000]) for k, d in enumerate(docs))
+    assert r.lengths.max() > 1000 and len(r.symbols) < 12 * (50 + 11 + 10)
+    # many pairs of few uses fill the hash slots; those of six are joined nevertheless
+    crowd = rng.integers(0, 900, 700_000).astype(np.uint32)
+    r = repair.Reader(repair.write_file([0], [crowd], 1000))
+    assert np.array_equal(r.tokens(), crowd) and most_used_pair(r) < repair.LEAST_USES
+
+
 def test_token_files_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id")
     t = Tokenizer.from_file(tokens.default_path())
