@@ -1,32 +1,51 @@
-"""HTML to a relational tree: one row for each element, in pre-order.
+"""HTML to a relational tree: a page is one row that holds its elements in pre-order and its JSON-LD scripts.
 
 The tree follows the forgiving reading of the stdlib parser: void elements close at once, an end tag closes back
 to the nearest open element of its name and is ignored without one, nothing else is closed implicitly. Work is
 linear in the page: per-parent counters give ordinals, and texts are cut from one list of text pieces.
+
+A page's elements stay in one array, so that what a rule asks about a page (what lies below what, the nearest
+card, the next sibling) is a higher-order function over that array, with neither a join nor a shuffle. Texts are
+kept for the tags and lengths that rules read, not for every element again in all that are around it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from factloom.functions import jsonld
+from factloom.functions.urls import host_of, path_of, quiet
 
-#: Elements without content, elements whose text is not shown, and the longest text ever compared.
+#: Elements without content, elements whose text is not shown, blocks, and the longest texts compared.
 VOID = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
 UNSHOWN = {"script", "style", "noscript", "template", "svg", "head"}
-LONGEST = 5_001
+BLOCK_TAGS = ("p", "li", "h1", "h2", "h3", "tr", "dt", "dd")
+LONGEST_BLOCK, LONGEST_LABELLED, LONGEST_SCOPE = 400, 180, 5000
+LONGEST = LONGEST_SCOPE + 1
 LONGEST_SOURCE = 4_000
+#: Tags whose shown text is read whatever its length up to LONGEST_SCOPE; of others, up to LONGEST_LABELLED.
+TEXT_TAGS = {"h1", "h2", "h3", "h4", "p", "li", "dt", "dd", "td", "th"}
 _HIDING = re.compile(r"(?:^|;)(?:display:none|visibility:hidden|opacity:0(?:\.0+)?)(?:!important)?(?:;|$)")
 _SPACE = re.compile(r"\s+")
+#: The beginning of an amount, up to its first digit.
+_AMOUNT = re.compile(r"(?<!\w)(?:USD|EUR|GBP|INR)?\s*[$€£₹]?\s*\d", re.IGNORECASE)
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
 
-NODE = T.StructType([
-    T.StructField("page_key", T.StringType()),
+_TEXT, _INT, _MAP = T.StringType(), T.IntegerType(), T.MapType(T.StringType(), T.StringType())
+ELEMENT = T.StructType([
     T.StructField("node_id", T.IntegerType()),  # pre-order, from 1
     T.StructField("last_id", T.IntegerType()),  # the last descendant's; the node's own without any
     T.StructField("parent_id", T.IntegerType()),  # 0 at the top
@@ -39,12 +58,18 @@ NODE = T.StructType([
     T.StructField("shown_text", T.StringType()),  # shown strings, white space collapsed
     T.StructField("plain_text", T.StringType()),  # every string, stripped, joined by a space
     T.StructField("only_string", T.StringType()),  # the text of an element with one string and nothing else
+    T.StructField("fold", T.StringType()),  # shown text of text tags, plain text of titles, content of metas: case folded
+    T.StructField("size", T.IntegerType()),  # length of the shown text, LONGEST at most
+    T.StructField("amount", T.BooleanType()),  # whether the shown text, if not too long for a scope, holds an amount
 ])
-_NAMES = NODE.fieldNames()
-_ARROW = pa.schema([
-    ("page_key", pa.string()), ("node_id", pa.int32()), ("last_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("path", pa.string()),
-    ("hidden", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("block_text", pa.string()), ("shown_text", pa.string()), ("plain_text", pa.string()), ("only_string", pa.string()),
-])
+OFFER = _struct(idx=_INT, name=_TEXT, price=_TEXT, currency=_TEXT)
+ENTITY = _struct(root_idx=_INT, child_idx=_INT, types=T.ArrayType(_TEXT), url=_TEXT, host=_TEXT, own_path=_TEXT, anchor=_TEXT, facts=_MAP, offers=T.ArrayType(OFFER))
+ITEM = _struct(item_idx=_INT, key=_TEXT, raw_value=_TEXT)
+SCRIPT = _struct(node_id=_INT, path=_TEXT, script=_TEXT, items=T.ArrayType(ITEM), entities=T.ArrayType(ENTITY))
+PAGE = _struct(page_key=_TEXT, url=_TEXT, page_host=_TEXT, page_path=_TEXT, nodes=T.ArrayType(ELEMENT), scripts=T.ArrayType(SCRIPT))
+_ELEMENT_ARROW, _SCRIPT_ARROW = to_arrow_type(ELEMENT), to_arrow_type(SCRIPT)
+#: Elements after which a batch of pages goes out, so that memory follows a page and not the batch.
+BATCH_NODES = 20_000
 
 
 class _Node:
@@ -187,10 +212,7 @@ def _escape(text: str) -> str:
 def source_of(html: str | None, locator: str | None, longest: int = LONGEST_SOURCE) -> str | None:
     """The HTML of the node that a locator names (what follows "::" is ignored), cut at `longest` characters."""
     path = (locator or "").split("::", 1)[0]
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.finish()
-    node = next((n for n in tree.nodes if n.path == path), None)
+    node = next((n for n in _tree(html).nodes if n.path == path), None)
     if node is None:
         return None
     out, size = [], 0
@@ -207,33 +229,128 @@ def source_node(html: pd.Series, locator: pd.Series) -> pd.Series:
     return pd.Series([source_of(h, loc) for h, loc in zip(html, locator, strict=True)], dtype=object)
 
 
-def parse(page_key: str | None, html: str | None) -> list[tuple]:
-    """Rows of NODE for one page; a page that is null or has no element has none."""
+def _tree(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
     tree.finish()
-    rows = []
-    for n in tree.nodes:
-        shown = " ".join(_text(tree.pieces, n, False).split())
-        rows.append((
-            page_key, n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), _text(tree.pieces, n, True)[:LONGEST], shown[:LONGEST],
-            _text(tree.pieces, n, False, True)[:LONGEST], n.children[0] if len(n.children) == 1 and isinstance(n.children[0], str) else None,
-        ))
-    return rows
+    return tree
+
+
+def _only(n: _Node) -> str | None:
+    return n.children[0] if len(n.children) == 1 and isinstance(n.children[0], str) else None
+
+
+def parse(page_key: str | None, html: str | None) -> list[tuple]:
+    """(page_key, the first twelve parts of ELEMENT with all texts) for each element of one page; a page that is
+    null or has no element has none."""
+    tree = _tree(html)
+    return [
+        (page_key, n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), _text(tree.pieces, n, True)[:LONGEST], _shown(tree.pieces, n)[:LONGEST],
+         _text(tree.pieces, n, False, True)[:LONGEST], _only(n))
+        for n in tree.nodes
+    ]
+
+
+def _shown(pieces: list[tuple[str, bool, int, bool]], n: _Node) -> str:
+    return " ".join(_text(pieces, n, False).split())
+
+
+def _kept(pieces: list[tuple[str, bool, int, bool]], n: _Node) -> tuple:
+    """The parts of ELEMENT of one element: texts only where a rule reads them."""
+    shown = _shown(pieces, n)[:LONGEST]
+    plain = _SPACE.sub(" ", _text(pieces, n, False, True)).strip() if n.tag == "title" else None
+    block = _text(pieces, n, True) if n.tag in BLOCK_TAGS else None
+    text = shown if len(shown) <= (LONGEST_SCOPE if n.tag in TEXT_TAGS else LONGEST_LABELLED) else None
+    fold = n.attrs.get("content") if n.tag == "meta" else plain if n.tag == "title" else text if n.tag in TEXT_TAGS and len(shown) <= LONGEST_BLOCK else None
+    only = _only(n) if n.tag == "script" and n.attrs.get("type") == jsonld.SCRIPT_TYPE else None
+    return (
+        n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), block if block and len(block) <= LONGEST_BLOCK else None, text, plain,
+        only if only and len(only) <= jsonld.LONGEST_GRAPH_SCRIPT else None, None if fold is None else fold.casefold(), len(shown), 0 < len(shown) <= LONGEST_SCOPE and bool(_AMOUNT.search(shown)),
+    )
+
+
+def _scripts(rows: list[tuple]) -> list[dict]:
+    """Shown JSON-LD scripts of a page's kept elements."""
+    out = []
+    for r in rows:
+        script = r[11]
+        if script and not r[6]:
+            roots = jsonld.roots(script)
+            out.append({"node_id": r[0], "path": r[5], "script": script, "items": jsonld.items(roots) if len(script) <= jsonld.LONGEST_ITEM_SCRIPT else [], "entities": jsonld.entities(roots)})
+    return out
+
+
+def _batch(keys: list, urls: list, rows: list[tuple], ends: list[int], scripts: list[list[dict]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ELEMENT_ARROW)
+    elements = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ELEMENT_ARROW, strict=True)], fields=list(_ELEMENT_ARROW))
+    offsets = pa.array([0, *ends], pa.int32())
+    arrays = [pa.array(keys, pa.string()), pa.array(urls, pa.string()), pa.array([quiet(host_of, u) for u in urls], pa.string()), pa.array([path_of(u) for u in urls], pa.string())]
+    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, elements), pa.array(scripts, pa.list_(_SCRIPT_ARROW))], PAGE.fieldNames())
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        for key, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows += parse(key, html.as_py())
-            if len(rows) >= 20_000:  # a few pages at a time, so that memory follows a page and not the batch
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-
-def nodes(captures: DataFrame, key: str = "page_key", html: str = "html") -> DataFrame:
-    """One row for each element of each capture; the only place where a page is parsed."""
-    return captures.select(F.col(key).cast("string"), F.col(html)).mapInArrow(_parse_batches, NODE)
+        keys, urls, rows, ends, scripts = [], [], [], [], []
+        done = 0
+
+        def pages(upto: int) -> pa.RecordBatch:
+            found, more = _batch(keys, urls, rows, ends, scripts), batch.slice(done, upto - done)
+            return pa.RecordBatch.from_arrays([*found.columns, *more.columns[3:]], [*found.schema.names, *more.schema.names[3:]])
+
+        for at, (key, url, html) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True), 1):
+            tree = _tree(html.as_py())
+            own = [_kept(tree.pieces, n) for n in tree.nodes]
+            keys.append(key)
+            urls.append(url)
+            rows += own
+            ends.append(len(rows))
+            scripts.append(_scripts(own))
+            if len(rows) >= BATCH_NODES:
+                yield pages(at)
+                keys, urls, rows, ends, scripts, done = [], [], [], [], [], at
+        if keys:
+            yield pages(batch.num_rows)
+
+
+def nodes(captures: DataFrame, key: str = "page_key", html: str = "html", also: Sequence[str] = ()) -> DataFrame:
+    """One row for each capture (PAGE), with its elements and scripts; the only place where a page is parsed. A null
+    page has no elements; further columns of captures are left behind, but for the url, if there is one, and `also`."""
+    url = F.col("url") if "url" in captures.columns else F.lit(None)
+    rows = captures.select(F.col(key).cast("string"), url.cast("string"), F.col(html), *also)
+    return rows.mapInArrow(_parse_batches, T.StructType([*PAGE.fields, *(rows.schema[c] for c in also)]))
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """One row for each element: page_key, url and the parts of ELEMENT."""
+    return pages.select("page_key", "url", F.inline("nodes"))
+
+
+def below(a: Column, b: Column, itself: bool = False) -> Column:
+    """Whether element b lies below element a of the same page, or is a itself if that counts."""
+    return ((b["node_id"] >= a["node_id"]) if itself else (b["node_id"] > a["node_id"])) & (b["node_id"] <= a["last_id"])
+
+
+def tagged(array: Column, tags: Iterable[str], also: Callable[[Column], Column] | None = None) -> Column:
+    """The elements of an array with one of the tags, and with what else is asked."""
+    return F.filter(array, lambda n: n["tag"].isin(*tags) & also(n) if also else n["tag"].isin(*tags))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used, also inside the functions of arrays."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def flat_map(array: Column, each: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(array, each))
+
+
+@F.pandas_udf(T.StringType())
+def shown_text_of(html: pd.Series, locator: pd.Series) -> pd.Series:
+    """The whole shown text of the shown element that a locator names; null without one."""
+
+    def one(page: str | None, path: str | None) -> str | None:
+        tree = _tree(page)
+        node = next((n for n in tree.nodes if n.path == path and not n.hidden), None)
+        return None if node is None else " ".join(t for t, comment, unshown, hidden in tree.pieces[node.first_piece : node.last_piece] if not (comment or hidden or unshown >= node.depth))
+
+    return pd.Series([one(h, loc) for h, loc in zip(html, locator, strict=True)], dtype=object).map(lambda t: t and " ".join(t.split()))

@@ -76,7 +76,7 @@ def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def url_host(url: pd.Series) -> pd.Series:
-    return url.map(lambda u: _quiet(host_of, u))
+    return url.map(lambda u: quiet(host_of, u))
 
 
 @F.pandas_udf(T.StringType())
@@ -84,7 +84,7 @@ def url_path(url: pd.Series) -> pd.Series:
     return url.map(path_of)
 
 
-def _quiet(f, url: str | None) -> str | None:
+def quiet(f, url: str | None) -> str | None:
     try:
         return f(url)
     except ValueError:

@@ -1,34 +1,30 @@
 """Candidates for fields: labelled blocks, JSON-LD scalars, page facts. The field schema is data, so one plan
-serves every request; rows carry their place (source, node, item), which stands for the order of discovery."""
+serves every request; rows carry their place (source, node, item), which stands for the order of discovery.
+
+Each page gives one array of what fields may be read from; it is exploded once, and all that follows is a
+projection: one scan, no join and no shuffle.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
-from decimal import Decimal
+from collections.abc import Sequence
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from factloom.functions.scalars import casefold, labelled, scalar, squeezed
+from factloom.functions.dom import BLOCK_TAGS, LONGEST_BLOCK, elements, flat_map, let, tagged
+from factloom.functions.jsonld import LONGEST_ITEM_SCRIPT
+from factloom.functions.scalars import labelled, scalar, squeezed
 
-#: Fixed values.
-BLOCK_TAGS = ("p", "li", "h1", "h2", "h3", "tr", "dt", "dd")
-LONGEST_BLOCK, LONGEST_ITEM_SCRIPT, LONGEST_GRAPH_SCRIPT, MOST_CHILDREN, MOST_OFFERS = 400, 4000, 30000, 30, 12
+#: Names of page facts, the longest of them, and what parts a label from its value.
 PAGE_FACTS = ("page_title", "main_heading", "page_description", "site_name")
+LONGEST_FACT = 200
+PARTED = r"[:\-–]"
 
 COLUMNS = ["page_key", "field", "src_rank", "node_id", "item_idx", "value", "unit", "currency", "billing_period", "value_type", "encoding", "locator", "excerpt", "label", "raw_value"]
 
 
-def visible_blocks(nodes: DataFrame) -> DataFrame:
-    """(page_key, node_id, tag, text, locator) of shown blocks of 1 to 400 characters."""
-    text = F.col("block_text")
-    return nodes.where(F.col("tag").isin(*BLOCK_TAGS) & ~F.col("hidden") & F.length(text).between(1, LONGEST_BLOCK)).select("page_key", "node_id", "tag", text.alias("text"), F.col("path").alias("locator"))
-
-
 class Field(NamedTuple):
     """One field of a request's schema."""
 
@@ -43,156 +39,108 @@ class Field(NamedTuple):
 Schema = Sequence[Field] | DataFrame
 
 
-def per_field(rows: DataFrame, fields: Schema, kept: Callable[[Field], bool] = lambda f: True) -> DataFrame:
+def per_field(rows: DataFrame, fields: Schema) -> DataFrame:
     """rows with each field of their page: name, type, title, x_unit, x_currency and label (the title, or the
     name with spaces). A schema for all pages is exploded in place; a table is joined by page_key."""
     if isinstance(fields, DataFrame):
         out = rows.join(fields, "page_key")
     else:
-        own = [F.struct(*[F.lit(v).cast("string").alias(c) for c, v in f._asdict().items()]) for f in fields if kept(f)]
-        if not own:
-            own = [F.struct(*[F.lit(None).cast("string").alias(c) for c in Field._fields])]
+        own = [F.struct(*[F.lit(v).cast("string").alias(c) for c, v in f._asdict().items()]) for f in fields]
+        own = own or [F.struct(*[F.lit(None).cast("string").alias(c) for c in Field._fields])]
         out = rows.withColumn("__f", F.explode(F.array(*own))).where("__f.name is not null").select("*", "__f.*").drop("__f")
     return out.withColumn("label", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.replace(F.col("name"), F.lit("_"), F.lit(" "))))
 
 
-def _custom(f: Field) -> bool:
-    return f.name not in PAGE_FACTS
+def _blocks(nodes: Column) -> Column:
+    return tagged(nodes, BLOCK_TAGS, lambda n: ~n["hidden"] & F.length(n["block_text"]).between(1, LONGEST_BLOCK))
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
-    """Rows whose raw_value is a scalar of value_type, with its parts."""
-    rows = rows.withColumn("s", scalar("raw_value", "value_type")).where("s.value is not null")
-    return rows.withColumns({"value": F.col("s.value"), "unit": F.col("s.unit"), "currency": F.col("s.currency"), "encoding": F.col("s.encoding")}).drop("s")
+def visible_blocks(pages: DataFrame) -> DataFrame:
+    """(page_key, node_id, tag, text, locator) of shown blocks of 1 to 400 characters."""
+    return pages.select("page_key", F.inline(_blocks(F.col("nodes")))).select("page_key", "node_id", "tag", F.col("block_text").alias("text"), F.col("path").alias("locator"))
 
 
-def block_candidates(blocks: DataFrame, fields: Schema) -> DataFrame:
-    """Blocks of the form "label: value", for fields that are no page facts."""
-    marked = blocks.where(F.col("text").rlike(r"[:\-–]"))  # before fields multiply the rows
-    rows = per_field(marked, fields, _custom).where(~F.col("name").isin(*PAGE_FACTS)).withColumns({"field": F.col("name"), "value_type": F.col("type")})
-    rows = rows.withColumn("raw_value", labelled(F.col("text"), F.col("label"))).where("raw_value is not null")
-    rows = _parsed(rows).withColumns({"src_rank": F.lit(0), "item_idx": F.lit(0), "billing_period": F.lit(None).cast("string"), "excerpt": F.col("text")})
-    return rows.select(COLUMNS)
+def _sort_of(n: Column, attr: str) -> Column:
+    """An attribute's value as it compares with the names of metas, whose letters only the long s folds to as well."""
+    return F.lower(F.translate(F.coalesce(n["attrs"][attr], F.lit("")), "ſ", "s"))
 
 
-def jsonld_scripts(nodes: DataFrame) -> DataFrame:
-    """Shown JSON-LD scripts: page_key, node_id, path, script."""
-    return nodes.where((F.col("tag") == "script") & ~F.col("hidden") & (F.element_at("attrs", "type") == "application/ld+json") & (F.length("only_string") > 0)).select(
-        "page_key", "node_id", "path", F.col("only_string").alias("script")
-    )
+def metas(nodes: Column, attr: str, value: str) -> Column:
+    """The metas whose property or name is that value, without regard to case."""
+    return tagged(nodes, ("meta",), lambda n: _sort_of(n, attr) == value)
+
 
+def fact_array(nodes: Column) -> Column:
+    """(field, node_id, path, raw_value) of each page fact: title, main heading, description and site name of 1 to 200
+    characters. Open Graph metas stand in for a title or description only where a page has no element of the first
+    kind."""
 
-def _load(script: str) -> object:
-    """The script's data, fractions kept as they are written; None for what is no JSON."""
-    try:
-        return json.loads(script, parse_float=Decimal)
-    except (ValueError, TypeError, RecursionError):
-        return None
+    def of(field: str, found: Column, text: str | None) -> Column:
+        raw = (lambda n: n[text]) if text else (lambda n: F.coalesce(n["attrs"]["content"], F.lit("")))
+        return F.transform(found, lambda n: F.struct(F.lit(field).alias("field"), n["node_id"].alias("node_id"), n["path"].alias("path"), squeezed(raw(n)).alias("raw_value")))
 
+    def first_kind(field: str, found: Column, text: str | None, instead: Column) -> Column:
+        return let(of(field, found, text), lambda own: F.when(F.size(own) > 0, own).otherwise(of(field, instead, None)))
+
+    every = F.concat(
+        first_kind("page_title", tagged(nodes, ("title",)), "plain_text", metas(nodes, "property", "og:title")),
+        of("main_heading", tagged(nodes, ("h1",), lambda n: ~n["hidden"]), "shown_text"),
+        first_kind("page_description", metas(nodes, "name", "description"), None, metas(nodes, "property", "og:description")),
+        of("site_name", metas(nodes, "property", "og:site_name"), None),
+    )
+    return F.filter(every, lambda f: F.length(f["raw_value"]).between(1, LONGEST_FACT))
 
-def _roots(script: str) -> list:
-    data = _load(script)
-    return data if isinstance(data, list) else [data]
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """The page facts of each page as candidates (COLUMNS)."""
+    none = F.lit(None).cast("string")
+    return pages.select("page_key", F.inline(fact_array(F.col("nodes")))).withColumns({
+        "src_rank": F.lit(0), "item_idx": F.lit(0), "value": F.col("raw_value"), "unit": none, "currency": none, "billing_period": none, "value_type": F.lit("string"), "encoding": none,
+        "locator": fact_locator(F.col("path"), F.col("field")), "excerpt": F.col("raw_value"), "label": F.col("field"),
+    }).select(COLUMNS)
 
-def _struct(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
+def fact_locator(path: Column, field: Column) -> Column:
+    return F.concat(path, F.lit("::page-fact("), field, F.lit(")"))
 
-@F.pandas_udf(T.ArrayType(_struct(item_idx=T.IntegerType(), key=T.StringType(), raw_value=T.StringType())))
-def _items(scripts: pd.Series) -> pd.Series:
-    def of(script: str) -> list[tuple]:
-        return [(i, k, str(v)) for i, root in enumerate(_roots(script)) if isinstance(root, dict) for k, v in root.items() if isinstance(v, (str, int, float, Decimal))]
 
-    return scripts.map(of)
+def _readings(pages: DataFrame) -> DataFrame:
+    """What fields may be read from, a row each: kind (block, item or fact), node_id, item_idx, key, text, locator, excerpt."""
 
+    def reading(kind: str, node_id: Column, item_idx: Column, key: Column, text: Column, locator: Column, excerpt: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), node_id.alias("node_id"), item_idx.cast("int").alias("item_idx"), key.cast("string").alias("key"), text.alias("text"), locator.alias("locator"), excerpt.alias("excerpt"))
 
-def jsonld_candidates(scripts: DataFrame, fields: Schema) -> DataFrame:
-    """Top-level scalars of JSON-LD objects whose key is a field's name; fractions stay as they are written."""
-    items = scripts.where(F.length("script") <= LONGEST_ITEM_SCRIPT).withColumn("item", F.explode(_items("script"))).select("*", "item.*")
-    rows = per_field(items, fields, _custom).where((F.col("name") == F.col("key")) & ~F.col("name").isin(*PAGE_FACTS)).withColumn("value_type", F.col("type"))
-    rows = _parsed(rows).withColumns({
-        "field": F.col("key"), "label": F.col("key"), "src_rank": F.lit(1), "billing_period": F.lit(None).cast("string"), "excerpt": F.col("script"),
-        "locator": F.concat("path", F.lit("::item("), F.col("item_idx").cast("string"), F.lit(")::"), "key"),
-    })
-    return rows.select(COLUMNS)
+    none = F.lit(None)
+    blocks = F.transform(F.filter(_blocks(F.col("nodes")), lambda n: n["block_text"].rlike(PARTED)), lambda n: reading("block", n["node_id"], F.lit(0), none, n["block_text"], n["path"], n["block_text"]))
+    items = flat_map(F.filter("scripts", lambda s: F.length(s["script"]) <= LONGEST_ITEM_SCRIPT), lambda s: F.transform(s["items"], lambda i: reading(
+        "item", s["node_id"], i["item_idx"], i["key"], i["raw_value"], F.concat(s["path"], F.lit("::item("), i["item_idx"].cast("string"), F.lit(")::"), i["key"]), s["script"])))
+    facts = F.transform(fact_array(F.col("nodes")), lambda f: reading("fact", f["node_id"], F.lit(0), f["field"], f["raw_value"], fact_locator(f["path"], f["field"]), f["raw_value"]))
+    return pages.select("page_key", F.inline(F.concat(blocks, items, facts)))
 
 
-def page_facts(nodes: DataFrame) -> DataFrame:
-    """Title, main heading, description and site name of each page, of 1 to 200 characters. Open Graph metas stand
-    in for a title or description only where a page has no element of the first kind."""
-    content = F.coalesce(F.element_at("attrs", "content"), F.lit(""))
-    metas = nodes.where("tag = 'meta'").withColumns({"p": casefold(F.coalesce(F.element_at("attrs", "property"), F.lit(""))), "n": casefold(F.coalesce(F.element_at("attrs", "name"), F.lit("")))})
-    metas = metas.withColumn("kinds", F.expr("array_compact(array(if(p = 'og:title', 'og_title', null), if(n = 'description', 'description', null), if(p = 'og:description', 'og_description', null), if(p = 'og:site_name', 'og_site', null)))"))
-    metas = metas.select("page_key", "node_id", "path", F.explode("kinds").alias("kind"), content.alias("raw"))
-    own = nodes.where("tag = 'title' or tag = 'h1' and not hidden")
-    own = own.select("page_key", "node_id", "path", F.when(F.col("tag") == "h1", "h1").otherwise("title").alias("kind"), F.when(F.col("tag") == "h1", F.col("shown_text")).otherwise(F.col("plain_text")).alias("raw"))
-    every = own.union(metas)
-    names = F.create_map(*[F.lit(x) for pair in (("title", "page_title"), ("og_title", "page_title"), ("h1", "main_heading"), ("description", "page_description"), ("og_description", "page_description"), ("og_site", "site_name")) for x in pair])
-    every = every.withColumn("field", names[F.col("kind")]).withColumn("first", ~F.col("kind").isin("og_title", "og_description"))
-    has_first = every.groupBy("page_key", "field").agg(F.bool_or("first").alias("has_first"))
-    every = every.join(has_first, ["page_key", "field"]).where("first = has_first")
-    raw = squeezed(F.col("raw"))
-    rows = every.withColumn("raw_value", raw).where(F.length("raw_value").between(1, 200))
-    none = F.lit(None).cast("string")
+def candidates(pages: DataFrame, fields: Schema) -> DataFrame:
+    """All candidates (COLUMNS) for the fields of a request. A page-fact name goes to page facts alone, for strings;
+    others to blocks of the form "label: value" and to top-level scalars of JSON-LD objects with that key."""
+    rows = per_field(_readings(pages), fields)
+    of_page, kind = F.col("name").isin(*PAGE_FACTS), F.col("kind")
+    own = F.when(kind == "fact", (F.col("name") == F.col("key")) & (F.col("type") == "string")).when(kind == "item", ~of_page & (F.col("name") == F.col("key"))).otherwise(~of_page)
+    rows = rows.where(own).withColumn("raw_value", F.when(kind == "block", labelled(F.col("text"), F.col("label"))).otherwise(F.col("text"))).where("raw_value is not null")
+    rows = rows.withColumn("s", scalar("raw_value", "type")).where("s.value is not null")
     return rows.withColumns({
-        "src_rank": F.lit(0), "item_idx": F.lit(0), "value": F.col("raw_value"), "unit": none, "currency": none, "billing_period": none, "value_type": F.lit("string"), "encoding": none,
-        "locator": F.concat("path", F.lit("::page-fact("), "field", F.lit(")")), "excerpt": F.col("raw_value"), "label": F.col("field"),
+        "field": F.col("name"), "src_rank": F.when(kind == "item", 1).otherwise(0), "value": F.col("s.value"), "unit": F.col("s.unit"), "currency": F.col("s.currency"), "encoding": F.col("s.encoding"),
+        "billing_period": F.lit(None).cast("string"), "value_type": F.col("type"), "label": F.coalesce("key", "label"),
     }).select(COLUMNS)
 
 
-def candidates(nodes: DataFrame, fields: Schema) -> DataFrame:
-    """All candidates for the fields of a request. A page-fact name goes to page facts alone; others to labelled
-    blocks and then JSON-LD."""
-    facts = per_field(page_facts(nodes).drop("label"), fields, lambda f: f.name in PAGE_FACTS).where("name = field and type = 'string'").withColumn("label", F.col("field")).select(COLUMNS)
-    return block_candidates(visible_blocks(nodes), fields).unionByName(jsonld_candidates(jsonld_scripts(nodes), fields)).unionByName(facts)
-
-
-def label_hits(nodes: DataFrame, fields: Schema) -> DataFrame:
+def label_hits(pages: DataFrame, fields: Schema) -> DataFrame:
     """(page_key, field) for which some visible block has the label, whatever the value."""
-    marked = visible_blocks(nodes).where(F.col("text").rlike(r"[:\-–]"))
+    marked = visible_blocks(pages).where(F.col("text").rlike(PARTED))
     return per_field(marked, fields).where(labelled(F.col("text"), F.col("label")).isNotNull()).select("page_key", F.col("name").alias("field")).distinct()
 
 
-def graph_entities(scripts: DataFrame) -> DataFrame:
-    """JSON-LD objects for automatic facts: page_key, node_id, path, root_idx, child_idx, types, url, facts, offers."""
-    return scripts.where(F.length("script") <= LONGEST_GRAPH_SCRIPT).withColumn("e", F.explode(_entities("script"))).select("page_key", "node_id", "path", "e.*")
-
-
-def auto_scalar(value: object) -> str | None:
-    """Text of a string or exact number of 1 to 220 characters, white space collapsed."""
-    if isinstance(value, bool) or not isinstance(value, (str, int, Decimal)):
-        return None
-    text = " ".join(str(value).split())
-    return text if 0 < len(text) <= 220 else None
-
-
-_OFFER = _struct(idx=T.IntegerType(), name=T.StringType(), price=T.StringType(), currency=T.StringType())
-_ENTITY = _struct(root_idx=T.IntegerType(), child_idx=T.IntegerType(), types=T.ArrayType(T.StringType()), url=T.StringType(), facts=T.MapType(T.StringType(), T.StringType()), offers=T.ArrayType(_OFFER))
-
-
-@F.pandas_udf(T.ArrayType(_ENTITY))
-def _entities(scripts: pd.Series) -> pd.Series:
-    def offers(node: dict) -> Iterator[tuple]:
-        own = node.get("offers")
-        for i, offer in enumerate((own if isinstance(own, list) else [own])[:MOST_OFFERS]):
-            if isinstance(offer, dict):
-                yield i, auto_scalar(offer.get("name")), auto_scalar(offer.get("price")), auto_scalar(offer.get("priceCurrency"))
-
-    def of(script: str) -> list[tuple]:
-        out = []
-        for r, root in enumerate(_roots(script)):
-            if not isinstance(root, dict):
-                continue
-            graph = root.get("@graph")
-            for c, node in enumerate((graph if isinstance(graph, list) else [root])[:MOST_CHILDREN]):
-                if isinstance(node, dict):
-                    kinds = node.get("@type", [])
-                    types = sorted({str(k).rsplit("/", 1)[-1].casefold() for k in (kinds if isinstance(kinds, list) else [kinds])})
-                    url = node.get("url") or node.get("mainEntityOfPage")
-                    url = url.get("@id") if isinstance(url, dict) else url
-                    facts = {k: v for k in ("headline", "name", "description", "datePublished") if (v := auto_scalar(node.get(k)))}
-                    out.append((r, c, types, url if isinstance(url, str) else None, facts, list(offers(node))))
-        return out
-
-    return scripts.map(of)
+def jsonld_scripts(pages: DataFrame) -> DataFrame:
+    """Shown JSON-LD scripts: page_key, node_id, path, script, items, entities."""
+    return pages.select("page_key", F.inline("scripts"))
+
+
+__all__ = ["BLOCK_TAGS", "COLUMNS", "PAGE_FACTS", "Field", "Schema", "candidates", "elements", "fact_array", "fact_locator", "jsonld_scripts", "label_hits", "metas", "page_facts", "per_field", "visible_blocks"]

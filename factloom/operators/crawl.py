@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.dom import tagged
 from factloom.functions.urls import absolute_url, canonical_url, tracking_key, url_host
 from factloom.sources.captures import BLOCKING
 from factloom.sources.tables import materialize
@@ -25,12 +26,12 @@ def link_score(url: Column, hints: Sequence[str] = ()) -> Column:
     return score
 
 
-def links(nodes: DataFrame, captures: DataFrame, allowed: Sequence[str] | None = None, hints: Sequence[str] = ()) -> DataFrame:
+def links(pages: DataFrame, allowed: Sequence[str] | None = None, hints: Sequence[str] = ()) -> DataFrame:
     """(page_key, url, pos, score, rank): canonical links of each page to allowed hosts (its own, if none are named),
     each once, in the order of rank: score descending, then the first place."""
-    pages = captures.select("page_key", F.col("url").alias("page_url"))
-    rows = nodes.where((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))).select("page_key", "node_id", F.element_at("attrs", "href").alias("href"))
-    rows = rows.join(pages, "page_key").withColumn("url", absolute_url("page_url", "href")).where("url is not null")
+    anchors = tagged(F.col("nodes"), ("a",), lambda n: n["attrs"]["href"].isNotNull())
+    rows = pages.select("page_key", F.col("url").alias("page_url"), F.inline(F.transform(anchors, lambda n: F.struct(n["node_id"].alias("node_id"), n["attrs"]["href"].alias("href")))))
+    rows = rows.withColumn("url", absolute_url("page_url", "href")).where("url is not null")
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
     host = url_host("url")
     inside = host.isin(*allowed) if allowed is not None else host == url_host(canonical_url("page_url"))

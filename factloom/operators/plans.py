@@ -1,144 +1,202 @@
 """Named plans: the card or table column that belongs to a plan, and the plan's fields inside it.
 
-Trees are joined as intervals: b lies below a if a.node_id < b.node_id <= a.last_id on the same page. Every such
-join has the page as its equi-key.
+A page's elements are an array in pre-order, and b lies below a if a.node_id < b.node_id <= a.last_id. So the nearest
+card, the column's cells and the innermost matches are functions over that array; no page is joined with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import MONTH_UNIT, billing_period, casefold, has_money, is_price_text, labelled, money, price_currency, scalar
+from factloom.functions.dom import LONGEST_LABELLED, LONGEST_SCOPE, below, flat_map, let, tagged
+from factloom.functions.scalars import AMOUNT, CODES, MONTH_UNIT, SIGNS, billing_period, casefold, is_price_text, labelled, money, price_currency, scalar
 
-#: Plan fields with their kinds and labels, and the longest text of a card.
+#: Plan fields with their kinds and labels.
 PLAN_FIELDS = {
     "named_plan": ("string", "Plan"), "listed_price": ("number", "Price"), "currency": ("string", "Currency"),
     "billing_period": ("string", "Billing period"), "usage_or_seat_limit": ("string", "Usage limit"), "support_channel": ("string", "Support"),
 }
 PRICED = ("listed_price", "currency", "billing_period")
-LONGEST_SCOPE, LONGEST_LABELLED = 5000, 180
+LABELLED = tuple(n for n in PLAN_FIELDS if n not in (*PRICED, "named_plan"))
+PRICE_ROW = r"(?iU)\b(price|cost|rate)\b"
+WHOLE_PRICE = rf"(?iU)(?<!\w)(?:{'|'.join(CODES)})?\s*[{''.join(SIGNS)}]?\s*{AMOUNT}\s*(?:{'|'.join(CODES)})?"
+#: Elements that may hold a label below the box that is looked at.
+HOLDERS = ("p", "li", "div", "span", "td")
 
 COLUMNS = ["page_key", "plan_name", "field", "scope_rank", "scope_id", "node_id", "value", "unit", "currency", "billing_period", "value_type", "encoding", "locator", "excerpt", "label", "raw_value"]
 
 
-def below(a: str, b: str, itself: bool = False) -> Column:
-    """Interval condition for "b lies below a" between two aliases of nodes."""
-    more = ">=" if itself else ">"
-    return F.expr(f"{a}.page_key = {b}.page_key and {b}.node_id {more} {a}.node_id and {b}.node_id <= {a}.last_id")
+def table_rows(nodes: Column) -> Column:
+    """Every tr: node_id, last_id, path, hidden, its cells in order, and whether one of them spans."""
 
+    def cell(c: Column) -> Column:
+        spanned = F.map_contains_key(c["attrs"], "colspan") | F.map_contains_key(c["attrs"], "rowspan")
+        return F.struct(*[c[k].alias(k) for k in ("node_id", "last_id", "parent_id", "path", "shown_text", "fold")], spanned.alias("spanned"))
 
-def _spanned(attrs: Column) -> Column:
-    return F.map_contains_key(attrs, "colspan") | F.map_contains_key(attrs, "rowspan")
+    def row(cells: Column, r: Column) -> Column:
+        own = F.filter(cells, lambda c: c["parent_id"] == r["node_id"])
+        return let(own, lambda cs: F.struct(*[r[k].alias(k) for k in ("node_id", "last_id", "path", "hidden")], cs.alias("cells"), F.exists(cs, lambda c: c["spanned"]).alias("spanned")))
 
+    return let(F.transform(tagged(nodes, ("td", "th")), cell), lambda cells: F.transform(tagged(nodes, ("tr",)), lambda r: row(cells, r)))
 
-def priced_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes whose shown text is a price text."""
-    text = F.col("shown_text")
-    return nodes.where(is_price_text(text)).select("page_key", "node_id", "last_id", "path", text.alias("text"))
 
+def first_row(rows: Column, table: Column) -> Column:
+    """The first row below a table, as an array of one or none."""
+    return F.slice(F.filter(rows, lambda r: below(table, r)), 1, 1)
 
-def card_scopes(nodes: DataFrame, plans: DataFrame) -> DataFrame:
-    """For each shown h2-h4 that is a plan's name, its nearest ancestor with an amount and a price node below it.
 
-    The walk up stops before body and html and at the first ancestor with more than LONGEST_SCOPE characters; a
-    scope that several headings reach counts once, by the first. plans: page_key, plan_name.
-    """
-    named = plans.withColumn("folded", casefold("plan_name"))
-    heads = nodes.where(F.col("tag").isin("h2", "h3", "h4") & ~F.col("hidden") & (F.length("shown_text") <= LONGEST_SCOPE)).select("page_key", "node_id", "path", "shown_text", casefold("shown_text").alias("folded"))
-    heads = heads.join(named, ["page_key", "folded"]).drop("folded")
-    up = nodes.select("page_key", "node_id", "last_id", "depth", "tag", "path", "shown_text").alias("a").join(heads.alias("b"), below("a", "b"))
-    up = up.select(
-        "a.page_key", "b.plan_name", F.col("b.node_id").alias("head_id"), F.col("b.path").alias("head_path"), F.col("b.shown_text").alias("head_text"), F.col("a.node_id").alias("scope_id"),
-        F.col("a.last_id").alias("scope_last"), F.col("a.path").alias("scope_path"), "a.depth", (F.col("a.tag").isin("body", "html") | (F.length("a.shown_text") > LONGEST_SCOPE)).alias("stops"), has_money(F.col("a.shown_text")).alias("amount"),
-    )
-    walk = Window.partitionBy("page_key", "plan_name", "head_id").orderBy(F.desc("depth"))
-    up = up.withColumn("stopped", F.bool_or("stops").over(walk)).where("not stopped and amount")
-    priced = priced_nodes(nodes).select("page_key", "node_id", F.col("node_id").alias("last_id"))
-    scope = up.withColumnsRenamed({"scope_id": "node_id", "scope_last": "last_id"}).alias("a").join(priced.alias("b"), below("a", "b"), "left_semi")
-    nearest = scope.groupBy("page_key", "plan_name", "head_id", "head_path", "head_text").agg(F.max_by(F.struct("node_id", "last_id", "scope_path"), "depth").alias("s"))
-    once = nearest.withColumn("n", F.row_number().over(Window.partitionBy("page_key", "plan_name", "s.node_id").orderBy("head_id"))).where("n = 1")
-    return once.select(
-        "page_key", "plan_name", F.lit(0).alias("scope_rank"), F.col("head_id").alias("order_id"), F.col("s.node_id").alias("scope_id"), F.col("s.last_id").alias("scope_last"), F.col("s.scope_path").alias("scope_path"),
-        F.col("head_id").alias("plan_id"), F.col("head_path").alias("plan_path"), F.col("head_text").alias("plan_text"), F.lit(None).cast("int").alias("col"),
+def priced_nodes(nodes: Column) -> Column:
+    """Elements whose shown text is a price text: node_id, last_id, path, shown_text."""
+    return F.transform(F.filter(nodes, lambda n: is_price_text(n["shown_text"])), lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "path", "shown_text")]))
+
+
+def _nearest(nodes: Column, priced: Column, head: Column) -> Column:
+    """The nearest ancestor with an amount and a price node below it. The walk up ends at body and html and at the
+    first ancestor with more than LONGEST_SCOPE characters."""
+    none = F.lit(None).cast("struct<node_id:int,last_id:int,path:string>")
+
+    def step(at: Column, a: Column) -> Column:
+        fits = a["amount"] & F.exists(priced, lambda p: below(a, p))
+        own = F.struct(a["node_id"].alias("node_id"), a["last_id"].alias("last_id"), a["path"].alias("path"))
+        ends = a["tag"].isin("body", "html") | (a["size"] > LONGEST_SCOPE)
+        return F.when(at["done"], at).when(ends, F.struct(F.lit(True).alias("done"), none.alias("scope"))).when(fits, F.struct(F.lit(True).alias("done"), own.alias("scope"))).otherwise(at)
+
+    up = F.reverse(F.filter(nodes, lambda a: below(a, head)))
+    return F.aggregate(up, F.struct(F.lit(False).alias("done"), none.alias("scope")), step, lambda at: at["scope"])
+
+
+def _scope(name: Column, rank: int, order: Column, scope: Column, at: Column, col: Column) -> Column:
+    return F.struct(
+        name["plan_name"].alias("plan_name"), name["name_idx"].alias("name_idx"), F.lit(rank).alias("scope_rank"), order.alias("order_id"), scope["node_id"].alias("scope_id"), scope["last_id"].alias("scope_last"),
+        scope["path"].alias("scope_path"), at["node_id"].alias("plan_id"), at["path"].alias("plan_path"), at["shown_text"].alias("plan_text"), col.cast("int").alias("col"),
     )
 
 
-def _rows_of(nodes: DataFrame, tables: DataFrame) -> DataFrame:
-    """Cells of every row below each table: the cell's index, the row's place, and whether the row has spans."""
-    rows = nodes.where("tag = 'tr'").select("page_key", "node_id", "last_id")
-    rows = tables.alias("a").join(rows.alias("b"), below("a", "b")).select("a.page_key", F.col("a.node_id").alias("table_id"), F.col("b.node_id").alias("row_id"))
-    cells = nodes.where("tag in ('td', 'th')").select("page_key", F.col("parent_id").alias("row_id"), "node_id", "last_id", "path", "shown_text", _spanned(F.col("attrs")).alias("spanned"))
-    cells = rows.join(cells, ["page_key", "row_id"])
-    row = Window.partitionBy("page_key", "table_id", "row_id")
-    cells = cells.withColumn("col", F.row_number().over(row.orderBy("node_id")) - 1).withColumn("spanned", F.bool_or("spanned").over(row))
-    first = rows.groupBy("page_key", "table_id").agg(F.min("row_id").alias("first_row"))
-    return cells.join(first, ["page_key", "table_id"])
+def card_scopes(nodes: Column, priced: Column, names: Column) -> Column:
+    """For each shown h2-h4 that is a plan's name, its nearest card; a card that several headings of a plan reach counts
+    once, by the first."""
+    heads = tagged(nodes, ("h2", "h3", "h4"), lambda h: ~h["hidden"] & F.exists(names, lambda n: n["fold"] == h["fold"]))
+
+    def of(h: Column) -> Column:
+        return let(_nearest(nodes, priced, h), lambda s: F.transform(F.filter(names, lambda n: s.isNotNull() & (n["fold"] == h["fold"])), lambda n: _scope(n, 0, h["node_id"], s, h, F.lit(None))))
+
+    def repeated(every: Column, s: Column, i: Column) -> Column:
+        return F.exists(F.slice(every, F.lit(1), i), lambda e: (e["plan_name"] == s["plan_name"]) & (e["scope_id"] == s["scope_id"]))
 
+    return let(flat_map(heads, of), lambda every: F.filter(every, lambda s, i: ~repeated(every, s, i)))
 
-def column_scopes(nodes: DataFrame, plans: DataFrame, cells: DataFrame, tables: DataFrame) -> DataFrame:
+
+def column_scopes(nodes: Column, rows: Column, names: Column) -> Column:
     """Shown tables whose unspanned first row names the plan in exactly one cell, with that cell's index."""
-    heads = cells.where("row_id = first_row and not spanned").withColumn("folded", casefold("shown_text"))
-    named = heads.join(plans.withColumn("folded", casefold("plan_name")), ["page_key", "folded"])
-    only = named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("page_key", "plan_name", "table_id"))).where("n = 1")
-    tables = tables.select("page_key", F.col("node_id").alias("table_id"), F.col("last_id").alias("scope_last"), F.col("path").alias("scope_path"))
-    return only.join(tables, ["page_key", "table_id"]).select(
-        "page_key", "plan_name", F.lit(1).alias("scope_rank"), F.col("table_id").alias("order_id"), F.col("table_id").alias("scope_id"), "scope_last", "scope_path",
-        F.col("node_id").alias("plan_id"), F.col("path").alias("plan_path"), F.col("shown_text").alias("plan_text"), "col",
-    )
 
+    def of(t: Column, r: Column, n: Column) -> Column:
+        at = F.array_position(F.transform(r["cells"], lambda c: c["fold"]), n["fold"]) - 1
+        return let(at.cast("int"), lambda k: _scope(n, 1, t["node_id"], t, F.get(r["cells"], k), k))
 
-def plan_candidates(nodes: DataFrame, plans: DataFrame) -> DataFrame:
-    """Candidates for the six plan fields of each (page_key, plan_name).
-
-    Prices, currencies and periods come from the innermost price nodes of a card, or of the cell in the plan's
-    column and a row whose first cell speaks of price, cost or rate; labels from the innermost labelled node of
-    the card or of the cell in the row that the label names. What the scope does not say is not made up.
-    """
-    tables = nodes.where("tag = 'table' and not hidden").select("page_key", "node_id", "last_id", "path")
-    cells = _rows_of(nodes, tables)
-    scopes = card_scopes(nodes, plans).unionByName(column_scopes(nodes, plans, cells, tables))
-    named = scopes.select("*", F.lit("named_plan").alias("field"), F.col("plan_id").alias("node_id"), F.col("plan_path").alias("path"), F.col("plan_text").alias("excerpt"), F.col("plan_text").alias("raw_value"),
-                          F.col("plan_name").alias("value"), *[F.lit(None).cast("string").alias(c) for c in ("unit", "currency", "billing_period", "encoding")])
-    # where to look for each field: the card itself, or cells of its column in rows that fit the field
-    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("value_type"), F.lit(t).alias("title")) for n, (k, t) in PLAN_FIELDS.items() if n != "named_plan"])
-    asked = scopes.withColumn("f", F.explode(fields)).select("*", "f.*").drop("f")
-    inside = asked.where("col is null").select("*", F.col("scope_id").alias("box_id"), F.col("scope_last").alias("box_last"))
-    first = cells.where("col = 0").select("page_key", "table_id", "row_id", F.col("shown_text").alias("row_label"))
-    boxes = cells.where("not spanned").join(first, ["page_key", "table_id", "row_id"]).select("page_key", F.col("table_id").alias("scope_id"), "col", F.col("node_id").alias("box_id"), F.col("last_id").alias("box_last"), "row_label")
-    fits = F.when(F.col("field").isin(*PRICED), F.col("row_label").rlike(r"(?iU)\b(price|cost|rate)\b")).otherwise(casefold("row_label") == casefold("title"))
-    in_column = asked.where("col is not null").join(boxes, ["page_key", "scope_id", "col"]).where(fits).drop("row_label")
-    boxed = inside.unionByName(in_column)
-
-    box = boxed.withColumnsRenamed({"box_id": "node_id", "box_last": "last_id"})
-    priced = priced_nodes(nodes)
-    inner = priced.alias("a").join(priced.alias("b"), below("a", "b") & (F.col("a.text") == F.col("b.text")), "left_anti")
-    hits = box.where(F.col("field").isin(*PRICED)).alias("a").join(inner.alias("b"), below("a", "b", itself=True))
-    hits = hits.select("a.*", F.col("b.node_id").alias("at_id"), "b.path", "b.text")
-    text = F.col("text")
-    hits = hits.withColumns({"p": billing_period(text), "cur": price_currency(text), "number": F.replace(money(text, 3), F.lit(","), F.lit(""))})
-    whole = F.trim(F.regexp_extract(text, r"(?iU)(?<![\w])(?:USD|EUR|GBP|INR)?\s*[$€£₹]?\s*\d+(?:,\d{3})*(?:\.\d+)?\s*(?:USD|EUR|GBP|INR)?", 0))
-    hits = hits.withColumn("s", scalar("number", F.lit("number"))).where("p is not null and (field = 'billing_period' or cur is not null and s.value is not null)")
-    is_price = F.col("field") == "listed_price"
-    price_rows = hits.select(
-        "page_key", "plan_name", "field", "scope_rank", "order_id", "scope_id", "scope_path", F.col("at_id").alias("node_id"), "path", F.col("text").alias("excerpt"),
-        F.when(is_price, whole).when(F.col("field") == "currency", F.col("cur")).otherwise(F.col("p")).alias("raw_value"),
-        F.when(is_price, F.col("s.value")).when(F.col("field") == "currency", F.col("cur")).otherwise(F.col("p")).alias("value"),
-        F.when(is_price & text.rlike(MONTH_UNIT), "month").alias("unit"), F.when(is_price, F.col("cur")).alias("currency"), F.when(is_price, F.col("p")).alias("billing_period"), F.when(is_price, F.col("s.encoding")).alias("encoding"),
-    )
+    def named(r: Column) -> Column:
+        return F.filter(names, lambda n: F.size(F.filter(r["cells"], lambda c: c["fold"] == n["fold"])) == 1)
 
-    short = nodes.where((F.length("shown_text") <= LONGEST_LABELLED) & F.col("shown_text").rlike(r"[:\-–]")).select("page_key", "node_id", "last_id", "tag", "path", F.col("shown_text").alias("text"))
-    titles = F.array(*[F.lit(t) for n, (_, t) in PLAN_FIELDS.items() if n not in (*PRICED, "named_plan")])
-    said = short.withColumn("title", F.explode(titles)).withColumn("raw_value", labelled(F.col("text"), F.col("title"))).where("raw_value is not null")
-    innermost = said.alias("a").join(said.alias("b"), below("a", "b") & (F.col("a.title") == F.col("b.title")), "left_anti")
-    labels = box.where(~F.col("field").isin(*PRICED)).alias("a").join(innermost.alias("b"), below("a", "b", itself=True) & (F.col("a.title") == F.col("b.title")))
-    labels = labels.where("b.node_id = a.node_id or b.tag in ('p', 'li', 'div', 'span', 'td')").select("a.*", F.col("b.node_id").alias("at_id"), "b.path", "b.text", "b.raw_value")
-    labels = labels.withColumn("s", scalar("raw_value", "value_type")).where("s.value is not null")
-    label_rows = labels.select(
-        "page_key", "plan_name", "field", "scope_rank", "order_id", "scope_id", "scope_path", F.col("at_id").alias("node_id"), "path", F.col("text").alias("excerpt"), "raw_value",
-        F.col("s.value").alias("value"), F.col("s.unit").alias("unit"), F.col("s.currency").alias("currency"), F.lit(None).cast("string").alias("billing_period"), F.col("s.encoding").alias("encoding"),
-    )
-    every = named.select(price_rows.columns).unionByName(price_rows).unionByName(label_rows)
+    tables = tagged(nodes, ("table",), lambda t: ~t["hidden"])
+    return flat_map(tables, lambda t: flat_map(F.filter(first_row(rows, t), lambda r: ~r["spanned"]), lambda r: F.transform(named(r), lambda n: of(t, r, n))))
+
+
+def _innermost(found: Column, same: str | None = None) -> Column:
+    """Those without another below them (with the same text, if that counts)."""
+    return F.filter(found, lambda a: ~F.exists(found, lambda b: below(a, b) & (b[same] == a[same] if same else F.lit(True))))
+
+
+def _boxes(s: Column, rows: Column, fits: Column) -> Column:
+    """Where to look in a scope: a card itself, or the cells of its column in rows whose first cell fits."""
+    card = F.array(F.struct(s["scope_id"].alias("node_id"), s["scope_last"].alias("last_id")))
+    own = F.filter(rows, lambda r: (r["node_id"] > s["scope_id"]) & (r["node_id"] <= s["scope_last"]) & ~r["spanned"] & (F.size(r["cells"]) > s["col"]) & fits(F.get(r["cells"], F.lit(0))))
+    cells = F.transform(own, lambda r: let(F.get(r["cells"], s["col"]), lambda c: F.struct(c["node_id"].alias("node_id"), c["last_id"].alias("last_id"))))
+    return F.when(s["col"].isNull(), card).otherwise(cells)
+
+
+def plan_array(nodes: Column, rows: Column, names: Column) -> Column:
+    """What a page says of its plans (names: array of plan_name, fold, name_idx), not yet parsed: named_plan, price
+    nodes ("priced") and labels, each with its scope. Price nodes are the innermost of a card, or of the cell in the
+    plan's column and a row whose first cell speaks of price, cost or rate; labels the innermost labelled nodes of the
+    card, or of the cell in the row that the label names."""
+
+    def out(s: Column, field: str, at: Column, text: str, raw: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), *[s[k].alias(k) for k in ("plan_name", "name_idx", "scope_rank", "order_id", "scope_id", "scope_path")], at["node_id"].alias("node_id"), at["path"].alias("path"), at[text].alias("text"), raw.cast("string").alias("raw"))
+
+    def named(s: Column) -> Column:
+        return F.struct(F.lit("named_plan").alias("field"), *[s[k].alias(k) for k in ("plan_name", "name_idx", "scope_rank", "order_id", "scope_id", "scope_path")], s["plan_id"].alias("node_id"), s["plan_path"].alias("path"), s["plan_text"].alias("text"), s["plan_text"].alias("raw"))
+
+    def prices(s: Column, inner: Column) -> Column:
+        boxes = _boxes(s, rows, lambda first: first["shown_text"].rlike(PRICE_ROW))
+        return flat_map(boxes, lambda b: F.transform(F.filter(inner, lambda p: below(b, p, itself=True)), lambda p: out(s, "priced", p, "shown_text", F.lit(None))))
+
+    def labels(s: Column, field: str, said: Column) -> Column:
+        boxes = _boxes(s, rows, lambda first: first["fold"] == PLAN_FIELDS[field][1].casefold())
+        fits = lambda b, x: below(b, x, itself=True) & ((x["node_id"] == b["node_id"]) | x["tag"].isin(*HOLDERS))
+        return flat_map(boxes, lambda b: F.transform(F.filter(said, lambda x: fits(b, x)), lambda x: out(s, field, x, "shown_text", x["raw"])))
+
+    def said(title: str) -> Column:
+        short = F.filter(nodes, lambda n: (F.length(n["shown_text"]) <= LONGEST_LABELLED) & n["shown_text"].rlike(r"[:\-–]"))
+        with_raw = F.transform(short, lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "tag", "path", "shown_text")], labelled(n["shown_text"], F.lit(title)).alias("raw")))
+        return let(F.filter(with_raw, lambda n: n["raw"].isNotNull()), lambda found: _innermost(found))
+
+    def labelled_in(found: Column, field: str) -> Column:
+        return let(said(PLAN_FIELDS[field][1]), lambda x: flat_map(found, lambda s: labels(s, field, x)))
+
+    def all_of(priced: Column) -> Column:
+        scopes = F.concat(card_scopes(nodes, priced, names), column_scopes(nodes, rows, names))
+
+        def each(found: Column) -> Column:
+            parts = [F.transform(found, named), let(_innermost(priced, "shown_text"), lambda inner: flat_map(found, lambda s: prices(s, inner)))]
+            parts += [labelled_in(found, f) for f in LABELLED]
+            return F.when(F.size(found) > 0, F.concat(*parts))
+
+        return let(scopes, each)
+
+    return F.when(F.size(names) > 0, let(priced_nodes(nodes), all_of))
+
+
+def parsed(rows: DataFrame, carried: Sequence[str] = (), along: dict[str, Column] | None = None) -> DataFrame:
+    """Flat rows of plan_array (page_key and its parts) as candidates: COLUMNS, order_id, name_idx and what is carried
+    along. What the scope does not say is not made up. Rows whose field is "said" are none of a plan
+    and pass; `along` are Arrow functions that go to the workers with the same rows."""
+    text, asked, field = F.col("text"), F.col("field"), F.col("f")
+    priced = asked == "priced"
+    rows = rows.withColumns({"p": F.when(priced, billing_period(text)), "cur": F.when(priced, price_currency(text)), "number": F.when(priced, F.replace(money(text, 3), F.lit(","), F.lit("")))})
     kinds = F.create_map(*[F.lit(x) for n, (k, _) in PLAN_FIELDS.items() for x in (n, k)])
-    every = every.withColumns({"value_type": kinds[F.col("field")], "label": F.col("field"), "locator": F.concat("path", F.lit("::plan-scope("), "scope_path", F.lit(")"))})
-    return every.select(*COLUMNS, "order_id")
+    rows = rows.withColumns({**(along or {}), "s": scalar(F.when(priced, F.col("number")).otherwise(F.col("raw")), F.when(priced, F.lit("number")).otherwise(F.lit("string")))})
+    rows = rows.withColumn("f", F.explode(F.when(priced, F.array(*map(F.lit, PRICED))).otherwise(F.array(asked))))  # only now, so that a text is read once
+    told = F.when(priced, F.col("p").isNotNull() & ((field == "billing_period") | F.col("cur").isNotNull() & F.col("s.value").isNotNull())).otherwise(field.isin("named_plan", "said") | F.col("s.value").isNotNull())
+    whole = F.trim(F.regexp_extract(text, WHOLE_PRICE, 0))
+    is_price = field == "listed_price"
+    value = F.when(field == "named_plan", F.col("plan_name")).when(field == "currency", F.col("cur")).when(field == "billing_period", F.col("p")).otherwise(F.col("s.value"))
+    labels = field.isin(*LABELLED)
+    return rows.where(told).select(
+        "page_key", "plan_name", F.col("f").alias("field"), "scope_rank", "scope_id", "node_id", value.alias("value"), F.when(is_price & text.rlike(MONTH_UNIT), "month").when(labels, F.col("s.unit")).alias("unit"),
+        F.when(is_price, F.col("cur")).when(labels, F.col("s.currency")).alias("currency"), F.when(is_price, F.col("p")).alias("billing_period"), kinds[field].alias("value_type"), F.when(is_price | labels, F.col("s.encoding")).alias("encoding"),
+        F.concat("path", F.lit("::plan-scope("), "scope_path", F.lit(")")).alias("locator"), text.alias("excerpt"), F.col("f").alias("label"),
+        F.when(is_price, whole).when(field == "currency", F.col("cur")).when(field == "billing_period", F.col("p")).otherwise(F.col("raw")).alias("raw_value"), "order_id", "name_idx", *carried, *(along or {}),
+    )
+
+
+def with_names(pages: DataFrame, plans: DataFrame | None) -> DataFrame:
+    """pages with the array of names: their own plan_name, or those that a table (page_key, plan_name) asks for."""
+    name = F.struct("plan_name", casefold("plan_name").alias("fold"), F.lit(0).alias("name_idx"))
+    if plans is None:
+        return pages.withColumn("names", F.array(name))
+    return pages.join(plans.groupBy("page_key").agg(F.collect_set(name).alias("names")), "page_key")
+
+
+def plan_candidates(pages: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Candidates for the six plan fields of each (page_key, plan_name); without a table of plans, of the plan_name that
+    each page brings along, with no join."""
+    rows = with_names(pages, plans).withColumn("found", let(table_rows(F.col("nodes")), lambda rows: plan_array(F.col("nodes"), rows, F.col("names"))))
+    return parsed(rows.select("page_key", F.inline("found")))
+
+
+def nearest_cards(pages: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """(page_key, plan_name, scope_path, plan_path) of each plan's cards."""
+    cards = let(priced_nodes(F.col("nodes")), lambda priced: card_scopes(F.col("nodes"), priced, F.col("names")))
+    return with_names(pages, plans).select("page_key", F.inline(cards)).select("page_key", "plan_name", "scope_path", "plan_path")

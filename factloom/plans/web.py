@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.dom import nodes, source_node
+from factloom.functions.dom import elements, nodes, source_node, tagged
 from factloom.functions.urls import canonical_url, tracking_key
 from factloom.operators import automatic, candidates, crawl, plans, reconcile
 from factloom.operators.candidates import Field
 from factloom.sources.captures import decode_html, read_pages
-from factloom.sources.tables import materialize, table
+from factloom.sources.tables import materialize, spread, table
 
 QUICK = [Field("page_title"), Field("main_heading"), Field("page_description"), Field("site_name")]
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Captures of the pages table and their nodes; the nodes are written once, for all that reads them."""
+    """Captures of the pages table, and the same pages parsed."""
     captures = read_pages(spark, sf_dir)
-    return captures, materialize(nodes(captures), "nodes")
+    return captures, nodes(captures)
 
 
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def built(rows: DataFrame, key: Column, html: Column) -> tuple[DataFrame, DataFrame]:
-    """Captures made of rows, and their nodes, written once."""
-    captures = rows.select(key.cast("string").alias("page_key"), F.concat(F.lit("https://rt.example/"), key.cast("string")).alias("url"), html.alias("html"))
-    return captures, materialize(nodes(captures), "nodes")
+def built(rows: DataFrame, key: Column, html: Column, also: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Captures made of rows, and the same pages parsed."""
+    captures = rows.select(key.cast("string").alias("page_key"), F.concat(F.lit("https://rt.example/"), key.cast("string")).alias("url"), html.alias("html"), *also)
+    return captures, nodes(captures, also=also)
 
 
 def _number(key: str = "page_key") -> Column:
@@ -64,7 +66,7 @@ def page_fact_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, n = page_nodes(spark, sf_dir)
     raw = materialize(candidates.candidates(n, QUICK), "candidates")
     again = captures.withColumn("d", decode_html("raw", "content_type")).select("page_key", F.col("d.text").alias("html"))
-    good = reconcile.verified(raw, candidates.candidates(materialize(nodes(again), "nodes-again"), QUICK))
+    good = reconcile.verified(raw, candidates.candidates(nodes(again), QUICK))
     place = {"job_id": F.col("page_key"), "page_seq": F.lit(0)}
     jobs = captures.select(F.col("page_key").alias("job_id"), F.lit(False).alias("blocked"))
     fields = candidates.per_field(jobs, QUICK)
@@ -89,8 +91,8 @@ def visible_li_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures, n = page_nodes(spark, sf_dir)
-    found = crawl.links(n, captures, hints=["page"])
+    _, n = page_nodes(spark, sf_dir)
+    found = crawl.links(n, hints=["page"])
     return found.select(_number().alias("page_id"), "url", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -107,25 +109,23 @@ def duplicate_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures, n = page_nodes(spark, sf_dir)
-    found = automatic.page_types(n, captures, automatic.all_claims(n, captures))
+    _, n = page_nodes(spark, sf_dir)
+    found = automatic.page_types(n, automatic.all_claims(n))
     return found.select(_number().alias("page_id"), F.col("value").alias("page_type"), F.array_join("alternatives", "|").alias("alternatives"))
 
 
 def automatic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Found and missing facts of every page, with the overview's state."""
-    captures, n = page_nodes(spark, sf_dir)
-    claims = materialize(automatic.all_claims(n, captures), "claims")
-    facts = materialize(automatic.facts(claims, captures), "facts")
-    shown = automatic.overview(facts, captures).select("page_key", F.col("state").alias("overview_state"), F.col("text").alias("overview_text"))
-    return facts.join(shown, "page_key").select(_number().alias("page_id"), F.col("fact_idx").cast("int").alias("fact_idx"), "grp", "key", "label", "state", "value", "overview_state", "overview_text")
+    """Found and missing facts of every page, with the overview's state. Claims are made of the html, made again of
+    the retained bytes, and kept where both agree; a page whose bytes decode to something else has no facts."""
+    facts = automatic.automatic_facts(read_pages(spark, sf_dir))
+    return facts.select(_number().alias("page_id"), F.col("fact_idx").cast("int").alias("fact_idx"), "grp", "key", "label", "state", "value", "overview_state", "overview_text")
 
 
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a crawl from each page attempts: two levels, eight pages at most."""
     captures, n = page_nodes(spark, sf_dir)
     pages = captures.select("page_key", canonical_url("url").alias("url")).where("url is not null")
-    edges = materialize(crawl.links(n, captures).join(pages.withColumnRenamed("url", "source"), "page_key").select(F.col("source").alias("url"), F.col("url").alias("target"), "rank"), "edges")
+    edges = materialize(crawl.links(n).join(pages.withColumnRenamed("url", "source"), "page_key").select(F.col("source").alias("url"), F.col("url").alias("target"), "rank"), "edges")
     seeds = captures.select(F.col("page_key").alias("job_id"), "url")
     known = pages.select("url").distinct().withColumn("known", F.lit(True))
     targets = edges.select(F.col("target").alias("url")).union(pages.select("url")).distinct()
@@ -139,7 +139,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rt_label_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer balances as "Balance: x", read back as exact numbers."""
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer"))
     amount = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
     captures, n = built(rows, F.col("c_custkey"), F.concat(F.lit("<html><body><h1>Account</h1><p>Balance: "), amount, F.lit("</p></body></html>")))
     found = candidates.candidates(n, [Field("balance", "number")])
@@ -148,7 +148,7 @@ def rt_label_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rt_units_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part prices with a currency and unit that follow from the key; a schema that wants EUR keeps those alone."""
-    rows = table(spark, sf_dir, "part")
+    rows = spread(table(spark, sf_dir, "part"))
     key = F.col("p_partkey")
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     sign = F.when(key % 3 == 0, "USD ").when(key % 3 == 1, "€").otherwise("£")
@@ -165,6 +165,7 @@ def rt_reconcile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left")
     lines = F.array_join(F.transform(F.coalesce("o", F.array().cast("array<struct<o_orderkey:bigint,o_orderstatus:string>>")), lambda x: F.concat(F.lit("<li>Status: "), x["o_orderstatus"], F.lit("</li>"))), "")
     captures, n = built(rows, F.col("c_custkey"), F.concat(F.lit("<html><body><ul>"), lines, F.lit("</ul></body></html>")))
+    n = materialize(n, "nodes")  # candidates and label hits read it, and orders are not grouped again
     schema = [Field("status")]
     place = {"job_id": F.col("page_key"), "page_seq": F.lit(0)}
     raw = candidates.candidates(n, schema).withColumns(place)
@@ -187,29 +188,29 @@ def _priced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     period = F.when(F.col("p_partkey") % 2 == 0, "monthly").otherwise("annually")
     code = F.when(F.col("p_partkey") % 3 == 0, "USD").when(F.col("p_partkey") % 3 == 1, "EUR").otherwise("GBP")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", price.alias("price"), period.alias("period"), code.alias("code"), F.concat(F.lit("Plan "), F.col("p_partkey").cast("string")).alias("plan"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", "p_brand", price.alias("price"), period.alias("period"), code.alias("code"), F.concat(F.lit("Plan "), F.col("p_partkey").cast("string")).alias("plan_name"))
 
 
-def _plan_rows(n: DataFrame, names: DataFrame) -> DataFrame:
-    found = plans.plan_candidates(n, names).where("field = 'listed_price'").select("page_key", "plan_name", "value", "unit", "currency", "billing_period").distinct()
+def _plan_rows(n: DataFrame) -> DataFrame:
+    found = plans.plan_candidates(n).where("field = 'listed_price'").select("page_key", "plan_name", "value", "unit", "currency", "billing_period").distinct()
     return found.select(F.regexp_replace("plan_name", "^Plan ", "").cast("bigint").alias("p_partkey"), "value", "unit", "currency", "billing_period")
 
 
 def rt_plan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a plan's card with its price, beside a card of another plan."""
     rows = _priced_parts(spark, sf_dir)
-    card = F.concat(F.lit("<article><h2>"), F.col("plan"), F.lit("</h2><p>"), F.col("code"), F.lit(" "), F.col("price"), F.lit(" per user/month billed "), F.col("period"), F.lit("</p></article><article><h2>Other</h2><p>USD 1 per user/month billed monthly</p></article>"))
-    captures, n = built(rows, F.col("p_partkey"), F.concat(F.lit("<html><body><main>"), card, F.lit("</main></body></html>")))
-    return _plan_rows(n, rows.select(F.col("p_partkey").cast("string").alias("page_key"), F.col("plan").alias("plan_name")))
+    card = F.concat(F.lit("<article><h2>"), F.col("plan_name"), F.lit("</h2><p>"), F.col("code"), F.lit(" "), F.col("price"), F.lit(" per user/month billed "), F.col("period"), F.lit("</p></article><article><h2>Other</h2><p>USD 1 per user/month billed monthly</p></article>"))
+    captures, n = built(rows, F.col("p_partkey"), F.concat(F.lit("<html><body><main>"), card, F.lit("</main></body></html>")), ["plan_name"])
+    return _plan_rows(n)
 
 
 def rt_plan_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One comparison table for each part with its plan in the second column and a cheaper one in the first."""
     rows = _priced_parts(spark, sf_dir)
     cell = F.concat(F.col("code"), F.lit(" "), F.col("price"), F.lit(" /year billed "), F.col("period"))
-    body = F.concat(F.lit("<table><tr><th>Feature</th><th>Base</th><th>"), F.col("plan"), F.lit("</th></tr><tr><td>Price</td><td>USD 1 billed monthly</td><td>"), cell, F.lit("</td></tr></table>"))
-    captures, n = built(rows, F.col("p_partkey"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")))
-    return _plan_rows(n, rows.select(F.col("p_partkey").cast("string").alias("page_key"), F.col("plan").alias("plan_name")))
+    body = F.concat(F.lit("<table><tr><th>Feature</th><th>Base</th><th>"), F.col("plan_name"), F.lit("</th></tr><tr><td>Price</td><td>USD 1 billed monthly</td><td>"), cell, F.lit("</td></tr></table>"))
+    captures, n = built(rows, F.col("p_partkey"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")), ["plan_name"])
+    return _plan_rows(n)
 
 
 def rt_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,7 @@ def rt_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = parts.withColumn("offer", one).groupBy("page_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "offer"))), lambda x: x["offer"]), ",").alias("offers"))
     html = F.concat(F.lit('<html><head><title>Brand</title><script type="application/ld+json">{"@type":"Product","name":"Brand","offers":['), F.col("offers"), F.lit("]}</script></head><body><h1>Brand</h1></body></html>"))
     captures, n = built(pages, F.col("page_key"), html)
-    found = automatic.entity_claims(automatic.main_entities(n, captures)).where("key = 'price'")
+    found = automatic.all_claims(n).where("key = 'price'")
     return found.select("page_key", F.col("grp").alias("offer"), "value", "currency", "encoding")
 
 
@@ -229,19 +230,19 @@ def rt_details_dl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     body = F.concat(F.lit("<dl><dt>Nation</dt><dd>"), F.col("n_name"), F.lit("</dd><dt>Region</dt><dt>Part of</dt><dd>"), F.col("r_name"), F.lit("</dd></dl><nav><dl><dt>Menu</dt><dd>x</dd></dl></nav>"))
     captures, n = built(rows, F.col("n_nationkey"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")))
-    return automatic.detail_claims(n).select(_number().alias("n_nationkey"), "key", "label", "value")
+    return automatic.all_claims(n).where("grp = 'Details'").select(_number().alias("n_nationkey"), "key", "label", "value")
 
 
 def rt_details_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     body = F.concat(F.lit("<table><tr><th>Nation</th><td>"), F.col("n_name"), F.lit('</td></tr><tr><th>Region</th><td>'), F.col("r_name"), F.lit('</td></tr><tr><th colspan="2">Span</th><td>x</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table>'))
     captures, n = built(rows, F.col("n_nationkey"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")))
-    return automatic.detail_claims(n).select(_number().alias("n_nationkey"), "key", "label", "value")
+    return automatic.all_claims(n).where("grp = 'Details'").select(_number().alias("n_nationkey"), "key", "label", "value")
 
 
 def rt_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as labelled items, some hidden in one of five ways."""
-    rows = table(spark, sf_dir, "events")
+    rows = spread(table(spark, sf_dir, "events"))
     k = F.col("event_id") % 6
     attrs = F.when(k == 0, " hidden").when(k == 1, ' aria-hidden="true"').when(k == 2, ' style="color:red; display : none"').when(k == 3, ' style="visibility:hidden!important"').when(k == 4, ' style="opacity:0.0"').otherwise(' style="opacity:0.5"')
     captures, n = built(rows, F.col("event_id"), F.concat(F.lit("<div"), attrs, F.lit("><p>Kind: "), F.col("event_type"), F.lit("</p></div>")))
@@ -250,7 +251,7 @@ def rt_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rt_verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer segments claimed from pages; claims that were altered do not come up again and fall away."""
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer"))
     captures, n = built(rows, F.col("c_custkey"), F.concat(F.lit("<p>Segment: "), F.col("c_mktsegment"), F.lit("</p>")))
     honest = candidates.candidates(n, [Field("segment")])
     k = _number() % 5
@@ -276,11 +277,11 @@ def bound_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes found for suppliers as cards nested three deep: the nearest block with a price wins."""
-    rows = table(spark, sf_dir, "supplier")
+    rows = spread(table(spark, sf_dir, "supplier"))
     deep = F.concat(F.lit("<section><div><div><h3>Plan "), F.col("s_suppkey").cast("string"), F.lit("</h3></div><p>USD "), F.col("s_suppkey").cast("string"), F.lit(" per seat billed yearly</p></div><p>USD 999 per seat billed yearly</p></section>"))
     captures, n = built(rows, F.col("s_suppkey"), F.concat(F.lit("<html><body>"), deep, F.lit("</body></html>")))
     names = rows.select(F.col("s_suppkey").cast("string").alias("page_key"), F.concat(F.lit("Plan "), F.col("s_suppkey").cast("string")).alias("plan_name"))
-    found = plans.card_scopes(n, names)
+    found = plans.nearest_cards(n, names)
     return found.select(_number().alias("s_suppkey"), F.col("scope_path"))
 
 
@@ -299,8 +300,9 @@ def scoped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     captures, n = page_nodes(spark, sf_dir)
     key = captures.select("page_key", F.col("page_id").alias("case_id"), F.col("url").alias("source_url"), "snapshot_hash", "fetched_at")
-    items = n.where("tag = 'li'").select("page_key", F.col("path").alias("locator")).join(key, "page_key")
-    scopes = n.where("tag in ('nav', 'article')").select("page_key", "tag", F.col("path").alias("scope_locator")).join(key, "page_key").where("(case_id % 2 = 0) = (tag = 'nav')")
+    every = elements(n)
+    items = every.where("tag = 'li'").select("page_key", F.col("path").alias("locator")).join(key, "page_key")
+    scopes = every.where("tag in ('nav', 'article')").select("page_key", "tag", F.col("path").alias("scope_locator")).join(key, "page_key").where("(case_id % 2 = 0) = (tag = 'nav')")
     cols = ["case_id", "source_url", "snapshot_hash", "fetched_at"]
     found = evaluate.in_scope(items.select(*cols, "locator"), scopes.select(*cols, "scope_locator"), ["case_id"])
     return found.select(F.col("case_id").alias("page_id"), "evidence_matches")
@@ -311,6 +313,7 @@ def common_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.operators import evaluate
 
     _, n = page_nodes(spark, sf_dir)
-    pair = n.where("tag in ('h1', 'p')").groupBy("page_key").agg(F.min(F.when(F.col("tag") == "h1", F.col("node_id"))).alias("plan_id"), F.min(F.when(F.col("tag") == "p", F.col("node_id"))).alias("value_id"))
+    first = lambda tag: F.array_min(F.transform(tagged(F.col("nodes"), (tag,)), lambda x: x["node_id"]))
+    pair = n.select("page_key", first("h1").alias("plan_id"), first("p").alias("value_id"))
     found = evaluate.common_scopes(pair.withColumn("claim_id", F.lit(0)), n)
     return found.select(_number().alias("page_id"), F.col("common.tag").alias("tag"))

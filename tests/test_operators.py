@@ -95,9 +95,10 @@ def test_periods_that_disagree_make_no_price(spark):
 
 def facts_of(spark, html):
     rows, n = pages(spark, html)
-    claims = materialize(automatic.all_claims(n, rows), "test-claims")
-    out = materialize(automatic.facts(claims, rows), "test-facts")
-    return {(r.grp, r.key): r for r in out.collect()}, automatic.page_types(n, rows, claims).first(), automatic.overview(out, rows).first()
+    claims = materialize(automatic.all_claims(n), "test-claims")
+    out = materialize(automatic.with_overview(automatic.facts(claims)), "test-facts")
+    facts = {(r.grp, r.key): r for r in out.collect()}
+    return facts, automatic.page_types(n, claims).first(), next(iter(facts.values()))
 
 
 def test_automatic_facts_of_a_product(spark):
@@ -107,18 +108,18 @@ def test_automatic_facts_of_a_product(spark):
     assert facts["Product", "name"].value == "Acme" and (facts["Offer: One", "price"].value, facts["Offer: One", "price"].variant) == ("49.50", "One")
     assert facts["Details", "detail:founded"].value == "1999" and facts["Details", "detail:colour"].value == "red" and ("Details", "detail:cookie") not in facts
     assert facts["Page", "site_name"].state == "missing" and ("Article", "headline") not in facts
-    assert kind.value == "product" and shown.text == "Tools"
+    assert kind.value == "product" and shown.overview_text == "Tools"
 
 
 def test_ambiguous_details_and_foreign_entities(spark):
     facts, kind, shown = facts_of(spark, '<title>T</title><script type="application/ld+json">{"@type":"Organization","name":"T","url":"https://other.example/"}</script><p>Size: 1</p><p>Size: 2</p>')
     assert facts["Details", "detail:size"].state == "ambiguous" and [a.value for a in facts["Details", "detail:size"].alternatives] == ["1", "2"]
-    assert ("Organization", "name") not in facts and (kind.value, list(kind.alternatives)) == ("general", []) and shown.state == "missing"
+    assert ("Organization", "name") not in facts and (kind.value, list(kind.alternatives)) == ("general", []) and shown.overview_state == "missing"
 
 
 def test_links_and_scores(spark):
     rows, n = pages(spark, '<a href="/a.PDF">x</a><a href="/faq#x">f</a><a href="/b">b</a><a href="/faq">again</a><a href="https://y.example/">y</a><a href="/pricing/hint">p</a><a>none</a><a href="http://[">bad</a>')
-    got = [(r.url, r.score) for r in crawl.links(n, rows, hints=["Hint"]).orderBy("rank").collect()]
+    got = [(r.url, r.score) for r in crawl.links(n, hints=["Hint"]).orderBy("rank").collect()]
     assert got == [("https://x.example/pricing/hint", 12), ("https://x.example/faq", 2), ("https://x.example/b", 0)]
 
 
