@@ -1,23 +1,30 @@
-"""Byte-pair encoding as a shortest path: pieces are arcs, and a pair of neighbours weighs nothing or infinity.
+"""Byte-pair encoding as a tropical shortest path over a trie: pieces are arcs, and weights add up along a path.
 
-A sequence of pieces is what byte-pair merging makes of its text if and only if merging makes each two
-neighbours of it of theirs. So with weight infinity on the other pairs, the shortest path through the lattice of
-pieces is the one of finite weight, each prefix of a word has one last piece, and words share the work on their
-common prefixes.
+A sequence of pieces is what byte-pair merging makes of its text if and only if merging makes each two neighbours of
+it of theirs. So an arc weighs one for each id that it puts out, and infinity where the pair that it makes with the
+arc before is not merging's own. Of all arcs into a prefix one at most has a finite weight, so the minimum over them
+is known with the first that is finite.
+
+Words are inserted into a trie. Its nodes are prefixes, each with the best arc into it and the forward score of its
+shortest path, computed once for all words that share the prefix, now and in later calls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+INFINITE = float("inf")
+
 
 class Lattice:
-    """Pieces with their ranks (lower merges first); every single character of a word must be a piece."""
+    """Arcs compiled from pieces with their ranks (lower merges first), and the trie of the words composed with them. A
+    character that is no piece has a fallback arc of its own, with number -1 and a weight of `fallback` an id."""
 
-    def __init__(self, ranks: dict, most_pairs: int = 1_000_000):
-        self.ranks, self.most_pairs = ranks, most_pairs
+    def __init__(self, ranks: dict, most_pairs: int = 1_000_000, most_nodes: int = 400_000):
+        self.ranks, self.most_pairs, self.most_nodes = ranks, most_pairs, most_nodes
+        self.pieces = list(ranks)
         self._index = {p: i for i, p in enumerate(ranks)}
-        self._fits: dict[int, bool] = {}
+        self._weights: dict[int, float] = {}
         # the last three characters say which lengths a last piece can have; the last two, where no piece has those
         self._lengths: dict = {}
         for p in ranks:
@@ -27,6 +34,12 @@ class Lattice:
             own |= shorter.get(tail[-2:], {1}) if len(tail) == 3 else {1}
         self._shorter = {t: sorted(own, reverse=True) for t, own in shorter.items()}
         self._lengths = {tail: sorted(own, reverse=True) for tail, own in self._lengths.items()}
+        self._plant()
+
+    def _plant(self) -> None:
+        self._children: dict[int, int] = {}
+        #: For each node: number of the best arc into it (-1: the fallback), characters that the arc spans, forward score.
+        self.number, self.span, self.score = [-1], [0], [0]
 
     def merged(self, text) -> list:
         """Plain byte-pair merging, by rank and from the left; for short texts."""
@@ -40,61 +53,103 @@ class Lattice:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, a, b) -> bool:
-        """Whether the pair weighs nothing: merging keeps a and b apart and makes both of their text."""
-        return self.merged(a + b) == [a, b]
+    def pair_weight(self, a, b) -> float:
+        """Nothing where merging keeps a and b apart and makes both of their text, infinity elsewhere."""
+        return 0 if self.merged(a + b) == [a, b] else INFINITE
+
+    def arcs(self, word, end: int) -> Iterator[tuple[int, int]]:
+        """(number, span) of the arcs that end there, longest first; the fallback if the last character is no piece."""
+        for size in self._sizes(word, end):
+            if size <= end and (i := self._index.get(word[end - size : end])) is not None:
+                yield i, size
+        if word[end - 1 : end] not in self._index:
+            yield -1, 1
+
+    def _sizes(self, word, end: int) -> Iterable[int]:
+        sizes = self._lengths.get(word[end - 3 : end]) if end > 2 else None
+        return sizes if sizes is not None else self._shorter.get(word[end - 2 : end], (1,)) if end > 1 else (1,)
 
     def walk(self, words: Iterable) -> Iterator[tuple]:
-        """(word, last pieces by end) of each word, in sorted order: the trie of the words, depth first. The list
-        is the walk's own and holds the current path: the last piece of every prefix, computed once for all
-        words that share it. A character that is no piece stands alone: nothing merges with it."""
-        index, lengths, shorter, known, single = self._index, self._lengths, self._shorter, self._fits, (1,)
-        last: list = [None]
-        numbers: list[int] = [-1]
-        before = b"" if isinstance(next(iter(index), b""), bytes) else ""
-        for word in sorted(words):
-            n, shared = min(len(word), len(before)), 0
-            if word[:n] == before[:n]:
-                shared = n
+        """(word, path) of each word inserted into the trie, in sorted order: path, the walk's own list, holds its nodes by
+        length of the prefix, the root first. The trie is planted anew between two words once it has most_nodes nodes."""
+        index, lengths, shorter, weights, single = self._index, self._lengths, self._shorter, self._weights, (1,)
+        children, number, span, score = self._children, self.number, self.span, self.score
+        path: list[int] = [0]
+        previous = b"" if isinstance(next(iter(index), b""), bytes) else ""
+        for word in sorted(words):  # neighbours share prefixes, whose nodes are then known without a step
+            shared, most = 0, min(len(word), len(previous))
+            if word[:most] == previous[:most]:
+                shared = most
             else:
-                while word[shared] == before[shared]:
+                while word[shared] == previous[shared]:
                     shared += 1
-            del last[shared + 1 :], numbers[shared + 1 :]
+            if len(number) > self.most_nodes:
+                self._plant()
+                children, number, span, score, shared = self._children, self.number, self.span, self.score, 0
+            del path[shared + 1 :]
+            node = path[-1]
             for end in range(shared + 1, len(word) + 1):
-                best, number = word[end - 1 : end], -1
-                sizes = lengths.get(word[end - 3 : end]) if end > 2 else None
-                if sizes is None:
-                    sizes = shorter.get(word[end - 2 : end], single) if end > 1 else single
-                for size in sizes:
-                    if size > end:
-                        continue
-                    piece = word[end - size : end]
-                    i = index.get(piece)
-                    if i is None:
-                        continue
-                    a = numbers[end - size]
-                    if a >= 0 and size < end:
-                        fits = known.get(a << 24 | i)
-                        if fits is None:
-                            if len(known) >= self.most_pairs:
-                                known.clear()
-                            fits = known[a << 24 | i] = self.fits(last[end - size], piece)
-                        if not fits:
+                last = word[end - 1 : end]
+                key = node << 21 | ord(last)
+                node = children.get(key)
+                if node is None:
+                    best, arc, size = INFINITE, -1, 1
+                    sizes = lengths.get(word[end - 3 : end]) if end > 2 else None
+                    if sizes is None:
+                        sizes = shorter.get(word[end - 2 : end], single) if end > 1 else single
+                    for size in sizes:
+                        if size > end:
+                            continue
+                        arc = index.get(word[end - size : end])
+                        if arc is None:
                             continue
-                    best, number = piece, i
-                    break
-                else:
-                    number = index.get(best, -1)
-                last.append(best)
-                numbers.append(number)
-            before = word
-            yield word, last
-
-    @staticmethod
-    def path(last: list, end: int) -> list:
-        """Pieces of the path to `end`."""
-        out = []
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                        start = path[end - size]
+                        before = number[start]
+                        if before < 0:
+                            best = score[start] + 1
+                            break
+                        weight = weights.get(before << 24 | arc)
+                        if weight is None:
+                            if len(weights) >= self.most_pairs:
+                                weights.clear()
+                            weight = weights[before << 24 | arc] = self.pair_weight(self.pieces[before], self.pieces[arc])
+                        if weight < INFINITE:  # the only finite one
+                            best = score[start] + 1 + weight
+                            break
+                    if best == INFINITE:  # the last character is no piece: nothing merges with it
+                        arc, size = -1, 1
+                        best = score[path[-1]] + len(last.encode("utf-8", "surrogatepass") if last.__class__ is str else last)
+                    node = children[key] = len(number)
+                    number.append(arc)
+                    span.append(size)
+                    score.append(best)
+                path.append(node)
+            previous = word
+            yield word, path
+
+
+class Cache:
+    """What is known of words, in two generations: what a call needs stays whatever its number, and only what
+    was not needed for long is forgotten."""
+
+    def __init__(self, learn, remembered: int):
+        self.learn, self.remembered = learn, remembered
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: set) -> dict:
+        """What is known of each of the words; learnt where nothing is."""
+        new, old, found, missing = self.new, self.old, {}, []
+        for w in words:
+            got = new.get(w)
+            if got is None:
+                got = old.get(w)
+            if got is None:
+                missing.append(w)
+            else:
+                found[w] = got
+        found.update(self.learn(missing))
+        if len(new) + len(found) > self.remembered:
+            self.old, self.new = new, {}
+        self.new.update(found)
+        return found

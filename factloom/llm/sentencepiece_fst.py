@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three parts are compiled from a model file and composed with each input: the normaliser (spaces to the mark, one
-mark before the text), the pieces as arcs between text positions, and byte fallback for characters that are no
-piece. The answer is the shortest path in the tropical semiring. For a BPE model a bigram acceptor weighs the
-piece pairs that merging could not leave standing with infinity (see lattice.py); so the path is merging's own.
+Three parts are compiled from a model file: the normaliser (a one-state transducer from characters to characters, and
+what it puts before a text), the pieces as weighted arcs, and the byte fallback, an arc to the ids of a character's
+bytes for each character that is no piece. They are composed with each input, word by word, and the answer is the
+shortest path in the tropical semiring. For a BPE model a bigram acceptor weighs the pairs of pieces that merging
+could not leave standing with infinity (see lattice.py); so the path is merging's own.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lattice import Lattice
+from .lattice import Cache, Lattice
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+#: Words that each of two generations of a worker's cache holds, and characters of texts that are encoded at once.
 REMEMBERED = 500_000
 CHUNK_CHARS = 1 << 21
 
@@ -95,22 +97,36 @@ class Transducer:
         self.words = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]") if not any(c in p for p in self.ids for c in "\n\t") else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that span words are not compiled")
-        self.known: dict[str, bytes] = {}
-
-    def _arc(self, piece: str) -> list[int]:
-        """Output of an arc: a piece's id, or the ids of its bytes where it is none."""
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        path, arc = Lattice.path, self._arc
-        for word, last in self.lattice.walk(words):
-            self.known[word] = array("i", [i for p in path(last, len(word)) for i in arc(p)]).tobytes()
+        # the normaliser's arcs that change what they read, spaces to marks; and a mark before a text that is not empty
+        self.normaliser, self.before = [(" ", MARK)], MARK if normal[3] else ""
+        #: Output of each arc: a piece's id; of the fallback arcs, by character, the ids of its bytes.
+        self.arc_ids = [array("i", [self.ids[p]]).tobytes() for p in self.lattice.pieces]
+        self.fallback: dict[str, bytes] = {}
+        self.known = Cache(self._learn, REMEMBERED)
+
+    def _fallback(self, character: str) -> bytes:
+        found = self.fallback.get(character)
+        if found is None:
+            found = self.fallback[character] = array("i", [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")]).tobytes()
+        return found
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The output of each word's shortest path."""
+        out, lattice, arc_ids = {}, self.lattice, self.arc_ids
+        for word, path in lattice.walk(words):
+            number, span, end, parts = lattice.number, lattice.span, len(word), []
+            while end:
+                node = path[end]
+                i = number[node]
+                parts.append(arc_ids[i] if i >= 0 else self._fallback(word[end - 1]))
+                end -= span[node]
+            out[word] = b"".join(parts[::-1])
+        return out
 
     def normalise(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        for read, put in self.normaliser:
+            text = text.replace(read, put)
+        return (self.before if text else "") + text
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """int32 ids of each text."""
@@ -125,16 +141,9 @@ class Transducer:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
+        found = self.known.of(set().union(*waiting))
         for words in waiting:
-            try:
-                found = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self._learn({w for own in waiting for w in own if w not in self.known})
-                missing = {w for w in words if w not in self.known}
-                if missing:
-                    self._learn(missing)
-                found = b"".join(map(self.known.__getitem__, words))
-            yield np.frombuffer(found, np.int32)
+            yield np.frombuffer(b"".join(map(found.__getitem__, words)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: bytes are gathered to UTF-8 (what is none becomes U+FFFD), marks to spaces, and the
@@ -171,7 +180,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """encoded with a column `text`, decoded from the ids; null ids give null."""
+    """encoded with a column `text`, decoded from the ids: null ids give null and no ids an empty text; repeated rows
+    stay, all other columns too (one named text is replaced), and an empty table gives an empty one."""
     path = path or default_path()
 
     @F.pandas_udf(T.StringType())

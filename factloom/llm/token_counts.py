@@ -1,4 +1,8 @@
-"""Token counts without encoding: distinct pre-tokens in a trie, forward scores once for each shared prefix."""
+"""Token counts without encoding: distinct pre-tokens in a trie, forward scores once for each shared prefix.
+
+An arc of a piece weighs one, so the forward score of a node is the number of tokens of its prefix, and a terminal's
+score is its pre-token's count. Which arcs may follow each other is what lattice.py tells for byte-pair vocabularies,
+whose pieces have ranks and no probabilities."""
 
 from __future__ import annotations
 
@@ -12,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .lattice import Lattice
+from .lattice import Cache, Lattice
 
-#: Pre-tokens whose counts a worker remembers; a cache alone, emptied when full.
-REMEMBERED = 400_000
-CHUNK_CHARS = 1 << 21
+#: Pre-tokens whose counts each of two generations of a worker's cache holds, and characters that are counted at once.
+REMEMBERED = 300_000
+CHUNK_CHARS = 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -41,23 +45,12 @@ class Counter:
         self.lattice = Lattice({bytes(of[c] for c in word): rank for word, rank in t.get_vocab(with_added_tokens=False).items() if word not in added})
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, int] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in words}
-        forward = [0]  # tokens on the shortest path to each prefix of the current branch
-        shared_path: list = []
-        for word, last in self.lattice.walk(by_bytes):
-            keep = 0
-            while keep < len(shared_path) and keep + 1 < len(last) and shared_path[keep] is last[keep + 1]:
-                keep += 1
-            del forward[keep + 1 :]
-            for end in range(keep + 1, len(word) + 1):
-                forward.append(forward[end - len(last[end])] + 1)
-            shared_path = last[1:]
-            self.known[by_bytes[word]] = forward[len(word)]  # the terminal's count
+        self.known = Cache(self._learn, REMEMBERED)
+
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """The terminal's count of each word."""
+        lattice, by_bytes = self.lattice, {w.encode("utf-8", "surrogatepass"): w for w in words}
+        return {by_bytes[word]: lattice.score[path[-1]] for word, path in lattice.walk(by_bytes)}
 
     def count(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(tokens, pre-tokens) of each text; 0 for null and empty ones."""
@@ -75,17 +68,9 @@ class Counter:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int]]:
+        found = self.known.of(set().union(*[words for _, words in waiting]))
         for extra, words in waiting:
-            try:
-                n = sum(map(self.known.__getitem__, words))
-            except KeyError:
-                new = {w for _, own in waiting for w in own if w not in self.known}
-                self._learn(new)
-                missing = {w for w in words if w not in self.known}  # after the cache was emptied
-                if missing:
-                    self._learn(missing)
-                n = sum(map(self.known.__getitem__, words))
-            yield n + extra, len(words) + extra
+            yield sum(map(found.__getitem__, words)) + extra, len(words) + extra
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

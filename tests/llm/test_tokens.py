@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -62,6 +63,63 @@ def test_transducer_is_the_library():
     assert [own.decode(x) for x in got] == [library.decode(x) for x in want]
 
 
+def test_caches_never_forget_what_a_text_needs(monkeypatch):
+    """Many more distinct words than a cache holds, in one text and over texts, with a trie that is planted anew."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklm漢é") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    texts = ["short one", " ".join(words), " ".join(words[::-1][:900]), "short one", " ".join(words[100:2000])]
+    for module in (sentencepiece_fst, token_counts):
+        monkeypatch.setattr(module, "REMEMBERED", 40)
+        monkeypatch.setattr(module, "CHUNK_CHARS", 300)
+    t = Tokenizer.from_file(tokens.default_path())
+    counter = token_counts.Counter(tokens.default_path())
+    counter.lattice.most_nodes = counter.lattice.most_pairs = 500
+    assert [n for n, _ in counter.count(texts)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    own = sentencepiece_fst.Transducer(sentencepiece_fst.default_path())
+    own.lattice.most_nodes = own.lattice.most_pairs = 500
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_path())
+    assert [x.tolist() for x in own.encode(texts)] == library.encode(texts, num_threads=1)
+
+
+@pytest.mark.parametrize("encoder", ["pieces", "counts"])
+def test_one_text_of_very_many_words(encoder):
+    """600,000 distinct words in one text, after a short one, under the real constants."""
+    letters = "etaoinshrdlu"
+    words = []
+    for n in range(600_000):
+        w = ""
+        while n or not w:
+            n, k = divmod(n, len(letters))
+            w += letters[k]
+        words.append(w + "x")
+    text = " ".join(words)
+    if encoder == "pieces":
+        got = list(sentencepiece_fst.Transducer(sentencepiece_fst.default_path()).encode(["a b", text]))
+        want = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_path()).encode(text, num_threads=1)
+        assert np.array_equal(got[1], want)
+    else:
+        t = Tokenizer.from_file(tokens.default_path())
+        got = list(token_counts.Counter(tokens.default_path()).count(["a b", text]))
+        assert got[1][0] == sum(len(t.encode(p, add_special_tokens=False).ids) for p in tokens.safe_parts(text))
+
+
+def test_the_minimum_is_over_all_arcs():
+    """Of all arcs into every prefix one alone is finite, and it is the one that the trie keeps."""
+    own = sentencepiece_fst.Transducer(sentencepiece_fst.default_path()).lattice
+    for word in ("▁internationally", "▁▁▁x", "▁qzxjkv", "▁漢字漢", "▁aaaaaaaaa", "▁the", "▁unbelievable"):
+        ((_, path),) = own.walk([word])
+        for end in range(1, len(word) + 1):
+            finite = {}
+            for number, span in own.arcs(word, end):
+                start = path[end - span]
+                before = own.number[start]
+                pair = own.pair_weight(own.pieces[before], own.pieces[number]) if before >= 0 and number >= 0 and end > span else 0
+                weight = own.score[start] + pair + (1 if number >= 0 else len(word[end - 1].encode()))
+                if weight < float("inf"):
+                    finite[number, span] = weight
+            assert finite == {(own.number[path[end]], own.span[path[end]]): own.score[path[end]]}
+
+
 def test_queries_on_odd_rows(spark):
     rows = spark.createDataFrame([(i, x, "extra") for i, x in enumerate(ODD)] + [(None, "a b", "x"), (3, ODD[3], "again")], "doc_id bigint, text string, id string")
     counted = token_counts.count_tokens(rows).collect()
