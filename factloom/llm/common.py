@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.tables import materialize, shared_dir, table
 
-__all__ = ["NULL_KEY", "bucket_of", "exclusive_sums", "materialize", "partitions_for", "range_bounds", "shared_dir", "table"]
+__all__ = ["NULL_KEY", "as_struct", "bucket_of", "exclusive_sums", "let", "map_rows", "materialize", "own_columns", "partitions_for", "row_struct", "range_bounds", "shared_dir", "table"]
 
 #: Stands for a null id where rows are put in order: nulls come first ascending, last descending.
 NULL_KEY = -(2**63)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df, also those whose names hold dots or other signs."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: the planner cannot put its expression in the place of each use, which inside a
+    function of an array would compute it again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def row_struct(df: DataFrame) -> Column:
+    """A row of df as one struct, in which names cannot clash with others."""
+    return F.struct(*own_columns(df))
+
+
+def map_rows(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """df with each Arrow batch of its rows changed where it is; columns keep their types and names, whatever these are."""
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = each(pa.RecordBatch.from_struct_array(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([as_struct(out)], ["row"])
+
+    rows = df.select(row_struct(df).alias("row"))
+    return rows.mapInArrow(changed, rows.schema).select("row.*")
+
+
+def as_struct(batch: pa.RecordBatch) -> pa.Array:
+    return pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """Partitions so that one holds about rows_per_partition rows, never fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, bucket_of, range_bounds
+from .common import NULL_KEY, bucket_of, let, range_bounds
 
 WORDS = 5
 #: One in so many hash values is kept.
@@ -21,14 +21,20 @@ def with_sketch(df: DataFrame, text_col: str, out: str, scale: int = SCALE) -> D
     1/scale of the hash space; where none does, the smallest alone, so that only a text without words has an
     empty sketch. A text of one to four words is one shingle; null counts as empty. Case is ignored."""
     limit = -(2**63) + 2**64 // scale
-    hashed = df.withColumn("__w", F.transform(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w)))
-    w = F.col("__w")
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
-    one = F.array(F.xxhash64(F.concat_ws(" ", F.transform(w, lambda x: x.cast("string")))))
-    hashed = hashed.withColumn("__h", F.when(F.size(w) >= WORDS, many).when(F.size(w) > 0, one).otherwise(F.array().cast("array<bigint>"))).drop("__w")
-    hashed = hashed.withColumn("__low", F.filter("__h", lambda h: h < limit))
-    kept = F.when((F.size("__low") > 0) | (F.size("__h") == 0), F.sort_array(F.array_distinct("__low"))).otherwise(F.array(F.array_min("__h")))
-    return hashed.withColumn(out, kept).drop("__h", "__low")
+
+    def shingles(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
+        one = F.array(F.xxhash64(F.concat_ws(" ", F.transform(w, lambda x: x.cast("string")))))
+        return F.when(F.size(w) >= WORDS, many).when(F.size(w) > 0, one).otherwise(F.array().cast("array<bigint>"))
+
+    def kept(h: Column, low: Column) -> Column:
+        return F.when((F.size(low) > 0) | (F.size(h) == 0), F.sort_array(F.array_distinct(low))).otherwise(F.array(F.array_min(h)))
+
+    def sketch(h: Column) -> Column:
+        return let(F.filter(h, lambda x: x < limit), lambda low: kept(h, low))
+
+    words = F.transform(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w))
+    return df.withColumn(out, let(words, lambda w: let(shingles(w), lambda h: sketch(h))))
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
