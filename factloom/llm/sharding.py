@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions_for
+from .common import exclusive_sums, own_columns, partitions_for, row_struct
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -69,63 +69,82 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int =
     """docs with columns __shard (0 to n_shards - 1) and __slot (gapless from 0 in each shard): a uniformly
     random arrangement in which shard sizes differ by one at most.
 
-    A first pass counts the rows of each input partition. Each shard is parted into cells of cell_rows rows
-    at most. The counts from partitions to cells are drawn from the exact law; each partition deals its rows
-    in random order to fill its row of the matrix, rows move once, to their cell, and each cell is permuted.
-    A cell is one unit of work, so no task holds a shard; beyond max_cells cells they grow instead (a row of the
-    matrix costs cells * log(partitions) draws) and are sorted with spilling. docs must have stable partitions, as a scan or a
-    written table has: a task whose partition changed between the passes raises and nothing is misdealt.
+    A first pass counts the rows of each input partition. Each shard is parted into cells of cell_rows rows at
+    most, max_cells at most in all (a row of the matrix costs cells * log(partitions) draws). The counts from
+    partitions to cells are drawn from the exact law; each partition deals its rows in random order to fill its row of
+    the matrix, rows move once, and each cell is permuted by random numbers. Cells that are larger than cell_rows are
+    cut into even ranges of those numbers, each a unit of work whose place follows from the counts of the ranges before
+    it; so no task holds a shard or a large cell, at any size. docs must have stable partitions, as a scan or a written
+    table has: a task whose partition changed between the passes raises and nothing is misdealt.
 
     Every row counts, with null or equal values too; equal texts are dealt like any others. An empty table
-    gives an empty one. A column of docs named __shard or __slot is replaced.
+    gives an empty one. All columns stay, whatever their names, but those named __shard or __slot, which are replaced.
     """
-    docs = docs.drop("__shard", "__slot", "__cell", "__order")
     spark = docs.sparkSession
+    docs = docs.select(*[c for c, n in zip(own_columns(docs), docs.columns, strict=True) if n not in ("__shard", "__slot")])
+    if not docs.columns:
+        docs = docs.withColumn("__none", F.lit(True))
     counted = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()  # one number for each partition
     n_parts = max((r["p"] for r in counted), default=-1) + 1
     sizes = [0] * n_parts
     for r in counted:
         sizes[r["p"]] = r["count"]
     total = sum(sizes)
+    if not total:
+        return docs.withColumns({"__slot": F.lit(0).cast("bigint"), "__shard": F.lit(0)}).where("false")
     per_shard = even(total, n_shards)
-    cell_rows = max(cell_rows, -(-total // max(1, max_cells - n_shards)))
-    room = [(s, c) for s, n in enumerate(per_shard) for c in even(n, -(-n // cell_rows) or 1)]
+    large = max(cell_rows, -(-total // max(1, max_cells - n_shards)))
+    room = [(s, c) for s, n in enumerate(per_shard) for c in even(n, -(-n // large) or 1)]
     starts = []
     for i, (s, _) in enumerate(room):
         starts.append(starts[-1] + room[i - 1][1] if i and room[i - 1][0] == s else 0)
+    ranges = -(-large // cell_rows)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draws() -> tuple[np.ndarray, np.ndarray]:
+        """Cell and random number of each row of the task's partition: the same in every pass."""
         task = TaskContext.get()
         p = task.partitionId() if task else 0
         rng = np.random.default_rng([seed, 1, p])
-        left = np.array(matrix_row(sizes, [c for _, c in room], p, seed), np.int64) if p < n_parts else np.zeros(1, np.int64)
+        row = matrix_row(sizes, [c for _, c in room], p, seed) if p < n_parts else [0]
+        return rng.permutation(np.repeat(np.arange(len(row)), row)), rng.integers(0, 2**62, sum(row))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, order = draws()
         used = 0
         for batch in batches:
-            n, used = batch.num_rows, used + batch.num_rows
-            if left.sum() < n:
-                raise RuntimeError(f"partition {p} has more rows than were counted: write the input to a table first")
-            # the batch's share is itself a hypergeometric draw, then permuted: the same law as row by row
-            share = np.array(split_counts(rng, left.tolist(), n), np.int64)
-            left -= share
-            cell = rng.permutation(np.repeat(np.arange(len(share)), share))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int64)), pa.array(rng.integers(0, 2**62, n))], [*batch.schema.names, "__cell", "__order"]
-            )
-        if left.sum():
-            raise RuntimeError(f"partition {p} has {used} rows, fewer than were counted: write the input to a table first")
-
-    if not total:
-        return docs.withColumns({"__shard": F.lit(0), "__slot": F.lit(0).cast("bigint")}).where("false")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cell", T.LongType()), T.StructField("__order", T.LongType())])
-    dealt = docs.mapInArrow(deal, schema)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t] or [F.lit(0)])
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__order", tie))
+            own = slice(used, used + batch.num_rows)
+            used += batch.num_rows
+            if used > len(cell):
+                raise RuntimeError("a partition has more rows than were counted: write the input to a table first")
+            part = [cell[own], order[own] // -(-(2**62) // ranges), order[own]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in part)], ["row", "cell", "range", "order"])
+        if used < len(cell):
+            raise RuntimeError("a partition has fewer rows than were counted: write the input to a table first")
+
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(n, T.LongType()) for n in ("cell", "range", "order"))])
+    dealt = docs.select(row_struct(docs).alias("row")).mapInArrow(deal, schema)
+    tie = F.xxhash64(*[F.col(f"row.{'`' + c.replace('`', '``') + '`'}") for c, t in docs.dtypes if "map<" not in t] or [F.lit(0)])
+    rank = F.row_number().over(Window.partitionBy("cell", "range").orderBy("order", tie)) - 1
+    ranked = dealt.repartition(partitions_for(spark, len(room) * ranges, 1), "cell", "range") if len(room) * ranges > n_shards else dealt
+    ranked = ranked.withColumn("rank", rank)
+    if ranges > 1:
+        counts = exclusive_sums(docs.select(F.lit(1).alias("one")).mapInArrow(_counter(draws, ranges), "cell bigint, range bigint, n bigint").groupBy("cell", "range").agg(F.sum("n").alias("n")), "range", "n", "before", by="cell")
+        ranked = ranked.join(counts.select("cell", "range", "before"), ["cell", "range"]).withColumn("rank", F.col("before") + F.col("rank"))
     names = F.split(F.lit(",".join(str(s) for s, _ in room)), ",").cast("array<int>")
     bases = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
-    moved = dealt.repartition(partitions_for(spark, len(room), 1), "__cell") if len(room) > n_shards else dealt
-    return (
-        moved.withColumn("__slot", rank - 1)
-        .withColumn("__shard", F.get(names, F.col("__cell").cast("int")))
-        .withColumn("__slot", F.get(bases, F.col("__cell").cast("int")) + F.col("__slot"))
-        .drop("__cell", "__order")
-    )
+    at = F.col("cell").cast("int")
+    out = ranked.select("row.*", (F.get(bases, at) + F.col("rank")).alias("__slot"), F.get(names, at).alias("__shard"))
+    return out.drop("__none")
+
+
+def _counter(draws: Callable[[], tuple[np.ndarray, np.ndarray]], ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's rows by cell and range, from the draws alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        cell, order = draws()
+        key, n = np.unique(cell * ranges + order // -(-(2**62) // ranges), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key // ranges), pa.array(key % ranges), pa.array(n)], ["cell", "range", "n"])
+
+    return count
