@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import NULL_KEY, bucket_of, exclusive_sums, materialize, partitions_for, range_bounds
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Tokens after which a file is closed.
 FILE_TOKENS = 3 << 19
+#: Pairs that one round replaces at most; rounds go on until no pair is left with LEAST_USES.
 RULES_A_ROUND = 16384
-LEAST_USES = 6
+LEAST_USES = 2
+_HEAD = "<4sQQQQIII"
 _HASH_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,9 +102,19 @@ def _expansions(rules: np.ndarray, base: int, starts: list[int]) -> np.ndarray:
     return lengths
 
 
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(symbols, "<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _wide(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view(np.uint32).ravel()
+
+
 def write_file(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
-    """One file: counts; the documents' ids, null flags, tokens and first symbols; rules; expansion lengths; symbols
-    of three or four bytes."""
+    """One file: counts; the documents' ids, null flags, tokens and first symbols; rules and symbols, of three or four
+    bytes each; expansion lengths, of two or four."""
     n_tokens = np.array([len(x) for x in ids], np.uint64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     last = np.cumsum(n_tokens.astype(np.int64))[n_tokens > 0] - 1
@@ -111,11 +123,12 @@ def write_file(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> b
     stops[n_tokens > 0] = ends + 1
     first = np.concatenate(([0], np.maximum.accumulate(stops) if len(stops) else stops)).astype(np.uint64)
     width = 3 if base + len(rules) < 1 << 24 else 4
-    body = symbols.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-    head = struct.pack("<4sQQQQII", MAGIC, len(ids), len(rules), len(symbols), base, width, len(starts))
+    lengths = _expansions(rules, base, starts)
+    long = 2 if not len(lengths) or lengths.max() < 1 << 16 else 4
+    head = struct.pack(_HEAD, MAGIC, len(ids), len(rules), len(symbols), base, width, long, len(starts))
     keys = np.array([NULL_KEY if d is None else d for d in doc_ids], np.int64)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([head, np.array(starts, np.uint64).tobytes(), keys.tobytes(), nulls.tobytes(), n_tokens.tobytes(), first.tobytes(), rules.tobytes(), _expansions(rules, base, starts).tobytes(), body])
+    return b"".join([head, np.array(starts, np.uint64).tobytes(), keys.tobytes(), nulls.tobytes(), n_tokens.tobytes(), first.tobytes(), _narrow(rules, width), lengths.astype(f"<u{long}").tobytes(), _narrow(symbols, width)])
 
 
 @dataclass
@@ -125,10 +138,10 @@ class Reader:
     blob: bytes
 
     def __post_init__(self) -> None:
-        magic, docs, rules, symbols, self.base, width, rounds = struct.unpack_from("<4sQQQQII", self.blob)
+        magic, docs, rules, symbols, self.base, width, long, rounds = struct.unpack_from(_HEAD, self.blob)
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        at = struct.calcsize("<4sQQQQII")
+        at = struct.calcsize(_HEAD)
 
         def take(kind: type, n: int) -> np.ndarray:
             nonlocal at
@@ -140,11 +153,9 @@ class Reader:
         keys, nulls = take(np.int64, docs), take(np.uint8, docs)
         self.doc_ids = [None if z else k for k, z in zip(keys.tolist(), nulls.tolist(), strict=True)]
         self.n_tokens, self.first = take(np.uint64, docs).astype(np.int64), take(np.uint64, docs + 1).astype(np.int64)
-        self.rules, self.lengths = take(np.uint32, 2 * rules).reshape(-1, 2), take(np.uint32, rules)
-        raw = take(np.uint8, symbols * width).reshape(-1, width)
-        self.symbols = np.zeros((symbols, 4), np.uint8)
-        self.symbols[:, :width] = raw
-        self.symbols = self.symbols.view(np.uint32).ravel()
+        self.rules = _wide(take(np.uint8, 2 * rules * width), width).reshape(-1, 2)
+        self.lengths = take(np.dtype(f"<u{long}"), rules).astype(np.uint32)
+        self.symbols = _wide(take(np.uint8, symbols * width), width)
 
     def tokens(self) -> np.ndarray:
         """All ids, by undoing the rounds from the last to the first."""
