@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 from .common import exclusive_sums, materialize
@@ -223,12 +224,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CA
     return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, part int, rank bigint")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """token_pieces with sequence_id and offset: every piece's place in as few sequences of `capacity` as found.
 
     Ids are written once to the shared folder. The driver gets the counts of the piece lengths (capacity
     numbers at most) and plans layouts for them; a piece's rank among the pieces of its length, whichever
-    document it is of, then says its place. Equal documents need no common task. A null or empty text is one
+    document it is of, then says its place. Equal documents need no common task. What moves to meet the counts
+    are a task's pieces, by that task's number; without ids, only their lengths and ranks. A null or empty text is one
     piece, the end id; repeated rows are packed each; other columns are ignored; no rows give none.
     """
     pieces = materialize(token_pieces(docs, id_col, text_col, capacity, path=path), "packing")
@@ -244,8 +246,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             keep = [n for n in batch.schema.names if n != "__rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(found["offset"][at])], [*keep, "sequence_id", "offset"])
 
-    before = exclusive_sums(counts, "part", "count", "__before", by="length").select("part", "length", "__before")
-    ranked = pieces.join(before, ["part", "length"]).withColumn("__rank", F.col("__before") + F.col("rank"))
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", "ids", "__rank")
-    kind = ranked.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, sequence_id bigint, offset bigint")
+    before = exclusive_sums(counts, "part", "count", "__before", by="length")
+    before = before.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "__before"))).alias("__before"))  # a row of capacity numbers at most for each task
+    names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    ranked = pieces.join(before, "part").select(*names, (F.col("__before")[F.col("length")] + F.col("rank")).alias("__rank"))
+    kinds = [ranked.schema[n] for n in names]
+    return ranked.mapInArrow(place, T.StructType([*kinds, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -13,7 +13,7 @@ from .common import table
 
 def op2_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each piece of all documents and its place in a sequence of 1024 tokens at most."""
-    packed = packing.pack(table(spark, sf_dir, "documents"))
+    packed = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
