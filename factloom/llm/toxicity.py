@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -13,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_rows, materialize
 
 #: Labelled rows that training uses at most: those of the smallest hashes.
 MAX_LABELLED = 16_000
-FEATURES = 1024
+FEATURES = 4096
 PREFIXES = (4, 5, 6)
 LEAST_ROWS = 4
 THRESHOLD = 0.3
@@ -72,7 +73,7 @@ class Model:
                     got = known[raw] = tuple(f for f in word_features(raw) if f in weights)
                 if got:
                     hits.update(got)
-            z = self.bias + sum(weights[f] for f in hits)
+            z = self.bias + math.fsum(weights[f] for f in hits)  # exact, whatever the order of the set
             yield 1 / (1 + np.exp(-min(max(z, -40.0), 40.0)))
 
 
@@ -210,11 +211,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores under the threshold, columns as they were."""
+    """The rows of docs whose text scores under the threshold, columns and their names as they were. A null or empty
+    text scores as no words do; equal rows go or stay alike; an empty table gives an empty one."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            yield b.filter(pa.array([s < threshold for s in model.scores(t.as_py() for t in b.column(at))], pa.bool_()))
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(text_col))
+        return batch.filter(pa.array([s < threshold for s in model.scores(t.as_py() for t in texts)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)
