@@ -11,10 +11,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 #: The kinds in their order, their patterns, and the least length that counts.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -235,16 +238,18 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every secret in the text replaced, all columns and rows kept; length_col, if there, is renewed."""
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            new = pa.array([t and redact(t, scan(t)[1]) for t in texts], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), new)
-
-    out = docs.mapInArrow(clean, docs.schema)
-    if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out
+    """docs with every secret in the text replaced, all columns and rows kept, whatever their names; length_col, if
+    there, is renewed, and null where the text is null. Null and empty texts stay; repeated rows stay, changed alike; an
+    empty table gives an empty one."""
+    renewed = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(text_col)
+        new = pa.array([t and redact(t, scan(t)[1]) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+        batch = batch.set_column(at, batch.schema.field(at), new)
+        if renewed is None:
+            return batch
+        kind = batch.schema.field(renewed)
+        return batch.set_column(renewed, kind, pc.utf8_length(new.cast(pa.string())).cast(kind.type))
+
+    return map_rows(docs, clean)

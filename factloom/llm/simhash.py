@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import golay
-from .common import partitions_for
+from .common import materialize, partitions_for, row_struct
 from .components import connected_components
 
 WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -158,6 +159,8 @@ def links(prints: DataFrame) -> DataFrame:
         key_rows.withColumn("slot", slot).join(slot_rows, "slot").groupBy("cell").count().where(F.col("count") > HOT_KEY)
         .select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     )
+    # a crowded key's rows go to a cell for each chunk of the other side: they count as often
+    deal = partitions_for(spark, n * 70 + (hot.agg(F.sum(F.col("chunks").cast("long") * F.col("chunks") * CHUNK)).first()[0] or 0), 2_000_000)
     dealt = key_rows.join(hot, "cell", "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     others = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -169,6 +172,16 @@ def links(prints: DataFrame) -> DataFrame:
     return cells.repartition(deal, "cell").mapInArrow(_links, "a bigint, b bigint")
 
 
+def _grouped(prints: DataFrame) -> DataFrame:
+    """prints (id, fp and more) with component, the smallest id that links reach, and root, which names the group."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    parts = connected_components(links(classes.select("fp")), tag="simhash-components")
+    joined = classes.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
+    joined = joined.withColumn("root", F.coalesce("root", "fp"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.join(joined.join(least, "root").select("fp", "root", "component"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): one row for each row of docs; component is the smallest id that links reach.
 
@@ -177,19 +190,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other; repeated rows stay repeated; a null id is kept and is nobody's smallest id unless its class has no
     other; an empty table gives an empty one; other columns are ignored.
     """
-    from .common import materialize
-
-    prints = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    parts = connected_components(links(classes.select("fp")), tag="simhash-components")
-    joined = classes.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    named = joined.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return _grouped(materialize(fingerprints(docs, id_col, text_col), "simhash")).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group of near-duplicates, columns as they were."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of docs for each group of near-duplicates, columns and their names as they were: the row of the smallest
+    id, of several the first written. Rows with null ids stand behind all others; rows that share an id are rows of
+    their own, and equal rows are copies, so one of them stays. Null and empty texts are one group, and stay as one
+    row. An empty table gives an empty one.
+
+    The rows are written once with their fingerprints and a number of their own, by which the kept ones are found
+    again; what moves by group are numbers, combined before they move.
+    """
+    text_at = docs.columns.index(text_col)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("doc").field(text_at).cast(pa.binary())
+            prints = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "fp"])
+
+    rows = docs.select(row_struct(docs).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"))
+    written = materialize(rows.mapInArrow(printed, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])), "simhash-rows")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    kept = _grouped(written.select("id", "fp", "row")).groupBy("root").agg(first).select(F.col("first.row").alias("row"))
+    return written.join(kept, "row", "left_semi").select("doc.*")

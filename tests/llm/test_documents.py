@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import fingerprints, packing, queries, repair, secrets, sharding, tokens, toxicity
@@ -262,6 +263,120 @@ def test_shards_of_odd_rows(odd):
     assert len(sharding.shards(odd.where("doc_id = 9"), 3).collect()) == 1
 
 
+def test_large_cells_are_cut_into_ranges(spark):
+    """With few cells allowed, cells are large and cut; sizes stay exact, slots gapless and the arrangement uniform."""
+    docs = spark.range(1200).withColumn("__cell", F.lit(1)).repartition(5)
+    written = spark.createDataFrame(docs.collect(), docs.schema)
+    spots = np.zeros((3, 400))
+    for seed in range(60):
+        got = sharding.shards(written, 3, seed=seed, cell_rows=20, max_cells=9).select("id", "__cell", "__shard", "__slot").toPandas()
+        assert sorted(got["id"]) == list(range(1200)) and set(got["__cell"]) == {1}
+        assert all(sorted(g["__slot"]) == list(range(400)) for _, g in got.groupby("__shard")) and got["__shard"].nunique() == 3
+        first = got[got["id"] < 100]
+        np.add.at(spots, (first["__shard"], first["__slot"]), 1)
+    # each spot holds one of the first hundred rows in a twelfth of the draws: mean 5, and its spread that of such draws
+    assert abs(spots.mean() - 5) < 1e-9 and 0.85 < spots.var() / (60 * (1 / 12) * (11 / 12)) < 1.15
+    by_part = spots.reshape(3, 8, 50).sum(2)
+    assert abs(by_part - 250).max() < 5 * np.sqrt(250)
+
+
+def test_names_with_dots_and_clashes(spark):
+    rows = spark.createDataFrame([(1, "password: abcdefghijkl9", 23, "k", "c"), (2, None, None, "k", "c")], "doc_id bigint, text string, n_chars int, `a.b` string, __text string")
+    clean = secrets.redact_documents(rows)
+    assert clean.columns == rows.columns and [(r.text, r.n_chars) for r in clean.orderBy("doc_id").collect()] == [("[SECRET]", 8), (None, None)]
+    model = toxicity.Model(0.0, {"password": 9.0})
+    left = toxicity.drop_toxic(rows, model, threshold=0.9)
+    assert left.columns == rows.columns and [r.doc_id for r in left.collect()] == [2]
+    assert sharding.shards(rows, 2).columns == [*rows.columns, "__slot", "__shard"]
+
+
+def plain_base_spans(text):
+    """The contract's patterns by a walk over the characters, without regular expressions."""
+    fold = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
+    low, n, value, out = fold(text), len(text), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), []
+
+    def run(at, allowed):
+        end = at
+        while end < n and text[end] in allowed:
+            end += 1
+        return end
+
+    def after(at):
+        """Ends of values that may begin after a name that ends there: greedy parts, each given back if the rest fails."""
+        for quoted in (1, 0):
+            if quoted and not (at < n and text[at] in "\"'"):
+                continue
+            to = at + quoted
+            while to < n and text[to] == " ":
+                to += 1
+            if to < n and text[to] in ":=":
+                to += 1
+                while to < n and text[to] == " ":
+                    to += 1
+                for opened in (1, 0):
+                    if (not opened or to < n and text[to] in "\"'") and (end := run(to + opened, value)) > to + opened:
+                        return to + opened, end
+        return None
+
+    at = 0
+    while at < n:
+        hit = next((got for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at) and (got := after(at + len(w)))), None)
+        if hit:
+            if hit[1] - hit[0] >= 12:
+                out.append((at, 0, hit[1]))
+            at = hit[1]
+        else:
+            at += 1
+    for rank, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < n:
+            end = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    out.append((at, rank, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_spans_of_documents_against_a_plain_walk(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op4_secret_scan(spark, sf_dir).collect()}
+    rng = np.random.default_rng(8)
+    bits = ["password", "API_KEY", "apikey", "Token", "secret", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABCD0123", "abcdefghijkl", "0123456789abcdef", "x-_", "é", "ſecret", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, rng.integers(1, 12)))
+        assert [tuple(s) for s in secrets.base_spans(text)] == plain_base_spans(text), text
+    for key, text in docs.items():
+        want = [(secrets.KINDS[k], a, b) for a, k, b in plain_base_spans(text or "")]
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert got[key].base_sha256 == digest and [got[key].n_assign, got[key].n_access, got[key].n_hex] == [sum(k == name for k, _, _ in want) for name in secrets.KINDS[:3]]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= {s for s in got[key].spans.split(",") if s}
+
+
+@pytest.mark.parametrize("n", [400, 600, 5000])
+def test_long_secrets_are_taken_whole(n):
+    rng = np.random.default_rng(n)
+    key = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    text = f"The credential is {key} and it should stay private."
+    assert [text[s.start : s.end] for s in secrets.scan(text)[1]] == [key] and secrets.scan(text)[0] == []
+
+
+def test_very_long_texts(spark):
+    """Megabytes without a border, and of words: each operator takes the whole of it."""
+    long = [(1, "x" * 3_000_000), (2, "word and more " * 200_000), (3, "a1" * 1_000_000 + " token: " + "b2" * 20)]
+    docs = spark.createDataFrame(long, "doc_id bigint, text string")
+    t = Tokenizer.from_file(tokens.default_path())
+    spans = {r.id: r.spans.split(",") for r in secrets.scan_documents(docs).select("id", "spans").collect()}
+    assert {"hex:0:2000000", f"assign:2000001:{2000001 + 7 + 40}"} <= set(spans[3]) and spans[1] == spans[2] == [""]
+    assert fingerprints.edited_pairs(docs).where("size(sketch) > 0").count() == 3
+    assert sorted(r["__slot"] for r in sharding.shards(docs, 1).collect()) == [0, 1, 2]
+    got = {r.id: r.n_tokens for r in repair.encode_documents(docs).collect()}
+    assert got[2] == len(t.encode(long[1][1], add_special_tokens=False).ids) + 1
+    assert toxicity.score_documents(docs, toxicity.Model(-1.0, {"word": 2.0})).where("score > 0.5").count() == 1
+
+
 def test_toxicity_held_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     scored = queries.op7_toxicity(spark, sf_dir).toPandas()

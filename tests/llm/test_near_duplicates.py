@@ -78,6 +78,17 @@ def test_odd_documents(spark):
     assert simhash.near_duplicates(rows.where("false")).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Copies that share an id, groups that share an id, and rows without one: a row is kept or goes by itself."""
+    a, b = "red fish blue fish one fish two", "something else entirely that shares no words at all with it"
+    rows = [(1, a, "p"), (1, a, "p"), (2, a, "q"), (3, b, "r"), (3, a, "s"), (None, b, "t"), (None, a, "u"), (4, None, "v"), (5, "", "w"), (None, "lone text of a row that has no id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[7], rows[9]]))
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 60)]

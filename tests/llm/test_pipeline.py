@@ -30,6 +30,21 @@ def test_stages_against_plain_python(spark, sf_dir):
     check_packing(got, clean)
 
 
+def test_stages_with_repeated_and_null_ids(spark, sf_dir):
+    """Rows that share an id or have none go through every stage as rows of their own."""
+    a, b = "a quiet walk along the river in the early morning light", "token: 0123456789abcdefghij stands in this note of another kind"
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = [{"doc_id": i, "text": t} for i, t in ((1, a), (1, a), (1, b), (None, b), (None, None), (2, None))]
+    docs = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, sf_dir).count() == 6
+    kept = stages["simhash_near_dedup"](spark, docs, sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (2, None)], key=repr)
+    clean = stages["secret_scan"](spark, kept, sf_dir)
+    assert sorted(str(r.text) for r in clean.collect()) == sorted([a, "[SECRET] stands in this note of another kind", "None"])
+    assert sorted((r.doc_id, r.piece) for r in stages["best_fit_packing"](spark, clean, sf_dir).collect()) == [(1, 0), (1, 0), (2, 0)]
+
+
 def test_stages_keep_columns_and_take_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     empty = docs.where("false")
