@@ -53,34 +53,55 @@ def _frequent(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         least = LEAST_USES  # the fullest slots held many rare pairs
 
 
+def _named(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(pairs, places, pair of each place, all): the most frequent pairs of the whole sequence and where they are; all,
+    if no pair with LEAST_USES was left out."""
+    codes = seq[:-1] << np.uint64(32)
+    codes |= seq[1:]
+    codes[ends[ends < len(codes)]] = _NO_PAIR
+    slots = _slots(codes)
+    chosen = _frequent(codes, slots)
+    table, name = np.full(1 << _HASH_BITS, _NO_PAIR - np.uint64(1), np.uint64), np.zeros(1 << _HASH_BITS, np.int64)
+    at = _slots(chosen)[::-1]  # of two in one slot the more frequent stays, and the other waits for a later round
+    table[at], name[at] = chosen[::-1], np.arange(len(chosen))[::-1]
+    places = np.flatnonzero(table[slots] == codes)
+    return chosen, places, name[slots[places]], len(chosen) < RULES_A_ROUND and len(np.unique(at)) == len(chosen)
+
+
+def _grown(seq: np.ndarray, ends: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """As _named, after a round that left out no pair: whatever is frequent now has a symbol of that round (from `fresh`
+    on), since every use of an older frequent pair was replaced or broken up. So only pairs with such a symbol are read."""
+    new = seq >= fresh
+    near = new[:-1] | new[1:]
+    near[ends[ends < len(near)]] = False
+    places = np.flatnonzero(near)
+    pairs, own, uses = np.unique(seq[places] << np.uint64(32) | seq[places + 1], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(uses >= LEAST_USES)
+    some = often[np.argsort(-uses[often], kind="stable")[:RULES_A_ROUND]]
+    name = np.full(len(pairs), -1, np.int64)
+    name[some] = np.arange(len(some))
+    own = name[own]
+    return pairs[some], places[own >= 0], own[own >= 0], len(some) == len(often)
+
+
 def grammar(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(symbols, ends, rules, first rule of each round): frequent adjacent pairs become nonterminals from `base` on,
     round after round; no pair spans the end of a document (`ends`: places of their last symbols, ascending)."""
     seq, ends = ids.astype(np.uint64), ends.copy()
     rules: list[np.ndarray] = []
     starts: list[int] = []
-    free = base
+    free, whole = base, False
     while len(seq) > 1:
-        codes = seq[:-1] << np.uint64(32)
-        codes |= seq[1:]
-        codes[ends[ends < len(codes)]] = _NO_PAIR
-        slots = _slots(codes)
-        chosen = _frequent(codes, slots)
-        if not len(chosen):
+        chosen, hits, own, whole = _grown(seq, ends, starts[-1]) if whole else _named(seq, ends)
+        if not len(chosen) or not len(hits):
             break
-        table, name = np.full(1 << _HASH_BITS, _NO_PAIR - np.uint64(1), np.uint64), np.zeros(1 << _HASH_BITS, np.int64)
-        at = _slots(chosen)[::-1]  # of two in one slot the more frequent stays
-        table[at], name[at] = chosen[::-1], np.arange(len(chosen))[::-1]
-        hits = np.flatnonzero(table[slots] == codes)
         places = np.arange(len(hits))
         opens = np.zeros(len(hits), np.int64)
         follows = np.flatnonzero(np.diff(hits) > 1) + 1
         opens[follows] = follows
-        hits = hits[(places - np.maximum.accumulate(opens)) & 1 == 0]  # neighbours overlap: every second one of a row
-        own = name[slots[hits]]
+        every = (places - np.maximum.accumulate(opens)) & 1 == 0  # neighbours overlap: every second one of a row
+        hits, own = hits[every], own[every]
         used = np.flatnonzero(np.bincount(own, minlength=len(chosen)))
-        if not len(used):
-            break
         order = np.zeros(len(chosen), np.uint64)
         order[used] = np.arange(free, free + len(used), dtype=np.uint64)
         rules.append(np.stack((chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
