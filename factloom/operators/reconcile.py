@@ -25,6 +25,13 @@ def verified(claimed: DataFrame, regenerated: DataFrame, keys: list[str] | None
     return mine.join(again, condition, "left_semi")
 
 
+def fitting(found: DataFrame, spec: DataFrame) -> DataFrame:
+    """found (job_id, field, unit, currency, ...) whose unit and currency are those that spec (job_id, field, x_unit,
+    x_currency) asks for; where it asks for none, any fits."""
+    asked = "(nullif(x_unit, '') is null or unit <=> x_unit) and (nullif(x_currency, '') is null or currency <=> x_currency)"
+    return found.join(spec, ["job_id", "field"]).where(asked)
+
+
 def field_states(found: DataFrame, raw: DataFrame, hits: DataFrame, jobs: DataFrame, fields: DataFrame) -> DataFrame:
     """One row for each (job_id, field): state, value, unit, currency, billing_period, encoding, evidence, candidates.
 
@@ -34,7 +41,7 @@ def field_states(found: DataFrame, raw: DataFrame, hits: DataFrame, jobs: DataFr
     blocked or missing, in that order. Claims are grouped null-safe; order is by place and never by arrival.
     """
     spec = fields.select("job_id", F.col("name").alias("field"), "x_unit", "x_currency")
-    kept = found.join(spec, ["job_id", "field"]).where("(nullif(x_unit, '') is null or unit <=> x_unit) and (nullif(x_currency, '') is null or currency <=> x_currency)")
+    kept = fitting(found, spec)
     place, evidence = F.struct(*PLACE), F.struct(*PLACE, "page_key", "locator", "excerpt", "raw_value")
     claims = kept.groupBy("job_id", "field", "value", "unit", "currency", "billing_period").agg(
         F.min(place).alias("place"), F.min_by("encoding", place).alias("encoding"), F.sort_array(F.collect_list(evidence)).alias("evidence")

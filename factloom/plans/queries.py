@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "page_fact_states": web.page_fact_states, "snapshot_hash": web.snapshot_hashes, "decode_guard": web.decode_guard, "page_title": web.page_title, "main_heading": web.main_heading, "job_status": web.job_statuses,
     "visible_li_blocks": web.visible_li_blocks, "links": web.links, "canonical_url": web.canonical_urls, "duplicate_captures": web.duplicate_captures, "page_type": web.page_types, "automatic_facts": web.automatic_facts,
-    "crawl_frontier": web.crawl_frontier, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
+    "crawl_frontier": web.crawl_frontier, "decode_blocks": web.decode_blocks, "confirmed_claims": web.confirmed_claims, "request_schemas": records.request_schemas, "fetch_codes": records.fetch_codes, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
     "rt_label_scalar": web.rt_label_scalar, "rt_units_currency": web.rt_units_currency, "rt_reconcile_states": web.rt_reconcile_states, "rt_jsonld": web.rt_jsonld, "rt_plan_cards": web.rt_plan_cards,
     "rt_plan_columns": web.rt_plan_columns, "rt_offers": web.rt_offers, "rt_details_dl": web.rt_details_dl, "rt_details_tr": web.rt_details_tr, "rt_hidden": web.rt_hidden, "rt_verify_tampered": web.rt_verify_tampered,
     "nearest_card": web.nearest_card, "source_nodes": web.source_nodes, "scoped_evidence": web.scoped_evidence, "common_scopes": web.common_scopes,
@@ -76,7 +76,18 @@ ORACLE_SQL: dict[str, str] = {
     "decode_guard": "SELECT page_id, 'utf-8' AS encoding, CAST(0 AS INT) AS errors, true AS same FROM pages",
     "page_title": f"WITH {_FACTS} SELECT page_id, value AS title FROM facts WHERE field = 'page_title' AND length(value) BETWEEN 1 AND 200",
     "main_heading": f"WITH {_FACTS} SELECT page_id, value AS heading FROM facts WHERE field = 'main_heading' AND length(value) BETWEEN 1 AND 200",
-    "job_status": "SELECT page_id, 'partial' AS status FROM pages",
+    "job_status": """SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'failed' WHEN bool_and(o_orderstatus = 'F') AND count(*) FILTER (o_orderpriority = '1-URGENT') = 0 THEN 'complete' ELSE 'partial' END AS status
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
+    "decode_blocks": f"""WITH {_FACTS} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'CAPTURE_DECODE_MISMATCH' END AS code, 2 + CASE WHEN page_id % 3 = 0 THEN 2 ELSE count(*) FILTER (length(value) NOT BETWEEN 1 AND 200) END AS missing,
+        max(CASE WHEN page_id % 3 <> 0 AND field = 'page_title' AND length(value) BETWEEN 1 AND 200 THEN value END) AS title FROM facts GROUP BY page_id""",
+    "confirmed_claims": f"WITH {_FACTS} SELECT page_id, field AS key, value FROM facts WHERE page_id % 5 > 1 AND length(value) BETWEEN 1 AND 200",
+    "request_schemas": """SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'no JSON' ELSE concat_ws('|', CASE WHEN p_partkey % 4 = 0 THEN 'unknown keyword' END, CASE WHEN p_partkey % 3 = 0 THEN 'title' END,
+        CASE WHEN p_partkey % 5 = 0 THEN '3 to 10 properties' WHEN p_partkey % 13 = 0 THEN 'required' END, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'property name' WHEN p_partkey % 11 = 0 THEN 'x-currency' END) END AS violations FROM part""",
+    "fetch_codes": """WITH e AS (SELECT event_id, user_id % 50 AS h, ([200, 200, 403, 500, 200, 451, 404])[CAST(event_id % 7 AS INT) + 1] AS status FROM events)
+        SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_id % 11 = 0 THEN 'OUT_OF_SCOPE' WHEN h % 6 IN (4, 5) THEN 'ROBOTS_UNAVAILABLE' WHEN status IN (403, 451) THEN 'ACCESS_DENIED' WHEN status <> 200 THEN 'HTTP_ERROR'
+        WHEN event_id % 10 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
+    "paced_starts": """WITH e AS (SELECT event_id AS seq, user_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+        m AS (SELECT seq, t, k, max(t - 2.0 * (k - 1)) OVER (PARTITION BY user_id ORDER BY k) AS m FROM e) SELECT seq, round_even(2.0 * (k - 1) + m - t, 2) AS waited FROM m""",
     "visible_li_blocks": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'), lambda x: trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS b FROM pages),
         k AS (SELECT page_id, list_filter(b, lambda x: length(x) BETWEEN 1 AND 400) AS b FROM l) SELECT page_id, CAST(len(b) AS INT) AS n_blocks, array_to_string(b, '|') AS texts FROM k WHERE len(b) > 0""",
     "links": """WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages),
@@ -135,7 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "score_by_category": f"WITH {_SCORED}, c AS (SELECT category, grouping(category) = 1 AS is_total, {_COUNTS} FROM scored GROUP BY GROUPING SETS ((category), ())) SELECT *, {_RATIOS} FROM c",
     "rows_correct": f"WITH {_SCORED} SELECT doc_id // 20 AS case_id, bool_and(expected_state = 'verified' AND state = 'verified' AND correct) AS reviewed_row_correct FROM scored GROUP BY 1",
     "wrong_accepted": f"WITH {_SCORED} SELECT doc_id, value, expected_value FROM scored WHERE state = 'verified' AND NOT correct",
-    "conflict_bags": "SELECT l_orderkey, l_orderkey % 20 = 0 OR bool_and(l_returnflag = 'N') AS bag_matches FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey",
+    "conflict_bags": "SELECT l_orderkey, l_orderkey % 20 = 0 OR bool_and(l_returnflag = 'N') AS bag_matches FROM lineitem GROUP BY l_orderkey",
     "latency_percentiles": "SELECT event_type, median(value) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
     "agreement": "SELECT doc_id AS site_id, doc_id % 11 <> 0 AND (doc_id % 9 <> 0 OR quality IS NULL) AS agrees FROM labels",
     "human_row_errors": f"""WITH b AS (SELECT p_partkey AS site, {_state('p_partkey')} AS state, p_brand AS value FROM part),
@@ -147,7 +158,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN k % 6 = 0 OR quality IS NULL THEN 'no measured reviewer time' END, CASE WHEN k % 8 = 0 THEN 'wrong plan' END, CASE WHEN state = 'verified' AND k % 3 = 0 THEN 'no evidence' END,
         CASE WHEN state = 'verified' AND k % 4 = 0 THEN 'no rationale' END, CASE WHEN state = 'conflicting' AND k % 2 = 0 THEN 'too few candidates' END,
         CASE WHEN state IN ('missing', 'blocked', 'unverified') AND (k % 2 = 0 OR k % 3 > 0) THEN 'unsupported value' END) AS violations FROM l""",
-    "gate_checks": """WITH f AS (SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_orderkey % 4 = 0 AND l_suppkey % 2 = 0),
+    "gate_checks": """WITH f AS (SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_suppkey % 2 = 0),
         q AS (SELECT count(*) FILTER (l_returnflag <> 'R') AS accepted, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber <> 7) AS good, count(*) AS n FROM f),
         h AS (SELECT sum(90.0) AS base_s, sum(s_suppkey % 40 + 20.0) AS review_s, sum(s_suppkey % 2) AS corrected, count(*) AS baseline FROM supplier WHERE s_suppkey % 2 = 0),
         a AS (SELECT sum(s_suppkey % 40 + 20.0 + 30.0 + 90.0) / 3600 * 36.0 + sum(0.25) AS usd, count(*) FILTER (s_suppkey % 4 <> 0) AS done FROM supplier),

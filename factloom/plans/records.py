@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import evaluate, inventory, store
+from factloom.sources import captures
 from factloom.sources.tables import table
 from factloom.streaming import state
 
@@ -67,7 +68,7 @@ def wrong_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the quantities of an order's lines are, as bags, those of its returned and its other lines shifted by
     the order's parity: expected and actual claims of a conflicting field."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     actual = lines.select("l_orderkey", F.col("l_returnflag").alias("value"), F.col("l_linestatus").alias("unit"))
     expected = lines.select("l_orderkey", F.when(F.col("l_orderkey") % 20 == 0, F.col("l_returnflag")).otherwise(F.lit("N")).alias("value"), F.col("l_linestatus").alias("unit"))
     return evaluate.bag_matches(actual, expected, ["l_orderkey"], ["value", "unit"])
@@ -158,7 +159,7 @@ def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site", "split", (k % 40 + 20.0).alias("review_seconds"), F.lit(30.0).alias("blind_label_seconds"), F.lit(90.0).alias("manual_baseline_seconds"), (k % 5).cast("int").alias("http_requests_started"), F.lit(3).alias("preflight_http_requests_started"),
         F.lit(20).alias("max_http_requests"), (k % 2).cast("int").alias("corrected_row_errors"), F.lit(1).alias("manual_baseline_errors"), F.array().cast("array<string>").alias("access_failure_codes"), F.array().cast("array<string>").alias("access_policy_violations"), (k % 4 != 0).alias("row_done"),
     )
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").join(sites, F.col("l_suppkey") == F.col("site"))
+    lines = table(spark, sf_dir, "lineitem").join(sites, F.col("l_suppkey") == F.col("site"))
     ok = F.col("l_linenumber") != 7
     fields = lines.select("site", "split", F.lit("listed_price").alias("field"), F.when(F.col("l_returnflag") == "R", "missing").otherwise("verified").alias("state"), F.lit("verified").alias("expected_state"), ok.alias("correct"), F.when(F.col("l_returnflag") != "R", F.lit(True)).alias("evidence_valid"))
     costs = sites.select("site", F.lit(0.25).alias("compute_usd"), F.lit(0.0).alias("provider_usd"))
@@ -287,6 +288,28 @@ def inventory_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.balance(rows)
 
 
+def request_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request schemas made of parts, with faults that follow from their keys."""
+    k = F.col("p_partkey")
+    names = F.when(k % 5 == 0, '"a":{"type":"string"}').otherwise('"a":{"type":"string"},"b":{"type":"number","x-unit":"month"},"c":{"type":"boolean"}')
+    more = F.when(k % 7 == 0, ',"1d":{"type":"string"}').when(k % 11 == 0, ',"d":{"type":"string","x-currency":"USD"}').otherwise("")
+    head = F.concat(F.when(k % 3 == 0, '"title":" ",').otherwise('"title":"t",'), F.when(k % 13 == 0, '"required":["a","a"],').otherwise('"required":["a"],'), F.when(k % 4 == 0, '"extra":1,').otherwise(""))
+    text = F.when(k % 17 == 0, "no json").otherwise(F.concat(F.lit('{"type":"object",'), head, F.lit('"properties":{'), names, more, F.lit("}}")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(inventory.request_violations(text), "|").alias("violations"))
+
+
+def fetch_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a fetch log: what each fetch fails by."""
+    k, host = F.col("event_id"), F.concat(F.lit("h"), (F.col("user_id") % 50).cast("string"), F.lit(".example"))
+    status = F.element_at(F.array(*map(F.lit, (200, 200, 403, 500, 200, 451, 404))), (k % 7 + 1).cast("int"))
+    hops = F.when(k % 9 == 0, F.array(host, F.lit("elsewhere.example"))).otherwise(F.array(host))
+    log = table(spark, sf_dir, "events").select("event_id", host.alias("url"), host.alias("origin"), status.alias("status"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.repeat(F.lit("x"), F.when(k % 10 == 0, 1_000_001).otherwise(1)).cast("binary").alias("raw"),
+                                                hops.alias("hops"), F.when(k % 11 == 0, F.array_repeat(host, 5)).otherwise(F.array()).cast("array<string>").alias("redirects"))
+    n = F.col("id")
+    robots = spark.range(50).where("id % 6 <> 5").select(F.concat(F.lit("h"), n.cast("string"), F.lit(".example")).alias("origin"), F.when(n % 6 == 4, 503).when(n % 6 == 3, 404).otherwise(200).alias("robots_status"))
+    return captures.page_source(log, robots, [f"h{i}.example" for i in range(50)]).select("event_id", "code")
+
+
 def target_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as rows of an inventory with faults that follow from their keys."""
     k = F.col("c_custkey")

@@ -75,13 +75,13 @@ def page_fact_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of a quick job on each page: partial, since pages name no site."""
-    captures, n = page_nodes(spark, sf_dir)
-    found = candidates.candidates(n, QUICK).select(F.col("page_key").alias("job_id"), "field", F.lit("verified").alias("state"))
-    wanted = candidates.per_field(captures.select(F.col("page_key").alias("job_id")), QUICK).select("job_id", F.col("name").alias("field"))
-    states = wanted.join(found.distinct(), ["job_id", "field"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
-    jobs = captures.select(F.col("page_key").alias("job_id"), F.lit(1).alias("n_pages"), F.lit(0).alias("n_errors"))
-    return reconcile.job_status(states, jobs).select(_number("job_id").alias("page_id"), "status")
+    """Customers as jobs and their orders as fields: finished ones are verified, urgent ones bring an error along, and a
+    customer without orders has no page."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "job_id")
+    states = orders.select("job_id", F.when(F.col("o_orderstatus") == "F", "verified").otherwise("missing").alias("state"))
+    counts = orders.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_errors"))
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")).join(counts, "job_id", "left").fillna(0)
+    return reconcile.job_status(states, jobs).select(F.col("job_id").alias("c_custkey"), "status")
 
 
 def visible_li_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,24 @@ def automatic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select(_number().alias("page_id"), F.col("fact_idx").cast("int").alias("fact_idx"), "grp", "key", "label", "state", "value", "overview_state", "overview_text")
 
 
+def decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts found on each page when the html of every third one was changed after its bytes were kept."""
+    captures = read_pages(spark, sf_dir)
+    forged = captures.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html")))
+    facts = automatic.automatic_facts(forged)
+    return facts.groupBy(_number().alias("page_id"), "code").agg(F.count_if(F.col("state") == "missing").alias("missing"), F.max(F.when(F.col("key") == "page_title", F.col("value"))).alias("title"))
+
+
+def confirmed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title claims that come up again from the kept bytes, when values or locators of some were altered."""
+    n = nodes(read_pages(spark, sf_dir))
+    claims = automatic.every_claim(n).where("key in ('page_title', 'main_heading')")
+    k = _number() % 5
+    forged = claims.withColumn("value", F.when(k == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value"))).withColumn("locator", F.when(k == 1, F.lit("p")).otherwise(F.col("locator")))
+    good = automatic.confirmed(automatic.both_sides(forged, claims)).where("pos[0] < 9")
+    return good.select(_number().alias("page_id"), "key", "value")
+
+
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a crawl from each page attempts: two levels, eight pages at most."""
     captures, n = page_nodes(spark, sf_dir)
@@ -154,8 +172,10 @@ def rt_units_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(key % 3 == 0, "USD ").when(key % 3 == 1, "€").otherwise("£")
     unit = F.when(key % 2 == 0, " per month").otherwise("/year")
     captures, n = built(rows, key, F.concat(F.lit("<p>Rate - "), sign, price, unit, F.lit("</p>")))
-    found = candidates.candidates(n, [Field("rate", "number")])
-    return found.select(_number().alias("p_partkey"), "value", "unit", "currency", (F.col("currency") == "EUR").alias("kept"))
+    found = candidates.candidates(n, [Field("rate", "number")]).withColumn("job_id", F.lit("j"))
+    spec = spark.range(1).select(F.lit("j").alias("job_id"), F.lit("rate").alias("field"), F.lit(None).cast("string").alias("x_unit"), F.lit("EUR").alias("x_currency"))
+    kept = reconcile.fitting(found, spec).select("page_key", F.lit(True).alias("fits"))
+    return found.join(kept, "page_key", "left").select(_number().alias("p_partkey"), "value", "unit", "currency", F.coalesce("fits", F.lit(False)).alias("kept"))
 
 
 def rt_reconcile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
