@@ -85,7 +85,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN p_partkey % 5 = 0 THEN '3 to 10 properties' WHEN p_partkey % 13 = 0 THEN 'required' END, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'property name' WHEN p_partkey % 11 = 0 THEN 'x-currency' END) END AS violations FROM part""",
     "fetch_codes": """WITH e AS (SELECT event_id, user_id % 50 AS h, ([200, 200, 403, 500, 200, 451, 404])[CAST(event_id % 7 AS INT) + 1] AS status FROM events)
         SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_id % 11 = 0 THEN 'OUT_OF_SCOPE' WHEN h % 6 IN (4, 5) THEN 'ROBOTS_UNAVAILABLE' WHEN status IN (403, 451) THEN 'ACCESS_DENIED' WHEN status <> 200 THEN 'HTTP_ERROR'
-        WHEN event_id % 10 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
+        WHEN event_id % 500 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
     "paced_starts": """WITH e AS (SELECT event_id AS seq, user_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
         m AS (SELECT seq, t, k, max(t - 2.0 * (k - 1)) OVER (PARTITION BY user_id ORDER BY k) AS m FROM e) SELECT seq, round_even(2.0 * (k - 1) + m - t, 2) AS waited FROM m""",
     "visible_li_blocks": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'), lambda x: trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS b FROM pages),

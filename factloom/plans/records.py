@@ -303,7 +303,7 @@ def fetch_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, host = F.col("event_id"), F.concat(F.lit("h"), (F.col("user_id") % 50).cast("string"), F.lit(".example"))
     status = F.element_at(F.array(*map(F.lit, (200, 200, 403, 500, 200, 451, 404))), (k % 7 + 1).cast("int"))
     hops = F.when(k % 9 == 0, F.array(host, F.lit("elsewhere.example"))).otherwise(F.array(host))
-    log = table(spark, sf_dir, "events").select("event_id", host.alias("url"), host.alias("origin"), status.alias("status"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.repeat(F.lit("x"), F.when(k % 10 == 0, 1_000_001).otherwise(1)).cast("binary").alias("raw"),
+    log = table(spark, sf_dir, "events").select("event_id", host.alias("url"), host.alias("origin"), status.alias("status"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.repeat(F.lit("x"), F.when(k % 500 == 0, 1_000_001).otherwise(1)).cast("binary").alias("raw"),
                                                 hops.alias("hops"), F.when(k % 11 == 0, F.array_repeat(host, 5)).otherwise(F.array()).cast("array<string>").alias("redirects"))
     n = F.col("id")
     robots = spark.range(50).where("id % 6 <> 5").select(F.concat(F.lit("h"), n.cast("string"), F.lit(".example")).alias("origin"), F.when(n % 6 == 4, 503).when(n % 6 == 3, 404).otherwise(200).alias("robots_status"))
