@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, web
+from . import audits, records, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "label_totals": records.label_totals,
     "host_start_gaps": records.host_start_gaps, "session_overlap": records.session_overlap, "claim_replay": records.claim_replay, "claim_first_owner": records.claim_first_owner, "paced_starts": records.paced_starts,
     "review_replay": records.review_replay, "inventory_balance": records.inventory_balance, "target_violations": records.target_violations,
+    **audits.QUERIES,
 }
 
 
@@ -192,4 +193,5 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM k)
         SELECT k AS c_custkey, concat_ws('|', CASE WHEN k % 7 = 0 THEN 'incomplete' END, CASE WHEN h IS NULL THEN 'seed URL' END, CASE WHEN h IS NULL THEN 'allowed hosts' END, CASE WHEN c > 1 THEN 'repeated host' END,
         CASE WHEN k % 8 = 0 THEN 'limits' END, CASE WHEN k % 11 = 0 THEN 'paid without account' END) AS violations, 'selection_status' AS pending FROM n""",
+    **audits.ORACLE_SQL,
 }
