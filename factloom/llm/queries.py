@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, packing, repair, secrets, sentencepiece_fst, sharding, simhash, token_counts, toxicity
+from . import divergence, embeddings, fingerprints, packing, repair, secrets, sentencepiece_fst, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -92,6 +92,11 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and the terms that set it apart from the language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_threshold_sketch": op1_threshold_sketch,
     "op2_linear_grouping_packing": op2_linear_grouping_packing,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.SQL}
