@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, embeddings, fingerprints, packing, repair, secrets, sentencepiece_fst, sharding, simhash, token_counts, toxicity
+from . import divergence, embeddings, fingerprints, packing, repair, secrets, sentencepiece_fst, sharding, simhash, suffixes, token_counts, toxicity
 from .common import table
 
 
@@ -92,6 +92,12 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 50 bytes that an earlier one holds."""
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source is from the others of its language, and the terms that set it apart from the language."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
@@ -108,7 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.SQL}
+ORACLE_SQL: dict[str, str] = {"op12_suffix_dedup": suffixes.SQL, "op13_source_divergence": divergence.SQL}
