@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.functions import jsonld
+from factloom.functions.scalars import CODES
 from factloom.functions.urls import host_of, path_of, quiet
 
 #: Elements without content, elements whose text is not shown, blocks, and the longest texts compared.
@@ -36,8 +37,8 @@ LONGEST_SOURCE = 4_000
 TEXT_TAGS = {"h1", "h2", "h3", "h4", "p", "li", "dt", "dd", "td", "th"}
 _HIDING = re.compile(r"(?:^|;)(?:display:none|visibility:hidden|opacity:0(?:\.0+)?)(?:!important)?(?:;|$)")
 _SPACE = re.compile(r"\s+")
-#: The beginning of an amount, up to its first digit.
-_AMOUNT = re.compile(r"(?<!\w)(?:USD|EUR|GBP|INR)?\s*[$€£₹]?\s*\d", re.IGNORECASE)
+#: The first digit of an amount: no word runs into it but a currency's code that stands alone.
+_AMOUNT = re.compile(rf"(?<!\w)(?:{'|'.join(CODES)})?\d", re.IGNORECASE)
 
 
 def _struct(**kinds: T.DataType) -> T.StructType:
@@ -51,7 +52,7 @@ ELEMENT = T.StructType([
     T.StructField("parent_id", T.IntegerType()),  # 0 at the top
     T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()),
-    T.StructField("path", T.StringType()),
+    T.StructField("step", T.StringType()),  # its own part of the path from the top; node_path joins them
     T.StructField("hidden", T.BooleanType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("block_text", T.StringType()),  # shown strings and comments, stripped, joined by a space
@@ -73,7 +74,7 @@ BATCH_NODES = 20_000
 
 
 class _Node:
-    __slots__ = ("attrs", "children", "counts", "depth", "first_piece", "hidden", "last_id", "last_piece", "node_id", "parent", "path", "tag", "unshown")
+    __slots__ = ("attrs", "children", "counts", "depth", "first_piece", "hidden", "last_id", "last_piece", "node_id", "parent", "step", "tag", "unshown")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None, node_id: int, at: int):
         self.tag, self.attrs, self.parent, self.node_id, self.last_id = tag, attrs, parent, node_id, node_id
@@ -81,16 +82,24 @@ class _Node:
         self.children: list[str | tuple[str, str] | _Node] = []  # strings, (kind, text) of comments and the like, elements
         self.first_piece = self.last_piece = at
         if parent is None:
-            self.depth, self.hidden, self.unshown, self.path = 0, False, -1, ""
+            self.depth, self.hidden, self.unshown, self.step = 0, False, -1, ""
             return
         self.depth = parent.depth + 1
         parent.counts[tag] = parent.counts.get(tag, 0) + 1
-        own = f"{tag}:nth-of-type({parent.counts[tag]})"
-        self.path = f"{parent.path} > {own}" if parent.path else own
+        self.step = f"{tag}:nth-of-type({parent.counts[tag]})"
         self.hidden = parent.hidden or hides(attrs)
         self.unshown = self.depth if tag in UNSHOWN else parent.unshown
 
 
+def _path(node: _Node) -> str:
+    """Steps from the top down to a node. Nodes keep their own step alone, so a page takes as much room as its html."""
+    steps = []
+    while node.parent is not None:
+        steps.append(node.step)
+        node = node.parent
+    return " > ".join(reversed(steps))
+
+
 def hides(attrs: dict[str, str]) -> bool:
     """Whether an element's own attributes hide it."""
     if not attrs:
@@ -209,12 +218,42 @@ def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def located(tree: _Tree, locators: Iterable[str | None]) -> list[_Node | None]:
+    """The node that each locator names (what follows "::" is ignored), null without one. All locators of a page are one
+    trie of steps, which one walk over its nodes follows."""
+    trie: dict = {}
+    asked = [tuple((locator or "").split("::", 1)[0].split(" > ")) for locator in locators]
+    for steps in asked:
+        at = trie
+        for step in steps:
+            at = at.setdefault(step, {})
+    reached: dict[int, dict] = {0: trie}  # by node, the part of the trie that goes on below it
+    found: dict[int, _Node] = {}
+    for node in tree.nodes:
+        below = reached.get(node.parent.node_id, {}).get(node.step)
+        if below is not None:
+            reached[node.node_id] = below
+            found[id(below)] = node
+    out: list[_Node | None] = []
+    for steps in asked:
+        at = trie
+        for step in steps:
+            at = at[step]
+        out.append(found.get(id(at)))
+    return out
+
+
 def source_of(html: str | None, locator: str | None, longest: int = LONGEST_SOURCE) -> str | None:
-    """The HTML of the node that a locator names (what follows "::" is ignored), cut at `longest` characters."""
-    path = (locator or "").split("::", 1)[0]
-    node = next((n for n in _tree(html).nodes if n.path == path), None)
-    if node is None:
-        return None
+    """The HTML of the node that a locator names, cut at `longest` characters."""
+    return sources_of(html, [locator], longest)[0]
+
+
+def sources_of(html: str | None, locators: Iterable[str | None], longest: int = LONGEST_SOURCE) -> list[str | None]:
+    """The HTML of the nodes that locators name, from one parse, each cut at `longest` characters; null without a node."""
+    return [node and _source(node, longest) for node in located(_tree(html), locators)]
+
+
+def _source(node: _Node, longest: int) -> str:
     out, size = [], 0
     for part in _written(node):
         out.append(part)
@@ -229,6 +268,12 @@ def source_node(html: pd.Series, locator: pd.Series) -> pd.Series:
     return pd.Series([source_of(h, loc) for h, loc in zip(html, locator, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def source_nodes(html: pd.Series, locators: pd.Series) -> pd.Series:
+    """The sources of all locators of a page, in their order, from one parse."""
+    return pd.Series([sources_of(h, () if loc is None else loc) for h, loc in zip(html, locators, strict=True)], dtype=object)
+
+
 def _tree(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
@@ -245,7 +290,7 @@ def parse(page_key: str | None, html: str | None) -> list[tuple]:
     null or has no element has none."""
     tree = _tree(html)
     return [
-        (page_key, n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), _text(tree.pieces, n, True)[:LONGEST], _shown(tree.pieces, n)[:LONGEST],
+        (page_key, n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, _path(n), n.hidden, list(n.attrs.items()), _text(tree.pieces, n, True)[:LONGEST], _shown(tree.pieces, n)[:LONGEST],
          _text(tree.pieces, n, False, True)[:LONGEST], _only(n))
         for n in tree.nodes
     ]
@@ -264,19 +309,19 @@ def _kept(pieces: list[tuple[str, bool, int, bool]], n: _Node) -> tuple:
     fold = n.attrs.get("content") if n.tag == "meta" else plain if n.tag == "title" else text if n.tag in TEXT_TAGS and len(shown) <= LONGEST_BLOCK else None
     only = _only(n) if n.tag == "script" and n.attrs.get("type") == jsonld.SCRIPT_TYPE else None
     return (
-        n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.path, n.hidden, list(n.attrs.items()), block if block and len(block) <= LONGEST_BLOCK else None, text, plain,
+        n.node_id, n.last_id, n.parent.node_id, n.depth, n.tag, n.step, n.hidden, list(n.attrs.items()), block if block and len(block) <= LONGEST_BLOCK else None, text, plain,
         only if only and len(only) <= jsonld.LONGEST_GRAPH_SCRIPT else None, None if fold is None else fold.casefold(), len(shown), 0 < len(shown) <= LONGEST_SCOPE and bool(_AMOUNT.search(shown)),
     )
 
 
-def _scripts(rows: list[tuple]) -> list[dict]:
+def _scripts(tree: _Tree, rows: list[tuple]) -> list[dict]:
     """Shown JSON-LD scripts of a page's kept elements."""
     out = []
-    for r in rows:
+    for node, r in zip(tree.nodes, rows, strict=True):
         script = r[11]
         if script and not r[6]:
             roots = jsonld.roots(script)
-            out.append({"node_id": r[0], "path": r[5], "script": script, "items": jsonld.items(roots) if len(script) <= jsonld.LONGEST_ITEM_SCRIPT else [], "entities": jsonld.entities(roots)})
+            out.append({"node_id": r[0], "path": _path(node), "script": script, "items": jsonld.items(roots) if len(script) <= jsonld.LONGEST_ITEM_SCRIPT else [], "entities": jsonld.entities(roots)})
     return out
 
 
@@ -304,7 +349,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             urls.append(url)
             rows += own
             ends.append(len(rows))
-            scripts.append(_scripts(own))
+            scripts.append(_scripts(tree, own))
             if len(rows) >= BATCH_NODES:
                 yield pages(at)
                 keys, urls, rows, ends, scripts, done = [], [], [], [], [], at
@@ -320,9 +365,22 @@ def nodes(captures: DataFrame, key: str = "page_key", html: str = "html", also:
     return rows.mapInArrow(_parse_batches, T.StructType([*PAGE.fields, *(rows.schema[c] for c in also)]))
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """One row for each element: page_key, url and the parts of ELEMENT."""
-    return pages.select("page_key", "url", F.inline("nodes"))
+def node_path(nodes: Column, node_id: Column) -> Column:
+    """The path of an element among all nodes of its page, joined from the steps on the way up; only what a rule gives out
+    has one, so that a deeply nested page takes no more room than its html."""
+
+    def up(at: Column, _: Column) -> Column:
+        return let(F.get(nodes, at["id"] - 1), lambda n: F.struct(n["parent_id"].alias("id"), F.concat(F.array(n["step"]), at["steps"]).alias("steps")))
+
+    start = F.struct(node_id.cast("int").alias("id"), F.array().cast("array<string>").alias("steps"))
+    return F.aggregate(F.sequence(F.lit(1), F.get(nodes, node_id - 1)["depth"]), start, up, lambda at: F.array_join(at["steps"], " > "))
+
+
+def elements(pages: DataFrame, tags: Iterable[str]) -> DataFrame:
+    """One row for each element with one of the tags: page_key, url, path and the parts of ELEMENT."""
+    nodes = F.col("nodes")
+    kept = F.transform(tagged(nodes, tags), lambda n: F.struct(node_path(nodes, n["node_id"]).alias("path"), *[n[f.name].alias(f.name) for f in ELEMENT.fields]))
+    return pages.select("page_key", "url", F.inline(kept))
 
 
 def below(a: Column, b: Column, itself: bool = False) -> Column:
@@ -350,7 +408,7 @@ def shown_text_of(html: pd.Series, locator: pd.Series) -> pd.Series:
 
     def one(page: str | None, path: str | None) -> str | None:
         tree = _tree(page)
-        node = next((n for n in tree.nodes if n.path == path and not n.hidden), None)
-        return None if node is None else " ".join(t for t, comment, unshown, hidden in tree.pieces[node.first_piece : node.last_piece] if not (comment or hidden or unshown >= node.depth))
+        node = located(tree, [path])[0] if path else None
+        return None if node is None or node.hidden else " ".join(t for t, comment, unshown, hidden in tree.pieces[node.first_piece : node.last_piece] if not (comment or hidden or unshown >= node.depth))
 
     return pd.Series([one(h, loc) for h, loc in zip(html, locator, strict=True)], dtype=object).map(lambda t: t and " ".join(t.split()))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import dom
-from factloom.functions.dom import below, flat_map, let, tagged
+from factloom.functions.dom import below, flat_map, let, node_path, tagged
 from factloom.functions.scalars import casefold, squeezed
 from factloom.sources.captures import decode_html
 
@@ -125,7 +125,7 @@ def overview_claims(nodes: Column) -> Column:
     """The first shown paragraph of 45 to 240 characters outside aside, nav and footer that is no "label: value"."""
     said = tagged(nodes, ("p",), lambda n: ~n["hidden"] & F.length(n["shown_text"]).between(45, 240) & ~n["shown_text"].rlike(r"(?U)^[\w /-]{2,45}:\s*\S"))
     first = let(_among(nodes, ("aside", "nav", "footer")), lambda around: F.slice(F.filter(said, lambda n: ~_inside(around, n)), 1, 1))
-    return F.transform(first, lambda n: _claim(F.lit("Page"), F.lit("overview_text"), F.lit("On-page summary"), n["shown_text"], n["path"], n["shown_text"], _pos(FROM_OVERVIEW, n["node_id"])))
+    return F.transform(first, lambda n: _claim(F.lit("Page"), F.lit("overview_text"), F.lit("On-page summary"), n["shown_text"], node_path(nodes, n["node_id"]), n["shown_text"], _pos(FROM_OVERVIEW, n["node_id"])))
 
 
 def detail_claims(nodes: Column, rows: Column) -> Column:
@@ -133,23 +133,23 @@ def detail_claims(nodes: Column, rows: Column) -> Column:
     without spans; outside nav, footer, aside, script and template. The key follows when the label is folded."""
     pair = r"(?Ud)\A([^:]{2,40}):\s*(.{1,180})\z"
 
-    def found(at: Column, path: Column, name: Column, value: Column, excerpt: Column) -> Column:
-        return F.struct(at["node_id"].alias("node_id"), path.alias("path"), name.alias("name"), value.alias("value"), excerpt.alias("excerpt"))
+    def found(at: Column, place: Column, name: Column, value: Column, excerpt: Column) -> Column:
+        return F.struct(at["node_id"].alias("node_id"), place["node_id"].alias("place"), name.alias("name"), value.alias("value"), excerpt.alias("excerpt"))
 
     said = tagged(nodes, ("p", "li"), lambda n: ~n["hidden"] & n["shown_text"].rlike(pair))
-    said = F.transform(said, lambda n: found(n, n["path"], F.regexp_extract(n["shown_text"], pair, 1), F.regexp_extract(n["shown_text"], pair, 2), n["shown_text"]))
+    said = F.transform(said, lambda n: found(n, n, F.regexp_extract(n["shown_text"], pair, 1), F.regexp_extract(n["shown_text"], pair, 2), n["shown_text"]))
 
     def term(dds: Column, t: Column) -> Column:
         beside = F.slice(F.filter(dds, lambda d: (d["parent_id"] == t["parent_id"]) & (d["node_id"] > t["node_id"])), 1, 1)
-        return F.transform(F.filter(beside, lambda d: ~d["hidden"]), lambda d: found(t, d["path"], t["shown_text"], d["shown_text"], d["shown_text"]))
+        return F.transform(F.filter(beside, lambda d: ~d["hidden"]), lambda d: found(t, d, t["shown_text"], d["shown_text"], d["shown_text"]))
 
     terms = let(tagged(nodes, ("dd",)), lambda dds: flat_map(tagged(nodes, ("dt",), lambda t: ~t["hidden"]), lambda t: term(dds, t)))
     two = F.filter(rows, lambda r: ~r["hidden"] & (F.size(r["cells"]) == 2) & ~r["spanned"])
-    two = F.transform(two, lambda r: found(r, r["cells"][1]["path"], r["cells"][0]["shown_text"], r["cells"][1]["shown_text"], r["cells"][1]["shown_text"]))
+    two = F.transform(two, lambda r: found(r, r["cells"][1], r["cells"][0]["shown_text"], r["cells"][1]["shown_text"], r["cells"][1]["shown_text"]))
     every = F.filter(F.concat(said, terms, two), lambda d: F.length(d["name"]).between(2, 40) & F.length(d["value"]).between(1, 180))
 
     def kept(around: Column, articles: Column) -> Column:
-        return F.transform(F.filter(every, lambda d: ~_inside(around, d)), lambda d: _claim(F.lit("Details"), F.lit(None), d["name"], d["value"], d["path"], d["excerpt"], _pos(FROM_DETAIL, d["node_id"]), in_article=_inside(articles, d)))
+        return F.transform(F.filter(every, lambda d: ~_inside(around, d)), lambda d: _claim(F.lit("Details"), F.lit(None), d["name"], d["value"], node_path(nodes, d["place"]), d["excerpt"], _pos(FROM_DETAIL, d["node_id"]), in_article=_inside(articles, d)))
 
     return let(F.struct(_among(nodes, ("nav", "footer", "aside", "script", "template")).alias("a"), _among(nodes, ("article",)).alias("b")), lambda x: kept(x["a"], x["b"]))
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.dom import BLOCK_TAGS, LONGEST_BLOCK, elements, flat_map, let, tagged
+from factloom.functions.dom import BLOCK_TAGS, LONGEST_BLOCK, elements, flat_map, let, node_path, tagged
 from factloom.functions.jsonld import LONGEST_ITEM_SCRIPT
 from factloom.functions.scalars import labelled, scalar, squeezed
 
@@ -57,7 +57,9 @@ def _blocks(nodes: Column) -> Column:
 
 def visible_blocks(pages: DataFrame) -> DataFrame:
     """(page_key, node_id, tag, text, locator) of shown blocks of 1 to 400 characters."""
-    return pages.select("page_key", F.inline(_blocks(F.col("nodes")))).select("page_key", "node_id", "tag", F.col("block_text").alias("text"), F.col("path").alias("locator"))
+    nodes = F.col("nodes")
+    found = F.transform(_blocks(nodes), lambda n: F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"), n["block_text"].alias("text"), node_path(nodes, n["node_id"]).alias("locator")))
+    return pages.select("page_key", F.inline(found))
 
 
 def _sort_of(n: Column, attr: str) -> Column:
@@ -77,7 +79,7 @@ def fact_array(nodes: Column) -> Column:
 
     def of(field: str, found: Column, text: str | None) -> Column:
         raw = (lambda n: n[text]) if text else (lambda n: F.coalesce(n["attrs"]["content"], F.lit("")))
-        return F.transform(found, lambda n: F.struct(F.lit(field).alias("field"), n["node_id"].alias("node_id"), n["path"].alias("path"), squeezed(raw(n)).alias("raw_value")))
+        return F.transform(found, lambda n: F.struct(F.lit(field).alias("field"), n["node_id"].alias("node_id"), node_path(nodes, n["node_id"]).alias("path"), squeezed(raw(n)).alias("raw_value")))
 
     def first_kind(field: str, found: Column, text: str | None, instead: Column) -> Column:
         return let(of(field, found, text), lambda own: F.when(F.size(own) > 0, own).otherwise(of(field, instead, None)))
@@ -111,7 +113,7 @@ def _readings(pages: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), node_id.alias("node_id"), item_idx.cast("int").alias("item_idx"), key.cast("string").alias("key"), text.alias("text"), locator.alias("locator"), excerpt.alias("excerpt"))
 
     none = F.lit(None)
-    blocks = F.transform(F.filter(_blocks(F.col("nodes")), lambda n: n["block_text"].rlike(PARTED)), lambda n: reading("block", n["node_id"], F.lit(0), none, n["block_text"], n["path"], n["block_text"]))
+    blocks = F.transform(F.filter(_blocks(F.col("nodes")), lambda n: n["block_text"].rlike(PARTED)), lambda n: reading("block", n["node_id"], F.lit(0), none, n["block_text"], node_path(F.col("nodes"), n["node_id"]), n["block_text"]))
     items = flat_map(F.filter("scripts", lambda s: F.length(s["script"]) <= LONGEST_ITEM_SCRIPT), lambda s: F.transform(s["items"], lambda i: reading(
         "item", s["node_id"], i["item_idx"], i["key"], i["raw_value"], F.concat(s["path"], F.lit("::item("), i["item_idx"].cast("string"), F.lit(")::"), i["key"]), s["script"])))
     facts = F.transform(fact_array(F.col("nodes")), lambda f: reading("fact", f["node_id"], F.lit(0), f["field"], f["raw_value"], fact_locator(f["path"], f["field"]), f["raw_value"]))

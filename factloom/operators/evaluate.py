@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.dom import elements, shown_text_of
+from factloom.functions.dom import let, node_path
 from factloom.sources.captures import BLOCKING
 
 #: Bootstrap draws, and the thresholds of the gate.
@@ -236,20 +236,6 @@ def label_violations(labels: DataFrame) -> DataFrame:
     return labels.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in rules.items()])))
 
 
-def cited_nodes(cited: DataFrame, pages: DataFrame, captures: DataFrame) -> DataFrame:
-    """Label evidence (page_key, claim_id, role, locator, excerpt, scope_locator) checked against the page: the node is
-    there and shown, lies in its scope, and has the excerpt; (claim_id, role, found, inside, unchanged). pages are parsed
-    captures; a text that is too long to be kept there is read from the html."""
-    every = elements(pages)
-    own = every.select("page_key", F.col("path").alias("locator"), "node_id", "hidden", "shown_text")
-    scope = every.select("page_key", F.col("path").alias("scope_locator"), F.col("node_id").alias("scope_id"), F.col("last_id").alias("scope_last"), F.col("hidden").alias("scope_hidden"))
-    out = cited.join(own, ["page_key", "locator"], "left").join(scope, ["page_key", "scope_locator"], "left").join(captures.select("page_key", "html"), "page_key", "left")
-    found = F.coalesce(~F.col("hidden") & ~F.col("scope_hidden"), F.lit(False))
-    inside = F.coalesce((F.col("node_id") >= F.col("scope_id")) & (F.col("node_id") <= F.col("scope_last")), F.lit(False))
-    text = F.coalesce("shown_text", shown_text_of(F.when(F.col("shown_text").isNull() & F.col("node_id").isNotNull(), F.col("html")), F.col("locator")))
-    return out.select("claim_id", "role", found.alias("found"), inside.alias("inside"), F.coalesce(F.trim(F.regexp_replace("excerpt", r"(?U)\s+", " ")) == text, F.lit(False)).alias("unchanged"))
-
-
 def common_scopes(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     """pairs (page_key, claim_id, plan_id, value_id) with the lowest node that contains both."""
 
@@ -257,8 +243,9 @@ def common_scopes(pairs: DataFrame, pages: DataFrame) -> DataFrame:
         return (n["node_id"] <= F.col(c)) & (F.col(c) <= n["last_id"])
 
     around = F.filter("nodes", lambda n: holds(n, "plan_id") & holds(n, "value_id"))
-    lowest = F.element_at(F.transform(around, lambda n: F.struct(n["node_id"].alias("node_id"), n["path"].alias("path"), n["tag"].alias("tag"))), -1)
-    return pairs.join(pages.select("page_key", "nodes"), "page_key").where(F.size(around) > 0).select("page_key", "claim_id", lowest.alias("common"))
+    lowest = F.element_at(F.transform(around, lambda n: F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"))), -1)
+    own = let(lowest, lambda n: F.struct(n["node_id"].alias("node_id"), node_path(F.col("nodes"), n["node_id"]).alias("path"), n["tag"].alias("tag")))
+    return pairs.join(pages.select("page_key", "nodes"), "page_key").where(F.size(around) > 0).select("page_key", "claim_id", own.alias("common"))
 
 
 def agreement(first: DataFrame, second: DataFrame, compared: list[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.dom import LONGEST_LABELLED, LONGEST_SCOPE, below, flat_map, let, tagged
-from factloom.functions.scalars import AMOUNT, CODES, MONTH_UNIT, SIGNS, billing_period, casefold, is_price_text, labelled, money, price_currency, scalar
+from factloom.functions.dom import LONGEST_LABELLED, LONGEST_SCOPE, below, flat_map, let, node_path, tagged
+from factloom.functions.scalars import MONTH_UNIT, amount, billing_period, casefold, is_price_text, labelled, money, price_currency, scalar
 
 #: Plan fields with their kinds and labels.
 PLAN_FIELDS = {
@@ -22,7 +22,6 @@ PLAN_FIELDS = {
 PRICED = ("listed_price", "currency", "billing_period")
 LABELLED = tuple(n for n in PLAN_FIELDS if n not in (*PRICED, "named_plan"))
 PRICE_ROW = r"(?iU)\b(price|cost|rate)\b"
-WHOLE_PRICE = rf"(?iU)(?<!\w)(?:{'|'.join(CODES)})?\s*[{''.join(SIGNS)}]?\s*{AMOUNT}\s*(?:{'|'.join(CODES)})?"
 #: Elements that may hold a label below the box that is looked at.
 HOLDERS = ("p", "li", "div", "span", "td")
 
@@ -30,15 +29,15 @@ COLUMNS = ["page_key", "plan_name", "field", "scope_rank", "scope_id", "node_id"
 
 
 def table_rows(nodes: Column) -> Column:
-    """Every tr: node_id, last_id, path, hidden, its cells in order, and whether one of them spans."""
+    """Every tr: node_id, last_id, hidden, its cells in order, and whether one of them spans."""
 
     def cell(c: Column) -> Column:
         spanned = F.map_contains_key(c["attrs"], "colspan") | F.map_contains_key(c["attrs"], "rowspan")
-        return F.struct(*[c[k].alias(k) for k in ("node_id", "last_id", "parent_id", "path", "shown_text", "fold")], spanned.alias("spanned"))
+        return F.struct(*[c[k].alias(k) for k in ("node_id", "last_id", "parent_id", "shown_text", "fold")], spanned.alias("spanned"))
 
     def row(cells: Column, r: Column) -> Column:
         own = F.filter(cells, lambda c: c["parent_id"] == r["node_id"])
-        return let(own, lambda cs: F.struct(*[r[k].alias(k) for k in ("node_id", "last_id", "path", "hidden")], cs.alias("cells"), F.exists(cs, lambda c: c["spanned"]).alias("spanned")))
+        return let(own, lambda cs: F.struct(*[r[k].alias(k) for k in ("node_id", "last_id", "hidden")], cs.alias("cells"), F.exists(cs, lambda c: c["spanned"]).alias("spanned")))
 
     return let(F.transform(tagged(nodes, ("td", "th")), cell), lambda cells: F.transform(tagged(nodes, ("tr",)), lambda r: row(cells, r)))
 
@@ -49,18 +48,18 @@ def first_row(rows: Column, table: Column) -> Column:
 
 
 def priced_nodes(nodes: Column) -> Column:
-    """Elements whose shown text is a price text: node_id, last_id, path, shown_text."""
-    return F.transform(F.filter(nodes, lambda n: is_price_text(n["shown_text"])), lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "path", "shown_text")]))
+    """Elements whose shown text is a price text: node_id, last_id, shown_text."""
+    return F.transform(F.filter(nodes, lambda n: is_price_text(n["shown_text"])), lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "shown_text")]))
 
 
 def _nearest(nodes: Column, priced: Column, head: Column) -> Column:
     """The nearest ancestor with an amount and a price node below it. The walk up ends at body and html and at the
     first ancestor with more than LONGEST_SCOPE characters."""
-    none = F.lit(None).cast("struct<node_id:int,last_id:int,path:string>")
+    none = F.lit(None).cast("struct<node_id:int,last_id:int>")
 
     def step(at: Column, a: Column) -> Column:
         fits = a["amount"] & F.exists(priced, lambda p: below(a, p))
-        own = F.struct(a["node_id"].alias("node_id"), a["last_id"].alias("last_id"), a["path"].alias("path"))
+        own = F.struct(a["node_id"].alias("node_id"), a["last_id"].alias("last_id"))
         ends = a["tag"].isin("body", "html") | (a["size"] > LONGEST_SCOPE)
         return F.when(at["done"], at).when(ends, F.struct(F.lit(True).alias("done"), none.alias("scope"))).when(fits, F.struct(F.lit(True).alias("done"), own.alias("scope"))).otherwise(at)
 
@@ -68,10 +67,10 @@ def _nearest(nodes: Column, priced: Column, head: Column) -> Column:
     return F.aggregate(up, F.struct(F.lit(False).alias("done"), none.alias("scope")), step, lambda at: at["scope"])
 
 
-def _scope(name: Column, rank: int, order: Column, scope: Column, at: Column, col: Column) -> Column:
+def _scope(nodes: Column, name: Column, rank: int, order: Column, scope: Column, at: Column, col: Column) -> Column:
     return F.struct(
         name["plan_name"].alias("plan_name"), name["name_idx"].alias("name_idx"), F.lit(rank).alias("scope_rank"), order.alias("order_id"), scope["node_id"].alias("scope_id"), scope["last_id"].alias("scope_last"),
-        scope["path"].alias("scope_path"), at["node_id"].alias("plan_id"), at["path"].alias("plan_path"), at["shown_text"].alias("plan_text"), col.cast("int").alias("col"),
+        node_path(nodes, scope["node_id"]).alias("scope_path"), at["node_id"].alias("plan_id"), node_path(nodes, at["node_id"]).alias("plan_path"), at["shown_text"].alias("plan_text"), col.cast("int").alias("col"),
     )
 
 
@@ -81,7 +80,7 @@ def card_scopes(nodes: Column, priced: Column, names: Column) -> Column:
     heads = tagged(nodes, ("h2", "h3", "h4"), lambda h: ~h["hidden"] & F.exists(names, lambda n: n["fold"] == h["fold"]))
 
     def of(h: Column) -> Column:
-        return let(_nearest(nodes, priced, h), lambda s: F.transform(F.filter(names, lambda n: s.isNotNull() & (n["fold"] == h["fold"])), lambda n: _scope(n, 0, h["node_id"], s, h, F.lit(None))))
+        return let(_nearest(nodes, priced, h), lambda s: F.transform(F.filter(names, lambda n: s.isNotNull() & (n["fold"] == h["fold"])), lambda n: _scope(nodes, n, 0, h["node_id"], s, h, F.lit(None))))
 
     def repeated(every: Column, s: Column, i: Column) -> Column:
         return F.exists(F.slice(every, F.lit(1), i), lambda e: (e["plan_name"] == s["plan_name"]) & (e["scope_id"] == s["scope_id"]))
@@ -94,7 +93,7 @@ def column_scopes(nodes: Column, rows: Column, names: Column) -> Column:
 
     def of(t: Column, r: Column, n: Column) -> Column:
         at = F.array_position(F.transform(r["cells"], lambda c: c["fold"]), n["fold"]) - 1
-        return let(at.cast("int"), lambda k: _scope(n, 1, t["node_id"], t, F.get(r["cells"], k), k))
+        return let(at.cast("int"), lambda k: _scope(nodes, n, 1, t["node_id"], t, F.get(r["cells"], k), k))
 
     def named(r: Column) -> Column:
         return F.filter(names, lambda n: F.size(F.filter(r["cells"], lambda c: c["fold"] == n["fold"])) == 1)
@@ -123,7 +122,7 @@ def plan_array(nodes: Column, rows: Column, names: Column) -> Column:
     card, or of the cell in the row that the label names."""
 
     def out(s: Column, field: str, at: Column, text: str, raw: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), *[s[k].alias(k) for k in ("plan_name", "name_idx", "scope_rank", "order_id", "scope_id", "scope_path")], at["node_id"].alias("node_id"), at["path"].alias("path"), at[text].alias("text"), raw.cast("string").alias("raw"))
+        return F.struct(F.lit(field).alias("field"), *[s[k].alias(k) for k in ("plan_name", "name_idx", "scope_rank", "order_id", "scope_id", "scope_path")], at["node_id"].alias("node_id"), node_path(nodes, at["node_id"]).alias("path"), at[text].alias("text"), raw.cast("string").alias("raw"))
 
     def named(s: Column) -> Column:
         return F.struct(F.lit("named_plan").alias("field"), *[s[k].alias(k) for k in ("plan_name", "name_idx", "scope_rank", "order_id", "scope_id", "scope_path")], s["plan_id"].alias("node_id"), s["plan_path"].alias("path"), s["plan_text"].alias("text"), s["plan_text"].alias("raw"))
@@ -139,7 +138,7 @@ def plan_array(nodes: Column, rows: Column, names: Column) -> Column:
 
     def said(title: str) -> Column:
         short = F.filter(nodes, lambda n: (F.length(n["shown_text"]) <= LONGEST_LABELLED) & n["shown_text"].rlike(r"[:\-–]"))
-        with_raw = F.transform(short, lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "tag", "path", "shown_text")], labelled(n["shown_text"], F.lit(title)).alias("raw")))
+        with_raw = F.transform(short, lambda n: F.struct(*[n[k].alias(k) for k in ("node_id", "last_id", "tag", "shown_text")], labelled(n["shown_text"], F.lit(title)).alias("raw")))
         return let(F.filter(with_raw, lambda n: n["raw"].isNotNull()), lambda found: _innermost(found))
 
     def labelled_in(found: Column, field: str) -> Column:
@@ -164,12 +163,12 @@ def parsed(rows: DataFrame, carried: Sequence[str] = (), along: dict[str, Column
     and pass; `along` are Arrow functions that go to the workers with the same rows."""
     text, asked, field = F.col("text"), F.col("field"), F.col("f")
     priced = asked == "priced"
-    rows = rows.withColumns({"p": F.when(priced, billing_period(text)), "cur": F.when(priced, price_currency(text)), "number": F.when(priced, F.replace(money(text, 3), F.lit(","), F.lit("")))})
+    rows = rows.withColumns({"p": F.when(priced, billing_period(text)), "cur": F.when(priced, price_currency(text)), "number": F.when(priced, amount(text))})
     kinds = F.create_map(*[F.lit(x) for n, (k, _) in PLAN_FIELDS.items() for x in (n, k)])
     rows = rows.withColumns({**(along or {}), "s": scalar(F.when(priced, F.col("number")).otherwise(F.col("raw")), F.when(priced, F.lit("number")).otherwise(F.lit("string")))})
     rows = rows.withColumn("f", F.explode(F.when(priced, F.array(*map(F.lit, PRICED))).otherwise(F.array(asked))))  # only now, so that a text is read once
     told = F.when(priced, F.col("p").isNotNull() & ((field == "billing_period") | F.col("cur").isNotNull() & F.col("s.value").isNotNull())).otherwise(field.isin("named_plan", "said") | F.col("s.value").isNotNull())
-    whole = F.trim(F.regexp_extract(text, WHOLE_PRICE, 0))
+    whole = F.trim(money(text)["whole"])
     is_price = field == "listed_price"
     value = F.when(field == "named_plan", F.col("plan_name")).when(field == "currency", F.col("cur")).when(field == "billing_period", F.col("p")).otherwise(F.col("s.value"))
     labels = field.isin(*LABELLED)

@@ -320,7 +320,7 @@ def scoped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     captures, n = page_nodes(spark, sf_dir)
     key = captures.select("page_key", F.col("page_id").alias("case_id"), F.col("url").alias("source_url"), "snapshot_hash", "fetched_at")
-    every = elements(n)
+    every = elements(n, ("li", "nav", "article"))
     items = every.where("tag = 'li'").select("page_key", F.col("path").alias("locator")).join(key, "page_key")
     scopes = every.where("tag in ('nav', 'article')").select("page_key", "tag", F.col("path").alias("scope_locator")).join(key, "page_key").where("(case_id % 2 = 0) = (tag = 'nav')")
     cols = ["case_id", "source_url", "snapshot_hash", "fetched_at"]
