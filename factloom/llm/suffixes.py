@@ -32,7 +32,7 @@ W = MATCH - GRAM + 1  # starts of a match's grams
 REACH = W - 1  # bytes of a match before its anchor, at most
 WIDTH = REACH + MATCH
 #: Bytes of text that a task works on at once, of a bucket, and of a group of documents in the last exchange.
-PIECE, BUCKET, GROUP = 4 << 20, 8 << 20, 16 << 20
+PIECE, BUCKET, GROUP = 4 << 20, 6 << 20, 16 << 20
 #: Buckets that splitters tell apart (larger inputs cut each by a hash of the anchor), and bytes of text sampled for splitters.
 MOST_BUCKETS, SAMPLE = 1 << 15, 64 << 20
 
@@ -212,11 +212,18 @@ def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(rows: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(rows).tobytes())
+    """Rows column by column, as neighbours in a column are alike, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(rows[name].tobytes() for name in rows.dtype.names))
 
 
 def _unpacked(body: bytes, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), kind)
+    data = zstandard.ZstdDecompressor().decompress(body)
+    rows, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for name in kind.names:
+        column = kind[name]
+        rows[name] = np.frombuffer(data, column.base, len(rows) * column.itemsize // column.base.itemsize, at).reshape(rows[name].shape)
+        at += len(rows) * column.itemsize
+    return rows
 
 
 def _batch(bucket: list, sub: list, group: list, body: list) -> pa.RecordBatch:
