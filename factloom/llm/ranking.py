@@ -3,7 +3,8 @@
 A list is a term's postings; its entry for a document is the part of a score that the term brings. Three phases read the
 lists: their heads give each query a lower bound of its K-th score; every list is read down to one threshold, that bound
 over the number of the query's lists, which leaves out no document that can reach the bound; and the documents whose
-upper bound still reaches the K-th partial score are looked up in all their lists.
+upper bound still reaches the K-th partial score are looked up in all their lists. What the second phase reads of the
+lists moves once, as blocks, to the task that sums a block's documents; no entry moves by itself.
 
 All numbers of a score are 64-bit integers but the logarithm in a term's weight.
 """
@@ -35,7 +36,7 @@ HEAD, BLOCK, STRETCH, TERMS, BROADCAST = 200, 2048, 256, 1 << 20, 1 << 20
 #: ASCII digits and letters, lower-cased, and every byte beyond ASCII belong to a term; all else is white space.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 _POSTINGS = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("place", "tf", "size")), T.StructField("ids", T.ArrayType(T.LongType()))])
-_ENTRY = "item int, row bigint, part bigint, most bigint"
+_ENTRY = "item int, row bigint, part bigint"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -61,6 +62,7 @@ class _Queries:
         pairs = sorted((self.number.setdefault(t, len(self.number)), i) for i, terms in enumerate(items) for t in terms)
         terms, self.item = np.array(pairs, np.int64).reshape(-1, 2).T
         self.begins = np.searchsorted(terms, np.arange(len(self.number) + 1))
+        self.terms = [[self.number[t] for t in own] for own in items]
         self.lists = np.bincount(self.item, minlength=len(items))
         self.n = self.length = 0
         self.weights, self.most = np.zeros(len(self.number), np.int64), np.zeros(len(self.number), np.int64)
@@ -80,7 +82,7 @@ class _Blocks:
         place, tf, size = (self._values(batch.column(n)) for n in ("place", "tf", "size"))
         self.ends = self.ends - first
         counts = np.diff(self.ends)
-        self.place = place
+        self.place, self.tf = place, tf
         self.row = np.repeat(batch.column("block").to_numpy(), counts) + place
         self.part = parts_of(np.repeat(q.weights[batch.column("term").to_numpy()], counts), tf, size, q.n, q.length)
         assert len(self.part) == last - first
@@ -116,7 +118,7 @@ class _Rows:
 
 
 def _entries() -> _Rows:
-    return _Rows(["item", "row", "part", "most"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()])
+    return _Rows(["item", "row", "part"], [pa.int32(), pa.int64(), pa.int64()])
 
 
 def _indexer(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -191,35 +193,75 @@ def _spread(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             term, row, part = (batch.column(n).to_numpy() for n in ("term", "row", "part"))
             counts = (q.begins[1:] - q.begins[:-1])[term]
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            part = np.repeat(part, counts)
-            yield from out.add(q.item[np.repeat(q.begins[term], counts) + nth], np.repeat(row, counts), part, part)
+            yield from out.add(q.item[np.repeat(q.begins[term], counts) + nth], np.repeat(row, counts), np.repeat(part, counts))
         yield from out.rest()
 
     return spread
 
 
 def _thresholded(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every list down to the threshold of each query that has it: the entry, and the most that it could have brought unseen."""
+    """Every list down to the least threshold of the queries that have it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, out = known.value, _entries()
+        q = known.value
+        least = np.minimum.reduceat(q.least[q.item], q.begins[:-1])
         for batch in batches:
             blocks = _Blocks(batch, q)
-            for _, term, _, own in blocks:
-                items = q.of(term)
-                least = q.least[items]
-                part = blocks.part[own]
-                order = np.argsort(-part, kind="stable")
-                part, row = part[order], blocks.row[own][order]
-                counts = np.searchsorted(-part, -least, side="right")
-                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                if len(at):
-                    yield from out.add(np.repeat(items, counts), row[at], part[at], np.repeat(np.minimum(least - 1, q.most[term]), counts))
-        yield from out.rest()
+            counts = np.diff(blocks.ends)
+            kept = blocks.part >= np.repeat(least[batch.column("term").to_numpy()], counts)
+            ends = np.concatenate(([0], np.cumsum(kept)))[blocks.ends].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (blocks.place, blocks.tf)]
+            out = pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), *lists], ["term", "block", "place", "tf"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
 
     return read
 
 
+def _summed(known: Broadcast, bound: np.ndarray, reach: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Partial sums of each query over blocks that come as their lists, the sizes of their documents first, with upper
+    bounds; only what reaches the query's lower bound, which is raised to the k-th partial sum of the task so far."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, out = known.value, _Rows(["item", "row", "part", "upper"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()])
+        best = np.zeros((len(bound), k), np.int64)  # the k greatest partial sums of each query in this task
+        lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = np.empty(0, np.int64)
+
+        def block_done(block: int) -> Iterator[pa.RecordBatch]:
+            for item, terms in enumerate(q.terms):
+                least, own = int(q.least[item]), [t for t in terms if t in lists]
+                if not own:
+                    continue
+                place, part = (np.concatenate([lists[t][i] for t in own]) for i in (0, 1))
+                most = np.repeat([min(least - 1, int(q.most[t])) for t in own], [len(lists[t][0]) for t in own])
+                over = part >= least
+                total, unseen = np.zeros(len(size), np.int64), np.full(len(size), reach[item])
+                np.add.at(total, place[over], part[over])
+                np.subtract.at(unseen, place[over], most[over])
+                best[item] = np.partition(np.concatenate((best[item], total)), -k)[-k:]
+                found = np.flatnonzero((total > 0) & (total + unseen >= max(bound[item], best[item].min())))
+                yield from out.add(np.full(len(found), item), block + found, total[found], (total + unseen)[found])
+
+        now = -1
+        for batch in batches:
+            place, tf = (_Blocks._values(batch.column(n)) for n in ("place", "tf"))
+            at, ends = (c.offsets.to_numpy() - c.offsets[0].as_py() for c in (batch.column("place"), batch.column("tf")))
+            for i, (term, block) in enumerate(zip(batch.column("term").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if term < 0:
+                    if now >= 0:
+                        yield from block_done(now)
+                    now, size = block, tf[ends[i] : ends[i + 1]].astype(np.int64)
+                    lists.clear()
+                else:
+                    own = place[at[i] : at[i + 1]].copy()
+                    lists[term] = own, parts_of(int(q.weights[term]), tf[ends[i] : ends[i + 1]], size[own], q.n, q.length)
+        if now >= 0:
+            yield from block_done(now)
+        yield from out.rest()
+
+    return sums
+
+
 def _looked_up(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Parts of candidates: each row has a list's block and the block's candidates (query, place)."""
 
@@ -238,7 +280,7 @@ def _looked_up(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 at = np.minimum(np.searchsorted(there, place), len(there) - 1)
                 hit = there[at] == place
                 part = blocks.part[own][at[hit]]
-                yield from out.add(wanted[hit], block + place[hit].astype(np.int64), part, part)
+                yield from out.add(wanted[hit], block + place[hit].astype(np.int64), part)
         yield from out.rest()
 
     return look
@@ -267,7 +309,7 @@ def _search(docs: DataFrame, items: list[list[bytes]], k: int) -> DataFrame | No
     if not about[0] or not q.number:
         return None
     q.n, q.length = int(about[0]), int(about[1])
-    for r in postings.groupBy("term").agg(F.sum(F.size("place")).alias("df")).toLocalIterator():  # a number for each term
+    for r in postings.groupBy("term").agg(F.sum(F.size("place")).alias("df")).collect():  # a number for each term
         q.weights[r["term"]] = weight(q.n, r["df"])
     known = context.broadcast(q)
 
@@ -275,7 +317,7 @@ def _search(docs: DataFrame, items: list[list[bytes]], k: int) -> DataFrame | No
     heads = postings.mapInArrow(_heads(known, most), "term int, row bigint, part bigint")
     heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part"), "row"))).where(F.col("nth") <= most)
     heads = materialize(heads, "heads")
-    for r in heads.where("nth = 1").select("term", "part").toLocalIterator():
+    for r in heads.where("nth = 1").select("term", "part").collect():
         q.most[r["term"]] = r["part"]
     sums = heads.select("term", "row", "part").mapInArrow(_spread(known), _ENTRY).groupBy("item", "row").agg(F.sum("part").alias("part"))
     bound = np.zeros(len(items), np.int64)
@@ -289,10 +331,10 @@ def _search(docs: DataFrame, items: list[list[bytes]], k: int) -> DataFrame | No
     reach = np.zeros(len(items), np.int64)
     list_of = np.repeat(np.arange(len(q.number)), np.diff(q.begins))
     np.add.at(reach, q.item, np.minimum(q.least[q.item] - 1, q.most[list_of]))
-    bounds = spark.createDataFrame(list(enumerate(zip(reach.tolist(), bound.tolist(), strict=True))), "item int, b struct<reach: bigint, bound: bigint>")
-    seen = postings.mapInArrow(_thresholded(known), _ENTRY).groupBy("item", "row").agg(F.sum("part").alias("part"), F.sum("most").alias("most"))
-    seen = seen.join(bounds, "item").withColumn("upper", F.col("part") + F.col("b.reach") - F.col("most")).where("upper >= b.bound")
-    seen = materialize(seen.select("item", "row", "part", "upper"), "seen")
+    cut = postings.mapInArrow(_thresholded(known), "term int, block bigint, place array<int>, tf array<int>")
+    sized = documents.select(F.lit(-1).alias("term"), "block", F.array().cast("array<int>").alias("place"), F.col("size").alias("tf"))
+    by_block = cut.union(sized).repartition("block").sortWithinPartitions("block", "term")  # all lists of a document meet
+    seen = materialize(by_block.mapInArrow(_summed(known, bound, reach, k), "item int, row bigint, part bigint, upper bigint"), "seen")
     kth = spark.createDataFrame(_kth(seen, "part", k), "item int, kth bigint")
     candidates = seen.join(kth, "item", "left").where("kth is null or upper >= kth")
     candidates = materialize(candidates.select("item", (F.col("row") - F.col("row") % BLOCK).alias("block"), (F.col("row") % BLOCK).cast("int").alias("place")), "candidates")
