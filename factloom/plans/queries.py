@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {
     "supported_values": records.supported_values, "label_rules": records.label_rules, "gate_checks": records.gate_checks,
     "tenant_metrics": records.tenant_metrics, "recent_jobs": records.recent_jobs, "retention_survivors": records.retention_survivors, "deleted_jobs": records.deleted_jobs, "review_minutes": records.review_minutes,
     "label_totals": records.label_totals,
-    "host_start_gaps": records.host_start_gaps, "session_overlap": records.session_overlap, "claim_replay": records.claim_replay, "claim_first_owner": records.claim_first_owner, "paced_starts": records.paced_starts,
+    "host_start_gaps": records.host_start_gaps, "session_overlap": records.session_overlap, "claim_replay": records.claim_replay, "job_sink": records.job_sink, "claim_first_owner": records.claim_first_owner, "paced_starts": records.paced_starts,
     "review_replay": records.review_replay, "inventory_balance": records.inventory_balance, "target_violations": records.target_violations,
     **audits.QUERIES,
 }
@@ -87,6 +87,31 @@ ORACLE_SQL: dict[str, str] = {
     "fetch_codes": """WITH e AS (SELECT event_id, user_id % 50 AS h, ([200, 200, 403, 500, 200, 451, 404])[CAST(event_id % 7 AS INT) + 1] AS status FROM events)
         SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_id % 11 = 0 THEN 'OUT_OF_SCOPE' WHEN h % 6 IN (4, 5) THEN 'ROBOTS_UNAVAILABLE' WHEN status IN (403, 451) THEN 'ACCESS_DENIED' WHEN status <> 200 THEN 'HTTP_ERROR'
         WHEN event_id % 500 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
+    "claim_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS tenant, event_type AS idem, event_id AS seq, CAST(event_id AS DOUBLE) AS t, (['claim', 'renew', 'put', 'claim', 'release', 'cancel'])[CAST(event_id % 6 AS INT) + 1] AS cmd,
+            CASE WHEN event_id % 10 = 0 THEN 'h2' ELSE 'h1' END AS eh, 'w' || (event_id % 2) AS ew, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+        r AS (SELECT DISTINCT tenant, idem, 0::BIGINT AS n, NULL::VARCHAR AS h, NULL::VARCHAR AS st, NULL::VARCHAR AS w, NULL::DOUBLE AS lease, NULL::INT AS tries, NULL::BIGINT AS seq, NULL::DOUBLE AS t, NULL::VARCHAR AS cmd, NULL::VARCHAR AS outcome, NULL::DOUBLE AS ended, NULL::VARCHAR AS lost_w, NULL::INT AS lost_tries FROM e
+            UNION ALL SELECT tenant, idem, n, CASE o WHEN 'owner' THEN eh WHEN 'released' THEN NULL ELSE h END, CASE WHEN o = 'owner' THEN 'pending' WHEN o = 'released' THEN NULL WHEN o = 'stored' THEN 'complete' WHEN cmd = 'cancel' AND o = 'cancelled' THEN 'cancelled' ELSE st END,
+                CASE o WHEN 'owner' THEN ew WHEN 'released' THEN NULL ELSE w END, CASE WHEN o IN ('owner', 'renewed') THEN t + 4 WHEN o IN ('released', 'stored') OR o = 'cancelled' AND cmd = 'cancel' OR lapsed THEN NULL ELSE lease END,
+                CASE o WHEN 'owner' THEN coalesce(tries, 0) + 1 WHEN 'released' THEN NULL ELSE tries END, seq, t, cmd, o, CASE WHEN lapsed THEN lease END, CASE WHEN lapsed THEN w END, CASE WHEN lapsed THEN tries END
+            FROM (SELECT e.*, r.h, r.st, r.w, r.lease, r.tries, coalesce(r.st = 'pending' AND r.lease < e.t, false) AS lapsed,
+                CASE e.cmd WHEN 'claim' THEN CASE WHEN r.st IS NULL THEN 'owner' WHEN r.h <> eh THEN 'conflict' WHEN r.st = 'pending' AND (r.lease IS NULL OR r.lease < e.t) THEN 'owner' ELSE r.st END WHEN 'cancel' THEN CASE WHEN r.st = 'pending' THEN 'cancelled' ELSE 'refused' END
+                    ELSE CASE WHEN coalesce(r.st = 'pending' AND r.h = eh AND r.w = ew, false) THEN CASE e.cmd WHEN 'renew' THEN 'renewed' WHEN 'release' THEN 'released' ELSE 'stored' END WHEN e.cmd = 'put' THEN 'CLAIM_LOST' ELSE 'refused' END END AS o
+                FROM r JOIN e ON e.tenant = r.tenant AND e.idem = r.idem AND e.n = r.n + 1))
+        SELECT tenant, idem, seq, t AS at, cmd AS command, outcome, w AS owner, tries AS attempts FROM r WHERE n > 0 UNION ALL SELECT tenant, idem, NULL, ended, 'expire', 'expired', lost_w, lost_tries FROM r WHERE ended IS NOT NULL""",
+    "review_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS tenant, event_id AS seq, CAST(event_id AS DOUBLE) AS t, event_type AS job, 'f' || (event_id % 2) AS f, 'r' || (event_id % 3) AS v,
+            (['start', 'start', 'stop', 'save'])[CAST(('0x' || md5(CAST(event_id AS VARCHAR))[1:4])::INT % 4 AS INT) + 1] AS cmd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        r AS (SELECT DISTINCT tenant, 0::BIGINT AS n, []::STRUCT(job VARCHAR, f VARCHAR, v VARCHAR, t DOUBLE)[] AS active, []::STRUCT(job VARCHAR, f VARCHAR, v VARCHAR, t DOUBLE)[] AS spent, NULL::BIGINT AS seq, NULL::VARCHAR AS job, NULL::VARCHAR AS f, NULL::VARCHAR AS v, NULL::VARCHAR AS cmd, NULL::VARCHAR AS outcome, NULL::DOUBLE AS seconds FROM e
+            UNION ALL SELECT tenant, n, CASE o WHEN 'started' THEN list_append(active, {'job': job, 'f': f, 'v': v, 't': t}) WHEN 'stopped' THEN list_filter(active, lambda x: x.job <> job) ELSE active END,
+                CASE o WHEN 'stopped' THEN list_append(spent, {'job': job, 'f': f, 'v': v, 't': t - mine.t}) ELSE spent END, seq, job, f, v, cmd, o, CASE o WHEN 'stopped' THEN t - mine.t WHEN 'saved' THEN round(list_sum(list_transform(own, lambda x: x.t)), 3) END
+            FROM (SELECT *, CASE cmd WHEN 'start' THEN CASE WHEN mine IS NOT NULL OR len(list_filter(active, lambda x: x.v = g.v)) > 0 THEN 'refused' ELSE 'started' END WHEN 'stop' THEN CASE WHEN mine.f = f AND mine.v = v THEN 'stopped' ELSE 'refused' END
+                    ELSE CASE WHEN mine IS NOT NULL OR len(own) = 0 THEN 'refused' ELSE 'saved' END END AS o
+                FROM (SELECT e.*, r.active, r.spent, list_filter(r.active, lambda x: x.job = e.job)[1] AS mine, list_filter(r.spent, lambda x: x.job = e.job AND x.f = e.f AND x.v = e.v) AS own FROM r JOIN e ON e.tenant = r.tenant AND e.n = r.n + 1) g))
+        SELECT tenant, seq, job AS job_id, f AS field_name, v AS reviewer_id, cmd AS command, outcome, seconds FROM r WHERE n > 0""",
+    "job_sink": """WITH p AS (SELECT o_orderkey AS k, CAST(o_custkey % 10 AS VARCHAR) AS tenant, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey - 1 ELSE o_orderkey END AS idem, o_orderkey % 5 <> 0 AS own, o_orderkey // 7 % 4 AS batch FROM orders),
+        d AS (SELECT p.*, own AND c.k IS NOT NULL AND row_number() OVER (PARTITION BY p.tenant, p.idem, own ORDER BY p.batch, p.k) = 1 AS ok FROM p LEFT JOIN (SELECT tenant, k FROM p WHERE idem = k) c ON c.tenant = p.tenant AND c.k = p.idem),
+        n AS (SELECT *, unnest([k % 5, (k + 1) % 5, (k + 2) % 5]) AS s FROM d WHERE ok), s AS (SELECT tenant, count(*) FILTER (s = 0) AS verified_fields, count(*) FILTER (s = 1) AS conflicting_fields, count(*) FILTER (s = 2) AS missing_fields, count(*) FILTER (s = 3) AS blocked_fields, count(*) FILTER (s = 4) AS unverified_fields FROM n GROUP BY tenant)
+        SELECT d.tenant, count(*) FILTER (NOT ok) AS lost, count(*) FILTER (ok) AS stored, count(*) FILTER (ok) AS snapshots, count(*) FILTER (ok) AS jobs, CAST(coalesce(sum(k % 4) FILTER (ok), 0) AS BIGINT) AS pages_fetched, any_value(verified_fields) AS verified_fields, any_value(conflicting_fields) AS conflicting_fields,
+            any_value(missing_fields) AS missing_fields, any_value(blocked_fields) AS blocked_fields, any_value(unverified_fields) AS unverified_fields FROM d JOIN s USING (tenant) GROUP BY d.tenant""",
     "paced_starts": """WITH e AS (SELECT event_id AS seq, user_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
         m AS (SELECT seq, t, k, max(t - 2.0 * (k - 1)) OVER (PARTITION BY user_id ORDER BY k) AS m FROM e) SELECT seq, round_even(2.0 * (k - 1) + m - t, 2) AS waited FROM m""",
     "visible_li_blocks": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'), lambda x: trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS b FROM pages),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import evaluate, inventory, store
 from factloom.sources import captures
-from factloom.sources.tables import table
-from factloom.streaming import state
+from factloom.sources.tables import shared_dir, table
+from factloom.streaming import sink, state
 
 STATES = ("verified", "conflicting", "missing", "blocked", "unverified")
 
@@ -253,12 +255,13 @@ def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each command, and the leases that end before their key's next command."""
     return state.replay_claims(claim_events(spark, sf_dir))
 
 
 def claim_first_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First claim of each key: it always becomes its owner."""
-    found = state.replay_claims(claim_events(spark, sf_dir).where("command = 'claim'"))
+    found = state.replay_claims(claim_events(spark, sf_dir).where("command = 'claim'")).where("seq is not null")
     first = found.groupBy("tenant", "idem").agg(F.min_by("outcome", "seq").alias("outcome"), F.min("seq").alias("seq"))
     return first
 
@@ -272,10 +275,42 @@ def paced_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each review command: a user is a tenant with a job for each type of its events, two fields and three
+    reviewers; a command follows from the key's hash."""
+    return state.replay_reviews(review_events(spark, sf_dir))
+
+
+def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    command = F.element_at(F.array(*map(F.lit, ("start", "stop", "save"))), (k % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(k.alias("seq"), (k * 1.0).alias("at"), F.col("user_id").cast("string").alias("tenant"), F.lit("j").alias("job_id"), F.lit("f").alias("field_name"), F.lit("r").alias("reviewer_id"), command.alias("command"))
-    return state.replay_reviews(rows)
+    command = F.element_at(F.array(*map(F.lit, ("start", "start", "stop", "save"))), (F.conv(F.substring(F.md5(k.cast("string")), 1, 4), 16, 10).cast("int") % 4 + 1))
+    return table(spark, sf_dir, "events").select(
+        k.alias("seq"), (k * 1.0).alias("at"), F.col("user_id").cast("string").alias("tenant"), F.col("event_type").alias("job_id"), F.concat(F.lit("f"), (k % 2).cast("string")).alias("field_name"),
+        F.concat(F.lit("r"), (k % 3).cast("string")).alias("reviewer_id"), command.alias("command"),
+    )
+
+
+def job_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as puts in four batches, one of which comes twice: what the committed tables hold of each tenant (of ten)
+    afterwards. Every fifth order has another owner than its claim, and one order of three writes to the claim of
+    the order before it, which is complete by then."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    key = F.when(k % 3 == 2, k - 1).otherwise(k).cast("string")
+    states = F.array(*[F.struct(F.lit(f"f{i}").alias("field_name"), F.element_at(F.array(*map(F.lit, store.STATES)), ((k + i) % 5 + 1).cast("int")).alias("state")) for i in range(3)])
+    snapshot = F.struct(F.sha2(F.col("o_orderpriority"), 256).alias("snapshot_hash"), F.col("o_orderpriority").cast("binary").alias("raw"), F.lit("utf-8").alias("encoding"), F.lit("text/html").alias("content_type"))
+    puts = orders.select(
+        k.alias("seq"), (F.col("o_custkey") % 10).cast("string").alias("tenant"), k.cast("string").alias("job_id"), key.alias("idem"), F.lit("h").alias("request_hash"), F.when(k % 5 == 0, "b").otherwise("a").alias("owner"), F.col("o_orderdate").cast("string").alias("created_at"),
+        F.lit("{}").alias("result"), (k % 4).alias("pages_fetched"), states.alias("fields"), F.array(snapshot, snapshot).alias("snapshots"),
+    )
+    claims = puts.where(F.col("idem") == F.col("job_id")).select("tenant", "idem", "request_hash", F.lit("a").alias("owner"), F.lit("pending").alias("state"))
+    root = f"{shared_dir(spark)}/factloom/sink-{uuid.uuid4().hex}"
+    sink.create(spark, root)
+    for number in (0, 1, 2, 1, 3):
+        sink.commit(puts.where(F.floor(k / 7) % 4 == number), number, root, lambda _: claims)
+    jobs = sink.committed(spark, root, "jobs").groupBy("tenant").agg(F.count(F.lit(1)).alias("stored"))
+    kept = sink.committed(spark, root, "snapshots").groupBy("tenant").agg(F.count(F.lit(1)).alias("snapshots"))
+    lost = sink.committed(spark, root, "outcomes").groupBy("tenant").agg(F.count_if(F.col("error") == "CLAIM_LOST").alias("lost"))
+    return lost.join(jobs, "tenant", "left").join(kept, "tenant", "left").join(sink.metrics(spark, root), "tenant", "left").na.fill(0)
 
 
 # inventories -------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ event time, and never the clock.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from factloom.operators.components import connected_components
+
 #: Seconds of a claim's lease, and between starts on a host.
 CLAIM_LEASE, LEAST_GAP = 4.0, 0.5
 
 CLAIM_STATE = "request_hash string, status string, owner string, lease_until double, attempts int"
-CLAIM_OUT = "tenant string, idem string, seq bigint, command string, outcome string, owner string, attempts int"
+CLAIM_OUT = "tenant string, idem string, seq bigint, at double, command string, outcome string, owner string, attempts int"
 
 State = tuple | None
 Step = Callable[[State, Any], tuple[State, str]]
@@ -34,7 +37,7 @@ def claim_step(state: State, e: Any) -> tuple[State, str]:
             return (e.request_hash, "pending", e.owner, e.at + CLAIM_LEASE, 1), "owner"
         if state[0] != e.request_hash:
             return state, "conflict"
-        if state[1] == "pending" and (state[3] is None or state[3] < e.at):
+        if state[1] == "pending" and (state[3] is None or state[3] < e.at):  # a lease without an end has expired
             return (state[0], "pending", e.owner, e.at + CLAIM_LEASE, state[4] + 1), "owner"
         return state, state[1]
     if e.command == "cancel":
@@ -50,49 +53,88 @@ def claim_step(state: State, e: Any) -> tuple[State, str]:
     return (state[0], "complete", state[2], None, state[4]), "stored"
 
 
-def _rows(key: tuple, events: pd.DataFrame, state: State) -> tuple[list[tuple], State]:
+def lapse(state: State, until: float) -> tuple[State, tuple | None]:
+    """The state, and the expiry of its lease as (at, "expire", "expired", owner, attempts) if an unrenewed lease ends before
+    `until`. The claim stays pending, for the next owner to take; the lease has no end any more, so it expires once."""
+    if state is None or state[1] != "pending" or state[3] is None or not state[3] < until:
+        return state, None
+    return (*state[:3], None, state[4]), (state[3], "expire", "expired", state[2], int(state[4]))
+
+
+def _rows(key: tuple, events: pd.DataFrame, state: State, until: float | None = None) -> tuple[list[tuple], State]:
+    """Outcomes of a key's events, with the expiries before each of them and, after the last, before `until`."""
     out = []
     for e in events.sort_values("seq", kind="stable").itertuples(index=False):
+        state, ended = lapse(state, e.at)
+        if ended:
+            out.append((*key, None, *ended))
         state, outcome = claim_step(state, e)
-        out.append((*key, int(e.seq), e.command, outcome, state[2] if state else None, int(state[4]) if state else None))
+        out.append((*key, int(e.seq), e.at, e.command, outcome, state[2] if state else None, int(state[4]) if state else None))
+    if until is not None:
+        state, ended = lapse(state, until)
+        if ended:
+            out.append((*key, None, *ended))
     return out, state
 
 
-_CLAIM_NAMES = ["tenant", "idem", "seq", "command", "outcome", "owner", "attempts"]
+_CLAIM_NAMES = [c.split()[0] for c in CLAIM_OUT.split(", ")]
+
+
+def _claim_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_CLAIM_NAMES).astype({"seq": "Int64", "attempts": "Int64"})
 
 
-def replay_claims(events: DataFrame) -> DataFrame:
-    """Outcome of each claim event (seq, at, tenant, idem, request_hash, owner, command). A key's events are those
-    of one request's attempts: few, whatever the size of the log."""
+def replay_claims(events: DataFrame, until: float | None = None) -> DataFrame:
+    """Outcome of each claim event (seq, at, tenant, idem, request_hash, owner, command), and a row without seq for each
+    lease that ends unrenewed before the key's next event or before `until`. A key's events are those of one request's
+    attempts: few, whatever the size of the log."""
 
     def replay(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(key, own, None)[0], columns=_CLAIM_NAMES).astype({"attempts": "Int64"})
+        return _claim_frame(_rows(key, own, None, until)[0])
 
     return events.groupBy("tenant", "idem").applyInPandas(replay, CLAIM_OUT)
 
 
 class ClaimProcessor(StatefulProcessor):
-    """The same machine for Structured Streaming; needs the RocksDB state store."""
+    """The same machine for Structured Streaming, with a timer for the end of each lease; needs the RocksDB state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("claim", CLAIM_STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = tuple(self.state.get()) if self.state.exists() else None
-        out, state = _rows(tuple(key), pd.concat(list(rows)), state)
+    def _now(self) -> State:
+        return tuple(self.state.get()) if self.state.exists() else None
+
+    def _keep(self, state: State) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if state is None:
             self.state.clear()
-        else:
+            return
+        self.state.update(state)
+        if state[1] == "pending" and state[3] is not None:
+            self.handle.registerTimer(math.floor(state[3] * 1000) + 1)  # the lease holds at its last instant
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out, state = _rows(tuple(key), pd.concat(list(rows)), self._now())
+        self._keep(state)
+        yield _claim_frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, ended = lapse(self._now(), expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        if ended:
             self.state.update(state)
-        yield pd.DataFrame(out, columns=_CLAIM_NAMES).astype({"attempts": "Int64"})
+        yield _claim_frame([(*key, None, *ended)] if ended else [])
 
     def close(self) -> None:
         pass
 
 
-def stream_claims(events: DataFrame) -> DataFrame:
-    """Outcomes of a stream of claim events."""
-    return events.groupBy("tenant", "idem").transformWithStateInPandas(ClaimProcessor(), outputStructType=CLAIM_OUT, outputMode="Append", timeMode="None")
+def stream_claims(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Outcomes of a stream of claim events, and the expiries of leases, as soon as events of any key are later than their
+    end by `delay`, without a further event of their own."""
+    timed = events.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint"))).withWatermark("ts", delay)
+    return timed.groupBy("tenant", "idem").transformWithStateInPandas(ClaimProcessor(), outputStructType=CLAIM_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def host_gaps(requests: DataFrame) -> DataFrame:
@@ -115,45 +157,113 @@ def paced_starts(wanted: DataFrame) -> DataFrame:
     return out.withColumn("start", F.col("__w") + F.col("__m")).drop("__w", "__m")
 
 
-def review_step(active: dict[str, tuple[str, str, float]], e: Any, totals: dict[tuple, list[float]]) -> tuple[str, float | None]:
-    """One event (start, stop, save) of a tenant: one session may be active for a job and for a reviewer; a save needs
-    a stopped session of its own and none active on the job. active: job -> (field, reviewer, start)."""
-    key = (e.job_id, e.field_name, e.reviewer_id)
-    mine = active.get(e.job_id)
+def review_step(e: Any, mine: tuple | None, elsewhere: bool, spent: tuple[float, int] | None) -> tuple[str, float | None]:
+    """One event (start, stop, save) of a tenant. One session may be active for a job and for a reviewer; a stop ends the
+    event's own session; a save needs a stopped session of its own and none active on the job. mine: (field, reviewer,
+    start) of the job's active session; elsewhere: whether the reviewer has one; spent: seconds and sessions stopped
+    of this job, field and reviewer."""
     if e.command == "start":
-        if mine is not None or any(r == e.reviewer_id for _, r, _ in active.values()):
-            return "refused", None
-        active[e.job_id] = (e.field_name, e.reviewer_id, e.at)
-        return "started", None
+        return ("refused" if mine is not None or elsewhere else "started"), None
     if e.command == "stop":
-        if mine is None or mine[:2] != (e.field_name, e.reviewer_id):
-            return "refused", None
-        del active[e.job_id]
-        spent = max(0.0, e.at - mine[2])
-        totals.setdefault(key, []).append(spent)
-        return "stopped", spent
-    if mine is not None or key not in totals:
-        return "refused", None
-    return "saved", round(sum(totals[key]), 3)
+        own = mine is not None and mine[:2] == (e.field_name, e.reviewer_id)
+        return ("stopped", max(0.0, e.at - mine[2])) if own else ("refused", None)
+    return ("refused", None) if mine is not None or not spent else ("saved", round(spent[0], 3))
 
 
 REVIEW_OUT = "tenant string, seq bigint, job_id string, field_name string, reviewer_id string, command string, outcome string, seconds double"
+_REVIEW_NAMES = [c.split()[0] for c in REVIEW_OUT.split(", ")]
+
+
+def _review_rows(tenant: str | None, events: pd.DataFrame, jobs: Any, reviewers: Any, totals: Any) -> pd.DataFrame:
+    """Outcomes of a tenant's events over three maps with get, set and drop: a job's active session, a reviewer's job, and
+    what each (job, field, reviewer) has spent. Each event reads and writes its own keys alone."""
+    out = []
+    for e in events.sort_values("seq", kind="stable").itertuples(index=False):
+        own = (e.job_id, e.field_name, e.reviewer_id)
+        outcome, seconds = review_step(e, jobs.get((e.job_id,)), reviewers.get((e.reviewer_id,)) is not None, totals.get(own))
+        if outcome == "started":
+            jobs.set((e.job_id,), (e.field_name, e.reviewer_id, float(e.at)))
+            reviewers.set((e.reviewer_id,), (e.job_id,))
+        elif outcome == "stopped":
+            jobs.drop((e.job_id,))
+            reviewers.drop((e.reviewer_id,))
+            before = totals.get(own) or (0.0, 0)
+            totals.set(own, (before[0] + seconds, before[1] + 1))
+        out.append((tenant, int(e.seq), e.job_id, e.field_name, e.reviewer_id, e.command, outcome, seconds))
+    return pd.DataFrame(out, columns=_REVIEW_NAMES)
+
+
+class _Map:
+    """A map in memory, as the batch replay has it."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple, tuple] = {}
+
+    def get(self, key: tuple) -> tuple | None:
+        return self.held.get(key)
+
+    def set(self, key: tuple, value: tuple) -> None:
+        self.held[key] = value
+
+    def drop(self, key: tuple) -> None:
+        self.held.pop(key, None)
+
+
+class _StoredMap:
+    """The same over a map state, so that a tenant's state need not fit in memory."""
+
+    def __init__(self, state: Any) -> None:
+        self.state = state
+
+    def get(self, key: tuple) -> tuple | None:
+        return tuple(self.state.getValue(key)) if self.state.containsKey(key) else None
+
+    def set(self, key: tuple, value: tuple) -> None:
+        self.state.updateValue(key, value)
+
+    def drop(self, key: tuple) -> None:
+        self.state.removeKey(key)
+
+
+class ReviewProcessor(StatefulProcessor):
+    """Review sessions of a tenant for Structured Streaming; needs the RocksDB state store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.jobs = _StoredMap(handle.getMapState("jobs", "job_id string", "field_name string, reviewer_id string, started double"))
+        self.reviewers = _StoredMap(handle.getMapState("reviewers", "reviewer_id string", "job_id string"))
+        self.totals = _StoredMap(handle.getMapState("totals", "job_id string, field_name string, reviewer_id string", "seconds double, sessions int"))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield _review_rows(key[0], pd.concat(list(rows)), self.jobs, self.reviewers, self.totals)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reviews(events: DataFrame) -> DataFrame:
+    """Outcomes of a stream of review events; a tenant's state is three maps, of which an event reads its own keys."""
+    return events.groupBy("tenant").transformWithStateInPandas(ReviewProcessor(), outputStructType=REVIEW_OUT, outputMode="Append", timeMode="None")
+
+
+def review_groups(events: DataFrame) -> DataFrame:
+    """(tenant, job_id, grp): jobs of a tenant that share reviewers, directly or through others, are one group; no event of
+    one group can exclude one of another."""
+    seats = events.select("tenant", "job_id", "reviewer_id").distinct()
+    job, reviewer = F.xxhash64(F.lit("job"), "tenant", "job_id"), F.xxhash64(F.lit("reviewer"), "tenant", "reviewer_id")
+    found = connected_components(seats.select(job.alias("a"), reviewer.alias("b")), tag="review-groups")
+    return seats.select("tenant", "job_id", job.alias("node")).distinct().join(found, "node").select("tenant", "job_id", F.col("component").alias("grp"))
 
 
 def replay_reviews(events: DataFrame) -> DataFrame:
-    """Outcome of each review event (seq, at, tenant, job_id, field_name, reviewer_id, command); a reviewer's sessions
-    exclude each other across the jobs of a tenant, so a tenant is replayed as one, its batches in order."""
+    """Outcome of each review event (seq, at, tenant, job_id, field_name, reviewer_id, command), in the order of seq within
+    a tenant. A reviewer's sessions exclude each other across jobs, so what is replayed as one is not a tenant but
+    each of its groups of jobs and reviewers."""
+    grouped = events.join(review_groups(events), ["tenant", "job_id"])
 
     def replay(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        active: dict = {}
-        totals: dict = {}
-        out = []
-        for e in own.sort_values("seq", kind="stable").itertuples(index=False):
-            outcome, seconds = review_step(active, e, totals)
-            out.append((key[0], int(e.seq), e.job_id, e.field_name, e.reviewer_id, e.command, outcome, seconds))
-        return pd.DataFrame(out, columns=["tenant", "seq", "job_id", "field_name", "reviewer_id", "command", "outcome", "seconds"])
-
-    return events.groupBy("tenant").applyInPandas(replay, REVIEW_OUT)
+        return _review_rows(key[0], own, _Map(), _Map(), _Map())
+
+    return grouped.groupBy("tenant", "grp").applyInPandas(replay, REVIEW_OUT)
 
 
 def session_overlaps(sessions: DataFrame) -> DataFrame:
