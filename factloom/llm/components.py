@@ -1,42 +1,5 @@
-"""Distributed connected components by alternating large-star and small-star steps."""
+"""Distributed connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from factloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Join every larger neighbour of a node to the node's smallest neighbour."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Join a node and its smaller neighbours to the smallest of them; edges point from u to a smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "components") -> DataFrame:
-    """(node, component) for each node that has an edge to another; component is its smallest reachable node.
-
-    Every round is written to the shared folder, so its lineage is short and survives lost executors; only
-    one count and one checksum a round come to the driver. Minima are combined before the shuffle and the
-    joins are plain equi-joins that AQE may split, so a star with very many leaves is no single task.
-    Nulls, loops and repeated edges change nothing; no edges give an empty table.
-    """
-    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, seen = materialize(now, tag), None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        now = materialize(_small_star(_large_star(now)), tag)
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.union(now.select("v", "v").distinct())
+__all__ = ["connected_components"]
