@@ -6,7 +6,8 @@ Equal strings have equal anchors at equal places, so two documents that share a
 else a match needs lies within REACH bytes before the anchor and MATCH bytes behind it. One anchor stands for all
 matches (a run of starts) that chose it.
 
-Anchor suffixes are dealt to buckets by sampled splitters of their leading bytes. A bucket sorts what may repeat by
+Texts are first written as compressed chunks. Most anchors stand alone: chunks exchange 32 bits of each distinct anchor
+gram, and only anchors whose gram seems to occur again go on with their bytes. These suffixes are dealt to buckets by sampled splitters of their leading bytes. A bucket sorts what may repeat by
 multikey quicksort, and each string of MATCH bytes that occurs in several documents is marked in all but the first of
 them. A leading string that is too frequent for one bucket is dealt to several; what each of them still holds for its
 first document is compared across them in a second, smaller exchange. Repeats within one task are settled there.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +33,15 @@ MATCH, GRAM = 50, 16
 W = MATCH - GRAM + 1  # starts of a match's grams
 REACH = W - 1  # bytes of a match before its anchor, at most
 WIDTH = REACH + MATCH
-#: Bytes of text that a task works on at once, of a bucket, and of a group of documents in the last exchange.
-PIECE, BUCKET, GROUP = 4 << 20, 6 << 20, 16 << 20
+#: Bytes of text that a chunk has and that a task works on at once, anchors of a bucket, and grams that are compared at once.
+CHUNK, BUCKET, UNIT = 4 << 20, 100_000, 1 << 21
 #: Buckets that splitters tell apart (larger inputs cut each by a hash of the anchor), and bytes of text sampled for splitters.
 MOST_BUCKETS, SAMPLE = 1 << 15, 64 << 20
 
-_PART = T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", "sub", "group")] + [T.StructField("body", T.BinaryType())])
-_ANCHOR = np.dtype([("bytes", np.uint8, (WIDTH,)), ("left", np.uint8), ("right", np.uint8), ("split", np.bool_), ("doc", "<i8"), ("key", "<i8"), ("at", "<i8")])
-_MARK = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("end", "<i8")])
+_PART = T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", "sub", "chunk")] + [T.StructField("body", T.BinaryType())])
+_BITS = T.StructType([T.StructField(n, T.LongType()) for n in ("unit", "chunk", "n")] + [T.StructField("body", T.BinaryType())])
+_ANCHOR = np.dtype([("bytes", np.uint8, (WIDTH,)), ("left", np.uint8), ("right", np.uint8), ("split", np.bool_), ("doc", "<i8"), ("chunk", "<i8"), ("nth", "<i4"), ("at", "<i8")])
+_MARK = np.dtype([("chunk", "<i8"), ("nth", "<i4"), ("start", "<i8"), ("end", "<i8")])
 
 
 def _words(flat: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -137,7 +140,7 @@ def _same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _whole(rows: np.ndarray) -> np.ndarray:
     """Marks for all that anchor rows cover."""
     marks = np.zeros(len(rows), _MARK)
-    marks["doc"], marks["key"], marks["start"] = rows["doc"], rows["key"], rows["at"] - rows["left"]
+    marks["chunk"], marks["nth"], marks["start"] = rows["chunk"], rows["nth"], rows["at"] - rows["left"]
     marks["end"] = rows["at"] + rows["right"]
     return marks
 
@@ -185,7 +188,7 @@ def _covered(rows: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarra
     ends = np.concatenate((begins[1:], [len(row)])) - 1
     marks = np.zeros(len(begins), _MARK)
     own = rows[row[begins]]
-    marks["doc"], marks["key"] = own["doc"], own["key"]
+    marks["chunk"], marks["nth"] = own["chunk"], own["nth"]
     marks["start"], marks["end"] = own["at"] - REACH + column[begins], own["at"] - REACH + column[ends] + MATCH
     return marks
 
@@ -226,124 +229,212 @@ def _unpacked(body: bytes, kind: np.dtype) -> np.ndarray:
     return rows
 
 
-def _batch(bucket: list, sub: list, group: list, body: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(sub, pa.int64()), pa.array(group, pa.int64()), pa.array(body, pa.binary())], _PART.fieldNames())
+def _batch(bucket: list, sub: list, chunk: list, body: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(sub, pa.int64()), pa.array(chunk, pa.int64()), pa.array(body, pa.binary())], _PART.fieldNames())
 
 
-def _by_group(marks: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Marks as one body for each group of documents, tagged by bucket -1."""
-    group = marks["key"] % groups
-    order = np.argsort(group, kind="stable")
-    marks, group = marks[order], group[order]
-    begins = np.flatnonzero(np.diff(group, prepend=-1))
+def _by_chunk(marks: np.ndarray) -> pa.RecordBatch:
+    """Marks as one body for each chunk, tagged by bucket -1."""
+    marks = marks[np.argsort(marks["chunk"], kind="stable")]
+    _, begins = _runs(marks["chunk"])
     bodies = [_packed(m) for m in np.split(marks, begins[1:])] if len(marks) else []
-    return _batch([-1] * len(bodies), [0] * len(bodies), group[begins].tolist(), bodies)
+    return _batch([-1] * len(bodies), [0] * len(bodies), marks["chunk"][begins].tolist(), bodies)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, ends, doc, key, place of the first byte in its document) of texts of PIECE bytes in all at most; longer texts
-    come in parts that overlap by MATCH - 1 bytes, so that each match is in one of them."""
-    parts: list[tuple[bytes, int, int, int]] = []
+def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to chunks of CHUNK bytes of text at most (a longer text is one by itself): ids, byte ends, all texts in one
+    compressed body, and the documents' other columns."""
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 32
+    texts: list[bytes] = []
+    docs: list[int] = []
+    rows: list[pa.Array] = []
     size = 0
 
-    def done() -> tuple[np.ndarray, ...]:
-        flat = np.frombuffer(b"".join(p[0] for p in parts), np.uint8)
-        return flat, np.cumsum([len(p[0]) for p in parts]), *(np.array([p[i] for p in parts], np.int64) for i in (1, 2, 3))
+    def done() -> pa.RecordBatch:
+        ends, body = np.cumsum([len(t) for t in texts]), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        own = pa.concat_arrays(rows)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), x) for x in (pa.array(docs, pa.int64()), pa.array(ends, pa.int64()), own)]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(ends[-1])]), *lists, pa.array([body], pa.binary())], ["chunk", "size", "docs", "ends", "rows", "body"])
 
     for batch in batches:
-        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for i, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("body"), strict=True)):
             body = text.as_py() or b""
-            for at in range(0, len(body) - MATCH + 1, PIECE):
-                part = body[at : at + PIECE + MATCH - 1]
-                if parts and size + len(part) > PIECE:
-                    yield done()
-                    parts, size = [], 0
-                parts.append((part, doc, key, at))
-                size += len(part)
-    if parts:
+            if texts and size + len(body) > CHUNK:
+                yield done()
+                number, texts, docs, rows, size = number + 1, [], [], [], 0
+            texts.append(body)
+            docs.append(doc)
+            rows.append(batch.column("row").slice(i, 1))
+            size += len(body)
+    if texts:
         yield done()
 
 
+class _Chunk:
+    """One chunk's texts, and its anchors in parts of CHUNK bytes that overlap by MATCH - 1, so that each match is in one."""
+
+    def __init__(self, chunk: int, docs: list[int], ends: list[int], body: bytes):
+        self.chunk, self.docs, self.ends = chunk, np.array(docs, np.int64), np.array(ends, np.int64)
+        self.text = zstandard.ZstdDecompressor().decompress(body) if ends and ends[-1] else b""
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(bytes, anchors, first and last starts, place of the first byte in the chunk)."""
+        flat = np.frombuffer(self.text, np.uint8)
+        for at in range(0, max(len(flat) - MATCH + 1, 0), CHUNK):
+            own = flat[at : at + CHUNK + MATCH - 1]
+            ends = np.append(self.ends[(self.ends > at) & (self.ends < at + len(own))] - at, len(own))
+            yield own, *anchors(own, ends), at
+
+    def rows(self, flat: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, at: int) -> np.ndarray:
+        rows = cut_out(flat, anchor, first, last)
+        nth = np.searchsorted(self.ends, anchor + at, side="right")
+        rows["doc"], rows["chunk"], rows["nth"] = self.docs[nth], self.chunk, nth
+        rows["at"] = anchor + at - np.concatenate(([0], self.ends))[nth]
+        return rows
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    for batch in batches:
+        for row in batch.select(["chunk", "docs", "ends", "body"]).to_pylist():
+            yield _Chunk(**row)
+
+
+def _gram_hashes(flat: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(np.full(len(anchor), 0x51ED270B27B4A3E5, np.uint64), _words(flat, anchor)), _words(flat, anchor + 8))
+
+
+def _distinct(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct gram hashes of a chunk's anchors in order, and whether each occurs there more than once."""
+    found = [_gram_hashes(flat, anchor) for flat, anchor, _, _, _ in chunk.parts()]
+    hashes, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+    return hashes, counts > 1
+
+
+def _unit(hashes: np.ndarray, units: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
+
+
+def _announcer(units: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks to 32 bits of each distinct gram, by unit."""
+
+    def announced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            hashes, _ = _distinct(chunk)
+            unit = _unit(hashes, units)
+            _, begins = _runs(unit)
+            if len(hashes):
+                parts = np.split((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), begins[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[begins]), pa.array([chunk.chunk] * len(parts)), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], _BITS.fieldNames())
+
+    return announced
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a unit to a bit for each: whether another chunk has it (other grams of the same 32 bits count, too)."""
+
+    def unit_done(unit: int, chunks: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        grams = np.frombuffer(b"".join(bodies), np.uint32)
+        order = np.argsort(grams, kind="stable")
+        group, begins = _runs(grams[order])
+        again = np.empty(len(grams), bool)
+        again[order] = (np.diff(np.append(begins, len(grams))) > 1)[group]
+        parts = np.split(again, np.cumsum([len(b) // 4 for b in bodies])[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([unit] * len(parts)), pa.array(chunks), pa.array([int(x.sum()) for x in parts], pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())], _BITS.fieldNames())
+
+    now, chunks, bodies = None, [], []
+    for batch in batches:
+        for unit, chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if unit != now and bodies:
+                yield unit_done(now, chunks, bodies)
+                chunks, bodies = [], []
+            now = unit
+            chunks.append(chunk)
+            bodies.append(body)
+    if bodies:
+        yield unit_done(now, chunks, bodies)
+
+
 def _leading(rows: np.ndarray) -> np.ndarray:
     """The gram of each anchor row as a string of GRAM bytes."""
     return np.ascontiguousarray(rows["bytes"][:, REACH : REACH + GRAM]).view(f"S{GRAM}").reshape(-1)
 
 
-def _anchored(flat: np.ndarray, ends: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    anchor, first, last = anchors(flat, ends)
-    rows = cut_out(flat, anchor, first, last)
-    text = np.searchsorted(ends, anchor, side="right")
-    rows["doc"], rows["key"] = doc[text], key[text]
-    rows["at"] = anchor - (ends - np.diff(ends, prepend=0))[text] + at[text]
-    return rows
-
-
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in _pieces(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(_leading(_anchored(*piece))[::16].tolist(), pa.binary())], ["leading"])
+    for chunk in _chunks(batches):
+        for part in chunk.parts():
+            yield pa.RecordBatch.from_arrays([pa.array(_leading(chunk.rows(*part))[::16].tolist(), pa.binary())], ["leading"])
 
 
-def splitters(texts: DataFrame, size: int) -> np.ndarray:
-    """Leading strings that part all anchors into buckets of about BUCKET bytes of text, from a sample of SAMPLE bytes of it
-    at most (expected); a string that fills several buckets occurs as often."""
-    buckets = min(MOST_BUCKETS, -(-size // BUCKET))
+def splitters(chunks: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Leading strings that part all anchors into buckets of about the same number, from a sample of chunks of SAMPLE bytes
+    (expected); a string that fills several buckets occurs as often."""
     if buckets <= 1:
         return np.empty(0, f"S{GRAM}")
-    found = texts.sample(False, min(1.0, SAMPLE / size), 12).mapInArrow(_sampled, "leading binary").toArrow()
+    found = chunks.sample(False, min(1.0, SAMPLE / size), 12).mapInArrow(_sampled, "leading binary").toArrow()
     sample = np.sort(np.array(found.column(0).to_pylist(), f"S{GRAM}"))
     return sample[(np.arange(1, buckets) * len(sample)) // buckets] if len(sample) else np.empty(0, f"S{GRAM}")
 
 
-def _dealer(cuts: np.ndarray, subs: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to bodies of anchor rows by bucket, and to marks of what a task can settle itself."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
-            rows, marks = settle_equal(_anchored(*piece))
-            yield _by_group(marks, groups)
-            lead = _leading(rows)
-            low, high = np.searchsorted(cuts, lead, side="left"), np.searchsorted(cuts, lead, side="right")
-            own = high - low - 1  # a frequent string has the buckets between its own splitters to itself
-            bucket = np.where(own > 0, low + 1 + rows["key"] % np.maximum(own, 1), high)
-            rows["split"] = own > 1
-            words = np.ascontiguousarray(rows["bytes"][:, REACH : REACH + GRAM]).view("<u8")
-            sub = (_mixed(_mixed(np.zeros(len(rows), np.uint64), words[:, 0]), words[:, 1]) % np.uint64(subs)).astype(np.int64)
-            order = np.lexsort((lead, sub, bucket))
-            rows, bucket, sub = rows[order], bucket[order], sub[order]
-            _, begins = _runs(bucket, sub)
-            if len(rows):
-                yield _batch(bucket[begins].tolist(), sub[begins].tolist(), [0] * len(begins), [_packed(r) for r in np.split(rows, begins[1:])])
+def _dealer(cuts: np.ndarray, subs: int, units: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A chunk and the bits of its grams to bodies of anchor rows by bucket, and to marks of what is settled in the chunk."""
+
+    def dealt(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lead = _leading(rows)
+        low, high = np.searchsorted(cuts, lead, side="left"), np.searchsorted(cuts, lead, side="right")
+        own = high - low - 1  # a frequent string has the buckets between its own splitters to itself
+        bucket = np.where(own > 0, low + 1 + (rows["chunk"] ^ rows["chunk"] >> 32) % np.maximum(own, 1), high)
+        rows["split"] = own > 1
+        words = np.ascontiguousarray(rows["bytes"][:, REACH : REACH + GRAM]).view("<u8")
+        sub = (_mixed(_mixed(np.zeros(len(rows), np.uint64), words[:, 0]), words[:, 1]) % np.uint64(subs)).astype(np.int64)
+        order = np.lexsort((lead, sub, bucket))
+        rows, bucket, sub = rows[order], bucket[order], sub[order]
+        _, begins = _runs(bucket, sub)
+        if len(rows):
+            yield _batch(bucket[begins].tolist(), sub[begins].tolist(), [0] * len(begins), [_packed(r) for r in np.split(rows, begins[1:])])
+
+    def deal(chunks: pa.Table, bits: pa.Table) -> pa.Table:
+        out = [_by_chunk(np.empty(0, _MARK))]
+        for chunk in _chunks(chunks.to_batches()):
+            hashes, again = _distinct(chunk)
+            _, begins = _runs(_unit(hashes, units))
+            ends = dict(zip(_unit(hashes, units)[begins].tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(hashes)], strict=True), strict=True))
+            for unit, body in zip(bits.column("unit").to_pylist(), bits.column("body").to_pylist(), strict=True):
+                b, e = ends[unit]
+                again[b:e] |= np.unpackbits(np.frombuffer(body, np.uint8), count=e - b).astype(bool)
+            for flat, anchor, first, last, at in chunk.parts():
+                kept = again[np.searchsorted(hashes, _gram_hashes(flat, anchor))]
+                rows, marks = settle_equal(chunk.rows(flat, anchor[kept], first[kept], last[kept], at))
+                out += [_by_chunk(marks), *dealt(rows)]
+        return pa.Table.from_batches(out)
 
     return deal
 
 
-def _settler(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bodies in the order of their buckets to marks (marks that come along go through); rows of split strings that are open
     go on, tagged by bucket -2."""
 
     def bucket_done(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         rest, marks = settle(np.concatenate([_unpacked(b, _ANCHOR) for b in bodies]))
-        yield _by_group(marks, groups)
+        yield _by_chunk(marks)
         for part in np.array_split(rest, len(rest) // 100_000 + 1):
             if len(part):
                 yield _batch([-2], [0], [0], [_packed(part)])
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bodies = None, []
-        for batch in batches:
-            ready = pc.less(batch.column(0), 0)
-            yield batch.filter(ready)
-            batch = batch.filter(pc.invert(ready))
-            for bucket, sub, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if (bucket, sub) != now and bodies:
-                    yield from bucket_done(bodies)
-                    bodies = []
-                now = bucket, sub
-                bodies.append(body)
-        if bodies:
-            yield from bucket_done(bodies)
-
-    return settled
+    now, bodies = None, []
+    for batch in batches:
+        ready = pc.less(batch.column(0), 0)
+        yield batch.filter(ready)
+        batch = batch.filter(pc.invert(ready))
+        for bucket, sub, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if (bucket, sub) != now and bodies:
+                yield from bucket_done(bodies)
+                bodies = []
+            now = bucket, sub
+            bodies.append(body)
+    if bodies:
+        yield from bucket_done(bodies)
 
 
 def _open_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,20 +444,17 @@ def _open_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = _unpacked(body, _ANCHOR)
             row, column = _windows(rows)
             strings = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(rows["bytes"]), MATCH, axis=1)[row, column]
-            found = [pa.array(x) for x in (rows["doc"][row], rows["key"][row], rows["at"][row] - REACH + column)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(strings).view(f"V{MATCH}").reshape(-1).tolist(), pa.binary()), *found], ["match", "doc", "key", "start"])
+            found = [pa.array(x) for x in (rows["doc"][row], rows["chunk"][row], rows["nth"][row], rows["at"][row] - REACH + column)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(strings).view(f"V{MATCH}").reshape(-1).tolist(), pa.binary()), *found], ["match", "doc", "chunk", "nth", "start"])
 
 
-def _regroup(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = np.zeros(batch.num_rows, _MARK)
-            for i, name in enumerate(("doc", "key", "start")):
-                marks[name] = batch.column(i).to_numpy(zero_copy_only=False)
-            marks["end"] = marks["start"] + MATCH
-            yield _by_group(marks, groups)
-
-    return regrouped
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = np.zeros(batch.num_rows, _MARK)
+        for i, name in enumerate(("chunk", "nth", "start")):
+            marks[name] = batch.column(i).to_numpy(zero_copy_only=False)
+        marks["end"] = marks["start"] + MATCH
+        yield _by_chunk(marks)
 
 
 def _kept(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
@@ -383,24 +471,23 @@ def _kept(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int
 
 
 def _cutter(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Documents of one group and their marks to what is left of the texts."""
+    """A chunk and its marks to a row for each document with what is left of its text."""
 
-    def cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def cut(chunks: pa.Table, marks: pa.Table) -> pa.Table:
         found = np.concatenate([np.empty(0, _MARK), *(_unpacked(b, _MARK) for b in marks.column("body").to_pylist())])
-        found = found[np.lexsort((found["key"], found["doc"]))]
-        _, begins = _runs(found["doc"], found["key"])
-        stops = [*begins[1:].tolist(), len(found)]
-        place = {(doc, key): (b, e) for doc, key, b, e in zip(found["doc"][begins].tolist(), found["key"][begins].tolist(), begins.tolist(), stops, strict=True)}
+        found = found[np.argsort(found["nth"], kind="stable")]
         out: dict[str, list] = {"kept": [], "kept_sha256": [], "n_bytes": [], "n_removed": [], "n_spans": []}
-        for doc, key, text in zip(docs.column("doc").to_pylist(), docs.column("key").to_pylist(), docs.column("body"), strict=True):
-            body = text.as_py() or b""
-            own = found[slice(*place.get((doc, key), (0, 0)))]
-            left, removed, spans = _kept(body, own["start"], own["end"])
-            for name, value in zip(out, (left if with_text else None, hashlib.sha256(left).hexdigest(), len(body), removed, spans), strict=True):
-                out[name].append(value)
+        for chunk in _chunks(chunks.to_batches()):
+            places = np.searchsorted(found["nth"], np.arange(len(chunk.docs) + 1)).tolist()
+            begins = [0, *chunk.ends.tolist()]
+            for nth in range(len(chunk.docs)):
+                body, own = chunk.text[begins[nth] : begins[nth + 1]], found[places[nth] : places[nth + 1]]
+                left, removed, spans = _kept(body, own["start"], own["end"])
+                for name, value in zip(out, (left if with_text else None, hashlib.sha256(left).hexdigest(), len(body), removed, spans), strict=True):
+                    out[name].append(value)
         kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         new = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
-        return pa.Table.from_arrays([docs.column("row"), *new], names=["row", *out])
+        return pa.Table.from_arrays([pc.list_flatten(chunks.column("rows")), *new], names=["row", *out])
 
     return cut
 
@@ -412,28 +499,31 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     A byte is removed if a string of MATCH bytes around it also starts in a document of a smaller id; strings are those
     of the input, whatever is removed elsewhere, and none crosses documents. Rows that share an id are not compared
     with each other, and are each compared with all others; a null id is smaller than any. A null or empty text, or
-    one shorter than MATCH bytes, stays as it is. Texts of any length are read whole, in parts that overlap. No rows
-    give none. Columns keep their names inside `row`, so none clashes.
-
-    Texts move once, at the end, to meet their marks; before that only sampled suffixes do, compressed.
+    one shorter than MATCH bytes, stays as it is. Texts of any length are read whole. No rows give none. Columns keep
+    their names inside `row`, so none clashes.
     """
     spark = docs.sparkSession
-    key = F.xxhash64(F.col(id), F.col(text)).alias("key")  # an id and a text have one answer, however often they occur
-    doc_id = F.coalesce(F.col(id).cast("bigint"), F.lit(NULL_KEY))
-    texts = docs.select(doc_id.alias("doc"), key, F.col(text).cast("binary").alias("body"))
-    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    subs, groups = -(-size // (MOST_BUCKETS * BUCKET)) or 1, -(-size // GROUP) or 1
-    cuts = splitters(texts.select("doc", "key", "body"), size)
-    parts = partitions_for(spark, max(len(cuts) + 1, groups), 4)
-    dealt = texts.mapInArrow(_dealer(cuts, subs, groups), _PART).repartition(parts, "bucket", "sub", "group").sortWithinPartitions("bucket", "sub")
-    settled = materialize(dealt.mapInArrow(_settler(groups), _PART), "suffix-marks")
-    rest = settled.where("bucket = -2").select("body").mapInArrow(_open_matches, "match binary, doc bigint, key bigint, start bigint")
-    across = rest.withColumn("first", F.min("doc").over(Window.partitionBy("match"))).where("doc > first").select("doc", "key", "start")
-    marks = settled.where("bucket = -1").select("group", "body").union(across.mapInArrow(_regroup(groups), _PART).select("group", "body"))
     others = F.struct(*[c for c, n in zip(own_columns(docs), docs.columns, strict=True) if n != text]).alias("row")
-    rows = docs.select(others, doc_id.alias("doc"), key, F.col(text).cast("binary").alias("body")).withColumn("group", F.pmod("key", F.lit(groups)))
-    schema = T.StructType([rows.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
-    return rows.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(_cutter(with_text), schema)
+    texts = docs.select(others, F.coalesce(F.col(id).cast("bigint"), F.lit(NULL_KEY)).alias("doc"), F.col(text).cast("binary").alias("body"))
+    kinds = [("chunk", T.LongType()), ("size", T.LongType()), ("docs", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())), ("rows", T.ArrayType(texts.schema["row"].dataType)), ("body", T.BinaryType())]
+    chunks = materialize(texts.mapInArrow(_chunker, T.StructType([T.StructField(n, k) for n, k in kinds])), "suffix-chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    bodies = chunks.select("chunk", "docs", "ends", "body")
+
+    units = max(1, -(-size // (W // 2 * UNIT)))  # an anchor stands for about half as many starts as choose one
+    grams = bodies.mapInArrow(_announcer(units), _BITS).repartition(partitions_for(spark, units, 1), "unit").sortWithinPartitions("unit")
+    bits = materialize(grams.mapInArrow(_compared, _BITS).where("n > 0"), "suffix-bits")
+    again = bits.agg(F.sum("n")).first()[0] or 0
+    buckets = -(-again // BUCKET)
+    cuts = splitters(bodies, size, min(MOST_BUCKETS, buckets))
+    dealt = bodies.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_dealer(cuts, -(-buckets // MOST_BUCKETS) or 1, units), _PART)
+    dealt = dealt.repartition(partitions_for(spark, buckets, 4), "bucket", "sub", "chunk").sortWithinPartitions("bucket", "sub")
+    settled = materialize(dealt.mapInArrow(_settled, _PART), "suffix-marks")
+    rest = settled.where("bucket = -2").select("body").mapInArrow(_open_matches, "match binary, doc bigint, chunk bigint, nth int, start bigint")
+    across = rest.withColumn("first", F.min("doc").over(Window.partitionBy("match"))).where("doc > first").select("chunk", "nth", "start")
+    marks = settled.where("bucket = -1").select("chunk", "body").union(across.mapInArrow(_regrouped, _PART).select("chunk", "body"))
+    schema = T.StructType([texts.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
+    return chunks.drop("size").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_cutter(with_text), schema)
 
 
 #: What the query returns, by DuckDB, over a table named documents: each string with its place, two hex digits a byte.
