@@ -11,6 +11,7 @@ kept for the tags and lengths that rules read, not for every element again in al
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
@@ -274,6 +275,68 @@ def source_nodes(html: pd.Series, locators: pd.Series) -> pd.Series:
     return pd.Series([sources_of(h, () if loc is None else loc) for h, loc in zip(html, locators, strict=True)], dtype=object)
 
 
+HEADINGS, CELLS = ("h1", "h2", "h3", "h4", "h5", "h6"), ("td", "th")
+CITED = _struct(node_id=_INT, last_id=_INT, tag=_TEXT, shown=T.BooleanType(), text=_TEXT, headings=_INT, cell_id=_INT, cell=_INT)
+
+
+def _rendered(node: _Node) -> str:
+    """The text that a reader sees of a node: all strings but comments and those in hidden elements, scripts, styles and
+    templates, white space collapsed."""
+    parts: list[str] = []
+    at: _Node | None = node
+    while at is not None:
+        if at.tag in ("script", "style", "template"):
+            return ""
+        at = at.parent
+    todo: list = [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            parts.append(at)
+        elif not isinstance(at, tuple) and not at.hidden and at.tag not in ("script", "style", "template"):
+            todo += reversed(at.children)
+    return " ".join(" ".join(parts).split())
+
+
+def _place_in_table(node: _Node) -> tuple[_Node | None, int | None]:
+    """The nearest cell around a node, and its index in its row; no index where a cell of the row spans."""
+    cell: _Node | None = node
+    while cell is not None and cell.tag not in CELLS:
+        cell = cell.parent
+    row = cell
+    while row is not None and row.tag != "tr":
+        row = row.parent
+    cells = [c for c in row.children if isinstance(c, _Node) and c.tag in CELLS] if row is not None else []
+    if cell not in cells or any("colspan" in c.attrs or "rowspan" in c.attrs for c in cells):
+        return cell, None
+    return cell, cells.index(cell)
+
+
+def _cited(tree: _Tree, locators: Iterable[str | None]) -> list[dict]:
+    heads = [n.node_id for n in tree.nodes if n.tag in HEADINGS]
+    out = []
+    for node in located(tree, locators):
+        if node is None:
+            out.append(dict.fromkeys(CITED.fieldNames()))
+            continue
+        cell, index = _place_in_table(node)
+        inner = bisect.bisect_right(heads, node.last_id) - bisect.bisect_right(heads, node.node_id)
+        out.append({"node_id": node.node_id, "last_id": node.last_id, "tag": node.tag, "shown": not node.hidden, "text": _rendered(node), "headings": inner, "cell_id": cell and cell.node_id, "cell": index})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(CITED))
+def cited_nodes(html: pd.Series, locators: pd.Series) -> pd.Series:
+    """What each locator names, in order: its interval, tag, whether it is shown, the text that a reader sees, the headings
+    below it, and its cell; nulls where it names nothing. Rows of one page that follow each other share a parse."""
+    last, tree, out = None, _tree(None), []
+    for page, asked in zip(html, locators, strict=True):
+        if page != last:
+            last, tree = page, _tree(page)
+        out.append(_cited(tree, asked))
+    return pd.Series(out, dtype=object)
+
+
 def _tree(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +11,9 @@ from pyspark.sql import types as T
 from factloom.functions.dom import let, node_path
 from factloom.sources.captures import BLOCKING
 
-#: Bootstrap draws, and the thresholds of the gate.
+#: Bootstrap draws, sites of a block (a choice of ours), and the thresholds of the gate.
 SEED, DRAWS = 13, 500
+BLOCK_SITES = 1024
 GATE = {"min_precision": 0.95, "min_recall": 0.5, "min_accepted": 24, "min_time_reduction": 0.25, "max_cost_per_row_usd": 5.0, "max_access_failures": 2}
 CRITICAL = ("named_plan", "listed_price", "currency", "billing_period")
 POLICY_STOPS = ("ROBOTS_DENIED", "ROBOTS_UNAVAILABLE", "OUT_OF_SCOPE")
@@ -158,24 +158,53 @@ def case_summary(cases: DataFrame) -> DataFrame:
     })
 
 
+def resampled(block_sizes: list[int], block: int, draws: int, seed: int) -> np.ndarray:
+    """How many of each draw's picks (as many as there are sites) fall into a block of sites: the multinomial law, by
+    halving the blocks again and again. A half's share is one binomial number for each draw, seeded by its range, so every
+    task finds its own block in log(blocks) steps and none holds the picks."""
+    ends = np.concatenate(([0], np.cumsum(block_sizes)))
+    lo, hi, picks = 0, len(block_sizes), np.full(draws, int(ends[-1]), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, 0, lo, hi]).binomial(picks, (ends[mid] - ends[lo]) / max(1, ends[hi] - ends[lo]))
+        lo, hi, picks = (lo, mid, left) if block < mid else (mid, hi, picks - left)
+    return picks
+
+
+def bootstrap_sums(sites: DataFrame, seed: int = SEED, draws: int = DRAWS, block_sites: int = BLOCK_SITES) -> DataFrame:
+    """(draw, picks and the sums of the three columns) of resamples of sites (site, correct_accepted, accepted,
+    expected_values). Sites are dealt to blocks by a hash of their name; the driver knows the blocks' sizes, one number
+    for block_sites sites or so; a block's task draws how often each of its sites is picked and gives a sum for each draw."""
+    columns = ["correct_accepted", "accepted", "expected_values"]
+    n = sites.count()
+    blocks = max(1, -(-n // block_sites))
+    dealt = sites.select(F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int").alias("block"), "site", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in columns])
+    sizes = [0] * blocks
+    for r in dealt.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+
+    def pick(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        values = own.sort_values(["site", *columns], kind="stable")[columns].to_numpy()
+        picks = resampled(sizes, int(key[0]), draws, seed)
+        times = np.random.default_rng([seed, 1, int(key[0])]).multinomial(picks, np.full(len(values), 1 / len(values)))
+        return pd.DataFrame({"draw": np.arange(draws), "picks": picks, **dict(zip(columns, (times @ values).T, strict=True))})
+
+    each = dealt.groupBy("block").applyInPandas(pick, "draw int, picks bigint, correct_accepted double, accepted double, expected_values double")
+    return each.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("picks", *columns)])
+
+
 def bootstrap(sites: DataFrame, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
-    """95 % intervals of precision and recall by resampling sites (site, correct_accepted, accepted, expected_values):
-    null below two sites. Which site a draw takes comes from one seeded generator over the sites in order, as a table
-    of counts (draw, site number, times); the sites of an evaluation are tens, and the tables are joined."""
+    """95 % intervals of precision and recall by resampling sites (site, correct_accepted, accepted, expected_values): null
+    below two sites. A null count is none; a site that stands twice is two sites. What a draw picks depends on the sites and
+    the seed alone, not on how the table is cut."""
     spark = sites.sparkSession
-    numbered = sites.withColumn("n", F.row_number().over(Window.orderBy("site")) - 1)  # sites of one evaluation, not of a corpus
-    size = numbered.count()
-    if size < 2:
+    if sites.limit(2).count() < 2:
         return spark.createDataFrame([("field_precision", None, None), ("field_recall", None, None)], "metric string, low double, high double")
-    rng = random.Random(seed)
-    picks = [(d, rng.randrange(size)) for d in range(draws) for _ in range(size)]
-    table = spark.createDataFrame(pd.DataFrame(picks, columns=["draw", "n"]))
-    sums = table.join(numbered, "n").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("correct_accepted", "accepted", "expected_values")])
-    values = sums.select(F.explode(F.array(
+    values = bootstrap_sums(sites, seed, draws).select(F.explode(F.array(
         F.struct(F.lit("field_precision").alias("metric"), ratio(F.col("correct_accepted"), F.col("accepted")).alias("value")),
         F.struct(F.lit("field_recall").alias("metric"), ratio(F.col("correct_accepted"), F.col("expected_values")).alias("value")),
     )).alias("m")).select("m.*")
-    lists = values.groupBy("metric").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    lists = values.groupBy("metric").agg(F.sort_array(F.collect_list("value")).alias("v"))  # a number for each draw
     at = lambda q: F.get("v", F.floor(F.lit(q) * (F.size("v") - 1)).cast("int"))
     return lists.select("metric", at(0.025).alias("low"), at(0.975).alias("high"))
 

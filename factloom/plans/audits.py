@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.addresses import chosen_address, resolution_code
 from factloom.functions.dom import tagged
-from factloom.operators import audit, automatic, evaluate, plans, store
+from factloom.operators import audit, automatic, claims, evaluate, plans, store
 from factloom.plans.web import built
 from factloom.sources.captures import decode_html
 from factloom.sources.tables import spread, table
@@ -33,6 +33,45 @@ def public_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", resolution_code(F.col("addresses")).alias("code"), chosen_address(F.col("addresses")).alias("address"))
 
 
+def claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims about the plan of a part's page, tied to it by a scope, a table column or words on all plans, with faults that
+    follow from the key; what each breaks."""
+    k = F.col("p_partkey")
+    num, plan = k.cast("string"), F.concat(F.lit("Plan "), k.cast("string"))
+    html = F.concat(
+        F.lit("<html><body><section><h3>"), plan, F.lit("</h3><p>USD "), num, F.lit(".50 per month</p></section><table><tr><th>Feature</th><th>"), plan, F.lit("</th><th>Other</th></tr><tr><td>Price</td><td>USD "), num,
+        F.lit("</td><td>USD 9</td></tr></table><p>All plans include <i hidden>no</i> support</p><div><h3>"), plan, F.lit("</h3><h4>Other</h4><p>USD "), num, F.lit("</p></div></body></html>"),
+    )
+    by, fault = k % 3, F.floor(k / 3) % 5
+    body = "html:nth-of-type(1) > body:nth-of-type(1)"
+    at = {n: F.lit(f"{body} > {p}") for n, p in {
+        "section": "section:nth-of-type(1)", "named": "section:nth-of-type(1) > h3:nth-of-type(1)", "price": "section:nth-of-type(1) > p:nth-of-type(1)", "table": "table:nth-of-type(1)",
+        "head": "table:nth-of-type(1) > tr:nth-of-type(1) > th:nth-of-type(2)", "own": "table:nth-of-type(1) > tr:nth-of-type(2) > td:nth-of-type(2)", "other": "table:nth-of-type(1) > tr:nth-of-type(2) > td:nth-of-type(3)",
+        "all": "p:nth-of-type(1)", "div": "div:nth-of-type(1)", "title": "div:nth-of-type(1) > h3:nth-of-type(1)", "cost": "div:nth-of-type(1) > p:nth-of-type(1)", "gone": "p:nth-of-type(7)",
+    }.items()}
+    node = lambda role, locator, excerpt: F.struct(F.lit(role).alias("role"), locator.alias("locator"), excerpt.alias("excerpt"))
+    usd = F.concat(F.lit("USD "), num)
+    local = F.when(fault == 1, F.array(node("plan", at["title"], plan), node("value", at["cost"], usd))).otherwise(
+        F.array(node("plan", at["named"], plan), node("value", at["price"], F.concat(usd, F.when(fault == 4, ".51 per month").otherwise(".50  per\nmonth")))))
+    column = F.array(node("plan", at["head"], plan), F.when(fault == 1, node("value", at["other"], F.lit("USD 9"))).otherwise(node("value", at["own"], usd)))
+    shared = F.array(node("plan", at["named"], plan), F.when(fault == 4, node("value", at["gone"], usd)).otherwise(node("value", at["own"], usd)))
+    shared = F.when(fault == 1, shared).otherwise(F.concat(shared, F.array(node("qualifier", at["all"], F.lit("All plans include support")))))
+    raw = F.when((by == 0) & (fault == 3), "no such value").when((by == 0) & (fault != 1), F.concat(num, F.lit(".50"))).when((by == 1) & (fault == 1), "9").otherwise(num)
+    value = F.when((by == 2) & (fault == 2), (k + 1).cast("string")).when((by == 0) & (fault != 1), F.concat(num, F.lit(".5"))).otherwise(raw)
+    evidence = F.struct(
+        F.col("url").alias("source_url"), F.when((by == 2) & (fault == 3), "x").otherwise(F.col("snapshot_hash")).alias("snapshot_hash"), F.lit("2026-01-01").alias("fetched_at"),
+        F.when((by == 0) & (fault == 1), at["div"]).when((by == 0) & (fault != 2), at["section"]).when(by == 1, at["table"]).otherwise(F.lit(body)).alias("scope_locator"),
+        F.element_at(F.array(F.lit(None).cast("string"), F.lit("table_column"), F.lit("shared_all_plans")), (by + 1).cast("int")).alias("relation"), raw.alias("raw_value"), F.when(by == 0, local).when(by == 1, column).otherwise(shared).alias("nodes"),
+    )
+    pages = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"), F.concat(F.lit("https://rt.example/"), num).alias("url"), F.sha2(html, 256).alias("snapshot_hash"), F.lit("2026-01-01").alias("fetched_at"))
+    rows = pages.select(
+        num.alias("claim_id"), F.lit("listed_price").alias("field_name"), F.lit("number").alias("kind"), plan.alias("asked_plan"), F.when((by == 1) & (fault == 2), "Other").otherwise(plan).alias("plan_name"), F.lit("verified").alias("state"), value.alias("value"),
+        F.when((by == 1) & (fault == 3), "seat").alias("unit"), F.when((by == 0) & (fault != 1), "month").alias("billing_period"), F.when((by == 1) & (fault == 4), "EUR").otherwise("USD").alias("currency"), F.lit("explicit").alias("judgment"), F.lit(None).cast("string").alias("rationale"),
+        F.lit("").alias("ambiguity"), F.array(evidence).alias("evidence"),
+    )
+    return claims.check_claims(rows, pages).select(F.col("claim_id").cast("bigint").alias("p_partkey"), "code")
+
+
 def site_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as an inventory, their orders as outcomes, and those of finished orders as a ledger."""
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "site")
@@ -169,7 +208,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -201,6 +240,8 @@ ORACLE_SQL: dict[str, str] = {
     "public_targets": f"""WITH n AS (SELECT event_id, (event_id * 2654435761 + 7) % 4294967296 AS a, (event_id * 40503001 + 99) % 4294967296 AS b FROM events),
         c AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'DNS_FAILED' WHEN event_id % 50 = 1 OR {_inside('a')} OR {_inside('b')} THEN 'PRIVATE_TARGET' END AS code FROM n)
         SELECT event_id, code, CASE WHEN code IS NULL THEN least({_dotted('a')}, {_dotted('b')}) END AS address FROM c""",
+    "claim_checks": """SELECT p_partkey, ([[NULL, 'several plan headings', 'no shared scope', 'raw value absent', 'excerpt changed'], [NULL, 'not one column', 'plan not named', 'unit absent', 'currency absent'],
+        [NULL, 'no all-plans statement', 'unsupported value', 'unbound capture', 'node not found']])[CAST(p_partkey % 3 AS INT) + 1][CAST(p_partkey // 3 % 5 AS INT) + 1] AS code FROM part""",
     "site_coverage": """WITH o AS (SELECT o_custkey AS site, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), c AS (SELECT c_custkey AS site, count(*) AS n FROM customer GROUP BY 1)
         SELECT site, CAST(coalesce(c.n, 0) AS BIGINT) AS approved, CAST(coalesce(o.n, 0) AS BIGINT) AS outcomes, CAST(coalesce(f, 0) AS BIGINT) AS costs, coalesce(c.n, 0) = 1 AND coalesce(o.n, 0) = 1 AND coalesce(f, 0) = 1 AS complete
         FROM c FULL JOIN o USING (site)""",

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "page_fact_states": web.page_fact_states, "snapshot_hash": web.snapshot_hashes, "decode_guard": web.decode_guard, "page_title": web.page_title, "main_heading": web.main_heading, "job_status": web.job_statuses,
     "visible_li_blocks": web.visible_li_blocks, "links": web.links, "canonical_url": web.canonical_urls, "duplicate_captures": web.duplicate_captures, "page_type": web.page_types, "automatic_facts": web.automatic_facts,
-    "crawl_frontier": web.crawl_frontier, "decode_blocks": web.decode_blocks, "confirmed_claims": web.confirmed_claims, "request_schemas": records.request_schemas, "fetch_codes": records.fetch_codes, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
+    "crawl_frontier": web.crawl_frontier, "decode_blocks": web.decode_blocks, "confirmed_claims": web.confirmed_claims, "request_schemas": records.request_schemas, "fetch_codes": records.fetch_codes, "redirect_chains": records.redirect_chains, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
     "rt_label_scalar": web.rt_label_scalar, "rt_units_currency": web.rt_units_currency, "rt_reconcile_states": web.rt_reconcile_states, "rt_jsonld": web.rt_jsonld, "rt_plan_cards": web.rt_plan_cards,
     "rt_plan_columns": web.rt_plan_columns, "rt_offers": web.rt_offers, "rt_details_dl": web.rt_details_dl, "rt_details_tr": web.rt_details_tr, "rt_hidden": web.rt_hidden, "rt_verify_tampered": web.rt_verify_tampered,
     "nearest_card": web.nearest_card, "source_nodes": web.source_nodes, "scoped_evidence": web.scoped_evidence, "common_scopes": web.common_scopes,
@@ -86,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN p_partkey % 5 = 0 THEN '3 to 10 properties' WHEN p_partkey % 13 = 0 THEN 'required' END, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'property name' WHEN p_partkey % 11 = 0 THEN 'x-currency' END) END AS violations FROM part""",
     "fetch_codes": """WITH e AS (SELECT event_id, user_id % 50 AS h, ([200, 200, 403, 500, 200, 451, 404])[CAST(event_id % 7 AS INT) + 1] AS status FROM events)
         SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_id % 11 = 0 THEN 'OUT_OF_SCOPE' WHEN h % 6 IN (4, 5) THEN 'ROBOTS_UNAVAILABLE' WHEN status IN (403, 451) THEN 'ACCESS_DENIED' WHEN status <> 200 THEN 'HTTP_ERROR'
-        WHEN event_id % 500 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
+        WHEN event_id % 10 = 0 THEN 'TOO_LARGE' WHEN event_id % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS code FROM e""",
     "claim_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS tenant, event_type AS idem, event_id AS seq, CAST(event_id AS DOUBLE) AS t, (['claim', 'renew', 'put', 'claim', 'release', 'cancel'])[CAST(event_id % 6 AS INT) + 1] AS cmd,
             CASE WHEN event_id % 10 = 0 THEN 'h2' ELSE 'h1' END AS eh, 'w' || (event_id % 2) AS ew, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
         r AS (SELECT DISTINCT tenant, idem, 0::BIGINT AS n, NULL::VARCHAR AS h, NULL::VARCHAR AS st, NULL::VARCHAR AS w, NULL::DOUBLE AS lease, NULL::INT AS tries, NULL::BIGINT AS seq, NULL::DOUBLE AS t, NULL::VARCHAR AS cmd, NULL::VARCHAR AS outcome, NULL::DOUBLE AS ended, NULL::VARCHAR AS lost_w, NULL::INT AS lost_tries FROM e
@@ -112,6 +112,14 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT *, unnest([k % 5, (k + 1) % 5, (k + 2) % 5]) AS s FROM d WHERE ok), s AS (SELECT tenant, count(*) FILTER (s = 0) AS verified_fields, count(*) FILTER (s = 1) AS conflicting_fields, count(*) FILTER (s = 2) AS missing_fields, count(*) FILTER (s = 3) AS blocked_fields, count(*) FILTER (s = 4) AS unverified_fields FROM n GROUP BY tenant)
         SELECT d.tenant, count(*) FILTER (NOT ok) AS lost, count(*) FILTER (ok) AS stored, count(*) FILTER (ok) AS snapshots, count(*) FILTER (ok) AS jobs, CAST(coalesce(sum(k % 4) FILTER (ok), 0) AS BIGINT) AS pages_fetched, any_value(verified_fields) AS verified_fields, any_value(conflicting_fields) AS conflicting_fields,
             any_value(missing_fields) AS missing_fields, any_value(blocked_fields) AS blocked_fields, any_value(unverified_fields) AS unverified_fields FROM d JOIN s USING (tenant) GROUP BY d.tenant""",
+    "redirect_chains": """WITH e AS (SELECT event_id AS k, user_id AS u, unnest(range(event_id % 6 + 1)) AS i FROM events),
+        h AS (SELECT k, u, i, (u + i * (k % 4)) % 60 AS host, k * 2.0 + i AS t, i < k % 6 AS more, CASE WHEN i < k % 6 THEN 302 ELSE ([200, 200, 200, 403, 200, 500, 301])[CAST(u % 7 AS INT) + 1] END AS status FROM e),
+        r AS (SELECT c_custkey % 60 AS host, c_custkey * 5.0 AS t, ([200, 200, 404, 200, 503])[CAST(c_custkey % 5 AS INT) + 1] AS robots, c_custkey // 60 % 3 = 0 AS denied FROM customer),
+        j AS (SELECT h.*, r.robots, r.denied FROM h ASOF LEFT JOIN r ON h.host = r.host AND h.t >= r.t),
+        f AS (SELECT *, CASE WHEN i > 4 THEN NULL WHEN host >= 56 THEN 'OUT_OF_SCOPE' WHEN robots IS NULL OR robots = 503 THEN 'ROBOTS_UNAVAILABLE' WHEN robots = 200 AND denied THEN 'ROBOTS_DENIED' WHEN status IN (301, 302) AND NOT (more AND (k + i) % 17 <> 0) THEN 'BAD_REDIRECT' WHEN status = 302 AND i = 4 THEN 'REDIRECT_LIMIT' END AS code FROM j),
+        m AS (SELECT k, arg_min(code, i) FILTER (code IS NOT NULL) AS code, min(i) FILTER (code IS NOT NULL) AS hop, max(i) AS last, arg_max(status, i) AS status FROM f GROUP BY k),
+        a AS (SELECT *, CASE WHEN status = 403 THEN 'ACCESS_DENIED' WHEN status <> 200 THEN 'HTTP_ERROR' WHEN k % 10 = 0 THEN 'TOO_LARGE' WHEN k % 8 = 0 THEN 'UNSUPPORTED_CONTENT' END AS answer FROM m)
+        SELECT k AS event_id, coalesce(code, answer) AS code, CAST(coalesce(hop, CASE WHEN answer IS NOT NULL THEN last END) AS INT) AS hop FROM a""",
     "paced_starts": """WITH e AS (SELECT event_id AS seq, user_id, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
         m AS (SELECT seq, t, k, max(t - 2.0 * (k - 1)) OVER (PARTITION BY user_id ORDER BY k) AS m FROM e) SELECT seq, round_even(2.0 * (k - 1) + m - t, 2) AS waited FROM m""",
     "visible_li_blocks": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'), lambda x: trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS b FROM pages),

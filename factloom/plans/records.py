@@ -338,13 +338,30 @@ def fetch_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, host = F.col("event_id"), F.concat(F.lit("h"), (F.col("user_id") % 50).cast("string"), F.lit(".example"))
     status = F.element_at(F.array(*map(F.lit, (200, 200, 403, 500, 200, 451, 404))), (k % 7 + 1).cast("int"))
     hops = F.when(k % 9 == 0, F.array(host, F.lit("elsewhere.example"))).otherwise(F.array(host))
-    log = table(spark, sf_dir, "events").select("event_id", host.alias("url"), host.alias("origin"), status.alias("status"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.repeat(F.lit("x"), F.when(k % 500 == 0, 1_000_001).otherwise(1)).cast("binary").alias("raw"),
+    log = table(spark, sf_dir, "events").select("event_id", host.alias("url"), host.alias("origin"), status.alias("status"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.when(k % 10 == 0, 1_000_001).otherwise(1).alias("n_bytes"),
                                                 hops.alias("hops"), F.when(k % 11 == 0, F.array_repeat(host, 5)).otherwise(F.array()).cast("array<string>").alias("redirects"))
     n = F.col("id")
     robots = spark.range(50).where("id % 6 <> 5").select(F.concat(F.lit("h"), n.cast("string"), F.lit(".example")).alias("origin"), F.when(n % 6 == 4, 503).when(n % 6 == 3, 404).otherwise(200).alias("robots_status"))
     return captures.page_source(log, robots, [f"h{i}.example" for i in range(50)]).select("event_id", "code")
 
 
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches of one to six requests over 60 hosts, of which 56 are in scope; customers as what robots of a host
+    said at a time. What each fetch fails by, and where."""
+    k, u = F.col("event_id"), F.col("user_id")
+    host = lambda n: F.concat(F.lit("h"), (n % 60).cast("string"), F.lit(".example"))
+
+    def hop(i: Column) -> Column:
+        more = i < k % 6
+        status = F.when(more, 302).otherwise(F.element_at(F.array(*map(F.lit, (200, 200, 200, 403, 200, 500, 301))), (u % 7 + 1).cast("int")))
+        return F.struct(host(u + i * (k % 4)).alias("origin"), host(u + i * (k % 4)).alias("host"), (k * 2.0 + i).alias("at"), status.alias("status"), (more & ((k + i) % 17 != 0)).alias("location"))
+
+    log = table(spark, sf_dir, "events").select("event_id", F.transform(F.sequence(F.lit(0).cast("bigint"), k % 6), hop).alias("hops"), F.when(k % 8 == 0, "image/png").otherwise("text/html").alias("content_type"), F.when(k % 10 == 0, 1_000_001).otherwise(1).alias("n_bytes"))
+    c = F.col("c_custkey")
+    robots = table(spark, sf_dir, "customer").select(host(c).alias("origin"), (c * 5.0).alias("at"), F.element_at(F.array(*map(F.lit, (200, 200, 404, 200, 503))), (c % 5 + 1).cast("int")).alias("robots_status"), (F.floor(c / 60) % 3 == 0).alias("denied"))
+    return captures.redirect_chains(log, robots, [f"h{i}.example" for i in range(56)], "event_id", 1000.0)
+
+
 def target_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as rows of an inventory with faults that follow from their keys."""
     k = F.col("c_custkey")
