@@ -34,9 +34,9 @@ def _slots(codes: np.ndarray) -> np.ndarray:
     return ((codes * _MIX) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
 
 
-def _frequent(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def _frequent(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, bool]:
     """The most frequent pairs, RULES_A_ROUND at most, each with LEAST_USES or more occurrences: exact counts, but
-    only of pairs whose hash slot is frequent enough to matter."""
+    only of pairs whose hash slot is frequent enough to matter; and whether every pair was counted that may have so many."""
     load = np.bincount(slots, minlength=1 << _HASH_BITS)
     by_load = np.bincount(np.minimum(load, 255), minlength=256)
     enough = np.flatnonzero(np.cumsum(by_load[::-1]) >= 2 * RULES_A_ROUND)
@@ -49,7 +49,7 @@ def _frequent(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         chosen = some[first[order[uses[order] >= LEAST_USES]]]
         chosen = chosen[chosen != _NO_PAIR][:RULES_A_ROUND]
         if len(chosen) or least == LEAST_USES:
-            return chosen
+            return chosen, least == LEAST_USES
         least = LEAST_USES  # the fullest slots held many rare pairs
 
 
@@ -60,12 +60,12 @@ def _named(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     codes |= seq[1:]
     codes[ends[ends < len(codes)]] = _NO_PAIR
     slots = _slots(codes)
-    chosen = _frequent(codes, slots)
+    chosen, counted = _frequent(codes, slots)
     table, name = np.full(1 << _HASH_BITS, _NO_PAIR - np.uint64(1), np.uint64), np.zeros(1 << _HASH_BITS, np.int64)
     at = _slots(chosen)[::-1]  # of two in one slot the more frequent stays, and the other waits for a later round
     table[at], name[at] = chosen[::-1], np.arange(len(chosen))[::-1]
     places = np.flatnonzero(table[slots] == codes)
-    return chosen, places, name[slots[places]], len(chosen) < RULES_A_ROUND and len(np.unique(at)) == len(chosen)
+    return chosen, places, name[slots[places]], counted and len(chosen) < RULES_A_ROUND and len(np.unique(at)) == len(chosen)
 
 
 def _grown(seq: np.ndarray, ends: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
