@@ -43,6 +43,8 @@ VALUE = re.compile(r"[A-Za-z0-9+/_=.-]*")
 EQUALS = re.compile(r"=+(?=[^=])")
 #: Characters of text on either side that prime the compressor.
 AROUND = 512
+#: Characters that two strings must share in a row to count as related.
+SHARED = 6
 #: Part that a character must add of the bytes that its alphabet allows.
 NOVEL = 0.8
 #: Kinds of characters, and how many a random string draws from; hexadecimal strings draw from fewer letters.
@@ -122,6 +124,21 @@ def _outside(spans: list[Span], start: int, end: int) -> list[tuple[int, int]]:
     return [*parts, (start, end)] if start < end else parts
 
 
+def _context(text: str, taken: _Taken, start: int, end: int, value: str) -> str:
+    """A stretch of the text around a value, without base spans and without other candidates that share nothing with it:
+    keys that stand together must not teach the compressor each other's alphabet, while a string that is written again and
+    again, or with another number, still tells what it is."""
+    own = {value[i : i + SHARED] for i in range(len(value) - SHARED + 1)}
+
+    def left(run: re.Match[str]) -> str:
+        found = run[0]
+        other = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+        return "" if other and not any(found[i : i + SHARED] in own for i in range(len(found) - SHARED + 1)) else found
+
+    base = [s for s in taken.touching(start, end) if KINDS[s.rank] != "novel"]
+    return "".join(CANDIDATE.sub(left, text[a:b]) for a, b in _outside(base, start, end))
+
+
 def _novel(text: str, taken: _Taken, start: int, end: int) -> list[Span]:
     """The run from start to end without its outer marks, if it is a candidate that does not compress. Of a run with
     an access key or hexadecimal span inside, what that leaves: all if the run has no marks, novel parts otherwise."""
@@ -136,7 +153,8 @@ def _novel(text: str, taken: _Taken, start: int, end: int) -> list[Span]:
     rest = _outside(touching, start, end)
     if touching and not value.isalnum():
         return [s for a, b in rest for s in _novel(text, taken, a, b)]
-    if rest and marginal_bytes(text[max(0, start - AROUND) : start], value, text[end : end + AROUND]) >= least_bytes(value):
+    before, after = _context(text, taken, max(0, start - AROUND), start, value), _context(text, taken, end, min(len(text), end + AROUND), value)
+    if rest and marginal_bytes(before, value, after) >= least_bytes(value):
         return [Span(a, 3, b) for a, b in rest]
     return []
 
@@ -168,7 +186,7 @@ def key_spans(text: str, base: list[Span]) -> list[Span]:
 
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Strings of letters and digits within REACH of a sensitive word that no base span touches and that the
-    dictionary and the text around do not compress, each to its end in the text; and bodies of private keys. What
+    dictionary and the text around, without other keys, do not compress, each to its end in the text; and bodies of private keys. What
     follows the word's identifier in the same run, as in SECRET_KEY=value, is such a string, too. A secret brings
     the string that adjoins it, as the next line of a key does, within reach."""
     found = key_spans(text, base)
