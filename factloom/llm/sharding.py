@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +44,17 @@ def split_counts(rng: np.random.Generator, room: list[int], taken: int) -> list[
     return out
 
 
-def matrix_row(sizes: list[int], room: list[int], row: int, seed: int) -> list[int]:
+def matrix_row(sizes: list[int], room: list[int], row: int, seed: int | list[int]) -> list[int]:
     """Row `row` of the communication matrix with row sums `sizes` and column sums `room`.
 
     Rows are halved again and again; each half's share of the columns is one draw, seeded by its range, so
     any task finds its own row in O(columns * log rows) and no one holds the matrix.
     """
+    seed = [seed] if isinstance(seed, int) else seed
     lo, hi, sums = 0, len(sizes), np.concatenate(([0], np.cumsum(np.array(sizes, dtype=object))))
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        upper = split_counts(np.random.default_rng([seed, lo, hi]), room, int(sums[mid] - sums[lo]))
+        upper = split_counts(np.random.default_rng([*seed, lo, hi]), room, int(sums[mid] - sums[lo]))
         if row < mid:
             room, hi = upper, mid
         else:
@@ -65,17 +66,54 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 11, max_cells: int = 6144) -> DataFrame:
+def matrix(sizes: list[int], room: list[int], seed: list[int]) -> list[list[int]]:
+    """All rows of the communication matrix, drawn along the same halves as matrix_row draws one."""
+    sums, out = np.concatenate(([0], np.cumsum(np.array(sizes, dtype=object)))), [room] * len(sizes)
+    todo = [(0, len(sizes), room)] if sizes else []
+    while todo:
+        lo, hi, room = todo.pop()
+        if hi - lo == 1:
+            out[lo] = room
+            continue
+        mid = (lo + hi) // 2
+        upper = split_counts(np.random.default_rng([*seed, lo, hi]), room, int(sums[mid] - sums[lo]))
+        todo += [(lo, mid, upper), (mid, hi, [r - u for r, u in zip(room, upper, strict=True)])]
+    return out
+
+
+class Deal:
+    """Who gets what: which shard each row of an input partition goes to, and the random number that orders it there.
+
+    Partitions form about sqrt(partitions) groups. The counts from groups to shards are drawn once, by the driver; a task
+    draws its partition's row from its group's counts alone, in shards * log(partitions of a group) steps."""
+
+    def __init__(self, sizes: list[int], per_shard: list[int], seed: int):
+        self.sizes, self.seed = np.array(sizes, np.int64), seed
+        self.width = max(1, math.isqrt(len(sizes)))
+        groups = [int(x) for x in np.add.reduceat(self.sizes, np.arange(0, len(sizes), self.width))] if sizes else []
+        self.rooms = matrix(groups, per_shard, [seed, 2])
+
+    def rows(self, partition: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and random number of each row of a partition: the same in every pass."""
+        if partition >= len(self.sizes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        group, place = divmod(partition, self.width)
+        own = self.sizes[group * self.width : (group + 1) * self.width].tolist()
+        row = matrix_row(own, self.rooms[group], place, [self.seed, 3, group])
+        rng = np.random.default_rng([self.seed, 1, partition])
+        return rng.permutation(np.repeat(np.arange(len(row)), row)), rng.integers(0, 2**62, sum(row))
+
+
+def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 1 << 11, max_cells: int | None = None) -> DataFrame:
     """docs with columns __shard (0 to n_shards - 1) and __slot (gapless from 0 in each shard): a uniformly
     random arrangement in which shard sizes differ by one at most.
 
-    A first pass counts the rows of each input partition. Each shard is parted into cells of cell_rows rows at
-    most, max_cells at most in all (a row of the matrix costs cells * log(partitions) draws). The counts from
-    partitions to cells are drawn from the exact law; each partition deals its rows in random order to fill its row of
-    the matrix, rows move once, and each cell is permuted by random numbers. Cells that are larger than cell_rows are
-    cut into even ranges of those numbers, each a unit of work whose place follows from the counts of the ranges before
-    it; so no task holds a shard or a large cell, at any size. docs must have stable partitions, as a scan or a written
-    table has: a task whose partition changed between the passes raises and nothing is misdealt.
+    A first pass counts the rows of each input partition. The counts from partitions to shards are drawn from the exact
+    law; each partition deals its rows in random order to fill its row of the matrix, rows move once, and each shard is
+    ordered by random numbers. A shard is cut into even ranges of those numbers, of cell_rows rows or so, each a unit of
+    work whose place follows from the counts of the ranges before it; so no task holds a shard, at any size. docs must have
+    stable partitions, as a scan or a written table has: a task whose partition changed between the passes raises and
+    nothing is misdealt. max_cells limits nothing any more: no number of ranges costs a task more draws.
 
     Every row counts, with null or equal values too; equal texts are dealt like any others. An empty table
     gives an empty one. All columns stay, whatever their names, but those named __shard or __slot, which are replaced.
@@ -85,66 +123,56 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int =
     if not docs.columns:
         docs = docs.withColumn("__none", F.lit(True))
     counted = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()  # one number for each partition
-    n_parts = max((r["p"] for r in counted), default=-1) + 1
-    sizes = [0] * n_parts
+    sizes = [0] * (max((r["p"] for r in counted), default=-1) + 1)
     for r in counted:
         sizes[r["p"]] = r["count"]
     total = sum(sizes)
     if not total:
         return docs.withColumns({"__slot": F.lit(0).cast("bigint"), "__shard": F.lit(0)}).where("false")
     per_shard = even(total, n_shards)
-    large = max(cell_rows, -(-total // max(1, max_cells - n_shards)))
-    room = [(s, c) for s, n in enumerate(per_shard) for c in even(n, -(-n // large) or 1)]
-    starts = []
-    for i, (s, _) in enumerate(room):
-        starts.append(starts[-1] + room[i - 1][1] if i and room[i - 1][0] == s else 0)
-    ranges = -(-large // cell_rows)
-
-    def draws() -> tuple[np.ndarray, np.ndarray]:
-        """Cell and random number of each row of the task's partition: the same in every pass."""
-        task = TaskContext.get()
-        p = task.partitionId() if task else 0
-        rng = np.random.default_rng([seed, 1, p])
-        row = matrix_row(sizes, [c for _, c in room], p, seed) if p < n_parts else [0]
-        return rng.permutation(np.repeat(np.arange(len(row)), row)), rng.integers(0, 2**62, sum(row))
+    ranges = -(-per_shard[0] // cell_rows)
+    plan = spark.sparkContext.broadcast(Deal(sizes, per_shard, seed))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, order = draws()
+        shard, order = _own(plan)
         used = 0
         for batch in batches:
             own = slice(used, used + batch.num_rows)
             used += batch.num_rows
-            if used > len(cell):
+            if used > len(shard):
                 raise RuntimeError("a partition has more rows than were counted: write the input to a table first")
-            part = [cell[own], order[own] // -(-(2**62) // ranges), order[own]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in part)], ["row", "cell", "range", "order"])
-        if used < len(cell):
+            part = [shard[own], order[own] // -(-(2**62) // ranges), order[own]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in part)], ["row", "shard", "range", "order"])
+        if used < len(shard):
             raise RuntimeError("a partition has fewer rows than were counted: write the input to a table first")
 
-    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(n, T.LongType()) for n in ("cell", "range", "order"))])
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(n, T.LongType()) for n in ("shard", "range", "order"))])
     dealt = docs.select(row_struct(docs).alias("row")).mapInArrow(deal, schema)
     tie = F.xxhash64(*[F.col(f"row.{'`' + c.replace('`', '``') + '`'}") for c, t in docs.dtypes if "map<" not in t] or [F.lit(0)])
-    rank = F.row_number().over(Window.partitionBy("cell", "range").orderBy("order", tie)) - 1
-    ranked = dealt.repartition(partitions_for(spark, len(room) * ranges, 1), "cell", "range") if len(room) * ranges > n_shards else dealt
-    ranked = ranked.withColumn("rank", rank)
+    rank = F.row_number().over(Window.partitionBy("shard", "range").orderBy("order", tie)) - 1
     if ranges > 1:
-        counts = exclusive_sums(docs.select(F.lit(1).alias("one")).mapInArrow(_counter(draws, ranges), "cell bigint, range bigint, n bigint").groupBy("cell", "range").agg(F.sum("n").alias("n")), "range", "n", "before", by="cell")
-        ranked = ranked.join(counts.select("cell", "range", "before"), ["cell", "range"]).withColumn("rank", F.col("before") + F.col("rank"))
-    names = F.split(F.lit(",".join(str(s) for s, _ in room)), ",").cast("array<int>")
-    bases = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
-    at = F.col("cell").cast("int")
-    out = ranked.select("row.*", (F.get(bases, at) + F.col("rank")).alias("__slot"), F.get(names, at).alias("__shard"))
-    return out.drop("__none")
+        dealt = dealt.repartition(partitions_for(spark, n_shards * ranges, 1), "shard", "range")
+    ranked = dealt.withColumn("rank", rank)
+    if ranges > 1:
+        counts = docs.select(F.lit(1).alias("one")).mapInArrow(_counter(plan, ranges), "shard bigint, range bigint, n bigint").groupBy("shard", "range").agg(F.sum("n").alias("n"))
+        before = exclusive_sums(counts, "range", "n", "before", by="shard").select("shard", "range", "before")
+        ranked = ranked.join(before, ["shard", "range"]).withColumn("rank", F.col("before") + F.col("rank"))
+    return ranked.select("row.*", F.col("rank").cast("bigint").alias("__slot"), F.col("shard").cast("int").alias("__shard")).drop("__none")
+
+
+def _own(plan: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    task = TaskContext.get()
+    return plan.value.rows(task.partitionId() if task else 0)
 
 
-def _counter(draws: Callable[[], tuple[np.ndarray, np.ndarray]], ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's rows by cell and range, from the draws alone."""
+def _counter(plan: Broadcast, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's rows by shard and range, from the draws alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             pass
-        cell, order = draws()
-        key, n = np.unique(cell * ranges + order // -(-(2**62) // ranges), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key // ranges), pa.array(key % ranges), pa.array(n)], ["cell", "range", "n"])
+        shard, order = _own(plan)
+        key, n = np.unique(shard * ranges + order // -(-(2**62) // ranges), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key // ranges), pa.array(key % ranges), pa.array(n)], ["shard", "range", "n"])
 
     return count
