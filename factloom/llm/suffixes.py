@@ -241,8 +241,12 @@ def _by_chunk(marks: np.ndarray) -> pa.RecordBatch:
     return _batch([-1] * len(bodies), [0] * len(bodies), marks["chunk"][begins].tolist(), bodies)
 
 
-def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to chunks of CHUNK bytes of text at most (a longer text is one by itself): ids, byte ends, all texts in one
+def _chunker(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _chunked(batches, chunk_bytes)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Documents to chunks of chunk_bytes of text at most (a longer text is one by itself): ids, byte ends, all texts in one
     compressed body, and the documents' other columns."""
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 32
@@ -260,7 +264,7 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("body"), strict=True)):
             body = text.as_py() or b""
-            if texts and size + len(body) > CHUNK:
+            if texts and size + len(body) > chunk_bytes:
                 yield done()
                 number, texts, docs, rows, size = number + 1, [], [], [], 0
             texts.append(body)
@@ -272,17 +276,17 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Chunk:
-    """One chunk's texts, and its anchors in parts of CHUNK bytes that overlap by MATCH - 1, so that each match is in one."""
+    """One chunk's texts, and its anchors in parts of `step` bytes that overlap by MATCH - 1, so that each match is in one."""
 
     def __init__(self, chunk: int, docs: list[int], ends: list[int], body: bytes):
         self.chunk, self.docs, self.ends = chunk, np.array(docs, np.int64), np.array(ends, np.int64)
         self.text = zstandard.ZstdDecompressor().decompress(body) if ends and ends[-1] else b""
 
-    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    def parts(self, step: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
         """(bytes, anchors, first and last starts, place of the first byte in the chunk)."""
         flat = np.frombuffer(self.text, np.uint8)
-        for at in range(0, max(len(flat) - MATCH + 1, 0), CHUNK):
-            own = flat[at : at + CHUNK + MATCH - 1]
+        for at in range(0, max(len(flat) - MATCH + 1, 0), step):
+            own = flat[at : at + step + MATCH - 1]
             ends = np.append(self.ends[(self.ends > at) & (self.ends < at + len(own))] - at, len(own))
             yield own, *anchors(own, ends), at
 
@@ -397,8 +401,9 @@ def _dealer(cuts: np.ndarray, subs: int, units: int) -> Callable[[pa.Table, pa.T
         out = [_by_chunk(np.empty(0, _MARK))]
         for chunk in _chunks(chunks.to_batches()):
             hashes, again = _distinct(chunk)
-            _, begins = _runs(_unit(hashes, units))
-            ends = dict(zip(_unit(hashes, units)[begins].tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(hashes)], strict=True), strict=True))
+            unit_of = _unit(hashes, units)
+            _, begins = _runs(unit_of)
+            ends = {int(unit_of[b]): (int(b), int(e)) for b, e in zip(begins, [*begins[1:], len(hashes)], strict=False)}
             for unit, body in zip(bits.column("unit").to_pylist(), bits.column("body").to_pylist(), strict=True):
                 b, e = ends[unit]
                 again[b:e] |= np.unpackbits(np.frombuffer(body, np.uint8), count=e - b).astype(bool)
@@ -492,7 +497,7 @@ def _cutter(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return cut
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = True, chunk_bytes: int = CHUNK) -> DataFrame:
     """docs' columns without the text, as a struct `row`, with kept (the bytes that stay; null unless with_text),
     kept_sha256, n_bytes, n_removed and n_spans (runs of removed bytes).
 
@@ -506,7 +511,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     others = F.struct(*[c for c, n in zip(own_columns(docs), docs.columns, strict=True) if n != text]).alias("row")
     texts = docs.select(others, F.coalesce(F.col(id).cast("bigint"), F.lit(NULL_KEY)).alias("doc"), F.col(text).cast("binary").alias("body"))
     kinds = [("chunk", T.LongType()), ("size", T.LongType()), ("docs", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())), ("rows", T.ArrayType(texts.schema["row"].dataType)), ("body", T.BinaryType())]
-    chunks = materialize(texts.mapInArrow(_chunker, T.StructType([T.StructField(n, k) for n, k in kinds])), "suffix-chunks")
+    chunks = materialize(texts.mapInArrow(_chunker(chunk_bytes), T.StructType([T.StructField(n, k) for n, k in kinds])), "suffix-chunks")
     size = chunks.agg(F.sum("size")).first()[0] or 0
     bodies = chunks.select("chunk", "docs", "ends", "body")
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -234,6 +236,21 @@ def test_token_files_of_odd_rows(odd, monkeypatch):
     assert repair.encode_documents(odd.where("false")).count() == 0
 
 
+def test_no_pair_is_left_of_evenly_drawn_ids():
+    """Ids without frequent pairs: rounds go on although the fullest hash slots hold few of them."""
+    rng = np.random.default_rng(3)
+    for symbols in (1000, 2000, 50_000):
+        ids = rng.integers(0, symbols, 300_000)
+        ends = np.array([149_999, 299_999])
+        seq, ends, rules, starts = repair.grammar(ids.astype(np.uint32), ends, 60_000)
+        pairs = np.stack((seq[:-1], seq[1:]), 1).astype(np.int64)
+        pairs = np.delete(pairs, [e for e in ends if e < len(pairs)], 0)
+        codes = pairs[:, 0] << 32 | pairs[:, 1]
+        again = np.unique(codes)[np.unique(codes, return_counts=True)[1] > 1]
+        same = again >> 32 == again & 0xFFFFFFFF  # a a a holds the pair twice, but only one use of it
+        assert not len(again[~same])
+
+
 def test_hypergeometric_law():
     rng = np.random.default_rng(0)
     draws = np.array([sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20000)])
@@ -246,6 +263,18 @@ def test_hypergeometric_law():
     assert [sum(r) for r in rows] == sizes and [sum(c) for c in zip(*rows, strict=True)] == room
 
 
+@pytest.mark.parametrize("length", [20, 24, 32, 40, 64])
+def test_secrets_that_stand_together(length):
+    """Keys among keys are found as a lone key is; numbered names among their like are not reported."""
+    rng = random.Random(length)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length)) for _ in range(200)]
+    for text in (" ".join(f"bearer {k}" for k in keys), "\n".join(f"export SECRET_NAME={k}" for k in keys)):
+        left = secrets.redact(text, secrets.scan(text)[1])
+        assert sum(k in left for k in keys) <= 10
+    names = "\n".join(f"token of request_handler_version_{i}_of_service2" for i in range(200))
+    assert not [s for s in secrets.scan(names)[1] if s.rank == 3]
+
+
 @pytest.mark.parametrize("cell_rows", [7, 1000])
 def test_shards_are_even_and_whole(spark, sf_dir, cell_rows):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -280,6 +309,25 @@ def test_large_cells_are_cut_into_ranges(spark):
     assert abs(by_part - 250).max() < 5 * np.sqrt(250)
 
 
+def test_whole_arrangement_is_uniform():
+    """Four rows in four partitions (one empty) dealt to two shards of two: all 24 arrangements are equally frequent."""
+    found = {}
+    for seed in range(12000):
+        plan = sharding.Deal([2, 0, 1, 1], [2, 2], seed)
+        rows = [(int(s), int(o)) for p in range(4) for s, o in zip(*plan.rows(p), strict=True)]
+        order = tuple(sorted(range(4), key=lambda i: rows[i]))
+        assert sorted(s for s, _ in rows) == [0, 0, 1, 1]
+        found[order] = found.get(order, 0) + 1
+    assert len(found) == 24 and sum((n - 500) ** 2 / 500 for n in found.values()) < 49.7  # 0.1 % of the law of 23
+
+
+def test_draws_of_a_task_do_not_grow_with_partitions():
+    plan = sharding.Deal([10_000] * 90_000, sharding.even(900_000_000, 24), 1)
+    shard, order = plan.rows(44_444)
+    assert len(shard) == len(order) == 10_000 and len(plan.rooms) == 300 and len(plan.rows(90_000)[0]) == 0
+    assert [sum(c) for c in zip(*plan.rooms, strict=True)] == sharding.even(900_000_000, 24)
+
+
 def test_names_with_dots_and_clashes(spark):
     rows = spark.createDataFrame([(1, "password: abcdefghijkl9", 23, "k", "c"), (2, None, None, "k", "c")], "doc_id bigint, text string, n_chars int, `a.b` string, __text string")
     clean = secrets.redact_documents(rows)
