@@ -33,6 +33,26 @@ def public_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", resolution_code(F.col("addresses")).alias("code"), chosen_address(F.col("addresses")).alias("address"))
 
 
+def rt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of customers with an entity of three kinds (with the page's own address or another), offers, an overview
+    paragraph, pairs of labels and values, a plan's card, and repeats: all their facts, in display order."""
+    k = F.col("c_custkey")
+    n, kind = k.cast("string"), k % 3
+    name = F.concat(F.lit("Acme "), n)
+    url = F.concat(F.lit('"url":"https://rt.example/'), F.when(k % 5 == 0, "elsewhere").otherwise(n), F.lit('"'))
+    offers = F.concat(F.lit('[{"price":'), n, F.lit(',"priceCurrency":"USD"},{"name":"Big","price":"2.50","priceCurrency":"EUR"},{"price":"1","priceCurrency":"XXX"}]'))
+    entity = F.when(kind == 0, F.concat(F.lit('{"@type":"Article","headline":"'), name, F.lit('","description":"An article on '), n, F.lit('","datePublished":"2026-01-02",'), url, F.lit("}")))
+    entity = entity.when(kind == 1, F.concat(F.lit('{"@type":"https://schema.org/Product","name":"'), name, F.lit('","offers":'), offers, F.lit(","), url, F.lit("}"))).otherwise(F.concat(F.lit('{"@type":"Organization","name":"Other '), n, F.lit('"}')))
+    html = F.concat(
+        F.lit("<html><head><title>"), name, F.lit("</title>"), F.when(k % 2 == 0, F.concat(F.lit('<meta name="description" content="About item '), n, F.lit('">'))).otherwise(""), F.lit('<script type="application/ld+json">'), entity,
+        F.lit("</script></head><body><h1>"), name, F.lit("</h1><aside><p>A paragraph in an aside, long enough, but it is no overview at all.</p></aside><p>This paragraph tells what item "), n, F.lit(" is good for in general.</p><ul><li>Color: red"), (k % 3).cast("string"), F.lit("</li>"),
+        F.when(k % 4 == 0, "<li>Color: blue</li>").otherwise(""), F.lit("<li>Headline: "), name, F.lit("</li></ul><dl><dt>Size</dt><dt>Other</dt><dd>"), n, F.lit(" cm</dd></dl><section><h3>Tier A"), n, F.lit("</h3><p>USD "), n, F.lit(".50 per seat billed monthly</p></section></body></html>"),
+    )
+    pages = spread(table(spark, sf_dir, "customer")).select(n.alias("page_key"), F.concat(F.lit("https://rt.example/"), n).alias("url"), html.alias("html"), F.encode(html, "UTF-8").alias("raw"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    facts = automatic.automatic_facts(pages)
+    return facts.select(F.col("page_key").cast("bigint").alias("c_custkey"), F.col("fact_idx").cast("int").alias("fact_idx"), "grp", "key", "label", "state", "value", "currency", "billing_period", F.size("alternatives").cast("int").alias("alternatives"), "overview_text")
+
+
 def claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims about the plan of a part's page, tied to it by a scope, a table column or words on all plans, with faults that
     follow from the key; what each breaks."""
@@ -208,7 +228,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -240,6 +260,16 @@ ORACLE_SQL: dict[str, str] = {
     "public_targets": f"""WITH n AS (SELECT event_id, (event_id * 2654435761 + 7) % 4294967296 AS a, (event_id * 40503001 + 99) % 4294967296 AS b FROM events),
         c AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'DNS_FAILED' WHEN event_id % 50 = 1 OR {_inside('a')} OR {_inside('b')} THEN 'PRIVATE_TARGET' END AS code FROM n)
         SELECT event_id, code, CASE WHEN code IS NULL THEN least({_dotted('a')}, {_dotted('b')}) END AS address FROM c""",
+    "rt_facts": """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AS article, c_custkey % 3 = 1 AND c_custkey % 5 <> 0 AS product, c_custkey % 4 = 0 AS twice, c_custkey % 2 = 0 AS told, 'Acme ' || c_custkey AS name, 'This paragraph tells what item ' || c_custkey || ' is good for in general.' AS said FROM customer),
+        f AS (SELECT k, 0 AS r, 0 AS kr, 'Title' AS label, 0 AS tie, 'Page' AS grp, 'page_title' AS key, name AS value, NULL AS currency, NULL AS period FROM c UNION ALL SELECT k, 0, 1, 'Main heading', 0, 'Page', 'main_heading', name, NULL, NULL FROM c
+            UNION ALL SELECT k, 0, 2, 'Description', 0, 'Page', 'page_description', CASE WHEN told THEN 'About item ' || k END, NULL, NULL FROM c UNION ALL SELECT k, 0, 3, 'On-page summary', 0, 'Page', 'overview_text', said, NULL, NULL FROM c UNION ALL SELECT k, 0, 4, 'Site name', 0, 'Page', 'site_name', NULL, NULL, NULL FROM c
+            UNION ALL SELECT k, 1, 5, 'Plan', 0, 'Plan: Tier A' || k, 'named_plan', 'Tier A' || k, NULL, NULL FROM c UNION ALL SELECT k, 1, 6, 'Price', 0, 'Plan: Tier A' || k, 'listed_price', k || '.5', 'USD', 'month' FROM c UNION ALL SELECT k, 1, 20, 'Billing period', 0, 'Plan: Tier A' || k, 'billing_period', 'month', NULL, NULL FROM c
+            UNION ALL SELECT k, 1, 20, 'Currency', 0, 'Plan: Tier A' || k, 'currency', 'USD', NULL, NULL FROM c UNION ALL SELECT k, 2, 20, 'Description', 0, 'Article', 'description', 'An article on ' || k, NULL, NULL FROM c WHERE article UNION ALL SELECT k, 2, 20, 'Published', 0, 'Article', 'datePublished', '2026-01-02', NULL, NULL FROM c WHERE article
+            UNION ALL SELECT k, 2, 20, 'Headline', 0, CASE WHEN article THEN 'Article' ELSE 'Details' END, CASE WHEN article THEN 'headline' ELSE 'detail:headline' END, name, NULL, NULL FROM c UNION ALL SELECT k, 2, 20, 'Name', 0, 'Product', 'name', name, NULL, NULL FROM c WHERE product
+            UNION ALL SELECT k, 2, 20, 'Listed price', 0, 'Offer: Offer 1', 'price', CAST(k AS VARCHAR), 'USD', NULL FROM c WHERE product UNION ALL SELECT k, 2, 20, 'Listed price', 1, 'Offer: Big', 'price', '2.50', 'EUR', NULL FROM c WHERE product
+            UNION ALL SELECT k, 2, 20, 'Color', 0, 'Details', 'detail:color', CASE WHEN NOT twice THEN 'red' || (k % 3) END, NULL, NULL FROM c UNION ALL SELECT k, 2, 20, 'Size', 0, 'Details', 'detail:size', k || ' cm', NULL, NULL FROM c UNION ALL SELECT k, 2, 20, 'Other', 0, 'Details', 'detail:other', k || ' cm', NULL, NULL FROM c)
+        SELECT k AS c_custkey, CAST(row_number() OVER (PARTITION BY k ORDER BY r, kr, label, tie) - 1 AS INT) AS fact_idx, grp, key, label, CASE WHEN value IS NOT NULL THEN 'found_in_source' WHEN key = 'detail:color' THEN 'ambiguous' ELSE 'missing' END AS state, value, currency, period AS billing_period,
+            CAST(CASE WHEN key = 'detail:color' AND value IS NULL THEN 2 ELSE 0 END AS INT) AS alternatives, CASE WHEN told THEN 'About item ' || k ELSE said END AS overview_text FROM f JOIN c USING (k)""",
     "claim_checks": """SELECT p_partkey, ([[NULL, 'several plan headings', 'no shared scope', 'raw value absent', 'excerpt changed'], [NULL, 'not one column', 'plan not named', 'unit absent', 'currency absent'],
         [NULL, 'no all-plans statement', 'unsupported value', 'unbound capture', 'node not found']])[CAST(p_partkey % 3 AS INT) + 1][CAST(p_partkey // 3 % 5 AS INT) + 1] AS code FROM part""",
     "site_coverage": """WITH o AS (SELECT o_custkey AS site, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), c AS (SELECT c_custkey AS site, count(*) AS n FROM customer GROUP BY 1)
