@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.dom import source_nodes
+
 #: States that are counted, days kept, and the bounds of a list of recent jobs.
 STATES = ("verified", "conflicting", "missing", "blocked", "unverified")
 DAYS_KEPT, DEFAULT_RECENT, MOST_RECENT = 7, 12, 50
@@ -80,6 +82,39 @@ def job(jobs: DataFrame, tenant: str, job_id: str) -> DataFrame:
     return jobs.where((F.col("tenant") == tenant) & (F.col("job_id") == job_id))
 
 
+def job_by_key(jobs: DataFrame, tenant: str, idem: str) -> DataFrame:
+    """The job that a tenant's request key led to."""
+    return jobs.where((F.col("tenant") == tenant) & (F.col("idem") == idem))
+
+
+def job_request(jobs: DataFrame, tenant: str, job_id: str) -> DataFrame:
+    """The stored request of a job; none for jobs that kept none."""
+    return job(jobs, tenant, job_id).where("request_json is not null").select("request_json")
+
+
+def snapshot_record(snapshots: DataFrame, tenant: str, job_id: str, digest: str) -> DataFrame:
+    """A capture's bytes and how they were read, within its tenant and job."""
+    return snapshots.where((F.col("tenant") == tenant) & (F.col("job_id") == job_id) & (F.col("snapshot_hash") == digest))
+
+
+def answered(asked: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Many point reads at once: asked with the struct `found`, the row of that key (tenant, job_id, ...), null without one.
+    Keys compare as they are, so nothing of another tenant is ever found; of repeated rows the least counts."""
+    own = rows.groupBy(*key).agg(F.min(F.struct(*[c for c in rows.columns if c not in key])).alias("found"))
+    return asked.join(own, key, "left")
+
+
+def evidence_nodes(evidence: DataFrame, captures: DataFrame) -> DataFrame:
+    """evidence (job_id, snapshot_hash, locator, ...) with node_html: the source of the node that the locator names in the
+    capture (job_id, snapshot_hash, html), 4,000 characters at most, null without one. A capture is parsed once for all
+    locators that are cited of it."""
+    key = ["job_id", "snapshot_hash"]
+    cited = evidence.where("locator is not null").groupBy(*key).agg(F.collect_set("locator").alias("locators"))
+    pages = captures.select(*key, "html").dropDuplicates(key).join(cited, key)
+    read = pages.select(*key, "locators", source_nodes("html", "locators").alias("sources")).select(*key, F.inline(F.arrays_zip(F.col("locators").alias("locator"), F.col("sources").alias("node_html"))))
+    return evidence.join(read, [*key, "locator"], "left")
+
+
 def review_evidence(evidence: DataFrame, pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Evidence of fields and candidates (job_id, source_url, fetched_at, snapshot_hash, ...) with source_bound: whether
     a page row of the job has this url, time and hash, and its bytes are stored."""

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.addresses import chosen_address, resolution_code
-from factloom.functions.dom import tagged
-from factloom.operators import audit, automatic, claims, evaluate, plans, store
+from factloom.functions.dom import nodes, tagged
+from factloom.operators import audit, automatic, candidates, claims, evaluate, plans, store
 from factloom.plans.web import built
-from factloom.sources.captures import decode_html
+from factloom.sources.captures import decode_html, from_wire, plain_base64, read_pages, to_wire
 from factloom.sources.tables import spread, table
 
 
@@ -33,6 +33,32 @@ def public_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", resolution_code(F.col("addresses")).alias("code"), chosen_address(F.col("addresses")).alias("address"))
 
 
+def wire_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to their wire form and back; every seventh is cut on the way."""
+    captures = read_pages(spark, sf_dir)
+    sent = to_wire(captures).withColumn("wire", F.when(F.col("page_key").cast("bigint") % 7 == 0, F.left("wire", F.lit(40))).otherwise(F.col("wire")))
+    return from_wire(sent).select(F.col("page_key").cast("bigint").alias("page_id"), "sound", plain_base64(F.col("raw")).alias("raw_base64"), F.when(F.col("sound"), F.col("html")).alias("html"), "snapshot_hash", "content_type")
+
+
+def evidence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of every shown list item of each page, found again by locator from one parse of the page."""
+    captures = read_pages(spark, sf_dir).withColumn("job_id", F.col("page_key"))
+    blocks = candidates.visible_blocks(nodes(captures)).where("tag = 'li'").select(F.col("page_key").alias("job_id"), "node_id", "locator")
+    evidence = blocks.join(captures.select("job_id", "snapshot_hash"), "job_id")
+    found = store.evidence_nodes(evidence, captures)
+    return found.groupBy(F.col("job_id").cast("bigint").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "node_html"))), lambda x: x["node_html"]), "|").alias("sources"))
+
+
+def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as reads of their order's snapshot; some ask as another tenant or for another hash."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tenant"), F.col("o_orderkey").cast("string").alias("job_id"), F.md5(F.col("o_orderkey").cast("string")).alias("snapshot_hash"), F.col("o_orderstatus").alias("encoding"))
+    own = orders.select(F.col("tenant").alias("owner"), "job_id")
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    asked = table(spark, sf_dir, "lineitem").withColumn("job_id", k.cast("string")).join(own, "job_id").select(
+        "l_orderkey", "l_linenumber", "job_id", F.when(line % 3 == 0, F.concat("owner", F.lit("x"))).otherwise(F.col("owner")).alias("tenant"), F.md5((k + F.when(line % 5 == 0, 1).otherwise(0)).cast("string")).alias("snapshot_hash"))
+    return store.answered(asked, orders, ["tenant", "job_id", "snapshot_hash"]).select("l_orderkey", "l_linenumber", F.col("found.encoding").alias("encoding"))
+
+
 def rt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of customers with an entity of three kinds (with the page's own address or another), offers, an overview
     paragraph, pairs of labels and values, a plan's card, and repeats: all their facts, in display order."""
@@ -228,7 +254,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -260,6 +286,11 @@ ORACLE_SQL: dict[str, str] = {
     "public_targets": f"""WITH n AS (SELECT event_id, (event_id * 2654435761 + 7) % 4294967296 AS a, (event_id * 40503001 + 99) % 4294967296 AS b FROM events),
         c AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'DNS_FAILED' WHEN event_id % 50 = 1 OR {_inside('a')} OR {_inside('b')} THEN 'PRIVATE_TARGET' END AS code FROM n)
         SELECT event_id, code, CASE WHEN code IS NULL THEN least({_dotted('a')}, {_dotted('b')}) END AS address FROM c""",
+    "wire_pages": """SELECT page_id, page_id % 7 <> 0 AS sound, CASE WHEN page_id % 7 <> 0 THEN base64(encode(html)) END AS raw_base64, CASE WHEN page_id % 7 <> 0 THEN html END AS html, CASE WHEN page_id % 7 <> 0 THEN sha256(html) END AS snapshot_hash,
+        'text/html; charset=utf-8' AS content_type FROM pages""",
+    "evidence_nodes": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>.*?</li>', 0, 's'), lambda x: {'h': x, 't': trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))}) AS b FROM pages),
+        k AS (SELECT page_id, list_filter(b, lambda x: length(x.t) BETWEEN 1 AND 400) AS b FROM l) SELECT page_id, array_to_string(list_transform(b, lambda x: x.h[1:4000]), '|') AS sources FROM k WHERE len(b) > 0""",
+    "snapshot_reads": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 5 <> 0 THEN o_orderstatus END AS encoding FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "rt_facts": """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AS article, c_custkey % 3 = 1 AND c_custkey % 5 <> 0 AS product, c_custkey % 4 = 0 AS twice, c_custkey % 2 = 0 AS told, 'Acme ' || c_custkey AS name, 'This paragraph tells what item ' || c_custkey || ' is good for in general.' AS said FROM customer),
         f AS (SELECT k, 0 AS r, 0 AS kr, 'Title' AS label, 0 AS tie, 'Page' AS grp, 'page_title' AS key, name AS value, NULL AS currency, NULL AS period FROM c UNION ALL SELECT k, 0, 1, 'Main heading', 0, 'Page', 'main_heading', name, NULL, NULL FROM c
             UNION ALL SELECT k, 0, 2, 'Description', 0, 'Page', 'page_description', CASE WHEN told THEN 'About item ' || k END, NULL, NULL FROM c UNION ALL SELECT k, 0, 3, 'On-page summary', 0, 'Page', 'overview_text', said, NULL, NULL FROM c UNION ALL SELECT k, 0, 4, 'Site name', 0, 'Page', 'site_name', NULL, NULL, NULL FROM c

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from factloom.operators.asof import first_failure
 from factloom.operators.claims import check_claims
-from factloom.sources.captures import decode_html, snapshot_hash
+from factloom.sources.captures import decode_html, plain_base64, snapshot_hash
 
 STATES = ("verified", "missing", "conflicting", "blocked", "unverified")
 CHOICES = ("agree", "select_a", "select_b", "resolved")
@@ -132,7 +132,7 @@ def export_files(jobs: DataFrame, snapshots: DataFrame) -> DataFrame:
     bodies = capture.select(F.concat(place, F.lit(".bin")).alias("path"), F.col("raw").alias("content"))
     texts = capture.select(F.concat(place, F.lit(".txt")).alias("path"), F.encode(decode_html("raw", "content_type")["text"], "UTF-8").alias("content"))
 
-    entry = F.struct(F.col("error_code").alias("error"), F.base64("raw").alias("raw_base64"), "content_type", "encoding", "fetched_at", F.col("url").alias("final_url"), "redirects", "snapshot_hash")
+    entry = F.struct(F.col("error_code").alias("error"), plain_base64(F.col("raw")).alias("raw_base64"), "content_type", "encoding", "fetched_at", F.col("url").alias("final_url"), "redirects", "snapshot_hash")
     pages = page.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("requested_url", entry)))).alias("entries"))
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     blank = F.struct(*none("state", "value"), F.col("plan_name"), *none("unit", "currency", "billing_period", "conditions", "ambiguity"), F.lit("explicit").alias("judgment"), *none("rationale"), F.array().cast("array<string>").alias("evidence"), *none("reviewer_time_seconds"))
