@@ -136,6 +136,24 @@ def field_summary_with_total(fields: DataFrame, by: str) -> DataFrame:
     return _ratios(sets)
 
 
+def replay_report(fields: DataFrame, cases: DataFrame, split: str | None = None) -> DataFrame:
+    """One row with the report of an offline replay as JSON: what was scored, its summary, and one for each category.
+    fields (site, category, ... as field_correctness gives them), cases (site, split) of frozen bundles, all or of one
+    split. A site that stands twice among the cases fails the report; an evaluation without cases reports none."""
+    once = cases.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split"))
+    once = once.withColumn("site", F.when(F.col("n") == 1, F.col("site")).otherwise(F.raise_error(F.lit("duplicate site in frozen bundles")).cast("string")))
+    chosen = once if split is None else once.where(F.col("split") == split)
+    scored = fields.join(chosen.select("site"), "site", "left_semi")
+    sums = field_summary_with_total(scored, "category")
+    names = [c for c in sums.columns if c not in ("category", "is_total")]
+    summary = F.max(F.when(F.col("is_total"), F.struct(*names))).alias("summary")
+    parts = F.array_sort(F.collect_list(F.when(~F.col("is_total"), F.struct("category", *names)))).alias("by_category")
+    sites = chosen.agg(F.count("site")).first()[0]
+    fixed = {"evaluation_schema_version": "1.0", "adapter": "local", "split": split or "all", "evaluation_status": "incomplete"}
+    body = F.struct(*[F.lit(v).alias(n) for n, v in fixed.items()], F.lit(True).alias("offline_replay"), F.lit(sites).alias("sites"), "summary", "by_category")
+    return sums.agg(summary, parts).select(F.lit(split or "all").alias("split"), F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+
+
 def case_summary(cases: DataFrame) -> DataFrame:
     """Rates, times and errors over cases (one row each; measurements that were not made are null)."""
     c = F.col

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.addresses import chosen_address, resolution_code
 from factloom.functions.dom import nodes, tagged
-from factloom.operators import audit, automatic, candidates, claims, evaluate, plans, store
+from factloom.operators import audit, automatic, candidates, claims, crawl, evaluate, plans, store
 from factloom.plans.web import built
 from factloom.sources.captures import decode_html, from_wire, plain_base64, read_pages, to_wire
 from factloom.sources.tables import spread, table
@@ -59,6 +59,21 @@ def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.answered(asked, orders, ["tenant", "job_id", "snapshot_hash"]).select("l_orderkey", "l_linenumber", F.col("found.encoding").alias("encoding"))
 
 
+def rt_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls from each customer over a graph of 1,000 pages with up to four links each: some pages fail, some end a crawl;
+    two levels, six attempts at most."""
+    k = F.col("c_custkey")
+    address = lambda n: F.concat(F.lit("https://f.example/"), n.cast("string"))
+    numbers = table(spark, sf_dir, "customer").select((k % 1000).alias("n")).distinct()
+    pages = numbers.union(numbers.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: i.cast("bigint"))).alias("n"))).distinct()
+    edges = pages.select(F.col("n"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.col("n") % 4).cast("int")), lambda j: (F.col("n") * 7 + j * 13) % 1000)).alias("rank", "m")).select(address(F.col("n")).alias("url"), address(F.col("m")).alias("target"), "rank")
+    n = F.col("n")
+    outcomes = pages.select(address(n).alias("url"), F.when(n % 11 == 3, "ACCESS_DENIED").when(n % 7 == 2, "HTTP_ERROR").alias("error"))
+    seeds = table(spark, sf_dir, "customer").select(k.cast("string").alias("job_id"), address(k % 1000).alias("url"))
+    found = crawl.frontier(seeds, edges, outcomes, max_depth=2, max_pages=6)
+    return found.select(F.col("job_id").cast("bigint").alias("c_custkey"), "url", "depth", F.col("visit_seq").cast("bigint").alias("visit_seq"), "error")
+
+
 def rt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of customers with an entity of three kinds (with the page's own address or another), offers, an overview
     paragraph, pairs of labels and values, a plan's card, and repeats: all their facts, in display order."""
@@ -254,7 +269,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, rt_frontier, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -291,6 +306,10 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_nodes": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>.*?</li>', 0, 's'), lambda x: {'h': x, 't': trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))}) AS b FROM pages),
         k AS (SELECT page_id, list_filter(b, lambda x: length(x.t) BETWEEN 1 AND 400) AS b FROM l) SELECT page_id, array_to_string(list_transform(b, lambda x: x.h[1:4000]), '|') AS sources FROM k WHERE len(b) > 0""",
     "snapshot_reads": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 5 <> 0 THEN o_orderstatus END AS encoding FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "rt_frontier": """WITH RECURSIVE r AS (SELECT c_custkey AS k, 0::BIGINT AS n, [{'u': c_custkey % 1000, 'd': 0}] AS q, [c_custkey % 1000] AS seen, NULL::BIGINT AS u, NULL::INT AS d, NULL::VARCHAR AS error FROM customer
+            UNION ALL SELECT k, n + 1, list_concat(rest, list_transform(fresh, lambda x: {'u': x, 'd': h.d + 1})), list_concat(seen, fresh), h.u, h.d, e FROM (SELECT *, CASE WHEN e IS NULL AND h.d < 2 THEN list_filter(list_transform(range(h.u % 4 + 1), lambda j: (h.u * 7 + j * 13) % 1000), lambda x: NOT list_contains(seen, x)) ELSE [] END AS fresh
+                FROM (SELECT k, n, q[1] AS h, q[2:] AS rest, seen, CASE WHEN q[1].u % 11 = 3 THEN 'ACCESS_DENIED' WHEN q[1].u % 7 = 2 THEN 'HTTP_ERROR' END AS e FROM r WHERE len(q) > 0 AND n < 6 AND coalesce(error, '') <> 'ACCESS_DENIED')))
+        SELECT k AS c_custkey, 'https://f.example/' || u AS url, d AS depth, n AS visit_seq, error FROM r WHERE n > 0""",
     "rt_facts": """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AS article, c_custkey % 3 = 1 AND c_custkey % 5 <> 0 AS product, c_custkey % 4 = 0 AS twice, c_custkey % 2 = 0 AS told, 'Acme ' || c_custkey AS name, 'This paragraph tells what item ' || c_custkey || ' is good for in general.' AS said FROM customer),
         f AS (SELECT k, 0 AS r, 0 AS kr, 'Title' AS label, 0 AS tie, 'Page' AS grp, 'page_title' AS key, name AS value, NULL AS currency, NULL AS period FROM c UNION ALL SELECT k, 0, 1, 'Main heading', 0, 'Page', 'main_heading', name, NULL, NULL FROM c
             UNION ALL SELECT k, 0, 2, 'Description', 0, 'Page', 'page_description', CASE WHEN told THEN 'About item ' || k END, NULL, NULL FROM c UNION ALL SELECT k, 0, 3, 'On-page summary', 0, 'Page', 'overview_text', said, NULL, NULL FROM c UNION ALL SELECT k, 0, 4, 'Site name', 0, 'Page', 'site_name', NULL, NULL, NULL FROM c

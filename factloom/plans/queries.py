@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "page_fact_states": web.page_fact_states, "snapshot_hash": web.snapshot_hashes, "decode_guard": web.decode_guard, "page_title": web.page_title, "main_heading": web.main_heading, "job_status": web.job_statuses,
     "visible_li_blocks": web.visible_li_blocks, "links": web.links, "canonical_url": web.canonical_urls, "duplicate_captures": web.duplicate_captures, "page_type": web.page_types, "automatic_facts": web.automatic_facts,
-    "crawl_frontier": web.crawl_frontier, "decode_blocks": web.decode_blocks, "confirmed_claims": web.confirmed_claims, "request_schemas": records.request_schemas, "fetch_codes": records.fetch_codes, "redirect_chains": records.redirect_chains, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
+    "crawl_frontier": web.crawl_frontier, "decode_blocks": web.decode_blocks, "confirmed_claims": web.confirmed_claims, "request_schemas": records.request_schemas, "fetch_codes": records.fetch_codes, "redirect_chains": records.redirect_chains, "label_envelopes": records.label_envelopes, "replay_reports": records.replay_reports, "snapshot_sources": web.snapshot_sources, "bound_evidence": web.bound_evidence,
     "rt_label_scalar": web.rt_label_scalar, "rt_units_currency": web.rt_units_currency, "rt_reconcile_states": web.rt_reconcile_states, "rt_jsonld": web.rt_jsonld, "rt_plan_cards": web.rt_plan_cards,
     "rt_plan_columns": web.rt_plan_columns, "rt_offers": web.rt_offers, "rt_details_dl": web.rt_details_dl, "rt_details_tr": web.rt_details_tr, "rt_hidden": web.rt_hidden, "rt_verify_tampered": web.rt_verify_tampered,
     "nearest_card": web.nearest_card, "source_nodes": web.source_nodes, "scoped_evidence": web.scoped_evidence, "common_scopes": web.common_scopes,
@@ -214,6 +214,15 @@ ORACLE_SQL: dict[str, str] = {
     "label_totals": f"""WITH {_SESSIONS}, l AS (SELECT job_id, field_name, max(event_id) % 3 <> 0 AS right_ FROM s GROUP BY 1, 2),
         r AS (SELECT job_id, count(*) AS reviewed_fields, count(*) FILTER (right_ AND job_id % 2 = 0) AS accepted FROM l GROUP BY 1), m AS (SELECT job_id, sum(seconds) AS t FROM s WHERE seconds IS NOT NULL GROUP BY 1)
         SELECT job_id, reviewed_fields, accepted, CAST(round_even(coalesce(CAST(t AS DOUBLE), 0) / 60, 4) AS DOUBLE) AS minutes FROM r LEFT JOIN m USING (job_id)""",
+    "label_envelopes": f"""WITH {_SESSIONS}, l AS (SELECT job_id, field_name, max(event_id) % 4 <> 0 AS right_ FROM s WHERE event_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT job_id, count(*) AS n, count(*) FILTER (right_ AND job_id % 3 <> 0) AS ok FROM l GROUP BY 1),
+        m AS (SELECT job_id, coalesce(CAST(sum(seconds) AS DOUBLE), 0) / 60 AS t, coalesce(string_agg(CAST(event_id AS VARCHAR) || CASE WHEN event_id % 4 = 0 THEN 'wrong' ELSE 'correct' END, '|' ORDER BY event_id) FILTER (event_id % 2 = 0), '') AS history,
+            string_agg(field_name || CASE WHEN seconds IS NULL THEN '?' ELSE '' END, '|' ORDER BY started_at, field_name, event_id) AS sessions, coalesce(string_agg(md5(CAST(event_id AS VARCHAR)), '|' ORDER BY event_id) FILTER (event_id % 3 > 0), '') AS hashes FROM s GROUP BY 1)
+        SELECT job_id, coalesce(n, 0) AS reviewed_fields, round_even(t, 4) AS review_minutes_total, CASE WHEN ok > 0 THEN CAST(floor(round_even(t / ok, 4) * 10) AS BIGINT) END AS tenths_per_accepted, history, sessions, hashes FROM m LEFT JOIN r USING (job_id)""",
+    "replay_reports": f"""WITH {_SCORED}, x AS (SELECT scored.*, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS odd, source FROM scored JOIN documents USING (doc_id)),
+        g AS (SELECT CASE WHEN s = 2 THEN 'all' WHEN s = 1 THEN 'development' ELSE 'held_out' END AS split, x.* FROM x, (VALUES (0), (1), (2)) v(s) WHERE s = 2 OR odd = s),
+        c AS (SELECT split, category, {_COUNTS} FROM g GROUP BY 1, 2), t AS (SELECT split, {_COUNTS} FROM g GROUP BY 1), n AS (SELECT split, string_agg(category || '=' || correct_accepted, '|' ORDER BY category) AS categories FROM c GROUP BY 1),
+        d AS (SELECT CASE WHEN s = 2 THEN 'all' WHEN s = 1 THEN 'development' ELSE 'held_out' END AS split, count(DISTINCT source) AS sites FROM documents, (VALUES (0), (1), (2)) v(s) WHERE s = 2 OR CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = s GROUP BY 1)
+        SELECT split, split AS told_split, sites, true AS offline_replay, fields, expected_values, accepted, correct_accepted, round_even(correct_accepted / nullif(accepted, 0), 4) AS field_precision, round_even(correct_accepted / nullif(expected_values, 0), 4) AS field_recall, categories FROM t JOIN n USING (split) JOIN d USING (split)""",
     "host_start_gaps": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000 AS t0 FROM events), g AS (SELECT event_id AS seq, t0 - lag(t0) OVER w AS gap, lag(t0) OVER w + 2 - t0 AS o FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t0, event_id))
         SELECT seq, round_even(gap, 3) AS gap, round_even(greatest(0, coalesce(o, 0)), 3) AS overlap, coalesce(gap >= 1, true) AS kept FROM g""",
     "session_overlap": f"""WITH {_SESSIONS}, o AS (SELECT job_id, started_at, lag(started_at) OVER (PARTITION BY job_id ORDER BY started_at) + 3600 AS p FROM s WHERE seconds IS NOT NULL)

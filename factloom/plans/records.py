@@ -152,6 +152,35 @@ def label_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("job_id", F.get_json_object("envelope", "$.reviewed_fields").cast("bigint").alias("reviewed_fields"), F.coalesce(F.json_array_length(F.get_json_object("envelope", "$.review_sessions")), F.lit(0)).cast("bigint").alias("sessions"))
 
 
+def label_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What label envelopes hold: totals, the review history and sessions in their order, and capture hashes."""
+    sessions = _sessions(spark, sf_dir)
+    own = sessions.select("tenant", "job_id", "field_name", "event_id")
+    fields = own.select("tenant", "job_id", "field_name").distinct().withColumn("state", F.when(F.col("job_id") % 3 == 0, "missing").otherwise("verified"))
+    reviews = own.select("tenant", "job_id", "field_name", F.col("event_id").alias("review_id"), F.col("event_id").alias("updated_at"), F.when(F.col("event_id") % 4 == 0, "wrong").otherwise("correct").alias("verdict")).where("review_id % 2 = 0")
+    pages = own.select("tenant", "job_id", F.col("event_id").alias("fetch_seq"), F.when(F.col("event_id") % 3 > 0, F.md5(F.col("event_id").cast("string"))).alias("snapshot_hash"))
+    body = F.from_json("envelope", "job_id bigint, reviewed_fields bigint, review_minutes_total double, review_minutes_per_accepted_field double, review_sessions array<struct<field_name:string,stopped_at:double>>, review_history array<struct<review_id:bigint,verdict:string>>, capture_hashes array<string>")
+    out = store.label_export(fields, reviews, sessions, pages).select(body.alias("b"))
+    told = lambda array, one: F.coalesce(F.array_join(F.transform(array, one), "|"), F.lit(""))
+    return out.select(
+        "b.job_id", "b.reviewed_fields", "b.review_minutes_total", F.floor(F.col("b.review_minutes_per_accepted_field") * 10).cast("bigint").alias("tenths_per_accepted"), told(F.col("b.review_history"), lambda x: F.concat(x["review_id"].cast("string"), x["verdict"])).alias("history"),
+        told(F.col("b.review_sessions"), lambda x: F.concat(x["field_name"], F.when(x["stopped_at"].isNull(), "?").otherwise(""))).alias("sessions"), told(F.col("b.capture_hashes"), lambda x: x).alias("hashes"),
+    )
+
+
+def replay_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a replay over all sites (sources of documents) and over each split, as their JSON says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("site"))
+    number = F.regexp_extract("site", r"(\d+)$", 1).cast("int")
+    fields = evaluate.field_correctness(scored_fields(spark, sf_dir)).join(docs, "doc_id")
+    cases = docs.select("site").distinct().withColumn("split", F.when(number % 2 == 0, "held_out").otherwise("development"))
+    found = [evaluate.replay_report(fields, cases, split) for split in (None, "development", "held_out")]
+    counts = "fields:bigint,expected_values:bigint,accepted:bigint,correct_accepted:bigint,field_precision:double,field_recall:double"
+    read = found[0].union(found[1]).union(found[2]).select("split", F.from_json("report", f"split string, sites bigint, offline_replay boolean, summary struct<{counts}>, by_category array<struct<category:string,correct_accepted:bigint>>").alias("r"))
+    named = F.array_join(F.transform("r.by_category", lambda c: F.concat(c["category"], F.lit("="), c["correct_accepted"].cast("string"))), "|")
+    return read.select("split", F.col("r.split").alias("told_split"), "r.sites", "r.offline_replay", "r.summary.*", named.alias("categories"))
+
+
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The release gate over suppliers as sites and their parts' lines as fields."""
     split = F.when(F.col("s_suppkey") % 2 == 0, "held_out").otherwise("development").alias("split")
