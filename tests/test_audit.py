@@ -48,3 +48,36 @@ def test_ledger_and_agreement_with_nothing_in_them(spark):
     assert {r.site: r.violations for r in audit.ledger_violations(ledger, inventory).collect()} == {"s": ["not approved", "charges", "basis"], "t": ["not in the ledger"]}
     nothing = spark.createDataFrame([(None, None, None, None)], "confirmed_by string, confirmed_at string, analyst_hourly_rate_usd string, thresholds map<string,double>")
     assert audit.agreement_violations(nothing).first().violations == ["not confirmed", "rate", "thresholds"]
+
+
+def test_addresses_as_the_standard_library_reads_them(spark):
+    """Borders of all blocks, random addresses of both families in several spellings, and what is none."""
+    import ipaddress
+    import random
+
+    from factloom.functions.addresses import NOT_PUBLIC, PUBLIC_INSIDE, is_public
+
+    rng = random.Random(4)
+    texts = ["", "1.2.3", "1.2.3.4.5", "01.2.3.4", "1.2.3.256", "1.2.3.4 ", "::", "::1", ":::", "1::2::3", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "fe80::1%eth0", "2600::1%", "2600::1%a%b", "::ffff:8.8.8.8", "::ffff:10.0.0.1",
+             "64:ff9b::8.8.8.8", "::8.8.8.256", "2600::g", "2600:12345::", "1:", ":1", "::ffff:0:0", "2600::1.2.3", "2600:1.2.3.4", "٣.1.1.1", "8.8.8.8", "2A00:1450::8A", "1.2.3.4:5"]
+    for block in NOT_PUBLIC + PUBLIC_INSIDE:
+        net = ipaddress.ip_network(block)
+        for n in (int(net[0]) - 1, int(net[0]), int(net[-1]), int(net[-1]) + 1):
+            if 0 <= n < 2**net.max_prefixlen:
+                texts.append(str(type(net[0])(n)))
+    for _ in range(500):
+        six = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, 2**64 - 1, (2**128 - 1) << 96 & (2**128 - 1)]) | rng.choice([0, 0x2001 << 112, 0xFE80 << 112]) % 2**128)
+        texts += [str(ipaddress.IPv4Address(rng.getrandbits(32))), str(six), six.exploded.upper()]
+
+    def want(text):
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        mapped = getattr(address, "ipv4_mapped", None)
+        return (mapped or address).is_global
+
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "a string")
+    got = {r.a: r.p for r in rows.select("a", is_public(rows.a).alias("p")).collect()}
+    assert got.pop(None) is False
+    assert {t: p for t, p in got.items() if p != want(t)} == {} and 100 < sum(got.values()) < len(got)
