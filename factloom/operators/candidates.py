@@ -106,8 +106,9 @@ def fact_locator(path: Column, field: Column) -> Column:
     return F.concat(path, F.lit("::page-fact("), field, F.lit(")"))
 
 
-def _readings(pages: DataFrame) -> DataFrame:
-    """What fields may be read from, a row each: kind (block, item or fact), node_id, item_idx, key, text, locator, excerpt."""
+def _readings(pages: DataFrame, also: Sequence[str] = (), marks: bool = False) -> DataFrame:
+    """What fields may be read from, a row each: kind (block, item or fact), node_id, item_idx, key, text, locator, excerpt;
+    with marks also one of kind page for each page, which says that it is there."""
 
     def reading(kind: str, node_id: Column, item_idx: Column, key: Column, text: Column, locator: Column, excerpt: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), node_id.alias("node_id"), item_idx.cast("int").alias("item_idx"), key.cast("string").alias("key"), text.alias("text"), locator.alias("locator"), excerpt.alias("excerpt"))
@@ -117,7 +118,8 @@ def _readings(pages: DataFrame) -> DataFrame:
     items = flat_map(F.filter("scripts", lambda s: F.length(s["script"]) <= LONGEST_ITEM_SCRIPT), lambda s: F.transform(s["items"], lambda i: reading(
         "item", s["node_id"], i["item_idx"], i["key"], i["raw_value"], F.concat(s["path"], F.lit("::item("), i["item_idx"].cast("string"), F.lit(")::"), i["key"]), s["script"])))
     facts = F.transform(fact_array(F.col("nodes")), lambda f: reading("fact", f["node_id"], F.lit(0), f["field"], f["raw_value"], fact_locator(f["path"], f["field"]), f["raw_value"]))
-    return pages.select("page_key", F.inline(F.concat(blocks, items, facts)))
+    there = F.array(reading("page", F.lit(0), F.lit(0), none, none.cast("string"), none.cast("string"), none.cast("string"))) if marks else None
+    return pages.select("page_key", *also, F.inline(F.concat(blocks, items, facts, *([] if there is None else [there]))))
 
 
 def candidates(pages: DataFrame, fields: Schema) -> DataFrame:
@@ -134,6 +136,22 @@ def candidates(pages: DataFrame, fields: Schema) -> DataFrame:
     }).select(COLUMNS)
 
 
+def read_fields(pages: DataFrame, fields: Schema, also: Sequence[str] = ()) -> DataFrame:
+    """All that pages tell of the fields of a request, in one pass: COLUMNS, what is taken along, the field's x_unit and
+    x_currency, and what a row is: `candidate`; `hit`, a block with the field's label, whatever its value; or neither, the
+    mark that each page has for each field."""
+    rows = per_field(_readings(pages, also, marks=True), fields)
+    of_page, kind = F.col("name").isin(*PAGE_FACTS), F.col("kind")
+    own = F.when(kind == "fact", (F.col("name") == F.col("key")) & (F.col("type") == "string")).when(kind == "item", ~of_page & (F.col("name") == F.col("key"))).when(kind == "block", ~of_page).otherwise(False)
+    rows = rows.withColumn("raw_value", F.when(kind == "block", labelled(F.col("text"), F.col("label"))).otherwise(F.col("text"))).withColumn("hit", (kind == "block") & F.col("raw_value").isNotNull())
+    rows = rows.withColumn("own", F.coalesce(own & F.col("raw_value").isNotNull(), F.lit(False))).where(F.col("own") | F.col("hit") | (kind == "page"))
+    rows = rows.withColumn("s", scalar("raw_value", "type")).withColumn("candidate", F.col("own") & F.col("s.value").isNotNull())
+    return rows.withColumns({
+        "field": F.col("name"), "src_rank": F.when(kind == "item", 1).otherwise(0), "value": F.col("s.value"), "unit": F.col("s.unit"), "currency": F.col("s.currency"), "encoding": F.col("s.encoding"),
+        "billing_period": F.lit(None).cast("string"), "value_type": F.col("type"), "label": F.coalesce("key", "label"),
+    }).select(*COLUMNS, *also, "x_unit", "x_currency", "candidate", "hit")
+
+
 def label_hits(pages: DataFrame, fields: Schema) -> DataFrame:
     """(page_key, field) for which some visible block has the label, whatever the value."""
     marked = visible_blocks(pages).where(F.col("text").rlike(PARTED))
@@ -145,4 +163,4 @@ def jsonld_scripts(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", F.inline("scripts"))
 
 
-__all__ = ["BLOCK_TAGS", "COLUMNS", "PAGE_FACTS", "Field", "Schema", "candidates", "elements", "fact_array", "fact_locator", "jsonld_scripts", "label_hits", "metas", "page_facts", "per_field", "visible_blocks"]
+__all__ = ["BLOCK_TAGS", "COLUMNS", "PAGE_FACTS", "Field", "Schema", "candidates", "elements", "fact_array", "fact_locator", "jsonld_scripts", "label_hits", "metas", "page_facts", "per_field", "read_fields", "visible_blocks"]

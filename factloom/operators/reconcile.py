@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.dom import nodes
+from factloom.operators import candidates
+from factloom.sources.captures import decode_html
+
 #: What a candidate must share with one regenerated from the retained bytes.
 BOUND = ["field", "value", "unit", "currency", "billing_period", "value_type", "encoding", "locator", "excerpt", "label", "raw_value"]
 PLACE = ["page_seq", "src_rank", "node_id", "item_idx"]
@@ -59,6 +63,32 @@ def field_states(found: DataFrame, raw: DataFrame, hits: DataFrame, jobs: DataFr
     return rows.select("job_id", "field", state.alias("state"), *[v.alias(k) for k, v in first.items()], F.when(F.col("claims") > 1, F.col("all")).alias("candidates"))
 
 
+def page_states(captures: DataFrame, fields: candidates.Schema) -> DataFrame:
+    """field_states for jobs of one captured page each, in one pass: captures (page_key, url, html, raw, content_type) are
+    read as they are and once more from what their bytes decode to; both sides move once, by page, and what the bytes do
+    not tell again is no claim. The columns are those of field_states, with page_key for job_id."""
+    sides = F.array(F.struct(F.col("html").alias("html"), F.lit(True).alias("claimed")), F.struct(F.col("again").alias("html"), F.lit(False).alias("claimed")))
+    rows = captures.select("page_key", "url", "html", decode_html("raw", "content_type")["text"].alias("again")).select("page_key", "url", F.inline(sides))
+    told = candidates.read_fields(nodes(rows, also=["claimed"]), fields, ["claimed"]).withColumn("page_seq", F.lit(0)).repartition("page_key")
+    same = Window.partitionBy("page_key", *BOUND, "candidate")
+    fits = F.expr("(nullif(x_unit, '') is null or unit <=> x_unit) and (nullif(x_currency, '') is null or currency <=> x_currency)")
+    kept = told.withColumn("again", F.bool_or(~F.col("claimed")).over(same)).where("claimed").withColumn("good", F.col("candidate") & F.col("again") & fits)
+    place, evidence = F.struct(*PLACE), F.struct(*PLACE, "page_key", "locator", "excerpt", "raw_value")
+    what = ("value", "unit", "currency", "billing_period")
+    own = [F.when(F.col("good"), F.col(c)).alias(c) for c in what]
+    claims = kept.select("page_key", "field", "good", "candidate", "hit", *own, "encoding", place.alias("place"), evidence.alias("e")).groupBy("page_key", "field", "good", *what).agg(
+        F.min("place").alias("place"), F.min_by("encoding", "place").alias("encoding"), F.sort_array(F.collect_list(F.when(F.col("good"), F.col("e")))).alias("evidence"), F.bool_or(F.col("candidate") | F.col("hit")).alias("seen"),
+    )
+    good = F.col("good")
+    each = claims.groupBy("page_key", "field").agg(
+        F.count_if(good).alias("claims"), F.min_by(F.struct(*what, "encoding", "evidence"), F.when(good, F.col("place"))).alias("first"),
+        F.sort_array(F.collect_list(F.when(good, F.struct("place", *what, F.col("evidence")[0].alias("evidence"))))).alias("all"), F.bool_or("seen").alias("seen"),
+    )
+    one = F.col("claims") == 1
+    state = F.when(one, "verified").when(F.col("claims") > 1, "conflicting").when(F.col("seen"), "unverified").otherwise("missing")
+    return each.select("page_key", "field", state.alias("state"), *[F.when(one, F.col(f"first.{c}")).alias(c) for c in (*what, "encoding", "evidence")], F.when(F.col("claims") > 1, F.col("all")).alias("candidates"))
+
+
 def job_status(states: DataFrame, jobs: DataFrame) -> DataFrame:
     """(job_id, status): complete if every field is verified and there was no error, failed without a page, else
     partial. jobs: job_id, n_pages, n_errors."""

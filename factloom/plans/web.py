@@ -63,15 +63,8 @@ def main_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_fact_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four page facts of every page: extracted, verified against a second parse of the retained bytes, and
     reconciled to a state and value."""
-    captures, n = page_nodes(spark, sf_dir)
-    raw = materialize(candidates.candidates(n, QUICK), "candidates")
-    again = captures.withColumn("d", decode_html("raw", "content_type")).select("page_key", F.col("d.text").alias("html"))
-    good = reconcile.verified(raw, candidates.candidates(nodes(again), QUICK))
-    place = {"job_id": F.col("page_key"), "page_seq": F.lit(0)}
-    jobs = captures.select(F.col("page_key").alias("job_id"), F.lit(False).alias("blocked"))
-    fields = candidates.per_field(jobs, QUICK)
-    states = reconcile.field_states(good.withColumns(place), raw.withColumns(place), candidates.label_hits(n, QUICK).withColumnRenamed("page_key", "job_id"), jobs, fields)
-    return states.select(_number("job_id").alias("page_id"), "field", "state", "value", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"))
+    states = reconcile.page_states(read_pages(spark, sf_dir), QUICK)
+    return states.select(_number().alias("page_id"), "field", "state", "value", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"))
 
 
 def job_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,3 +210,31 @@ def test_queries_take_whole_tables(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(records.store, "label_export", lambda fields, reviews, sessions, pages: captured.append(pages.count()) or export(fields, reviews, sessions, pages))
     records.label_exports(spark, sf_dir)
     assert captured == [spark.read.parquet(f"{sf_dir}/events.parquet").count()]
+
+
+def test_page_states_are_field_states(spark):
+    """One pass over pages gives what candidates, verification and reconciliation give apart: also conflicts, labels without
+    a value, units asked for, bytes that say something else, and pages that tell nothing."""
+    from factloom.operators import candidates, reconcile
+    from factloom.functions.dom import nodes
+    from factloom.operators.candidates import Field
+    from factloom.sources.captures import decode_html
+
+    bodies = {
+        "a": "<title>T</title><p>Price: USD 5</p>", "b": "<p>Price: USD 5</p><p>Price: USD 6</p>", "c": "<p>Price: none</p>", "d": "<p>Price: EUR 5</p>", "e": "", "f": "<p>Price: USD 5</p><li>price - USD 5.00</li>",
+        "g": '<script type="application/ld+json">{"price": "7", "page_title": "x"}</script><p>Page title: y</p>', "h": "<p>Price: USD 5</p>", "i": None,
+    }
+    rows = [(k, f"https://x/{k}", v, (b"<p>Price: USD 8</p>" if k == "h" else (v or "").encode()), "text/html") for k, v in bodies.items()]
+    captures = spark.createDataFrame(rows, "page_key string, url string, html string, raw binary, content_type string").repartition(3)
+    fields = [Field("price", "number", None, None, "USD"), Field("page_title", "string")]
+    n = nodes(captures)
+    raw = candidates.candidates(n, fields)
+    again = captures.select("page_key", decode_html("raw", "content_type")["text"].alias("html"))
+    good = reconcile.verified(raw, candidates.candidates(nodes(again), fields))
+    place = {"job_id": F.col("page_key"), "page_seq": F.lit(0)}
+    jobs = captures.select(F.col("page_key").alias("job_id"), F.lit(False).alias("blocked"))
+    want = reconcile.field_states(good.withColumns(place), raw.withColumns(place), candidates.label_hits(n, fields).withColumnRenamed("page_key", "job_id"), jobs, candidates.per_field(jobs, fields))
+    got = reconcile.page_states(captures, fields).withColumnRenamed("page_key", "job_id")
+    key = lambda df: sorted((str(r.asDict(recursive=True)) for r in df.select(*want.columns).collect()))
+    assert key(got) == key(want)
+    assert {r.state for r in got.collect()} == {"verified", "conflicting", "unverified", "missing"}
