@@ -59,6 +59,29 @@ def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.answered(asked, orders, ["tenant", "job_id", "snapshot_hash"]).select("l_orderkey", "l_linenumber", F.col("found.encoding").alias("encoding"))
 
 
+def evidence_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as page rows of twenty cases, some with other bytes than their hash says, and lines as evidence, some of another
+    case or hash: whether the first page row of an evidence's key has its bytes."""
+    o, text = F.col("o_orderkey"), F.col("o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("case_id"), F.concat(F.lit("u"), (o % 5).cast("string")).alias("url"), F.lit("t").alias("fetched_at"), F.sha2(text, 256).alias("snapshot_hash"),
+                                                    F.encode(F.when(o % 40 == 0, "other").otherwise(text), "UTF-8").alias("raw"), o.alias("page_seq"))
+    line = F.col("l_linenumber")
+    evidence = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == o).select(
+        "l_orderkey", "l_linenumber", (F.col("case_id") + F.when(line == 5, 1).otherwise(0)).alias("case_id"), F.col("url").alias("source_url"), "fetched_at", F.when(line == 3, F.sha2(F.lit("other"), 256)).otherwise(F.col("snapshot_hash")).alias("snapshot_hash"))
+    return evaluate.evidence_bound(evidence, orders.drop("o_orderkey")).select("l_orderkey", "l_linenumber", "bound")
+
+
+def scope_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as evidence of a case, and its even lines as scopes: whether any evidence lies in any scope."""
+    k, line = F.col("l_partkey"), F.col("l_linenumber")
+    bound = {"source_url": F.concat(F.lit("u"), (k % 2).cast("string")), "snapshot_hash": F.lit("h"), "fetched_at": F.lit("t")}
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), *[v.alias(n) for n, v in bound.items()], line.alias("line"), k.alias("k"))
+    place = lambda n, deep: F.concat(F.lit("html > body > div:nth-of-type("), (n % 12).cast("string"), F.lit(")"), deep)
+    evidence = rows.where("line % 2 = 1").withColumn("locator", place(F.col("k"), F.when(F.col("k") % 3 == 0, "").otherwise(" > p:nth-of-type(1)")))
+    scopes = rows.where("line % 2 = 0").withColumn("scope_locator", place(F.col("k") + 2, F.when(F.col("k") % 5 == 0, " > p").otherwise("")))
+    return evaluate.in_scope(evidence.drop("line", "k"), scopes.drop("line", "k"), ["case_id"]).select(F.col("case_id").alias("l_orderkey"), "evidence_matches")
+
+
 def rt_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawls from each customer over a graph of 1,000 pages with up to four links each: some pages fail, some end a crawl;
     two levels, six attempts at most."""
@@ -269,7 +292,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, rt_frontier, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, evidence_binding, scope_prefixes, rt_frontier, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -306,6 +329,12 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_nodes": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>.*?</li>', 0, 's'), lambda x: {'h': x, 't': trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))}) AS b FROM pages),
         k AS (SELECT page_id, list_filter(b, lambda x: length(x.t) BETWEEN 1 AND 400) AS b FROM l) SELECT page_id, array_to_string(list_transform(b, lambda x: x.h[1:4000]), '|') AS sources FROM k WHERE len(b) > 0""",
     "snapshot_reads": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 5 <> 0 THEN o_orderstatus END AS encoding FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "evidence_binding": """WITH p AS (SELECT o_custkey % 20 AS c, o_orderkey % 5 AS u, sha256(o_orderpriority) AS h, arg_min(CASE WHEN o_orderkey % 40 = 0 THEN sha256('other') ELSE sha256(o_orderpriority) END, o_orderkey) AS own FROM orders GROUP BY ALL)
+        SELECT l_orderkey, l_linenumber, coalesce(own = h, false) AS bound FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        LEFT JOIN p ON p.c = o_custkey % 20 + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END AND p.u = o_orderkey % 5 AND p.h = CASE WHEN l_linenumber = 3 THEN sha256('other') ELSE sha256(o_orderpriority) END""",
+    "scope_prefixes": """WITH e AS (SELECT l_orderkey, l_partkey % 2 AS u, 'div' || (l_partkey % 12) || CASE WHEN l_partkey % 3 = 0 THEN ' > ' ELSE ' > p > ' END AS l FROM lineitem WHERE l_linenumber % 2 = 1),
+        s AS (SELECT l_orderkey, l_partkey % 2 AS u, 'div' || ((l_partkey + 2) % 12) || CASE WHEN l_partkey % 5 = 0 THEN ' > q > ' ELSE ' > ' END AS l FROM lineitem WHERE l_linenumber % 2 = 0)
+        SELECT a.l_orderkey, bool_or(coalesce(starts_with(e.l, s.l), false)) AS evidence_matches FROM (SELECT DISTINCT l_orderkey FROM lineitem) a LEFT JOIN e ON e.l_orderkey = a.l_orderkey LEFT JOIN s ON s.l_orderkey = a.l_orderkey AND e.u = s.u GROUP BY 1""",
     "rt_frontier": """WITH RECURSIVE r AS (SELECT c_custkey AS k, 0::BIGINT AS n, [{'u': c_custkey % 1000, 'd': 0}] AS q, [c_custkey % 1000] AS seen, NULL::BIGINT AS u, NULL::INT AS d, NULL::VARCHAR AS error FROM customer
             UNION ALL SELECT k, n + 1, list_concat(rest, list_transform(fresh, lambda x: {'u': x, 'd': h.d + 1})), list_concat(seen, fresh), h.u, h.d, e FROM (SELECT *, CASE WHEN e IS NULL AND h.d < 2 THEN list_filter(list_transform(range(h.u % 4 + 1), lambda j: (h.u * 7 + j * 13) % 1000), lambda x: NOT list_contains(seen, x)) ELSE [] END AS fresh
                 FROM (SELECT k, n, q[1] AS h, q[2:] AS rest, seen, CASE WHEN q[1].u % 11 = 3 THEN 'ACCESS_DENIED' WHEN q[1].u % 7 = 2 THEN 'HTTP_ERROR' END AS e FROM r WHERE len(q) > 0 AND n < 6 AND coalesce(error, '') <> 'ACCESS_DENIED')))
