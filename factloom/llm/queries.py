@@ -1,4 +1,9 @@
-"""The queries of this subpackage, and their SQL where SQL can express them."""
+"""The queries of this subpackage, and their SQL where SQL can express them.
+
+Each query gives a row for each row of its table (but op2: for each piece; op11: for each hit; op13: for each comparison),
+also for rows that repeat each other or share an id, and for null ids and texts; a null text counts as empty. Ties are
+broken by ids, null first, and then by content or the input's order. Further columns of a table change nothing, whatever
+their names, and an empty table gives an empty result of the same columns."""
 
 from __future__ import annotations
 
@@ -31,10 +36,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document by a classifier that never saw the held-out fold."""
+    """Toxicity score of every document by a classifier that never saw the held-out fold; a null id is in no fold."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(toxicity.held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
