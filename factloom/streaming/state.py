@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from factloom.functions.dom import let
 from factloom.operators.components import connected_components
 
 #: Seconds of a claim's lease, and between starts on a host.
@@ -61,8 +62,8 @@ def lapse(state: State, until: float) -> tuple[State, tuple | None]:
     return (*state[:3], None, state[4]), (state[3], "expire", "expired", state[2], int(state[4]))
 
 
-def _rows(key: tuple, events: pd.DataFrame, state: State, until: float | None = None) -> tuple[list[tuple], State]:
-    """Outcomes of a key's events, with the expiries before each of them and, after the last, before `until`."""
+def _rows(key: tuple, events: pd.DataFrame, state: State) -> tuple[list[tuple], State]:
+    """Outcomes of a key's events, with the expiries before each of them."""
     out = []
     for e in events.sort_values("seq", kind="stable").itertuples(index=False):
         state, ended = lapse(state, e.at)
@@ -70,10 +71,6 @@ def _rows(key: tuple, events: pd.DataFrame, state: State, until: float | None =
             out.append((*key, None, *ended))
         state, outcome = claim_step(state, e)
         out.append((*key, int(e.seq), e.at, e.command, outcome, state[2] if state else None, int(state[4]) if state else None))
-    if until is not None:
-        state, ended = lapse(state, until)
-        if ended:
-            out.append((*key, None, *ended))
     return out, state
 
 
@@ -87,12 +84,43 @@ def _claim_frame(rows: list[tuple]) -> pd.DataFrame:
 def replay_claims(events: DataFrame, until: float | None = None) -> DataFrame:
     """Outcome of each claim event (seq, at, tenant, idem, request_hash, owner, command), and a row without seq for each
     lease that ends unrenewed before the key's next event or before `until`. A key's events are those of one request's
-    attempts: few, whatever the size of the log."""
-
-    def replay(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return _claim_frame(_rows(key, own, None, until)[0])
-
-    return events.groupBy("tenant", "idem").applyInPandas(replay, CLAIM_OUT)
+    attempts: few, whatever the size of the log. The machine is claim_step's, as a fold over a key's events in order."""
+    rows = "array<struct<seq:bigint,at:double,command:string,outcome:string,owner:string,attempts:int>>"
+    nothing = F.from_json(F.lit('{"out": []}'), f"struct<h:string,status:string,owner:string,lease:double,tries:int,out:{rows}>")
+
+    def row(seq: Column, at: Column, command: Column, outcome: Column, owner: Column, tries: Column) -> Column:
+        return F.struct(seq.cast("bigint").alias("seq"), at.cast("double").alias("at"), command.alias("command"), outcome.alias("outcome"), owner.alias("owner"), tries.cast("int").alias("attempts"))
+
+    def ended(s: Column, at: Column) -> Column:
+        """The row of a lease that ends before `at`, in an array; empty if none does."""
+        over = (s["status"] == "pending") & (s["lease"] < at)
+        return F.when(over, F.array(row(F.lit(None), s["lease"], F.lit("expire"), F.lit("expired"), s["owner"], s["tries"]))).otherwise(F.array().cast(rows))
+
+    def step(s: Column, e: Column) -> Column:
+        pending, same = F.coalesce(s["status"] == "pending", F.lit(False)), F.coalesce(s["h"] == e["request_hash"], F.lit(False))
+        over = pending & (s["lease"].isNull() | (s["lease"] < e["at"]))
+        held = pending & same & F.coalesce(s["owner"] == e["owner"], F.lit(False))
+        claimed = F.when(s["status"].isNull(), "owner").when(~same, "conflict").when(over, "owner").otherwise(s["status"])
+        done = F.create_map(*[F.lit(x) for x in ("renew", "renewed", "release", "released", "put", "stored")])[e["command"]]
+        outcome = F.when(e["command"] == "claim", claimed).when(e["command"] == "cancel", F.when(pending, "cancelled").otherwise("refused")).when(held, done).otherwise(F.when(e["command"] == "put", "CLAIM_LOST").otherwise("refused"))
+
+        def after(o: Column) -> Column:
+            took, gone = o == "owner", o == "released"
+            closed = (o == "stored") | ((o == "cancelled") & (e["command"] == "cancel"))
+            lapsed = pending & (s["lease"] < e["at"])
+            text = F.lit(None).cast("string")
+            status = F.when(took, "pending").when(gone, text).when(o == "stored", "complete").when(closed, "cancelled").otherwise(s["status"])
+            owner = F.when(took, e["owner"]).when(gone, text).otherwise(s["owner"])
+            lease = F.when(took | (o == "renewed"), e["at"] + CLAIM_LEASE).when(gone | closed | F.coalesce(lapsed, F.lit(False)), F.lit(None).cast("double")).otherwise(s["lease"])
+            tries = F.when(took, F.coalesce(s["tries"], F.lit(0)) + 1).when(gone, F.lit(None).cast("int")).otherwise(s["tries"])
+            own = row(e["seq"], e["at"], e["command"], o, owner, tries)
+            return F.struct(F.when(took, e["request_hash"]).when(gone, text).otherwise(s["h"]).alias("h"), status.alias("status"), owner.alias("owner"), lease.alias("lease"), tries.alias("tries"), F.concat(s["out"], ended(s, e["at"]), F.array(own)).alias("out"))
+
+        return let(outcome, after)
+
+    own = events.groupBy("tenant", "idem").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("at").cast("double").alias("at"), "request_hash", "owner", "command"))).alias("events"))
+    finish = (lambda s: s["out"]) if until is None else (lambda s: F.concat(s["out"], ended(s, F.lit(until))))
+    return own.select("tenant", "idem", F.inline(F.aggregate("events", nothing, step, finish)))
 
 
 class ClaimProcessor(StatefulProcessor):
