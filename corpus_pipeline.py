@@ -1,4 +1,8 @@
-"""Corpus pipeline: documents without toxic ones, near-copies and secrets, packed into training sequences."""
+"""Corpus pipeline: documents without toxic ones, near-copies and secrets, packed into training sequences.
+
+Every stage takes rows as they are: null ids and texts (a null text is read as empty and stays null), texts of any length,
+rows that repeat each other or share an id, further columns, and no rows at all. All but the last give the columns of
+documents."""
 
 from __future__ import annotations
 
@@ -11,22 +15,27 @@ from factloom.llm.common import materialize, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels outside the held-out fold, scores under its threshold."""
+    """Documents that the classifier, trained on the labels outside the held-out fold, scores under its threshold. Equal texts share their score, so repeated rows stay or go
+    together; a null or empty text is scored as one without words."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that SimHash links join."""
+    """One row of each group that SimHash links join: that of the smallest doc_id, a null one coming last; of rows that share
+    it, one. Null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced and n_chars renewed."""
+    """All documents, with every secret in their texts replaced and n_chars renewed; null texts keep a null length, and
+    repeated rows change alike."""
     return secrets.redact_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: its document, its ids, and its place in a sequence of 1024 tokens at most."""
+    """A row for each piece: its document, its ids, and its place in a sequence of 1024 tokens at most. A null or empty text
+    is its end id alone; rows that share an id are packed as rows of their own; which of equal lengths comes first is
+    not part of the result's meaning."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
