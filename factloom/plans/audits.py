@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.addresses import chosen_address, resolution_code
 from factloom.functions.dom import nodes, tagged
-from factloom.operators import audit, automatic, candidates, claims, crawl, evaluate, plans, store
+from factloom.operators import audit, automatic, candidates, claims, crawl, evaluate, inventory, plans, store
 from factloom.plans.web import built
 from factloom.sources.captures import decode_html, from_wire, plain_base64, read_pages, to_wire
 from factloom.sources.tables import spread, table
@@ -59,6 +59,37 @@ def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.answered(asked, orders, ["tenant", "job_id", "snapshot_hash"]).select("l_orderkey", "l_linenumber", F.col("found.encoding").alias("encoding"))
 
 
+def rt_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of suppliers with 40, 100 or 300 pairs of label and value in falling order of their labels: the first 250 claims
+    count, and of their facts the first 60 are shown."""
+    k = F.col("s_suppkey")
+    m = F.element_at(F.array(*map(F.lit, (40, 100, 300))), (k % 3 + 1).cast("int"))
+    items = F.array_join(F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.lit("<li>L"), F.lpad((m - i + 1).cast("string"), 3, "0"), F.lit(": v"), i.cast("string"), F.lit("</li>"))), "")
+    html = F.concat(F.lit("<html><body><ul>"), items, F.lit("</ul></body></html>"))
+    pages = spread(table(spark, sf_dir, "supplier")).select(k.cast("string").alias("page_key"), F.lit("https://rt.example/").alias("url"), html.alias("html"), F.encode(html, "UTF-8").alias("raw"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    facts = automatic.automatic_facts(pages)
+    return facts.select(F.col("page_key").cast("bigint").alias("s_suppkey"), F.col("fact_idx").cast("int").alias("fact_idx"), "label", "state", "value")
+
+
+def page_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of a page inventory before its execution: what each breaks."""
+    k = F.col("c_custkey")
+    host = F.concat(F.lit("s"), F.when(k % 15 == 0, k - 1).otherwise(k).cast("string"), F.lit(".example"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.when(k % 7 == 0, "http://").otherwise("https://"), host, F.lit("/p")).alias("seed_url"), host.alias("allowed_host"), F.when(k % 4 == 0, "11").otherwise(inventory.GETS).alias("max_gets"),
+        F.when(k % 5 == 0, "PENDING").otherwise("r1").alias("approval_record"), F.when(k % 6 == 1, "DENIED").otherwise("ALLOWED").alias("robots_status"), F.lit("public").alias("access_basis"),
+    )
+    return inventory.page_target_violations(rows, execution=True).select("c_custkey", _joined())
+
+
+def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as checked sites of an inventory: its totals, and whether it may be run."""
+    k = F.col("s_suppkey")
+    faults = lambda by, name: F.when(k % by == 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "supplier").select(F.when(k % 3 == 0, "held_out").otherwise("development").alias("split"), (k % 50).cast("string").alias("max_http_requests"), (k % 4 * 0.25).cast("string").alias("max_provider_spend_usd"), faults(5, "x").alias("pending"), faults(7, "y").alias("violations"))
+    return inventory.target_totals(rows)
+
+
 def evidence_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as page rows of twenty cases, some with other bytes than their hash says, and lines as evidence, some of another
     case or hash: whether the first page row of an evidence's key has its bytes."""
@@ -292,7 +323,7 @@ def rt_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, evidence_binding, scope_prefixes, rt_frontier, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
+    for f in (public_targets, wire_pages, evidence_nodes, snapshot_reads, rt_caps, page_inventories, inventory_totals, evidence_binding, scope_prefixes, rt_frontier, rt_facts, claim_checks, site_coverage, reviewed_fields, corpus_checks, corpus_totals, process_counters, ledger_refusals, agreements, literal_labels, evidence_views, rt_page_types, rt_nearest_card, rt_common_scopes, rt_charsets)
 }
 
 #: First and last numbers of the IPv4 blocks that are not of the public internet (the special-purpose registry).
@@ -329,6 +360,13 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_nodes": """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>.*?</li>', 0, 's'), lambda x: {'h': x, 't': trim(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))}) AS b FROM pages),
         k AS (SELECT page_id, list_filter(b, lambda x: length(x.t) BETWEEN 1 AND 400) AS b FROM l) SELECT page_id, array_to_string(list_transform(b, lambda x: x.h[1:4000]), '|') AS sources FROM k WHERE len(b) > 0""",
     "snapshot_reads": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 5 <> 0 THEN o_orderstatus END AS encoding FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "rt_caps": """WITH s AS (SELECT s_suppkey, ([40, 100, 300])[CAST(s_suppkey % 3 AS INT) + 1] AS m FROM supplier), i AS (SELECT s_suppkey, m, unnest(range(1, least(m, 250) + 1)) AS i FROM s),
+        f AS (SELECT s_suppkey, 1 AS r, 'L' || lpad(CAST(m - i + 1 AS VARCHAR), 3, '0') AS label, 'v' || i AS value FROM i UNION ALL SELECT s_suppkey, -n, label, NULL FROM supplier, (VALUES (4, 'Title'), (3, 'Main heading'), (2, 'Description'), (1, 'Site name')) v(n, label)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY r, label) - 1 AS idx FROM f) SELECT s_suppkey, CAST(idx AS INT) AS fact_idx, label, CASE WHEN value IS NULL THEN 'missing' ELSE 'found_in_source' END AS state, value FROM n WHERE idx < 60""",
+    "page_inventories": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 15 = 0 THEN c_custkey - 1 ELSE c_custkey END AS h FROM customer)
+        SELECT k AS c_custkey, concat_ws('|', CASE WHEN k % 7 = 0 THEN 'seed URL' END, CASE WHEN count(*) OVER (PARTITION BY h) > 1 THEN 'repeated host' END, CASE WHEN k % 4 = 0 THEN 'request ceiling' END, CASE WHEN k % 5 = 0 OR k % 6 = 1 THEN 'not approved' END) AS violations FROM c""",
+    "inventory_totals": """SELECT count(*) AS sites, count(*) FILTER (s_suppkey % 3 <> 0) AS development, count(*) FILTER (s_suppkey % 3 = 0) AS held_out, CAST(sum(s_suppkey % 50) AS BIGINT) AS maximum_http_requests, CAST(sum(s_suppkey % 4 * 0.25) AS DOUBLE) AS maximum_provider_spend_usd,
+        count(*) FILTER (s_suppkey % 5 = 0) AS pending_sites, false AS valid, false AS execution_ready FROM supplier""",
     "evidence_binding": """WITH p AS (SELECT o_custkey % 20 AS c, o_orderkey % 5 AS u, sha256(o_orderpriority) AS h, arg_min(CASE WHEN o_orderkey % 40 = 0 THEN sha256('other') ELSE sha256(o_orderpriority) END, o_orderkey) AS own FROM orders GROUP BY ALL)
         SELECT l_orderkey, l_linenumber, coalesce(own = h, false) AS bound FROM lineitem JOIN orders ON o_orderkey = l_orderkey
         LEFT JOIN p ON p.c = o_custkey % 20 + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END AND p.u = o_orderkey % 5 AND p.h = CASE WHEN l_linenumber = 3 THEN sha256('other') ELSE sha256(o_orderpriority) END""",
