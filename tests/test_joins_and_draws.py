@@ -11,6 +11,7 @@ from factloom.functions import dom
 from factloom.functions.scalars import money
 from factloom.operators import evaluate
 from factloom.operators.asof import asof_join
+from factloom.plans import records
 from factloom.sources import captures
 
 
@@ -25,6 +26,16 @@ def test_asof_join(spark, width):
     assert found == want and len(found) == 300
 
 
+def test_fetch_codes_measures_the_bodies_of_all_events(spark, sf_dir, monkeypatch):
+    """Every tenth fetch has a body over the limit, and the outcome comes from its bytes, not from a number beside it."""
+    logs = []
+    page_source = captures.page_source
+    monkeypatch.setattr(captures, "page_source", lambda log, *more: logs.append(log) or page_source(log, *more))
+    events = records.fetch_codes(spark, sf_dir).count()
+    sizes = dict(logs[0].groupBy(F.octet_length("raw"), F.col("event_id") % 10 == 0).count().select(F.struct("octet_length(raw)", "((event_id % 10) = 0)"), "count").collect())
+    assert set(sizes) == {(captures.MOST_BYTES + 1, True), (1, False)} and sum(sizes.values()) == events
+
+
 def test_redirect_chains_end_where_they_fail(spark):
     hop = lambda host, at, status, location=False: (f"https://{host}", host, float(at), status, location)
     log = [
