@@ -220,6 +220,31 @@ def test_grammar_leaves_no_frequent_pair():
     assert np.array_equal(r.tokens(), crowd) and most_used_pair(r) < repair.LEAST_USES
 
 
+def test_a_round_takes_every_frequent_pair_and_reads_none_that_stayed_rare(monkeypatch):
+    """10,000 pairs with two uses each between symbols of their own: one round names them all, the next has none to read."""
+    read = []
+    pairs_of = repair._pairs
+    monkeypatch.setattr(repair, "_pairs", lambda seq, places: read.append(len(places)) or pairs_of(seq, places))
+    pairs = np.random.default_rng(4).permutation(20_000).reshape(10_000, 2)
+    ids = np.concatenate((np.tile(pairs, (2, 1)), 20_000 + np.arange(20_000)[:, None]), 1).ravel().astype(np.uint32)
+    seq, _, rules, starts = repair.grammar(ids, np.array([len(ids) - 1]), 40_000)
+    assert len(starts) == 1 and len(rules) == 10_000 and len(seq) == 40_000
+    assert read == [59_999, 39_999]
+    read.clear()
+    repair.grammar(np.concatenate((np.arange(30_000), [1, 2, 3, 4])).astype(np.uint32), np.array([30_003]), 40_000)
+    assert read == [30_003, 5, 3]  # those beside the two new symbols, then those beside the one made of both
+
+
+@pytest.mark.parametrize("top", [50, 2**32 - 1])
+def test_pairs_come_by_code_and_place(top):
+    """Also where symbols and places do not fit in one number."""
+    seq = np.random.default_rng(6).integers(top - 40, top, 5000, dtype=np.uint32)
+    places = np.flatnonzero(np.arange(4999) % 7)
+    codes, at = repair._pairs(seq, places)
+    assert at.tolist() == sorted(places.tolist(), key=lambda p: (seq[p], seq[p + 1], p))
+    assert (np.diff(codes.astype(object)) == 0).tolist() == [(seq[a : a + 2] == seq[b : b + 2]).all() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_token_files_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id")
     t = Tokenizer.from_file(tokens.default_path())

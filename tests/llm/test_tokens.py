@@ -38,6 +38,19 @@ def test_small_caches_change_nothing(monkeypatch):
     assert all(np.array_equal(g, t.encode(x or "", add_special_tokens=False).ids) for g, x in zip(got, texts, strict=True))
 
 
+def test_words_in_use_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encoder = tokens.ColumnEncoder()
+    asked = []
+    encoded = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda words: asked.extend(words) or encoded(words))
+    t = Tokenizer.from_file(tokens.default_path())
+    for k in range(12):
+        text = "x often" + "".join(f" {a}{b}" for a in "abcdefghijkl"[k] for b in "abcdefghijklmnopqrstuvwxyzßéabcd")
+        assert [x.tolist() for x in encoder.encode(pa.array([text]))] == [t.encode(text, add_special_tokens=False).ids]
+    assert len(asked) > 300 and sum(bytes(w.encode() if isinstance(w, str) else w) == b" often" for w in asked) == 1
+
+
 def test_long_text_in_safe_parts():
     text = "word and more words. " * 40_000
     parts = tokens.safe_parts(text, 10_000)
