@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,12 +118,17 @@ def evidence_nodes(evidence: DataFrame, captures: DataFrame) -> DataFrame:
 
 def review_evidence(evidence: DataFrame, pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Evidence of fields and candidates (job_id, source_url, fetched_at, snapshot_hash, ...) with source_bound: whether
-    a page row of the job has this url, time and hash, and its bytes are stored."""
-    key = ["job_id", "source_url", "fetched_at", "snapshot_hash"]
-    page = pages.select("job_id", F.col("url").alias("source_url"), "fetched_at", "snapshot_hash", F.lit(True).alias("on_page")).dropDuplicates(key)
-    stored = snapshots.select("job_id", "snapshot_hash", F.lit(True).alias("stored")).dropDuplicates(["job_id", "snapshot_hash"])
-    out = evidence.join(page, key, "left").join(stored, ["job_id", "snapshot_hash"], "left")
-    return out.withColumn("source_bound", F.coalesce(F.col("on_page") & F.col("stored"), F.lit(False))).drop("on_page", "stored")
+    a page row of the job has this url, time and hash, and its bytes are stored. A null equals nothing. The three sides are
+    sorted together by job and hash, so each moves once, and not at all where all of them are partitioned by job_id."""
+    key = ["job_id", "snapshot_hash", "source_url", "fetched_at"]
+    typed = lambda rows, names: rows.select(*[F.col(c).cast(evidence.schema[c].dataType).alias(c) for c in names])
+    sides = [evidence, typed(pages.select("job_id", "snapshot_hash", F.col("url").alias("source_url"), "fetched_at"), key), typed(snapshots, key[:2])]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [side.withColumn("__side", F.lit(n)) for n, side in enumerate(sides)])
+    content = Window.partitionBy(*key[:2]).orderBy(*key[2:])
+    on_page = F.bool_or(F.col("__side") == 1).over(content.rangeBetween(Window.currentRow, Window.currentRow))
+    stored = F.bool_or(F.col("__side") == 2).over(content.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    return rows.withColumn("source_bound", whole & on_page & stored).where("__side = 0").select(*evidence.columns, "source_bound")
 
 
 def session_seconds(sessions: DataFrame) -> DataFrame:

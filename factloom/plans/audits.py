@@ -262,7 +262,8 @@ def literal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs whose lines are evidence of a field or of its candidates: how much there is, and how much of it is
     bound to a page row and to stored bytes."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_returnflag", F.col("l_partkey").cast("string").alias("source_url"), F.col("l_shipdate").alias("fetched_at"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("snapshot_hash"), "l_suppkey", "l_partkey")
+    moved = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_returnflag", F.col("l_shipdate").alias("fetched_at"), "l_suppkey", "l_partkey").repartition("job_id")  # keys move; urls and hashes are made of them where they arrive
+    lines = moved.withColumns({"source_url": F.col("l_partkey").cast("string"), "snapshot_hash": F.sha2(F.col("l_partkey").cast("string"), 256)})
     one = F.struct("source_url", "fetched_at", "snapshot_hash")
     own = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, one))
     fields = lines.groupBy("job_id").agg(own("N").alias("evidence"), F.array(F.struct(own("R").alias("evidence")), F.struct(own("A").alias("evidence"))).alias("candidates"))

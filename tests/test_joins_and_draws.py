@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dom
 from factloom.functions.scalars import money
-from factloom.operators import evaluate
+from factloom.operators import evaluate, store
 from factloom.operators.asof import asof_join
-from factloom.plans import records
+from factloom.plans import audits, records
 from factloom.sources import captures
 
 
@@ -114,3 +114,21 @@ def test_charsets_by_their_parameters():
     assert names("text/html; charset=", '<META http-equiv=x content="text/html; charset=koi8-r"><meta charset=utf-8>') == ["koi8-r"]
     assert names("", "<meta name=a><meta charset = 'cp1252'") == ["cp1252"] and names("x; charset=a", "<meta charset=b>") == ["a", "b"]
     assert Counter(captures.decode(b, k)[1] for b, k in ((b"\xef\xbb\xbfx", "text/html; charset=latin1"), (b"x", "text/html; charset=latin1"), (b"x", "charset=nonsense"))) == Counter({"utf-8-sig": 1, "iso8859-1": 1, "utf-8": 1})
+
+
+def test_review_evidence_moves_each_side_once(spark, sf_dir):
+    """Evidence, page rows and stored hashes with nulls, repeats and further columns against plain Python; sides that lie by
+    job stay where they are, and the query moves three narrow sides of its lines and neither urls nor hashes."""
+    rng = random.Random(5)
+    some = lambda *values: rng.choice([*values, None])
+    evidence = [(i, some("j", "k"), some("u", "v"), some(1, 2), some("g", "h"), {"x": i}) for i in range(400)]
+    pages = [(some("j", "k"), some("u", "v"), some(1, 2), some("g", "h")) for _ in range(14)]
+    kept = [("j", "g"), ("j", "g"), ("k", "h"), (None, "h"), ("k", None)]
+    sides = [spark.createDataFrame(evidence, "i int, job_id string, source_url string, fetched_at int, snapshot_hash string, more map<string,int>"), spark.createDataFrame(pages, "job_id string, url string, fetched_at int, snapshot_hash string"), spark.createDataFrame(kept, "job_id string, snapshot_hash string")]
+    found = store.review_evidence(*[side.repartition("job_id") for side in sides])
+    want = {i: None not in key and tuple(key) in pages and (key[0], key[3]) in kept for i, *key, _ in evidence}
+    assert {r.i: r.source_bound for r in found.collect()} == want and set(want.values()) == {True, False}
+    assert {*found.columns} == {*sides[0].columns, "source_bound"} and all(r.more == {"x": r.i} for r in found.collect()) and found.count() == 400
+    moves = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moves(store.review_evidence(*[side.repartition("job_id") for side in sides]))) == 3
+    assert len(moves(audits.evidence_views(spark, sf_dir))) == 3
